@@ -683,3 +683,59 @@ def q_license_docs(spark, sf_dir):
 
 def threshold_predicate(threshold: str, order: str):
     return at_or_above("severity", threshold, order)
+
+
+# --------------------------------------------------------------------------- report ingestion (S1-S9)
+
+from scanledger.sources import report_fixture as rf  # noqa: E402
+from scanledger.sources import reports as ingest  # noqa: E402
+
+_NORM_COLS = [c for c in ingest.FINDINGS_COLUMNS if c != "raw"]
+
+
+def _normalized(spark, sf_dir):
+    return ingest.normalize(rf.raw_reports_from_events(spark, sf_dir))
+
+
+@register("normalize_reports", rf.NORMALIZED_SQL)
+def q_normalize(spark, sf_dir):
+    findings, _ = _normalized(spark, sf_dir)
+    return findings.select(*_NORM_COLS)
+
+
+@register("scan_status_reports", rf.STATUS_SQL)
+def q_scan_status(spark, sf_dir):
+    _, status = _normalized(spark, sf_dir)
+    return status.select("repo", "run_id", "run_date", "scanner", "source_path", "report_seq", "ok", "n_items")
+
+
+_CHANGED_SQL = """
+changed AS (
+  SELECT DISTINCT concat('org/repo-', user_id) AS repo,
+    concat('app/mod', cast(json_extract_string(props, '$.k') AS int) % 9, '.py') AS file_path
+  FROM events WHERE event_type = 'click' AND event_id % 3 = 0
+)"""
+
+
+def changed_files_fixture(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return (
+        e.filter((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0))
+        .select(
+            F.concat(F.lit("org/repo-"), F.col("user_id")).alias("repo"),
+            F.concat(F.lit("app/mod"), (k % 9).cast("string"), F.lit(".py")).alias("file_path"),
+        )
+        .distinct()
+    )
+
+
+@register(
+    "pr_scope_semi_join",
+    rf.NORMALIZED_SQL.replace("WITH ", "WITH " + _CHANGED_SQL.strip() + ",\n", 1).replace(
+        "\nFROM nf", "\nFROM nf WHERE EXISTS (SELECT 1 FROM changed c WHERE c.repo = nf.repo AND c.file_path = nf.file_path)"
+    ),
+)
+def q_pr_scope(spark, sf_dir):
+    findings, _ = _normalized(spark, sf_dir)
+    return filters.scope_to_changes(findings, changed_files_fixture(spark, sf_dir)).select(*_NORM_COLS)
