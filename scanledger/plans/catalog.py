@@ -739,3 +739,87 @@ def changed_files_fixture(spark, sf_dir):
 def q_pr_scope(spark, sf_dir):
     findings, _ = _normalized(spark, sf_dir)
     return filters.scope_to_changes(findings, changed_files_fixture(spark, sf_dir)).select(*_NORM_COLS)
+
+
+# --------------------------------------------------------------------------- targets (P6, A1-A8)
+
+from scanledger.sources import targets as tg  # noqa: E402
+
+# Paths a repo listing is drawn from in the derived repo_files table.
+REPO_PATHS = [
+    ".git/config", "requirements.txt", "package.json", "Dockerfile", "Dockerfile.prod", "main.tf",
+    "k8s/deploy.yaml", "helm/app/templates/svc.yaml", "src/app.py", "docs/readme.md", "setup.cfg",
+    "docker-compose.yml", "cloudformation-stack.json", "sub/Dockerfile", "infra/main.tf", "Pipfile",
+    "helm/templates/ing.yaml", "values.template", "kubernetes/x.yml", "pyproject.toml",
+]
+
+
+def repo_files_fixture(spark, sf_dir):
+    """(repo, path) listing derived from events: each event adds one path chosen by its k."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    arr = F.array(*[F.lit(p) for p in REPO_PATHS])
+    return e.select(
+        F.concat(F.lit("org/repo-"), F.col("user_id")).alias("repo"),
+        F.element_at(arr, (k % len(REPO_PATHS)) + 1).alias("path"),
+    )
+
+
+def _applicable_sql() -> str:
+    paths = ", ".join(f"'{p}'" for p in REPO_PATHS)
+    iac = " OR ".join(f"regexp_matches(path, '{tg.glob_to_regex(g)}')" for g in tg.IAC_GLOBS)
+    inl = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    return f"""
+WITH rf AS (
+  SELECT concat('org/repo-', user_id) AS repo,
+    [{paths}][cast(json_extract_string(props, '$.k') AS int) % {len(REPO_PATHS)} + 1] AS path
+  FROM events
+),
+g AS (
+  SELECT repo,
+    bool_or(path = '.git' OR starts_with(path, '.git/')) AS gitleaks, true AS semgrep,
+    bool_or(path IN ({inl(tg.PIP_FILES)})) AS pip, bool_or(path = 'package.json') AS npm,
+    bool_or(path IN ({inl(tg.TRIVY_FILES)}) OR regexp_matches(path, '{tg.DOCKERFILE_RX}')) AS trivy,
+    bool_or({iac}) AS checkov, bool_or(regexp_matches(path, '{tg.DOCKERFILE_RX}')) AS hadolint,
+    bool_or(path IN ({inl(tg.LICENSE_FILES)})) AS licenses
+  FROM rf GROUP BY repo
+)
+SELECT repo, 'gitleaks' AS scanner FROM g WHERE gitleaks
+UNION ALL SELECT repo, 'semgrep' FROM g WHERE semgrep
+UNION ALL SELECT repo, 'pip-audit' FROM g WHERE pip
+UNION ALL SELECT repo, 'npm-audit' FROM g WHERE npm
+UNION ALL SELECT repo, 'trivy' FROM g WHERE trivy
+UNION ALL SELECT repo, 'checkov' FROM g WHERE checkov
+UNION ALL SELECT repo, 'hadolint' FROM g WHERE hadolint
+UNION ALL SELECT repo, 'licenses' FROM g WHERE licenses"""
+
+
+@register("applicable_scanners", _applicable_sql())
+def q_applicable(spark, sf_dir):
+    return tg.applicable_scanners(repo_files_fixture(spark, sf_dir))
+
+
+@register(
+    "parse_repo_specs",
+    """
+WITH s AS (SELECT url AS spec FROM pages),
+k AS (SELECT spec, CASE WHEN starts_with(spec, 'http://') OR starts_with(spec, 'https://') OR starts_with(spec, 'git@')
+    THEN 'url' WHEN starts_with(spec, '/') OR starts_with(spec, '.') THEN 'local'
+    WHEN contains(spec, '/') THEN 'shorthand' ELSE 'local' END AS kind FROM s),
+u AS (SELECT *, CASE WHEN kind = 'url' THEN spec WHEN kind = 'shorthand' THEN concat('https://github.com/', spec) END AS url
+      FROM k),
+v AS (SELECT *, regexp_replace(url, '/+$', '') AS u0 FROM u),
+w AS (SELECT *, CASE WHEN ends_with(u0, '.git') THEN substr(u0, 1, length(u0) - 4) ELSE u0 END AS u1 FROM v),
+x AS (SELECT *, string_split(CASE WHEN starts_with(u1, 'git@') THEN regexp_replace(u1, '^git@([^:/]+):', 'git@\\1/')
+        ELSE u1 END, '/') AS parts FROM w),
+y AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[-2] ELSE '' END AS o, parts[-1] AS r,
+        string_split(regexp_replace(spec, '/+$', ''), '/')[-1] AS l FROM x)
+SELECT spec, kind,
+  CASE WHEN kind <> 'local' THEN (CASE WHEN o <> '' THEN concat(o, '/', r) ELSE r END) ELSE l END AS name,
+  url, CASE WHEN kind = 'local' THEN spec END AS path,
+  CASE WHEN kind <> 'local' THEN o ELSE '' END AS owner, CASE WHEN kind <> 'local' THEN r ELSE '' END AS repo_name
+FROM y""",
+)
+def q_parse_specs(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select(F.col("url").alias("spec"))
+    return tg.parse_targets(pages)
