@@ -21,8 +21,9 @@ def spark():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scanledger-test-ckpt-"))
+    from scanledger.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     yield spark
 
 
