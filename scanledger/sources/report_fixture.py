@@ -166,31 +166,37 @@ def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     node_lic = F.concat(F.lit('{"lib-'), _s(k % 20), F.lit('@1.0.0":{"licenses":'), node_lic_val, F.lit("}}"))
     licenses = F.when(e % 2 == 0, py_lic).otherwise(node_lic)
 
-    sc = F.col("scanner")
-    payload = (
-        F.when(sc == "gitleaks", gitleaks)
-        .when(sc == "semgrep", semgrep)
-        .when(sc == "trivy", trivy)
-        .when(sc == "checkov", checkov)
-        .when(sc == "pip-audit", pip)
-        .when(sc == "npm-audit", npm)
-        .when(sc == "hadolint", hadolint)
-        .otherwise(licenses)
-    )
-    payload = F.when(e % 97 == 0, F.lit("not json {")).otherwise(payload)
-    source = F.when(
-        sc == "hadolint", F.when(k % 3 == 0, F.lit("Dockerfile")).otherwise(F.lit("docker/Dockerfile.dev"))
-    ).otherwise(F.concat(sc, F.lit(".json")))
+    payloads = {
+        "gitleaks": gitleaks, "semgrep": semgrep, "trivy": trivy, "checkov": checkov, "pip-audit": pip,
+        "npm-audit": npm, "hadolint": hadolint, "licenses": licenses,
+    }
+    # One union branch per tool with a literal scanner name: a normaliser's
+    # ``scanner = x`` filter prunes every other branch at planning time, so each
+    # tool only builds and parses its own reports.
+    branches = []
+    for name, body in payloads.items():
+        mine = ev.filter(F.col("scanner") == name)
+        payload = F.when(e % 97 == 0, F.lit("not json {")).otherwise(body)
+        if name == "hadolint":
+            source = F.when(k % 3 == 0, F.lit("Dockerfile")).otherwise(F.lit("docker/Dockerfile.dev"))
+        else:
+            source = F.lit(f"{name}.json")
+        branches.append(
+            mine.select(
+                "repo",
+                F.col("run_date").cast("string").alias("run_id"),
+                "run_date",
+                F.lit(name).alias("scanner"),
+                source.alias("source_path"),
+                F.col("e").alias("report_seq"),
+                payload.alias("payload"),
+            )
+        )
     del none
-    return ev.select(
-        "repo",
-        F.col("run_date").cast("string").alias("run_id"),
-        "run_date",
-        "scanner",
-        source.alias("source_path"),
-        F.col("e").alias("report_seq"),
-        payload.alias("payload"),
-    )
+    out = branches[0]
+    for b_ in branches[1:]:
+        out = out.unionByName(b_)
+    return out
 
 
 # ----------------------------------------------------------------------------- oracle

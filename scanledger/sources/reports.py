@@ -70,7 +70,7 @@ TRIVY_VULN = T.StructType(
     [T.StructField(k, S) for k in ("VulnerabilityID", "PkgName", "Severity", "Title", "InstalledVersion", "FixedVersion")]
     + [T.StructField("DataSource", T.StructType([T.StructField("Name", S)]))]
 )
-TRIVY_RESULT = T.StructType([T.StructField("Target", S), T.StructField("Vulnerabilities", T.ArrayType(S))])
+TRIVY_RESULT = T.StructType([T.StructField("Target", S), T.StructField("Vulnerabilities", T.ArrayType(TRIVY_VULN))])
 CHECKOV_CHECK = T.StructType(
     [T.StructField(k, S) for k in ("check_name", "severity", "file_path", "guideline")]
     + [T.StructField("file_line_range", T.ArrayType(I))]
@@ -100,15 +100,17 @@ def _rule(item: str = "it") -> F.Column:
     return F.coalesce(*[F.col(f"{item}.{k}") for k in ("RuleID", "check_id", "vuln_id", "id")])
 
 
-def _explode_items(reports: DataFrame, items: F.Column, item_schema: T.DataType | None) -> DataFrame:
-    """One row per item with its position; the raw item text is kept in ``raw``."""
+def _explode_items(reports: DataFrame, items: F.Column) -> DataFrame:
+    """One row per parsed item (``it``) with its position; a null array yields no rows.
+
+    Items are exploded already typed (one parse per payload); ``raw`` is the
+    item's declared fields as JSON.
+    """
     exploded = reports.select(
-        *[c for c in reports.columns if c != "payload"],
-        F.posexplode(items).alias("pos", "raw"),
+        *[c for c in reports.columns if not c.startswith("_") and c != "payload"],
+        F.posexplode(items).alias("pos", "it"),
     )
-    if item_schema is None:
-        return exploded
-    return exploded.withColumn("it", F.from_json("raw", item_schema))
+    return exploded.withColumn("raw", F.to_json("it"))
 
 
 def _finish(df: DataFrame, scanner: str, severity, title, description, file_path, line, recommendation, rule_id,
@@ -148,11 +150,11 @@ def _status(reports: DataFrame, ok: F.Column, n: F.Column, error: F.Column | Non
 
 def gitleaks(raw: DataFrame):
     """Top-level array (JSON null = no findings). Always CRITICAL; title carries the rule id."""
-    r = _of(raw, "gitleaks").withColumn("_items", F.from_json("payload", T.ArrayType(S)))
+    r = _of(raw, "gitleaks").withColumn("_items", F.from_json("payload", T.ArrayType(GITLEAKS_ITEM)))
     is_null_doc = F.col("_items").isNull() & (F.trim(F.col("payload")) == "null")
     ok = F.col("_items").isNotNull() | is_null_doc
     status = _status(r, ok, F.coalesce(F.size("_items"), F.lit(0)))
-    it = _explode_items(r.filter(F.col("_items").isNotNull()), F.col("_items"), GITLEAKS_ITEM)
+    it = _explode_items(r, F.col("_items"))
     rule = F.col("it.RuleID")
     f = _finish(
         it, "gitleaks", F.lit("CRITICAL"),
@@ -165,12 +167,12 @@ def gitleaks(raw: DataFrame):
 
 def semgrep(raw: DataFrame):
     """``results[]``; severity from extra.severity (default WARNING), parsed (ERROR/WARNING -> LOW)."""
-    schema = T.StructType([T.StructField("results", T.ArrayType(S)), T.StructField("_corrupt", S)])
+    schema = T.StructType([T.StructField("results", T.ArrayType(SEMGREP_ITEM)), T.StructField("_corrupt", S)])
     r = _of(raw, "semgrep").withColumn("_doc", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
     ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
-    items = F.coalesce(F.col("_doc.results"), F.array().cast(T.ArrayType(S)))
+    items = F.coalesce(F.col("_doc.results"), F.array().cast(T.ArrayType(SEMGREP_ITEM)))
     status = _status(r, ok, F.size(items))
-    it = _explode_items(r.filter(ok), items, SEMGREP_ITEM)
+    it = _explode_items(r, F.when(ok, items))
     f = _finish(
         it, "semgrep",
         severity_parse(F.coalesce(F.col("it.extra.severity"), F.lit("WARNING"))),
@@ -202,8 +204,8 @@ def pip_audit(raw: DataFrame):
         F.transform(deps, lambda d: F.transform(F.coalesce(d["vulns"], no_vulns), lambda v: F.struct(d.alias("dep"), v.alias("vuln"))))
     )
     status = _status(r, ok, F.size(pairs))
-    v = r.filter(ok).select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(pairs).alias("pos", "pv")
+    v = r.select(
+        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, pairs)).alias("pos", "pv")
     ).select("*", F.col("pv.dep").alias("dep"), F.col("pv.vuln").alias("vuln"))
     fixes = F.coalesce(F.col("vuln.fix_versions"), F.array().cast(T.ArrayType(S)))
     raw_obj = F.to_json(
@@ -234,8 +236,8 @@ def npm_audit(raw: DataFrame):
     m = F.coalesce(F.col("_doc.vulnerabilities"), F.create_map().cast(T.MapType(S, NPM_INFO)))
     status = _status(r, ok, F.size(m))
     entries = F.array_sort(F.map_entries(m), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-    e = r.filter(ok).select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(entries).alias("pos", "kv")
+    e = r.select(
+        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, entries)).alias("pos", "kv")
     )
     info = F.col("kv.value")
     fa = F.trim(info["fixAvailable"])
@@ -269,16 +271,15 @@ def trivy(raw: DataFrame):
         F.transform(
             results,
             lambda x: F.transform(
-                F.coalesce(x["Vulnerabilities"], F.array().cast(T.ArrayType(S))),
-                lambda v: F.struct(x["Target"].alias("target"), v.alias("raw_v")),
+                F.coalesce(x["Vulnerabilities"], F.array().cast(T.ArrayType(TRIVY_VULN))),
+                lambda v: F.struct(x["Target"].alias("target"), v.alias("v")),
             ),
         )
     )
     status = _status(r, ok, F.size(pairs))
-    vv = r.filter(ok).select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(pairs).alias("pos", "tv")
-    ).select("*", F.col("tv.target").alias("target"), F.col("tv.raw_v").alias("raw_v"))
-    vv = vv.withColumn("v", F.from_json("raw_v", TRIVY_VULN))
+    vv = r.select(
+        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, pairs)).alias("pos", "tv")
+    ).select("*", F.col("tv.target").alias("target"), F.col("tv.v").alias("v"))
     fixed = F.coalesce(F.col("v.FixedVersion"), F.lit(""))
     raw_obj = F.to_json(
         F.struct(
@@ -288,7 +289,7 @@ def trivy(raw: DataFrame):
         )
     )
     f = _finish(
-        vv.withColumn("raw", F.col("raw_v")), "trivy",
+        vv, "trivy",
         severity_parse(F.upper(F.coalesce(F.col("v.Severity"), F.lit("UNKNOWN")))),
         F.concat(F.coalesce(F.col("v.PkgName"), F.lit("unknown")), F.lit(": "),
                  F.coalesce(F.col("v.VulnerabilityID"), F.lit(""))),
@@ -306,15 +307,17 @@ def checkov(raw: DataFrame):
     of file_line_range.
     """
     doc_t = T.StructType(
-        [T.StructField("results", T.StructType([T.StructField("failed_checks", T.ArrayType(S))]))]
+        [T.StructField("results", T.StructType([T.StructField("failed_checks", T.ArrayType(CHECKOV_CHECK))]))]
     )
     r = _of(raw, "checkov").withColumn("_docs", F.from_json("payload", T.ArrayType(doc_t)))
     ok = F.col("_docs").isNotNull()
     checks = F.flatten(
-        F.transform(F.col("_docs"), lambda d: F.coalesce(d["results"]["failed_checks"], F.array().cast(T.ArrayType(S))))
+        F.transform(
+            F.col("_docs"), lambda d: F.coalesce(d["results"]["failed_checks"], F.array().cast(T.ArrayType(CHECKOV_CHECK)))
+        )
     )
     status = _status(r, ok, F.size(checks))
-    it = _explode_items(r.filter(ok), checks, CHECKOV_CHECK)
+    it = _explode_items(r, checks)
     sev = F.when(F.col("it.severity").isNull(), F.lit("MEDIUM")).otherwise(severity_parse(F.upper(F.col("it.severity"))))
     f = _finish(
         it, "checkov", sev,
@@ -328,10 +331,10 @@ def checkov(raw: DataFrame):
 
 def hadolint(raw: DataFrame):
     """One array per Dockerfile; the file path is the report's source_path (not in the JSON)."""
-    r = _of(raw, "hadolint").withColumn("_items", F.from_json("payload", T.ArrayType(S)))
+    r = _of(raw, "hadolint").withColumn("_items", F.from_json("payload", T.ArrayType(HADOLINT_ITEM)))
     ok = F.col("_items").isNotNull()
     status = _status(r, ok, F.size("_items"))
-    it = _explode_items(r.filter(ok), F.col("_items"), HADOLINT_ITEM)
+    it = _explode_items(r, F.col("_items"))
     level = F.coalesce(F.col("it.level"), F.lit("warning"))
     sev = F.lit("MEDIUM")
     for k, v in reversed(list(HADOLINT_LEVELS.items())):
@@ -358,10 +361,10 @@ def licenses(raw: DataFrame, denied: list[str] | None = None):
     r = _of(raw, "licenses")
     is_list = F.ltrim(F.col("payload")).startswith("[")
 
-    py = r.filter(is_list).withColumn("_items", F.from_json("payload", T.ArrayType(S)))
+    py = r.filter(is_list).withColumn("_items", F.from_json("payload", T.ArrayType(PIP_LICENSE_ITEM)))
     py_ok = F.col("_items").isNotNull()
     py_status = _status(py, py_ok, F.size("_items"))
-    pit = _explode_items(py.filter(py_ok), F.col("_items"), PIP_LICENSE_ITEM)
+    pit = _explode_items(py, F.col("_items"))
     lic = F.coalesce(F.col("it.License"), F.lit("UNKNOWN"))
     pit = pit.withColumn("_lic", lic).withColumn("_deny", first_denied(F.col("_lic"), denied))
     name = F.coalesce(F.col("it.Name"), F.lit("unknown"))
@@ -375,13 +378,13 @@ def licenses(raw: DataFrame, denied: list[str] | None = None):
         F.lit(None), F.lit(None), F.lit(LICENSE_RECOMMENDATION), _rule(),
     )
 
-    nd = r.filter(~is_list).withColumn("_m", F.from_json("payload", T.MapType(S, S)))
+    nd = r.filter(~is_list).withColumn("_m", F.from_json("payload", T.MapType(S, NODE_LICENSE_INFO)))
     nd_ok = F.col("_m").isNotNull()
     nd_status = _status(nd, nd_ok, F.size("_m"))
     entries = F.array_sort(F.map_entries(F.col("_m")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-    ne = nd.filter(nd_ok).select(
+    ne = nd.select(
         *[c for c in nd.columns if c not in ("payload", "_m")], F.posexplode(entries).alias("pos", "kv")
-    ).withColumn("raw", F.col("kv.value")).withColumn("it", F.from_json("raw", NODE_LICENSE_INFO))
+    ).withColumn("it", F.col("kv.value")).withColumn("raw", F.to_json("it"))
     ltxt = F.coalesce(F.col("it.licenses"), F.lit("UNKNOWN"))
     as_list = F.from_json(ltxt, T.ArrayType(S))
     ne = ne.withColumn(
