@@ -66,12 +66,20 @@ class SnapshotStore:
     def _commits(self) -> str:
         return f"{self.root}/_commits"
 
-    def latest_version(self) -> int | None:
+    def _commit_table(self) -> DataFrame | None:
         try:
-            row = self.spark.read.parquet(self._commits).agg(F.max("version")).first()
+            return self.spark.read.parquet(self._commits)
         except Exception:  # no commit yet
             return None
-        return None if row is None else row[0]
+
+    def latest_version(self) -> int | None:
+        c = self._commit_table()
+        return None if c is None else c.agg(F.max("version")).first()[0]
+
+    def committed_epoch(self, epoch: int) -> bool:
+        """True when a streaming micro-batch ``epoch`` already committed (replays are skipped)."""
+        c = self._commit_table()
+        return c is not None and c.filter(F.col("epoch") == epoch).limit(1).count() > 0
 
     def path(self, version: int) -> str:
         return f"{self.root}/state/v={version}"
@@ -80,12 +88,17 @@ class SnapshotStore:
         v = self.latest_version()
         return None if v is None else self.spark.read.parquet(self.path(v))
 
-    def commit(self, state: DataFrame) -> int:
-        """Write a new snapshot, clustered by (repo, fingerprint) so repo filters prune row groups."""
+    def commit(self, state: DataFrame, epoch: int | None = None) -> int:
+        """Write a new snapshot, clustered by (repo, fingerprint) so repo filters prune row groups.
+
+        The snapshot directory is written first; the version becomes visible
+        only when its row is appended to ``_commits``. A retry after a failure
+        in between rewrites the same (never visible) version directory.
+        """
         v = (self.latest_version() or 0) + 1
         out = state
         if self.partitions:
             out = out.repartition(self.partitions, "repo", "fingerprint")
         out.sortWithinPartitions("repo", "fingerprint").write.mode("overwrite").parquet(self.path(v))
-        self.spark.createDataFrame([(v,)], "version INT").write.mode("append").parquet(self._commits)
+        self.spark.createDataFrame([(v, epoch)], "version INT, epoch BIGINT").write.mode("append").parquet(self._commits)
         return v

@@ -169,3 +169,14 @@ def test_state_keys_unique_and_seen_before_last(spark):
     st = lc.replay(findings, scans)
     assert st.count() == st.select("repo", "fingerprint").distinct().count()
     assert st.filter(F.col("first_seen") > F.col("last_seen")).count() == 0
+
+
+def test_merge_runs_onto_prefix_equals_full_replay(spark):
+    runs = random_histories(n_hist=25, seed=21)
+    findings, scans = to_frames(spark, runs)
+    full = state_dict(lc.replay(findings, scans))
+    for cut in (1, 2, 4):
+        c = F.lit(day(cut))
+        pre = lc.replay(findings.filter(F.col("run_date") < c), scans.filter(F.col("run_date") < c)).drop("resolved_on")
+        post = lc.merge_runs(pre, findings.filter(F.col("run_date") >= c), scans.filter(F.col("run_date") >= c))
+        assert state_dict(post) == full, cut
