@@ -45,7 +45,7 @@ def triage_payload(df: DataFrame, max_findings: int = MAX_FINDINGS, max_chars: i
     agg = capped.groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct(F.col("position"), finding_struct().alias("f")))).alias("items")
     )
-    js = F.to_json(F.transform("items", lambda x: x["f"]))
+    js = F.to_json(F.transform("items", lambda x: x["f"]), {"ignoreNullFields": "false"})
     return agg.select(
         "repo",
         F.when(F.length(js) > max_chars, F.concat(F.substring(js, 1, max_chars), F.lit(TRUNCATION_MARKER)))
@@ -96,8 +96,10 @@ def parse_triage(responses: DataFrame, fallback: DataFrame) -> DataFrame:
     fingerprint is computed from (scanner, title) with no path, line or rule.
     Output: repo, severity, scanner, title, description, recommendation, fingerprint, summary, triaged.
     """
-    parsed = responses.select(
-        "repo", F.from_json(strip_fences(F.col("response")), RESPONSE_SCHEMA).alias("r")
+    schema = T.StructType(RESPONSE_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
+    doc = F.from_json(strip_fences(F.col("response")), schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = responses.select("repo", doc.alias("r")).withColumn(
+        "r", F.when(F.col("r").isNotNull() & F.col("r._corrupt").isNull(), F.col("r"))
     )
     ok = parsed.filter(F.col("r").isNotNull())
     items = ok.select(

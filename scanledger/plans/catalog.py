@@ -823,3 +823,28 @@ FROM y""",
 def q_parse_specs(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select(F.col("url").alias("spec"))
     return tg.parse_targets(pages)
+
+
+# --------------------------------------------------------------------------- triage payload (T4, F9)
+
+TRIAGE_MAX = triage.MAX_FINDINGS
+TRIAGE_CHARS = triage.MAX_CHARS
+
+
+@register(
+    "triage_payload",
+    with_events()
+    + f"""
+, capped AS (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ingest_seq) AS position FROM findings),
+p AS (
+  SELECT repo, to_json(list({{'scanner': scanner, 'severity': severity, 'title': title, 'description': description,
+      'file_path': file_path, 'line': line, 'recommendation': recommendation, 'fingerprint': fingerprint}}
+      ORDER BY position))::varchar AS js, count(*) AS n_sent
+  FROM capped WHERE position <= {TRIAGE_MAX} GROUP BY repo)
+SELECT repo, CASE WHEN length(js) > {TRIAGE_CHARS} THEN concat(substr(js, 1, {TRIAGE_CHARS}), chr(10), '... (truncated)')
+  ELSE js END AS payload, n_sent
+FROM p""",
+)
+def q_triage_payload(spark, sf_dir):
+    return triage.triage_payload(_ev(spark, sf_dir), TRIAGE_MAX, TRIAGE_CHARS)
