@@ -848,3 +848,110 @@ FROM p""",
 )
 def q_triage_payload(spark, sf_dir):
     return triage.triage_payload(_ev(spark, sf_dir), TRIAGE_MAX, TRIAGE_CHARS)
+
+
+# --------------------------------------------------------------------------- legacy records (S10, P9)
+
+from scanledger.functions.severity import page_severity  # noqa: E402
+
+
+@register(
+    "legacy_records",
+    "WITH "
+    + rf._EVK.strip()
+    + """
+, l AS (
+  SELECT repo, e AS report_seq, p.pos, 'gitleaks' AS scanner, 'CRITICAL' AS severity, cast(NULL AS varchar) AS package,
+    cast(NULL AS varchar) AS vuln_id, concat('Leaked key ', e) AS description
+  FROM ev, (SELECT 0 AS pos UNION ALL SELECT 1) p
+  WHERE scanner = 'gitleaks' AND NOT corrupt AND (p.pos = 0 OR k % 5 = 0)
+  UNION ALL
+  SELECT repo, e, 0, 'semgrep', ['ERROR', 'WARNING', 'WARNING', 'INFO', 'info'][b + 1], NULL, NULL, concat('Finding ', e)
+  FROM ev WHERE scanner = 'semgrep' AND NOT corrupt
+  UNION ALL
+  SELECT repo, e, 0, 'pip-audit', 'HIGH', concat('pkg-', k % 20), concat('PYSEC-2024-', k), concat('Advisory ', e)
+  FROM ev WHERE scanner = 'pip-audit' AND NOT corrupt
+  UNION ALL
+  SELECT repo, e, 0, 'npm-audit', ['CRITICAL', 'HIGH', 'MODERATE', 'LOW', 'INFO'][b + 1], concat('lib-', k % 20), NULL,
+    CASE WHEN k % 7 <> 0 THEN concat('Prototype pollution ', k % 7) ELSE '' END
+  FROM ev WHERE scanner = 'npm-audit' AND NOT corrupt
+)
+SELECT repo, report_seq, pos, scanner, severity,
+  CASE WHEN upper(severity) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(severity) ELSE 'LOW' END AS page_severity,
+  package, vuln_id, description
+FROM l""",
+)
+def q_legacy_records(spark, sf_dir):
+    recs = ingest.legacy_records(rf.raw_reports_from_events(spark, sf_dir))
+    return recs.select(
+        "repo", "report_seq", F.col("pos").cast("bigint").alias("pos"), "scanner", "severity",
+        page_severity("severity").alias("page_severity"), "package", "vuln_id", "description",
+    )
+
+
+# --------------------------------------------------------------------------- SARIF document parts (K3)
+
+_LEVEL_SQL = ("CASE {c} WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' "
+              "WHEN 'LOW' THEN 'note' WHEN 'INFO' THEN 'note' ELSE 'warning' END")
+
+
+@register(
+    "sarif_document_parts",
+    with_events()
+    + f"""
+, res AS (
+  SELECT repo, scanner, ingest_seq,
+    CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE substr(title, 1, 40) END AS rule_id,
+    {_LEVEL_SQL.format(c='severity')} AS level,
+    concat(coalesce(description, ''), chr(10), chr(10), 'Recommendation: ', coalesce(recommendation, '')) AS message,
+    CASE WHEN coalesce(file_path, '') <> '' THEN file_path END AS uri,
+    CASE WHEN coalesce(file_path, '') <> '' AND coalesce(line, 0) <> 0 THEN line END AS start_line,
+    title, severity
+  FROM findings),
+rj AS (
+  SELECT repo, scanner, ingest_seq,
+    CASE WHEN uri IS NULL THEN to_json({{'ruleId': rule_id, 'level': level, 'message': {{'text': message}}}})
+         WHEN start_line IS NULL THEN to_json({{'ruleId': rule_id, 'level': level, 'message': {{'text': message}},
+           'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': uri}}}}}}]}})
+         ELSE to_json({{'ruleId': rule_id, 'level': level, 'message': {{'text': message}},
+           'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': uri}}, 'region': {{'startLine': start_line}}}}}}]}})
+    END::varchar AS js
+  FROM res),
+runs AS (SELECT repo, scanner, min(ingest_seq) AS first_result FROM res GROUP BY repo, scanner),
+first_run AS (SELECT repo, min(scanner) AS first_scanner FROM runs GROUP BY repo),
+rules AS (
+  SELECT repo, scanner, rule_id, min(ingest_seq) AS ingest_seq,
+    arg_min({{'title': title, 'severity': severity}}, ingest_seq) AS f
+  FROM res GROUP BY repo, scanner, rule_id),
+uj AS (
+  SELECT repo, scanner, ingest_seq,
+    to_json({{'id': rule_id, 'name': substr(f.title, 1, 80), 'shortDescription': {{'text': substr(f.title, 1, 200)}},
+      'defaultConfiguration': {{'level': {_LEVEL_SQL.format(c='f.severity')}}}, 'helpUri': ''}})::varchar AS js
+  FROM rules),
+first_rule AS (SELECT repo, scanner, min(ingest_seq) AS fr FROM uj GROUP BY repo, scanner),
+repos AS (SELECT DISTINCT repo FROM findings UNION SELECT DISTINCT repo FROM scans),
+parts AS (
+  SELECT r.repo, 0 AS k1, '' AS k2, 0 AS k3, 0::bigint AS k4,
+    concat('{{"$schema":"{reports.SARIF_SCHEMA}","version":"{reports.SARIF_VERSION}","runs":[',
+      CASE WHEN r.repo NOT IN (SELECT repo FROM runs)
+        THEN '{{"tool":{{"driver":{{"name":"scanledger","informationUri":"{reports.SARIF_INFO_URI}","rules":[]}}}},"results":[]}}'
+        ELSE '' END) AS text
+  FROM repos r
+  UNION ALL SELECT repo, 2, '', 0, 0, ']}}' FROM repos
+  UNION ALL SELECT u.repo, 1, u.scanner, 0, 0,
+    concat(CASE WHEN u.scanner = fr.first_scanner THEN '' ELSE ',' END, '{{"tool":{{"driver":{{"name":',
+      to_json(u.scanner)::varchar, ',"informationUri":"{reports.SARIF_INFO_URI}","rules":[')
+  FROM runs u JOIN first_run fr ON u.repo = fr.repo
+  UNION ALL SELECT repo, 1, scanner, 2, 0, ']}}}},"results":[' FROM runs
+  UNION ALL SELECT repo, 1, scanner, 4, 0, ']}}' FROM runs
+  UNION ALL SELECT uj.repo, 1, uj.scanner, 1, uj.ingest_seq, concat(CASE WHEN uj.ingest_seq = f.fr THEN '' ELSE ',' END, uj.js)
+  FROM uj JOIN first_rule f ON uj.repo = f.repo AND uj.scanner = f.scanner
+  UNION ALL SELECT rj.repo, 1, rj.scanner, 3, rj.ingest_seq,
+    concat(CASE WHEN rj.ingest_seq = runs.first_result THEN '' ELSE ',' END, rj.js)
+  FROM rj JOIN runs ON rj.repo = runs.repo AND rj.scanner = runs.scanner
+)
+SELECT repo, k1, k2, k3, k4, text FROM parts""",
+)
+def q_sarif_parts(spark, sf_dir):
+    f = _ev(spark, sf_dir)
+    return reports.sarif_document_parts(f, fx.events_scans(f))

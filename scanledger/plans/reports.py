@@ -357,3 +357,101 @@ def page_work_list(df: DataFrame, existing_pages: DataFrame, run_date: str) -> D
             "recommendation"
         ),
     )
+
+
+# --------------------------------------------------------------------------- SARIF documents (K3, K4)
+
+SARIF_INFO_URI = "https://example.invalid/scanledger"
+
+
+def sarif_document_parts(df: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Ordered text fragments whose concatenation per repo is that repo's SARIF 2.1.0 document.
+
+    Rows: (repo, k1, k2, k3, k4, text); order by (k1, k2, k3, k4) inside a repo.
+    One run per scanner (runs ordered by scanner name), its rules (first
+    finding of a rule id defines it) and results (arrival order; INFO kept).
+    Commas come from per-run minima (aggregates), so no repo is ever gathered
+    into one row or one task; a repo with no findings gets the single empty run.
+    """
+    res = sarif_result_json(df)
+    rules = sarif_rules(df).join(
+        df.select("repo", "scanner", _sarif_rule_id().alias("rule_id"), "ingest_seq")
+        .groupBy("repo", "scanner", "rule_id").agg(F.min("ingest_seq").alias("ingest_seq")),
+        ["repo", "scanner", "rule_id"],
+    )
+    rule_json = rules.select(
+        "repo", "scanner", "ingest_seq",
+        F.to_json(
+            F.struct(
+                F.col("rule_id").alias("id"), F.col("name"),
+                F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
+                F.struct(F.col("level")).alias("defaultConfiguration"),
+                F.col("help_uri").alias("helpUri"),
+            )
+        ).alias("json"),
+    )
+    runs = df.groupBy("repo", "scanner").agg(
+        F.min("ingest_seq").alias("first_result"),
+    )
+    first_rule = rule_json.groupBy("repo", "scanner").agg(F.min("ingest_seq").alias("first_rule"))
+    first_run = runs.groupBy("repo").agg(F.min("scanner").alias("first_scanner"))
+
+    def comma(is_first: F.Column) -> F.Column:
+        return F.when(is_first, F.lit("")).otherwise(F.lit(","))
+
+    r_parts = res.join(runs, ["repo", "scanner"]).select(
+        "repo", F.lit(1).alias("k1"), "scanner", F.lit(3).alias("k3"), F.col("ingest_seq").alias("k4"),
+        F.concat(comma(F.col("ingest_seq") == F.col("first_result")), F.col("json")).alias("text"),
+    )
+    u_parts = rule_json.join(first_rule, ["repo", "scanner"]).select(
+        "repo", F.lit(1).alias("k1"), "scanner", F.lit(1).alias("k3"), F.col("ingest_seq").alias("k4"),
+        F.concat(comma(F.col("ingest_seq") == F.col("first_rule")), F.col("json")).alias("text"),
+    )
+    run_rows = runs.join(first_run, "repo")
+    opener = F.concat(
+        comma(F.col("scanner") == F.col("first_scanner")),
+        F.lit('{"tool":{"driver":{"name":'), F.to_json(F.array("scanner")).substr(F.lit(2), F.length(F.to_json(F.array("scanner"))) - 2),
+        F.lit(f',"informationUri":"{SARIF_INFO_URI}","rules":['),
+    )
+    o_parts = run_rows.select("repo", F.lit(1).alias("k1"), "scanner", F.lit(0).alias("k3"), F.lit(0).cast("bigint").alias("k4"),
+                              opener.alias("text"))
+    m_parts = run_rows.select("repo", F.lit(1).alias("k1"), "scanner", F.lit(2).alias("k3"), F.lit(0).cast("bigint").alias("k4"),
+                              F.lit(']}},"results":[').alias("text"))
+    c_parts = run_rows.select("repo", F.lit(1).alias("k1"), "scanner", F.lit(4).alias("k3"), F.lit(0).cast("bigint").alias("k4"),
+                              F.lit("]}").alias("text"))
+    repos = df.select("repo").distinct()
+    if scans is not None:
+        repos = repos.unionByName(scans.select("repo")).distinct()
+    has = runs.select("repo").distinct().withColumn("_has", F.lit(True))
+    rr = repos.join(has, "repo", "left")
+    empty_run = (
+        f'{{"tool":{{"driver":{{"name":"{TOOL_NAME}","informationUri":"{SARIF_INFO_URI}","rules":[]}}}},"results":[]}}'
+    )
+    header = F.concat(
+        F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":['),
+        F.when(F.col("_has").isNull(), F.lit(empty_run)).otherwise(F.lit("")),
+    )
+    h_parts = rr.select("repo", F.lit(0).alias("k1"), F.lit("").alias("scanner"), F.lit(0).alias("k3"),
+                        F.lit(0).cast("bigint").alias("k4"), header.alias("text"))
+    f_parts = rr.select("repo", F.lit(2).alias("k1"), F.lit("").alias("scanner"), F.lit(0).alias("k3"),
+                        F.lit(0).cast("bigint").alias("k4"), F.lit("]}").alias("text"))
+    out = h_parts
+    for p in (o_parts, u_parts, m_parts, r_parts, c_parts, f_parts):
+        out = out.unionByName(p)
+    return out.withColumnRenamed("scanner", "k2")
+
+
+def write_sarif(df: DataFrame, path: str, scans: DataFrame | None = None, compress: bool = False) -> None:
+    """Write each repo's SARIF document as ordered text parts under ``path/repo=<repo>/``.
+
+    Range partitioning on the sort key splits even a very large repo over
+    many tasks; the part files of a repo, read in name order, concatenate to
+    its document. ``compress`` writes gzip parts (the upload body is the
+    gzip of the document; base64 is left to the uploader).
+    """
+    parts = sarif_document_parts(df, scans)
+    keys = ["repo", "k1", "k2", "k3", "k4"]
+    w = parts.repartitionByRange(*keys).sortWithinPartitions(*keys).select("repo", "text").write.mode("overwrite")
+    if compress:
+        w = w.option("compression", "gzip")
+    w.partitionBy("repo").text(path)  # newline between fragments = JSON whitespace

@@ -441,3 +441,71 @@ def read_reports(spark, path: str, repo: str, run_id: str, run_date, scanner: st
         F.lit(scanner).alias("scanner"), F.input_file_name().alias("source_path"),
         F.lit(report_seq).cast("bigint").alias("report_seq"), F.col("value").alias("payload"),
     )
+
+
+# --------------------------------------------------------------------------- legacy record shapes (S10)
+
+LEGACY_COLUMNS = [
+    "repo", "run_id", "run_date", "report_seq", "pos", "scanner", "severity", "package", "vuln_id", "description", "record",
+]
+
+
+def legacy_records(raw_reports: DataFrame) -> DataFrame:
+    """The single-file agent's record dicts for its four tools (an alternate output shape).
+
+    Severities are kept as the tools wrote them (semgrep ERROR/WARNING, npm
+    upper-cased with UNKNOWN default) -- only the page select maps them later.
+    Any parse or key error empties that report, as the agent's catch-all does.
+    """
+    raw = raw_reports.select(*RAW_COLUMNS)
+    base = [c for c in RAW_COLUMNS if c not in ("payload", "scanner", "source_path")]
+
+    g_item = T.StructType(GITLEAKS_ITEM.fields + [T.StructField("severity", S), T.StructField("scanner", S)])
+    g = _of(raw, "gitleaks").select(*base, F.posexplode(F.from_json("payload", T.ArrayType(g_item))).alias("pos", "it"))
+    g = g.select(
+        *base, "pos",
+        F.coalesce(F.col("it.scanner"), F.lit("gitleaks")).alias("scanner"),
+        F.coalesce(F.col("it.severity"), F.lit("CRITICAL")).alias("severity"),
+        F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
+        F.col("it.Description").alias("description"), F.to_json("it").alias("record"),
+    )
+
+    s_item = T.StructType(SEMGREP_ITEM.fields + [T.StructField("severity", S), T.StructField("scanner", S)])
+    sd = F.from_json("payload", T.StructType([T.StructField("results", T.ArrayType(s_item)), T.StructField("_corrupt", S)]),
+                     {"columnNameOfCorruptRecord": "_corrupt"})
+    s = _of(raw, "semgrep").withColumn("_d", sd).select(
+        *base, F.posexplode(F.when(F.col("_d._corrupt").isNull(), F.col("_d.results"))).alias("pos", "it")
+    )
+    s = s.select(
+        *base, "pos",
+        F.coalesce(F.col("it.scanner"), F.lit("semgrep")).alias("scanner"),
+        F.coalesce(F.col("it.severity"), F.col("it.extra.severity"), F.lit("WARNING")).alias("severity"),
+        F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
+        F.col("it.extra.message").alias("description"), F.to_json("it").alias("record"),
+    )
+
+    pip_f, _ = pip_audit(raw)  # same parse and failure rule; reshaped to the agent's record
+    p = pip_f.select(
+        "repo", "run_id", "run_date",
+        F.shiftright("ingest_seq", POS_BITS).alias("report_seq"),
+        (F.col("ingest_seq").bitwiseAND(F.lit((1 << POS_BITS) - 1))).alias("pos"),
+        F.lit("pip-audit").alias("scanner"), F.lit("HIGH").alias("severity"),
+        F.get_json_object("raw", "$.package").alias("package"),
+        F.get_json_object("raw", "$.vuln_id").alias("vuln_id"),
+        "description", "raw",
+    ).withColumnRenamed("raw", "record")
+
+    nd = F.from_json("payload", T.StructType([T.StructField("vulnerabilities", T.MapType(S, NPM_INFO)),
+                                              T.StructField("_corrupt", S)]), {"columnNameOfCorruptRecord": "_corrupt"})
+    n = _of(raw, "npm-audit").withColumn("_d", nd)
+    entries = F.array_sort(F.map_entries(F.col("_d.vulnerabilities")))
+    n = n.select(*base, F.posexplode(F.when(F.col("_d._corrupt").isNull(), entries)).alias("pos", "kv"))
+    info = F.col("kv.value")
+    n = n.select(
+        *base, "pos", F.lit("npm-audit").alias("scanner"),
+        F.upper(F.coalesce(info["severity"], F.lit("UNKNOWN"))).alias("severity"),
+        F.col("kv.key").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
+        F.coalesce(info["title"], F.lit("")).alias("description"), F.to_json(info).alias("record"),
+    )
+    parts = [x.select(*[c for c in LEGACY_COLUMNS if c != "source_path"]) for x in (g, s, p, n)]
+    return reduce(DataFrame.unionByName, parts)

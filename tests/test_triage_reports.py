@@ -135,3 +135,37 @@ def test_gate_and_totals(spark):
     assert g["has_critical"] and g["fail"] and g["total"] == 4
     t = agg.run_totals(f).collect()[0]
     assert (t["total_findings"], t["repos"], t["has_critical"]) == (4, 1, True)
+
+
+def _assemble(parts):
+    docs = {}
+    for r in sorted(parts, key=lambda r: (r["repo"], r["k1"], r["k2"], r["k3"], r["k4"])):
+        docs.setdefault(r["repo"], []).append(r["text"])
+    return {k: json.loads("".join(v)) for k, v in docs.items()}
+
+
+def test_sarif_document_parts_assemble(spark):
+    f = make_findings(spark, CANONICAL + [dict(CANONICAL[1], ingest_seq=7, severity="INFO", title="python.other")])
+    scans = spark.createDataFrame([("r",), ("clean",)], "repo string")
+    docs = _assemble(reports.sarif_document_parts(f, scans).collect())
+    d = docs["r"]
+    assert d["version"] == "2.1.0" and [r["tool"]["driver"]["name"] for r in d["runs"]] == [
+        "gitleaks", "npm-audit", "pip-audit", "semgrep"]
+    assert sum(len(r["results"]) for r in d["runs"]) == 5
+    sem = [r for r in d["runs"] if r["tool"]["driver"]["name"] == "semgrep"][0]
+    assert len(sem["tool"]["driver"]["rules"]) == 2 and sem["results"][1]["level"] == "note"
+    gl = [r for r in d["runs"] if r["tool"]["driver"]["name"] == "gitleaks"][0]
+    assert gl["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 42
+    assert docs["clean"]["runs"][0]["results"] == [] and docs["clean"]["runs"][0]["tool"]["driver"]["rules"] == []
+
+
+def test_write_sarif_files_concatenate(spark, tmpdir_path):
+    import glob
+    import gzip
+
+    f = make_findings(spark, CANONICAL)
+    out = os.path.join(tmpdir_path, "sarif")
+    reports.write_sarif(f, out, compress=True)
+    files = sorted(glob.glob(os.path.join(out, "repo=r", "part-*")))
+    text = "".join(gzip.open(p, "rt").read() for p in files)
+    assert len(json.loads(text)["runs"]) == 4
