@@ -144,15 +144,22 @@ def run_deltas(findings: DataFrame, scans: DataFrame, run_col: str = "run_date")
         F.count(F.lit(1)).alias("total"),
         F.count_distinct(F.when(F.col("fingerprint") != "", F.col("fingerprint"))).alias("active"),
     )
-    new = state.groupBy("repo", F.col("first_seen").alias(run_col)).agg(F.count(F.lit(1)).alias("new"))
-    resolved = (
-        state.filter(F.col("resolved_on").isNotNull())
-        .groupBy("repo", F.col("resolved_on").alias(run_col))
-        .agg(F.count(F.lit(1)).alias("resolved"))
-    )
-    out = runs.join(totals, ["repo", run_col], "left").join(new, ["repo", run_col], "left").join(
-        resolved, ["repo", run_col], "left"
+    # one pass over the state: each key contributes a "new" event at first_seen and a
+    # "resolved" event at resolved_on; both counted in a single aggregation
+    events = state.select(
+        "repo",
+        F.explode(
+            F.array(
+                F.struct(F.col("first_seen").alias("run"), F.lit(True).alias("is_new")),
+                F.struct(F.col("resolved_on").alias("run"), F.lit(False).alias("is_new")),
+            )
+        ).alias("ev"),
+    ).filter(F.col("ev.run").isNotNull())
+    deltas = events.groupBy("repo", F.col("ev.run").alias(run_col)).agg(
+        F.count_if(F.col("ev.is_new")).alias("new"),
+        F.count_if(~F.col("ev.is_new")).alias("resolved"),
     )
+    out = runs.join(totals, ["repo", run_col], "left").join(deltas, ["repo", run_col], "left")
     return out.select(
         "repo",
         run_col,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanledger import TOOL_NAME
-from scanledger.functions.severity import REPORTED_SEVERITIES, at_or_above, page_severity, sarif_level
+from scanledger.functions.severity import REPORTED_SEVERITIES, at_or_above, page_severity, sarif_level, severity_rank
 from scanledger.operators.aggregates import severity_counts
 
 # Severity badges of comments; default labels of created issues;
@@ -51,8 +51,9 @@ def csv_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def json_rows(df: DataFrame) -> DataFrame:
+def json_rows(df: DataFrame, with_seq: bool = False) -> DataFrame:
     """Findings of the JSON export: section (lower-case severity) + the 8-field projection. INFO is omitted."""
+    extra = ["ingest_seq"] if with_seq else []
     return _reported(df).select(
         "repo",
         F.lower("severity").alias("section"),
@@ -64,6 +65,7 @@ def json_rows(df: DataFrame) -> DataFrame:
         "line",
         "recommendation",
         "fingerprint",
+        *extra,
     )
 
 
@@ -97,10 +99,24 @@ def text_summary_lines(df: DataFrame, scans: DataFrame | None = None) -> DataFra
     )
 
 
+def _in_report_order(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Within each repo's files: CRITICAL, HIGH, MEDIUM, LOW in turn, arrival order inside a level.
+
+    Range partitioning on (repo, rank, ingest_seq) keeps a large repo spread
+    over many ordered part files instead of one task.
+    """
+    keyed = rows.withColumn("_rank", severity_rank("severity"))
+    keys = ["repo", "_rank", "ingest_seq"]
+    return keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_rank", "ingest_seq")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV per repo directory, header row, null path written as an empty field."""
+    """One CSV per repo directory, header row, null path written as an empty field, report order."""
+    rows = _reported(df).select(*csv_rows(df).columns, "ingest_seq").withColumn(
+        "file_path", F.coalesce(F.col("file_path"), F.lit(""))
+    )
     (
-        csv_rows(df)
+        _in_report_order(rows, df)
         .write.mode("overwrite")
         .partitionBy("repo")
         .option("header", True)
@@ -110,10 +126,22 @@ def export_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def export_store(rows: DataFrame, path: str, fmt: str = "json") -> None:
+    """Store report (all state columns) as JSON Lines or CSV with header; an empty result writes no rows."""
+    w = rows.write.mode("overwrite")
+    if fmt == "json":
+        w.json(path)
+    elif fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+
+
 def export_json(df: DataFrame, path: str, scans: DataFrame | None = None) -> None:
     """JSON Lines per repo: ``summary/`` (one record per repo) and ``findings/`` (one per finding)."""
     json_summaries(df, scans).write.mode("overwrite").partitionBy("repo").json(f"{path}/summary")
-    json_rows(df).write.mode("overwrite").partitionBy("repo").json(f"{path}/findings")
+    rows = _in_report_order(json_rows(df, with_seq=True), df)
+    rows.write.mode("overwrite").partitionBy("repo").json(f"{path}/findings")
 
 
 # --------------------------------------------------------------------------- SARIF
@@ -278,13 +306,22 @@ def digest(df: DataFrame, scans: DataFrame | None, run_date: str, send_on: str =
     )
 
 
-def digest_rows(df: DataFrame) -> DataFrame:
-    """Finding rows of the digest body: severity, title, description cut to 200, recommendation."""
-    return _reported(df).select(
-        "repo", "severity", "fingerprint", "title",
+def digest_rows(df: DataFrame, page_urls: DataFrame | None = None) -> DataFrame:
+    """Finding rows of the digest body: severity, title, description cut to 200, recommendation.
+
+    ``page_urls`` (repo, fingerprint, url) attaches the link of each finding's
+    page by an equi join on the fingerprint -- a positional zip would shift
+    every link after a page that was skipped or failed.
+    """
+    rows = _reported(df).select(
+        "repo", "severity", "fingerprint", "ingest_seq", "title",
         F.substring("description", 1, 200).alias("description"),
         "recommendation",
     )
+    if page_urls is None:
+        return rows.withColumn("page_url", F.lit(None).cast("string"))
+    urls = page_urls.select("repo", "fingerprint", F.col("url").alias("page_url")).dropDuplicates(["repo", "fingerprint"])
+    return rows.join(urls, ["repo", "fingerprint"], "left")
 
 
 # --------------------------------------------------------------------------- issue / page work lists

@@ -169,3 +169,17 @@ def test_write_sarif_files_concatenate(spark, tmpdir_path):
     files = sorted(glob.glob(os.path.join(out, "repo=r", "part-*")))
     text = "".join(gzip.open(p, "rt").read() for p in files)
     assert len(json.loads(text)["runs"]) == 4
+
+
+def test_json_export_and_digest_links(spark, tmpdir_path):
+    f = canon(spark)
+    out = os.path.join(tmpdir_path, "json")
+    reports.export_json(f, out)
+    summ = spark.read.json(os.path.join(out, "summary")).collect()
+    assert summ[0]["raw_count"] == 4 and summ[0]["summary"] == "4 raw findings (triage skipped)"
+    rows = spark.read.json(os.path.join(out, "findings")).collect()
+    assert sorted(r["section"] for r in rows) == ["critical", "high", "high", "medium"]
+    fp = [r["fingerprint"] for r in f.filter("scanner = 'semgrep'").collect()][0]
+    urls = spark.createDataFrame([("r", fp, "https://pages/1")], "repo string, fingerprint string, url string")
+    d = {r["fingerprint"]: r["page_url"] for r in reports.digest_rows(f, urls).collect()}
+    assert d[fp] == "https://pages/1" and sum(v is None for v in d.values()) == 3
