@@ -20,23 +20,27 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     v = F.col("value")
     bucket = F.when(v >= 110, 0).when(v >= 60, 1).when(v >= 30, 2).when(v >= 10, 3).otherwise(4)
-    b = e.select(
+    et = F.col("event_type")
+    scanner = (
+        F.when(et == "error", "gitleaks")
+        .when(et == "click", "semgrep")
+        .when(et == "view", F.when(k % 2 == 0, "trivy").otherwise("checkov"))
+        .when(et == "purchase", F.when(k % 2 == 0, "pip-audit").otherwise("npm-audit"))
+        .otherwise(F.when(k % 2 == 0, "hadolint").otherwise("licenses"))
+    )
+    # The per-event fields are produced by a one-row generator: downstream filters and payload
+    # builders reference its output columns, so the JSON field extraction runs once per event
+    # instead of being inlined into every reference.
+    row = F.struct(
         F.col("event_id").alias("e"),
         k.alias("k"),
         bucket.alias("b"),
         F.concat(F.lit("org/repo-"), F.col("user_id")).alias("repo"),
         F.to_date(F.date_trunc("week", "ts")).alias("run_date"),
-        F.col("event_type"),
-    )
-    et, kk = F.col("event_type"), F.col("k")
-    scanner = (
-        F.when(et == "error", "gitleaks")
-        .when(et == "click", "semgrep")
-        .when(et == "view", F.when(kk % 2 == 0, "trivy").otherwise("checkov"))
-        .when(et == "purchase", F.when(kk % 2 == 0, "pip-audit").otherwise("npm-audit"))
-        .otherwise(F.when(kk % 2 == 0, "hadolint").otherwise("licenses"))
+        et.alias("event_type"),
+        scanner.alias("scanner"),
     )
-    return b.withColumn("scanner", scanner)
+    return e.select(F.inline(F.array(row)))
 
 
 def _pick(b: F.Column, *vals):

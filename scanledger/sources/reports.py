@@ -235,7 +235,7 @@ def npm_audit(raw: DataFrame):
     ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
     m = F.coalesce(F.col("_doc.vulnerabilities"), F.create_map().cast(T.MapType(S, NPM_INFO)))
     status = _status(r, ok, F.size(m))
-    entries = F.array_sort(F.map_entries(m), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    entries = F.array_sort(F.map_entries(m))  # keys are unique: entries sort by key
     e = r.select(
         *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, entries)).alias("pos", "kv")
     )
@@ -350,6 +350,20 @@ def hadolint(raw: DataFrame):
     return f, status
 
 
+def _denied_items(items: F.Column, license_text, denied: list[str]) -> F.Column:
+    """Array of struct(pos, it, lic, deny) for the denied items only, positions from the input array.
+
+    License text and deny match are computed inside the array (two nested
+    transforms) before the explode: a generator's input is evaluated once per
+    row, whereas a filter on a derived column would be re-inlined into the
+    pushed-down predicate for every reference.
+    """
+    with_lic = F.transform(items, lambda x, i: F.struct(i.alias("pos"), x.alias("it"), license_text(x).alias("lic")))
+    checked = F.transform(with_lic, lambda y: F.struct(y["pos"].alias("pos"), y["it"].alias("it"), y["lic"].alias("lic"),
+                                                      first_denied(y["lic"], denied).alias("deny")))
+    return F.filter(checked, lambda z: z["deny"].isNotNull())
+
+
 def licenses(raw: DataFrame, denied: list[str] | None = None):
     """License reports: a Python package list (array) or a Node map "pkg@ver" -> {licenses}.
 
@@ -360,17 +374,17 @@ def licenses(raw: DataFrame, denied: list[str] | None = None):
     denied = DENIED_LICENSES if denied is None else denied
     r = _of(raw, "licenses")
     is_list = F.ltrim(F.col("payload")).startswith("[")
+    keep = [c for c in RAW_COLUMNS if c != "payload"]
 
     py = r.filter(is_list).withColumn("_items", F.from_json("payload", T.ArrayType(PIP_LICENSE_ITEM)))
-    py_ok = F.col("_items").isNotNull()
-    py_status = _status(py, py_ok, F.size("_items"))
-    pit = _explode_items(py, F.col("_items"))
-    lic = F.coalesce(F.col("it.License"), F.lit("UNKNOWN"))
-    pit = pit.withColumn("_lic", lic).withColumn("_deny", first_denied(F.col("_lic"), denied))
-    name = F.coalesce(F.col("it.Name"), F.lit("unknown"))
+    py_status = _status(py, F.col("_items").isNotNull(), F.size("_items"))
+    hits = _denied_items(F.col("_items"), lambda x: F.coalesce(x["License"], F.lit("UNKNOWN")), denied)
+    pit = py.select(*keep, F.explode(hits).alias("h")).select(
+        *keep, F.col("h.pos").alias("pos"), F.col("h.it").alias("it"), F.col("h.lic").alias("_lic")
+    ).withColumn("raw", F.to_json("it"))
     py_f = _finish(
-        pit.filter(F.col("_deny").isNotNull()), "licenses", F.lit("HIGH"),
-        F.format_string("Restricted license: %s (%s)", name, F.col("_lic")),
+        pit, "licenses", F.lit("HIGH"),
+        F.format_string("Restricted license: %s (%s)", F.coalesce(F.col("it.Name"), F.lit("unknown")), F.col("_lic")),
         F.format_string(
             "Package %s v%s uses %s",
             F.coalesce(F.col("it.Name"), F.lit("None")), F.coalesce(F.col("it.Version"), F.lit("None")), F.col("_lic"),
@@ -379,21 +393,23 @@ def licenses(raw: DataFrame, denied: list[str] | None = None):
     )
 
     nd = r.filter(~is_list).withColumn("_m", F.from_json("payload", T.MapType(S, NODE_LICENSE_INFO)))
-    nd_ok = F.col("_m").isNotNull()
-    nd_status = _status(nd, nd_ok, F.size("_m"))
-    entries = F.array_sort(F.map_entries(F.col("_m")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-    ne = nd.select(
-        *[c for c in nd.columns if c not in ("payload", "_m")], F.posexplode(entries).alias("pos", "kv")
-    ).withColumn("it", F.col("kv.value")).withColumn("raw", F.to_json("it"))
-    ltxt = F.coalesce(F.col("it.licenses"), F.lit("UNKNOWN"))
-    as_list = F.from_json(ltxt, T.ArrayType(S))
-    ne = ne.withColumn(
-        "_lic", F.when(F.ltrim(ltxt).startswith("[") & as_list.isNotNull(), F.array_join(as_list, ", ")).otherwise(ltxt)
-    ).withColumn("_deny", first_denied(F.col("_lic"), denied))
+    nd_status = _status(nd, F.col("_m").isNotNull(), F.size("_m"))
+    entries = F.array_sort(F.map_entries(F.col("_m")))
+
+    def node_text(kv):
+        txt = F.coalesce(kv["value"]["licenses"], F.lit("UNKNOWN"))
+        joined = F.when(F.ltrim(txt).startswith("["), F.array_join(F.from_json(txt, T.ArrayType(S)), ", "))
+        return F.coalesce(joined, txt)
+
+    hits = _denied_items(entries, node_text, denied)
+    ne = nd.select(*keep, F.explode(hits).alias("h")).select(
+        *keep, F.col("h.pos").alias("pos"), F.col("h.it.key").alias("pkg"), F.col("h.it.value").alias("it"),
+        F.col("h.lic").alias("_lic"),
+    ).withColumn("raw", F.to_json("it"))
     nd_f = _finish(
-        ne.filter(F.col("_deny").isNotNull()), "licenses", F.lit("HIGH"),
-        F.format_string("Restricted license: %s (%s)", F.col("kv.key"), F.col("_lic")),
-        F.format_string("Package %s uses %s", F.col("kv.key"), F.col("_lic")),
+        ne, "licenses", F.lit("HIGH"),
+        F.format_string("Restricted license: %s (%s)", F.col("pkg"), F.col("_lic")),
+        F.format_string("Package %s uses %s", F.col("pkg"), F.col("_lic")),
         F.lit(None), F.lit(None), F.lit(LICENSE_RECOMMENDATION), _rule(),
     )
     return py_f.unionByName(nd_f), py_status.unionByName(nd_status)
