@@ -102,3 +102,55 @@ class SnapshotStore:
         out.sortWithinPartitions("repo", "fingerprint").write.mode("overwrite").parquet(self.path(v))
         self.spark.createDataFrame([(v, epoch)], "version INT, epoch BIGINT").write.mode("append").parquet(self._commits)
         return v
+
+
+def repo_bucket(n_buckets: int) -> F.Column:
+    """Stable bucket of a repo (hash partition of the state)."""
+    return F.pmod(F.xxhash64("repo"), F.lit(n_buckets)).cast("int")
+
+
+class BucketedStore(SnapshotStore):
+    """Snapshot store whose commits rewrite only the repo buckets a batch touches.
+
+    Layout: ``state/v=<n>/bucket=<b>/``; ``_commits`` holds one row per
+    (version, bucket) written. The current state of bucket ``b`` is its
+    highest committed version, so an incremental batch costs the size of the
+    buckets it touches, not of the whole state. The driver only ever handles
+    the bucket list (at most ``n_buckets`` rows).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 256):
+        super().__init__(spark, root)
+        self.n_buckets = n_buckets
+
+    def _bucket_versions(self, buckets: list[int] | None = None) -> list[tuple[int, int]]:
+        c = self._commit_table()
+        if c is None:
+            return []
+        if buckets is not None:
+            c = c.filter(F.col("bucket").isin(*buckets))
+        rows = c.groupBy("bucket").agg(F.max("version").alias("v")).collect()  # <= n_buckets rows
+        return sorted((r["bucket"], r["v"]) for r in rows)
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        bv = self._bucket_versions(buckets)
+        if not bv:
+            return None
+        paths = [f"{self.path(v)}/bucket={b}" for b, v in bv]
+        return self.spark.read.parquet(*paths)
+
+    def touched_buckets(self, repos: DataFrame) -> list[int]:
+        return sorted(r[0] for r in repos.select(repo_bucket(self.n_buckets)).distinct().collect())
+
+    def commit(self, state: DataFrame, epoch: int | None = None, buckets: list[int] | None = None) -> int:
+        """Write the given buckets' complete new state as version n+1 (all buckets when ``buckets`` is None)."""
+        v = (self.latest_version() or 0) + 1
+        out = state.withColumn("bucket", repo_bucket(self.n_buckets))
+        out = out.repartition("bucket", "repo").sortWithinPartitions("repo", "fingerprint")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(self.path(v))
+        bl = list(range(self.n_buckets)) if buckets is None else buckets
+        rows = [(v, epoch, b) for b in bl]
+        self.spark.createDataFrame(rows, "version INT, epoch BIGINT, bucket INT").write.mode("append").parquet(
+            self._commits
+        )
+        return v

@@ -4,7 +4,7 @@ Structured Streaming file source (JSON Lines, one raw report per line, explicit
 schema) with ``foreachBatch``: each micro-batch is normalised, its runs are
 replayed onto the latest state snapshot with the closed form
 (:func:`merge_runs` -- a batch may hold several runs of one repo), and a new
-snapshot is committed. Commits carry the batch epoch, so a replayed epoch after
+snapshot of the touched repo buckets is committed. Commits carry the batch epoch, so a replayed epoch after
 a failure is skipped (exactly-once state), and the per-batch scan-status / scan
 tables are written to ``epoch=<id>`` directories with overwrite (idempotent).
 State lives on shared storage, so each batch starts from Parquet: no lineage
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.operators.lifecycle import merge_runs
-from scanledger.operators.store import SnapshotStore
+from scanledger.operators.store import BucketedStore
 from scanledger.session import ensure_checkpoint_dir
 from scanledger.sources.reports import normalize
 
@@ -28,17 +28,25 @@ RAW_DDL = (
 )
 
 
-def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, store_root: str) -> int | None:
-    """Normalise one batch of raw reports and fold it into the store. Returns the committed version."""
-    store = SnapshotStore(spark, store_root)
+def process_batch(
+    spark: SparkSession, batch: DataFrame, epoch: int, store_root: str, n_buckets: int = 256
+) -> int | None:
+    """Normalise one batch of raw reports and fold it into the store. Returns the committed version.
+
+    Only the state buckets of the repos in the batch are read and rewritten.
+    """
+    store = BucketedStore(spark, store_root, n_buckets)
     if store.committed_epoch(epoch):
         return None
     findings, status = normalize(batch)
     status.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{store_root}/scan_status/epoch={epoch}")
     scans = batch.select("repo", "run_id", "run_date").distinct()
     scans.write.mode("overwrite").parquet(f"{store_root}/scans/epoch={epoch}")
-    new_state = merge_runs(store.read(), findings, scans)
-    return store.commit(new_state, epoch=epoch)
+    touched = store.touched_buckets(scans.select("repo"))
+    if not touched:
+        return None
+    new_state = merge_runs(store.read(touched), findings, scans)
+    return store.commit(new_state, epoch=epoch, buckets=touched)
 
 
 def ingest_stream(
@@ -48,6 +56,7 @@ def ingest_stream(
     checkpoint_location: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    n_buckets: int = 256,
 ):
     """Start the ingest query; with ``available_now`` it drains the backlog and stops."""
     ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "scanledger-ingest")
@@ -55,7 +64,7 @@ def ingest_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(source_dir)
-    writer = raw.writeStream.foreachBatch(lambda df, epoch: process_batch(spark, df, epoch, store_root)).option(
+    writer = raw.writeStream.foreachBatch(lambda df, epoch: process_batch(spark, df, epoch, store_root, n_buckets)).option(
         "checkpointLocation", ckpt
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

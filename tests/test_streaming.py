@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from scanledger.operators.lifecycle import replay
-from scanledger.operators.store import SnapshotStore
+from scanledger.operators.store import BucketedStore
 from scanledger.sources.reports import normalize
 from scanledger.streaming.ingest import RAW_DDL, ingest_stream
 
@@ -33,9 +33,10 @@ def test_stream_ingest_equals_batch_replay(spark, tmpdir_path):
     ]
     for i, b in enumerate(batches):
         write_lines(src, f"b{i}.json", b)
-        q = ingest_stream(spark, src, store_root, checkpoint_location=ckpt)
+        q = ingest_stream(spark, src, store_root, checkpoint_location=ckpt, n_buckets=4)
         q.awaitTermination(120)
-    state = SnapshotStore(spark, store_root).read()
+    store = BucketedStore(spark, store_root, 4)
+    state = store.read()
     got = {(r["repo"], r["title"]): r["status"] for r in state.collect()}
 
     allraw = spark.read.schema(RAW_DDL).json(src)
@@ -47,7 +48,10 @@ def test_stream_ingest_equals_batch_replay(spark, tmpdir_path):
     assert got[("r2", "Secret detected: x")] == "resolved"
 
     # a replayed epoch is skipped: re-running on the same checkpoint commits nothing new
-    v = SnapshotStore(spark, store_root).latest_version()
-    q = ingest_stream(spark, src, store_root, checkpoint_location=ckpt)
+    v = store.latest_version()
+    q = ingest_stream(spark, src, store_root, checkpoint_location=ckpt, n_buckets=4)
     q.awaitTermination(60)
-    assert SnapshotStore(spark, store_root).latest_version() == v
+    assert store.latest_version() == v
+    # the last batch only touched r1's bucket
+    last = store._commit_table().filter(f"version = {v}").count()
+    assert last == 1
