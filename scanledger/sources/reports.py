@@ -451,7 +451,7 @@ def run_status(scan_status: DataFrame) -> DataFrame:
 
 def read_reports(spark, path: str, repo: str, run_id: str, run_date, scanner: str, report_seq: int = 0) -> DataFrame:
     """One report file (or directory of files) as raw_reports rows: whole file = one payload."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)  # whole file = one report
     return df.select(
         F.lit(repo).alias("repo"), F.lit(run_id).alias("run_id"), F.lit(run_date).cast("date").alias("run_date"),
         F.lit(scanner).alias("scanner"), F.input_file_name().alias("source_path"),
@@ -525,3 +525,8 @@ def legacy_records(raw_reports: DataFrame) -> DataFrame:
     )
     parts = [x.select(*[c for c in LEGACY_COLUMNS if c != "source_path"]) for x in (g, s, p, n)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def stage_reports(raw_reports: DataFrame, path: str) -> None:
+    """Store raw reports partitioned by scanner and run date, so each normaliser reads only its partition."""
+    raw_reports.select(*RAW_COLUMNS).write.mode("append").partitionBy("scanner", "run_date").parquet(path)
