@@ -29,33 +29,45 @@ _FIRST = ["scanner", "file_path", "line"]                          # kept from t
 _LAST = ["severity", "title", "description", "recommendation"]      # refreshed on every sighting
 
 
-def run_numbers(scans: DataFrame, run_col: str = "run_date") -> DataFrame:
-    """Dense run number per repo, the next run, and the repo's run count.
+def _scope_cols(scope: str) -> list[str]:
+    if scope == "repo":
+        return ["repo"]
+    if scope == "scanner":
+        return ["repo", "scanner"]
+    raise ValueError(f"unknown resolution scope {scope!r}")
+
+
+def run_numbers(scans: DataFrame, run_col: str = "run_date", scope: str = "repo") -> DataFrame:
+    """Dense run number per repo (or per repo and scanner), the next run, and the run count.
 
     ``scans`` holds every run, including runs with zero findings (those exist
-    only there). The window is per repo over one row per run -- bounded by the
-    number of runs of a repo, not by findings.
+    only there); with ``scope="scanner"`` it holds the (repo, scanner, run)
+    triples of scanners that ran successfully. The window is over one row per
+    run -- bounded by the number of runs, not by findings.
     """
-    runs = scans.select("repo", run_col).distinct()
-    w = Window.partitionBy("repo").orderBy(run_col)
+    cols = _scope_cols(scope)
+    runs = scans.select(*cols, run_col).distinct()
+    w = Window.partitionBy(*cols).orderBy(run_col)
     return runs.select(
-        "repo",
+        *cols,
         run_col,
         F.row_number().over(w).alias("seq"),
         F.lead(run_col).over(w).alias("next_run"),
-        F.count(F.lit(1)).over(Window.partitionBy("repo")).alias("n_runs"),
+        F.count(F.lit(1)).over(Window.partitionBy(*cols)).alias("n_runs"),
     )
 
 
-def sightings(findings: DataFrame, run_col: str = "run_date") -> DataFrame:
+def sightings(findings: DataFrame, run_col: str = "run_date", scope: str = "repo") -> DataFrame:
     """One row per (repo, fingerprint, run): duplicates inside a run collapse map-side.
 
     First-in-run fields come from the smallest ingest_seq, mutable fields from
     the largest (last sighting wins). Partial aggregation runs before the
     shuffle, so a key repeated millions of times in one run ships one row per
-    map task.
+    map task. (The fingerprint includes the scanner, so adding it to the
+    grouping for ``scope="scanner"`` does not split keys.)
     """
-    return findings.groupBy("repo", "fingerprint", run_col).agg(
+    keys = ["repo", "fingerprint", run_col] + (["scanner"] if scope == "scanner" else [])
+    return findings.groupBy(*keys).agg(
         F.min_by(F.struct(*_FIRST), "ingest_seq").alias("first"),
         F.max_by(F.struct(*_LAST), "ingest_seq").alias("last"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -67,6 +79,8 @@ def replay(
     scans: DataFrame,
     suppressions: DataFrame | None = None,
     run_col: str = "run_date",
+    scope: str = "repo",
+    resolve_reopened: bool = False,
 ) -> DataFrame:
     """Final state of every (repo, fingerprint) after replaying all runs in order.
 
@@ -80,9 +94,16 @@ def replay(
 
     The key was new in run f0 and resolved in run f0 + isl (when that exists).
     Output: STATE_COLUMNS + ``resolved_on`` (run that resolved it, or null).
+
+    Options (both off = as shipped): ``scope="scanner"`` numbers runs per
+    (repo, scanner), so a run resolves only findings of scanners that ran;
+    ``resolve_reopened=True`` lets reopened keys resolve again (status is then
+    open / reopened when seen in the last run, else resolved, and
+    ``resolved_on`` is the latest resolving run).
     """
-    runs = run_numbers(scans, run_col)
-    s = sightings(findings, run_col).join(runs, ["repo", run_col])
+    cols = _scope_cols(scope)
+    runs = run_numbers(scans, run_col, scope)
+    s = sightings(findings, run_col, scope).join(runs, [*cols, run_col])
     w = Window.partitionBy(*KEY).orderBy("seq")
     s = s.withColumn("rn", F.row_number().over(w)).withColumn(
         "f0", F.min("seq").over(Window.partitionBy(*KEY))
@@ -98,12 +119,16 @@ def replay(
         F.min_by("first", "seq").alias("first"),
         F.max_by("last", "seq").alias("last"),
         F.max(F.when(F.col("in_first_island"), F.struct("seq", "next_run"))).alias("island_end"),
+        F.max(F.struct("seq", "next_run")).alias("last_sighting"),
     )
-    status = (
-        F.when(F.col("f0") + F.col("isl") - 1 == F.col("n"), "open")
-        .when(F.col("na") > F.col("isl"), "reopened")
-        .otherwise("resolved")
-    )
+    still_open = F.col("f0") + F.col("isl") - 1 == F.col("n")
+    if resolve_reopened:
+        seen_last = F.col("last_sighting.seq") == F.col("n")
+        status = F.when(still_open, "open").when(seen_last, "reopened").otherwise("resolved")
+        resolved_on = F.col("last_sighting.next_run")
+    else:
+        status = F.when(still_open, "open").when(F.col("na") > F.col("isl"), "reopened").otherwise("resolved")
+        resolved_on = F.col("island_end.next_run")
     state = agg.select(
         *KEY,
         *[F.col(f"first.{c}").alias(c) for c in _FIRST],
@@ -111,7 +136,7 @@ def replay(
         "first_seen",
         "last_seen",
         status.alias("status"),
-        F.col("island_end.next_run").alias("resolved_on"),
+        resolved_on.alias("resolved_on"),
     )
     if suppressions is not None:
         state = apply_suppressions(state, suppressions)
@@ -174,6 +199,8 @@ def merge_batch(
     suppressions: DataFrame | None = None,
     run_col: str = "run_date",
     notify_new_only: bool = True,
+    scope: str = "repo",
+    resolve_reopened: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold one batch (at most one run per repo) into ``state``.
 
@@ -187,17 +214,22 @@ def merge_batch(
       key (``notify_new_only``), or every non-suppressed row.
 
     The batch is aggregated to one row per key before the full outer join, so
-    the join is key-unique on both sides.
+    the join is key-unique on both sides. ``scope`` / ``resolve_reopened`` as in
+    :func:`replay` (``batch_scans`` then carries the scanners that ran).
     """
     if state is None:
         state = batch.sparkSession.createDataFrame([], _state_schema(batch, run_col))
     state = state.select(*STATE_COLUMNS)
-    runs = batch_scans.select("repo", F.col(run_col).alias("batch_run")).distinct()
+    cols = _scope_cols(scope)
+    runs = batch_scans.select(*cols, F.col(run_col).alias("batch_run")).distinct()
+    if scope == "scanner":
+        runs = runs.withColumnRenamed("scanner", "_sc")
 
     b = batch.groupBy(*KEY).agg(
         F.min_by(F.struct(*_FIRST), "ingest_seq").alias("first"),
         F.max_by(F.struct(*_LAST), "ingest_seq").alias("last"),
         F.min("ingest_seq").alias("first_seq"),
+        F.max(run_col).alias("_b_run"),
         F.lit(True).alias("_in_batch"),
     )
     sup_keys = state.filter(F.col("status") == "suppressed").select(*KEY)
@@ -209,7 +241,9 @@ def merge_batch(
         state.withColumn("_in_state", F.lit(True))
         .join(b, KEY, "full_outer")
         .join(sup_keys, KEY, "left")
-        .join(runs, "repo", "left")
+        .withColumn("_sc", F.coalesce(F.col("scanner"), F.col("first.scanner")))
+        .join(runs, ["repo", "_sc"] if scope == "scanner" else ["repo"], "left")
+        .withColumn("batch_run", F.coalesce(F.col("_b_run"), F.col("batch_run")))
     )
     in_state = F.coalesce(F.col("_in_state"), F.lit(False))
     in_batch = F.coalesce(F.col("_in_batch"), F.lit(False))
@@ -227,7 +261,8 @@ def merge_batch(
         .when(in_batch & ~in_state, F.lit("open"))
         .when(in_batch & (F.col("status") == "resolved"), F.lit("reopened"))
         .when(in_batch, F.col("status"))
-        .when((F.col("status") == "open") & F.col("batch_run").isNotNull(), F.lit("resolved"))
+        .when(F.col("status").isin(*(["open", "reopened"] if resolve_reopened else ["open"]))
+              & F.col("batch_run").isNotNull(), F.lit("resolved"))
         .otherwise(F.col("status"))
     )
     touched = in_batch & ~(sup & in_state)

@@ -56,43 +56,58 @@ def _last_run(f: DataFrame):
 
 # --------------------------------------------------------------------------- replay SQL (oracle)
 
-REPLAY_SQL = """
+def _replay_sql(scope: str = "repo", resolve_reopened: bool = False) -> str:
+    part = "repo" if scope == "repo" else "repo, scanner"
+    scans_src = "scans" if scope == "repo" else "(SELECT DISTINCT repo, scanner, run_date FROM findings)"
+    sight_keys = "repo, fingerprint, run_date" + ("" if scope == "repo" else ", scanner")
+    join_on = "s.repo = r.repo AND s.run_date = r.run_date" + ("" if scope == "repo" else " AND s.scanner = r.scanner")
+    if resolve_reopened:
+        status = "CASE WHEN f0 + isl - 1 = n THEN 'open' WHEN lastr.seq = n THEN 'reopened' ELSE 'resolved' END"
+        resolved_on = "lastr.nr"
+    else:
+        status = "CASE WHEN f0 + isl - 1 = n THEN 'open' WHEN na > isl THEN 'reopened' ELSE 'resolved' END"
+        resolved_on = "iend.nr"
+    return f"""
 runs AS (
-  SELECT repo, run_date,
-         row_number() OVER (PARTITION BY repo ORDER BY run_date) AS seq,
-         lead(run_date) OVER (PARTITION BY repo ORDER BY run_date) AS next_run,
-         count(*) OVER (PARTITION BY repo) AS n_runs
-  FROM (SELECT DISTINCT repo, run_date FROM scans)
+  SELECT {part}, run_date,
+         row_number() OVER (PARTITION BY {part} ORDER BY run_date) AS seq,
+         lead(run_date) OVER (PARTITION BY {part} ORDER BY run_date) AS next_run,
+         count(*) OVER (PARTITION BY {part}) AS n_runs
+  FROM (SELECT DISTINCT {part}, run_date FROM {scans_src})
 ),
 sight AS (
-  SELECT repo, fingerprint, run_date,
-         arg_min({'scanner': scanner, 'file_path': file_path, 'line': line}, ingest_seq) AS fst,
-         arg_max({'severity': severity, 'title': title, 'description': description,
-                  'recommendation': recommendation}, ingest_seq) AS lst
-  FROM findings GROUP BY repo, fingerprint, run_date
+  SELECT {sight_keys},
+         arg_min({{'scanner': scanner, 'file_path': file_path, 'line': line}}, ingest_seq) AS fst,
+         arg_max({{'severity': severity, 'title': title, 'description': description,
+                  'recommendation': recommendation}}, ingest_seq) AS lst
+  FROM findings GROUP BY {sight_keys}
 ),
 isl AS (
-  SELECT s.*, r.seq, r.next_run, r.n_runs,
+  SELECT s.repo, s.fingerprint, s.run_date, s.fst, s.lst, r.seq, r.next_run, r.n_runs,
          r.seq - row_number() OVER (PARTITION BY s.repo, s.fingerprint ORDER BY r.seq) + 1
            = min(r.seq) OVER (PARTITION BY s.repo, s.fingerprint) AS in_isl
-  FROM sight s JOIN runs r ON s.repo = r.repo AND s.run_date = r.run_date
+  FROM sight s JOIN runs r ON {join_on}
 ),
 keyagg AS (
   SELECT repo, fingerprint, min(seq) AS f0, count(*) FILTER (WHERE in_isl) AS isl, count(*) AS na,
          max(n_runs) AS n, min(run_date) AS first_seen, max(run_date) AS last_seen,
          arg_min(fst, seq) AS fst, arg_max(lst, seq) AS lst,
-         arg_max({'nr': next_run}, seq) FILTER (WHERE in_isl) AS iend
+         arg_max({{'nr': next_run}}, seq) FILTER (WHERE in_isl) AS iend,
+         arg_max({{'seq': seq, 'nr': next_run}}, seq) AS lastr
   FROM isl GROUP BY repo, fingerprint
 ),
 state AS (
   SELECT repo, fingerprint, fst.scanner AS scanner, lst.severity AS severity, lst.title AS title,
          lst.description AS description, fst.file_path AS file_path, fst.line AS line,
          lst.recommendation AS recommendation, first_seen, last_seen,
-         CASE WHEN f0 + isl - 1 = n THEN 'open' WHEN na > isl THEN 'reopened' ELSE 'resolved' END AS status,
-         iend.nr AS resolved_on
+         {status} AS status,
+         {resolved_on} AS resolved_on
   FROM keyagg
 )"""
 
+
+REPLAY_SQL = _replay_sql()
+
 STATE_COLS = (
     "repo, fingerprint, scanner, severity, title, description, file_path, line, recommendation, "
     "first_seen, last_seen, status"
@@ -955,3 +970,36 @@ SELECT repo, k1, k2, k3, k4, text FROM parts""",
 def q_sarif_parts(spark, sf_dir):
     f = _ev(spark, sf_dir)
     return reports.sarif_document_parts(f, fx.events_scans(f))
+
+
+# --------------------------------------------------------------------------- lifecycle options (decisions 2, 3)
+
+
+@register(
+    "lifecycle_replay_resolve_reopened",
+    with_events(_replay_sql(resolve_reopened=True)) + f"SELECT {STATE_COLS}, resolved_on FROM state",
+)
+def q_replay_resolve_reopened(spark, sf_dir):
+    f = _ev(spark, sf_dir)
+    return lc.replay(f, fx.events_scans(f), resolve_reopened=True)
+
+
+@register(
+    "lifecycle_replay_scanner_scope",
+    with_events(_replay_sql(scope="scanner")) + f"SELECT {STATE_COLS}, resolved_on FROM state",
+)
+def q_replay_scanner_scope(spark, sf_dir):
+    """A run resolves only findings of scanners that ran in it (here: scanners with findings in the run)."""
+    f = _ev(spark, sf_dir)
+    return lc.replay(f, f.select("repo", "scanner", "run_date").distinct(), scope="scanner")
+
+
+@register("lifecycle_merge_runs_incremental", with_events(REPLAY_SQL) + f"SELECT {STATE_COLS} FROM state")
+def q_merge_runs(spark, sf_dir):
+    """Replay of the runs before the fixture's mid date, then the later runs merged onto it (= full replay)."""
+    f = _ev(spark, sf_dir)
+    mid = f.select(F.date_add(F.min("run_date"), 14)).scalar()
+    pre = f.filter(F.col("run_date") < mid)
+    post = f.filter(F.col("run_date") >= mid)
+    state0 = lc.replay(pre, fx.events_scans(pre)).drop("resolved_on")
+    return lc.merge_runs(state0, post, fx.events_scans(post))

@@ -15,11 +15,12 @@ def day(i):
     return D0 + dt.timedelta(days=7 * i)
 
 
-def simulate(runs):
+def simulate(runs, resolve_reopened=False):
     """runs: list of (repo, date, [(fp_title, severity, desc), ...]) -> {(repo, title): row}.
 
     Mirrors the original per-finding upsert + mark-resolved loop, one run at a time.
     """
+    resolvable = ("open", "reopened") if resolve_reopened else ("open",)
     store = {}
     for repo, date, fs in sorted(runs, key=lambda r: (r[0], r[1])):
         active = set()
@@ -34,7 +35,7 @@ def simulate(runs):
             else:
                 store[key] = dict(first_seen=date, last_seen=date, severity=sev, description=desc, status="open")
         for (r, t), row in store.items():
-            if r == repo and row["status"] == "open" and t not in active:
+            if r == repo and row["status"] in resolvable and t not in active:
                 row["status"] = "resolved"
     return store
 
@@ -180,3 +181,34 @@ def test_merge_runs_onto_prefix_equals_full_replay(spark):
         pre = lc.replay(findings.filter(F.col("run_date") < c), scans.filter(F.col("run_date") < c)).drop("resolved_on")
         post = lc.merge_runs(pre, findings.filter(F.col("run_date") >= c), scans.filter(F.col("run_date") >= c))
         assert state_dict(post) == full, cut
+
+
+def test_resolve_reopened_option(spark):
+    runs = random_histories(n_hist=30, seed=5)
+    findings, scans = to_frames(spark, runs)
+    assert state_dict(lc.replay(findings, scans, resolve_reopened=True)) == simulate(runs, resolve_reopened=True)
+    state = None
+    for i in sorted({d for _, d, _ in runs}):
+        state, _ = lc.merge_batch(state, findings.filter(F.col("run_date") == F.lit(i)),
+                                  scans.filter(F.col("run_date") == F.lit(i)), resolve_reopened=True)
+        state = state.checkpoint()
+    assert state_dict(state) == simulate(runs, resolve_reopened=True)
+
+
+def test_scanner_scope_only_resolves_scanners_that_ran(spark):
+    # run 2 only ran semgrep: the gitleaks finding must stay open under scope="scanner"
+    rows = [dict(repo="r", run_date=day(0), ingest_seq=1, scanner="gitleaks", severity="CRITICAL", title="k"),
+            dict(repo="r", run_date=day(0), ingest_seq=2, scanner="semgrep", severity="LOW", title="s"),
+            dict(repo="r", run_date=day(1), ingest_seq=3, scanner="semgrep", severity="LOW", title="s2")]
+    f = make_findings(spark, rows)
+    scans = spark.createDataFrame([("r", "gitleaks", day(0)), ("r", "semgrep", day(0)), ("r", "semgrep", day(1))],
+                                  "repo string, scanner string, run_date date")
+    per_scanner = {r["title"]: r["status"] for r in lc.replay(f, scans, scope="scanner").collect()}
+    assert per_scanner == {"k": "open", "s": "resolved", "s2": "open"}
+    per_repo = {r["title"]: r["status"] for r in lc.replay(f, scans.select("repo", "run_date")).collect()}
+    assert per_repo == {"k": "resolved", "s": "resolved", "s2": "open"}
+    s0, _ = lc.merge_batch(None, f.filter(F.col("run_date") == F.lit(day(0))), scans.filter(F.col("run_date") == F.lit(day(0))),
+                           scope="scanner")
+    s1, _ = lc.merge_batch(s0, f.filter(F.col("run_date") == F.lit(day(1))), scans.filter(F.col("run_date") == F.lit(day(1))),
+                           scope="scanner")
+    assert {r["title"]: r["status"] for r in s1.collect()} == per_scanner
