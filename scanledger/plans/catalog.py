@@ -1003,3 +1003,65 @@ def q_merge_runs(spark, sf_dir):
     post = f.filter(F.col("run_date") >= mid)
     state0 = lc.replay(pre, fx.events_scans(pre)).drop("resolved_on")
     return lc.merge_runs(state0, post, fx.events_scans(post))
+
+
+# --------------------------------------------------------------------------- more report outputs (K1, K7, K9, G6)
+
+
+@register(
+    "json_export_summaries",
+    with_events(_COUNTS_SQL)
+    + """
+SELECT repo, CASE WHEN total = 0 THEN 'No findings detected.' ELSE concat(total, ' raw findings (triage skipped)') END
+  AS summary, total AS raw_count, total AS triaged_count FROM cnt""",
+)
+def q_json_summaries(spark, sf_dir):
+    f = _ev(spark, sf_dir)
+    return reports.json_summaries(f, fx.events_scans(f))
+
+
+@register(
+    "text_summary_lines",
+    with_events(_COUNTS_SQL)
+    + """
+SELECT repo, concat('  CRITICAL: ', critical, '  HIGH: ', high, '  MEDIUM: ', medium, '  LOW: ', low, '  Total: ', total)
+  AS line FROM cnt""",
+)
+def q_text_lines(spark, sf_dir):
+    f = _ev(spark, sf_dir)
+    return reports.text_summary_lines(f, fx.events_scans(f))
+
+
+@register(
+    "digest_rows",
+    with_events(EXISTING_PAGES_SQL)
+    + """
+SELECT f.repo, f.severity, f.fingerprint, f.ingest_seq, f.title, substr(f.description, 1, 200) AS description,
+  f.recommendation, CASE WHEN p.fingerprint IS NOT NULL THEN concat('https://pages.example/', f.fingerprint) END AS page_url
+FROM findings f LEFT JOIN existing_pages p ON f.repo = p.repo AND f.fingerprint = p.fingerprint
+WHERE f.severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')""",
+)
+def q_digest_rows(spark, sf_dir):
+    """Digest body rows with the page link of each finding joined by fingerprint."""
+    f = _ev(spark, sf_dir)
+    pages = fx.existing_pages_fixture(f).withColumn("url", F.concat(F.lit("https://pages.example/"), F.col("fingerprint")))
+    return reports.digest_rows(f, pages)
+
+
+@register(
+    "scanner_report_counts",
+    "WITH "
+    + rf._EVK.strip()
+    + ",\n"
+    + rf._PARTS.strip()
+    + """
+, fc AS (SELECT repo, scanner, count(*) AS n_findings FROM nf GROUP BY repo, scanner),
+sc AS (SELECT repo, scanner, count(*) FILTER (WHERE corrupt) AS n_errors, count(*) AS n_reports FROM ev
+       GROUP BY repo, scanner)
+SELECT coalesce(fc.repo, sc.repo) AS repo, coalesce(fc.scanner, sc.scanner) AS scanner,
+  coalesce(n_findings, 0) AS n_findings, coalesce(n_errors, 0) AS n_errors, coalesce(n_reports, 0) AS n_reports
+FROM fc FULL OUTER JOIN sc ON fc.repo = sc.repo AND fc.scanner = sc.scanner""",
+)
+def q_scanner_report_counts(spark, sf_dir):
+    findings, status = _normalized(spark, sf_dir)
+    return agg.scanner_counts(findings, status)
