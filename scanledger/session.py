@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     # shuffle output of a side is below this; nothing is broadcast on a guess.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Parquet is compressed on disk: inflate file-size estimates so the static broadcast
+    # threshold is compared with something closer to the in-memory size.
+    "spark.sql.sources.fileCompressionFactor": "3.0",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
