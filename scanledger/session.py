@@ -38,6 +38,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster; the 1 GB default heap thrashes the GC
+        builder = builder.config("spark.driver.memory", os.environ.get("SCANLEDGER_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -95,3 +95,22 @@ def test_scope_suppress_new_only_source_filter(spark):
     assert filters.source_filter(f, severities=["critical", "high"]).count() == 3
     assert filters.source_filter(f, exclude_paths=[r"^config\."]).count() == 3
     assert filters.select_scanners(f, ["semgrep", "trivy"]).count() == 1
+
+
+def test_read_org_listing_pages(spark, tmpdir_path):
+    import json
+
+    d = os.path.join(tmpdir_path, "org")
+    os.makedirs(d)
+    pages = [
+        [{"full_name": "org/a", "name": "a", "clone_url": "https://h/org/a.git", "fork": False, "archived": False},
+         {"full_name": "org/b", "name": "b", "clone_url": "https://h/org/b.git", "fork": True, "archived": False}],
+        [{"full_name": "org/c", "name": "c", "clone_url": "https://h/org/c.git", "fork": False, "archived": True},
+         {"full_name": "org/d", "name": "d", "clone_url": "https://h/org/d.git"}],
+    ]
+    for i, p in enumerate(pages):
+        with open(os.path.join(d, f"page{i}.json"), "w") as fh:
+            json.dump(p, fh, indent=2)
+    listing = tg.read_org_listing(spark, d)
+    out = sorted((r["name"], r["url"], r["owner"]) for r in tg.filter_repos(listing, org="org").collect())
+    assert out == [("org/a", "https://h/org/a.git", "org"), ("org/d", "https://h/org/d.git", "org")]
