@@ -62,9 +62,10 @@ PIP_DEP = T.StructType(
         ),
     ]
 )
+V = T.VariantType()  # keeps the JSON type of fields whose meaning depends on it
 NPM_INFO = T.StructType(
     [T.StructField("severity", S), T.StructField("title", S), T.StructField("via", T.ArrayType(S)),
-     T.StructField("fixAvailable", S)]
+     T.StructField("fixAvailable", V)]
 )
 TRIVY_VULN = T.StructType(
     [T.StructField(k, S) for k in ("VulnerabilityID", "PkgName", "Severity", "Title", "InstalledVersion", "FixedVersion")]
@@ -72,7 +73,8 @@ TRIVY_VULN = T.StructType(
 )
 TRIVY_RESULT = T.StructType([T.StructField("Target", S), T.StructField("Vulnerabilities", T.ArrayType(TRIVY_VULN))])
 CHECKOV_CHECK = T.StructType(
-    [T.StructField(k, S) for k in ("check_name", "severity", "file_path", "guideline")]
+    [T.StructField(k, S) for k in ("check_name", "file_path", "guideline")]
+    + [T.StructField("severity", V)]
     + [T.StructField("file_line_range", T.ArrayType(I))]
     + RULE_KEY_FIELDS
 )
@@ -92,8 +94,34 @@ HADOLINT_LEVELS = {"error": "HIGH", "warning": "MEDIUM", "info": "LOW", "style":
 NO_FIX = "No fix available yet"
 NPM_FIX = "Run `npm audit fix`"
 NPM_MANUAL = "Manual review required"
-# JSON texts that are falsy in the producing tool (false, empty object/list/string, zero).
-FALSY_JSON = ["false", "{}", "[]", "", "0", "0.0", "null"]
+
+
+def json_truthy(v: F.Column) -> F.Column:
+    """Truthiness of a JSON value as the producing tool's language sees it.
+
+    Falsy: absent, null, false, 0, "", {} and []. Anything else -- including the
+    string "false" -- is truthy. The value is a VARIANT, so its JSON type is known.
+    """
+    t = F.schema_of_variant(v)
+    as_text = F.to_json(v)
+    return (
+        F.when(v.isNull() | (t == "VOID"), F.lit(False))
+        .when(t == "BOOLEAN", F.variant_get(v, "$", "boolean"))
+        .when(t == "STRING", F.length(F.variant_get(v, "$", "string")) > 0)
+        .when(t.startswith("OBJECT"), as_text != "{}")
+        .when(t.startswith("ARRAY"), as_text != "[]")
+        .otherwise(F.variant_get(v, "$", "double") != 0)
+    )
+
+
+def json_string(v: F.Column) -> F.Column:
+    """The value when it is a JSON string, else null (numbers, booleans, objects are not strings)."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
+
+
+def _by_key(entries: F.Column) -> F.Column:
+    """Map entries ordered by key (keys are unique; values may hold unorderable VARIANTs)."""
+    return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 
 
 def _rule(item: str = "it") -> F.Column:
@@ -235,13 +263,12 @@ def npm_audit(raw: DataFrame):
     ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
     m = F.coalesce(F.col("_doc.vulnerabilities"), F.create_map().cast(T.MapType(S, NPM_INFO)))
     status = _status(r, ok, F.size(m))
-    entries = F.array_sort(F.map_entries(m))  # keys are unique: entries sort by key
+    entries = _by_key(F.map_entries(m))
     e = r.select(
         *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, entries)).alias("pos", "kv")
     )
     info = F.col("kv.value")
-    fa = F.trim(info["fixAvailable"])
-    fix_truthy = fa.isNotNull() & ~fa.isin(*FALSY_JSON)
+    fix_truthy = json_truthy(info["fixAvailable"])
     raw_obj = F.to_json(
         F.struct(
             F.col("kv.key").alias("package"),
@@ -318,7 +345,9 @@ def checkov(raw: DataFrame):
     )
     status = _status(r, ok, F.size(checks))
     it = _explode_items(r, checks)
-    sev = F.when(F.col("it.severity").isNull(), F.lit("MEDIUM")).otherwise(severity_parse(F.upper(F.col("it.severity"))))
+    # only a JSON string is upper-cased and parsed; absent, null or non-string -> MEDIUM
+    sev_text = json_string(F.col("it.severity"))
+    sev = F.when(sev_text.isNull(), F.lit("MEDIUM")).otherwise(severity_parse(F.upper(sev_text)))
     f = _finish(
         it, "checkov", sev,
         F.concat(F.coalesce(F.col("it.check_id"), F.lit("")), F.lit(": "), F.coalesce(F.col("it.check_name"), F.lit("unknown"))),
@@ -514,7 +543,7 @@ def legacy_records(raw_reports: DataFrame) -> DataFrame:
     nd = F.from_json("payload", T.StructType([T.StructField("vulnerabilities", T.MapType(S, NPM_INFO)),
                                               T.StructField("_corrupt", S)]), {"columnNameOfCorruptRecord": "_corrupt"})
     n = _of(raw, "npm-audit").withColumn("_d", nd)
-    entries = F.array_sort(F.map_entries(F.col("_d.vulnerabilities")))
+    entries = _by_key(F.map_entries(F.col("_d.vulnerabilities")))
     n = n.select(*base, F.posexplode(F.when(F.col("_d._corrupt").isNull(), entries)).alias("pos", "kv"))
     info = F.col("kv.value")
     n = n.select(
