@@ -41,3 +41,40 @@ def test_invariants_on_events(spark):
     assert total_new == st.count()  # every key is new exactly once
     resolved = d.agg(F.sum("resolved")).first()[0]
     assert resolved == st.filter(F.col("resolved_on").isNotNull()).count()
+
+
+def test_fingerprint_never_empty_even_for_bare_items(spark):
+    import datetime as dt
+
+    rows = [("r", "1", dt.date(2024, 1, 1), "gitleaks", "g", 1, "[{}]"), ("r", "1", dt.date(2024, 1, 1), "semgrep", "s", 2,
+            '{"results": [{}]}'), ("r", "1", dt.date(2024, 1, 1), "hadolint", "Dockerfile", 3, "[{}]")]
+    raw = spark.createDataFrame(rows, "repo string, run_id string, run_date date, scanner string, source_path string, "
+                                      "report_seq bigint, payload string")
+    f, _ = normalize(raw, scanners=["gitleaks", "semgrep", "hadolint"])
+    fps = [r["fingerprint"] for r in f.collect()]
+    assert len(fps) == 3 and all(fp and len(fp) == 16 for fp in fps)
+
+
+def test_store_query_pushes_filters_to_snapshot(spark, tmpdir_path):
+    from scanledger.operators.store import SnapshotStore, query_findings
+    from scanledger.sources import fixtures as fx
+
+    f = fx.events_findings(spark, "/root/testdata/sf0.001")
+    state = lc.replay(f, fx.events_scans(f)).drop("resolved_on")
+    store = SnapshotStore(spark, os.path.join(tmpdir_path, "store"), partitions=4)
+    v = store.commit(state)
+    assert store.latest_version() == v == 1
+    q = query_findings(store.read(), repo="org/repo-1", severity="critical", status="open")
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain("formatted")
+    plan = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PushedFilters")][0]
+    for pred in ("EqualTo(repo,org/repo-1)", "EqualTo(severity,CRITICAL)", "EqualTo(status,open)"):
+        assert pred in plan, pred
+    expect = state.filter("repo = 'org/repo-1' AND severity = 'CRITICAL' AND status = 'open'").count()
+    assert q.count() == expect
+    v2 = store.commit(state.filter("status = 'open'"))
+    assert v2 == 2 and store.read().count() == state.filter("status = 'open'").count()
