@@ -38,15 +38,23 @@ def process_batch(
     store = BucketedStore(spark, store_root, n_buckets)
     if store.committed_epoch(epoch):
         return None
-    findings, status = normalize(batch)
-    status.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{store_root}/scan_status/epoch={epoch}")
-    scans = batch.select("repo", "run_id", "run_date").distinct()
-    scans.write.mode("overwrite").parquet(f"{store_root}/scans/epoch={epoch}")
-    touched = store.touched_buckets(scans.select("repo"))
-    if not touched:
-        return None
-    new_state = merge_runs(store.read(touched), findings, scans)
-    return store.commit(new_state, epoch=epoch, buckets=touched)
+    # two actions below (status write, state merge): parse the micro-batch once; a lost
+    # executor only means recomputing from the source files
+    batch = batch.persist()
+    try:
+        findings, status = normalize(batch)
+        status.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(
+            f"{store_root}/scan_status/epoch={epoch}"
+        )
+        scans = batch.select("repo", "run_id", "run_date").distinct()
+        scans.write.mode("overwrite").parquet(f"{store_root}/scans/epoch={epoch}")
+        touched = store.touched_buckets(scans.select("repo"))
+        if not touched:
+            return None
+        new_state = merge_runs(store.read(touched), findings, scans)
+        return store.commit(new_state, epoch=epoch, buckets=touched)
+    finally:
+        batch.unpersist()
 
 
 def ingest_stream(
