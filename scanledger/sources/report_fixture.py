@@ -57,7 +57,6 @@ def _s(c) -> F.Column:
 def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _base(spark, sf_dir)
     e, k, b = F.col("e"), F.col("k"), F.col("b")
-    none = F.lit(None).cast("string")
 
     gl_item = lambda line: F.struct(
         F.when(k % 10 != 9, F.concat(F.lit("rule-"), _s(k % 10))).alias("RuleID"),
@@ -196,7 +195,6 @@ def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 payload.alias("payload"),
             )
         )
-    del none
     out = branches[0]
     for b_ in branches[1:]:
         out = out.unionByName(b_)
