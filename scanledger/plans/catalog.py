@@ -1065,3 +1065,54 @@ FROM fc FULL OUTER JOIN sc ON fc.repo = sc.repo AND fc.scanner = sc.scanner""",
 def q_scanner_report_counts(spark, sf_dir):
     findings, status = _normalized(spark, sf_dir)
     return agg.scanner_counts(findings, status)
+
+
+# --------------------------------------------------------------------------- triage responses round trip (T2, T3, P12)
+
+
+def triage_responses_fixture(findings: DataFrame) -> DataFrame:
+    """Model-style responses derived from the rule-based triage: one JSON object per rule group.
+
+    Every third group's response is wrapped in a code fence; all responses of repos whose number ends in 0 are
+    not JSON (those repos must fall back to passthrough).
+    """
+    rt = triage.rule_triage(findings)
+    item = F.array(F.struct(
+        F.col("title"), F.col("detail"), F.col("recommendation"), F.col("scanner"),
+    ))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("Rule "), F.col("rule"), F.lit(" x"), F.col("occurrences")).alias("summary"),
+        *[F.when(F.col("severity") == s, item).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
+    ))
+    fenced = F.when(F.length(F.col("rule")) % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    broken = F.col("repo").endswith("0")
+    return rt.select("repo", F.when(broken, F.lit("not json")).otherwise(fenced).alias("response"))
+
+
+@register(
+    "triage_response_parse",
+    with_events()
+    + """
+, k AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3
+          ELSE 4 END AS rnk FROM findings),
+g AS (SELECT repo, scanner, coalesce(rule_id, title) AS rule, min(rnk) AS rnk, count(*) AS occurrences,
+        arg_min({'title': title, 'description': description, 'recommendation': recommendation}, ingest_seq) AS f
+      FROM k GROUP BY repo, scanner, coalesce(rule_id, title)),
+t AS (SELECT repo, scanner, rule, occurrences, f,
+        CASE WHEN scanner = 'gitleaks' THEN 'CRITICAL' ELSE ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][rnk + 1] END
+          AS severity FROM g),
+ok AS (
+  SELECT repo, severity, scanner, f.title AS title, substr(f.description, 1, 200) AS description,
+    f.recommendation AS recommendation, concat('Rule ', rule, ' x', occurrences) AS summary,
+    substr(sha256(concat_ws('|', scanner, f.title, '', '')), 1, 16) AS fingerprint, true AS triaged
+  FROM t WHERE NOT ends_with(repo, '0') AND severity <> 'INFO'),
+tot AS (SELECT repo, count(*) AS n FROM findings GROUP BY repo),
+fb AS (
+  SELECT f.repo, f.severity, f.scanner, f.title, f.description, f.recommendation,
+    concat(tot.n, ' raw findings (triage skipped)') AS summary, f.fingerprint, false AS triaged
+  FROM findings f JOIN tot ON f.repo = tot.repo WHERE ends_with(f.repo, '0'))
+SELECT * FROM ok UNION ALL SELECT * FROM fb""",
+)
+def q_triage_response_parse(spark, sf_dir):
+    f = _ev(spark, sf_dir)
+    return triage.parse_triage(triage_responses_fixture(f), f)
