@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.functions.fingerprint import fingerprint
+from scanledger.functions import week_start
 from scanledger.session import read_table
 
 FINDING_COLUMNS = [
@@ -36,7 +37,7 @@ def events_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = e.select(
         F.concat(F.lit("org/repo-"), F.col("user_id")).alias("repo"),
-        F.to_date(F.date_trunc("week", "ts")).alias("run_date"),
+        week_start("ts").alias("run_date"),
         F.col("event_id").alias("ingest_seq"),
         scanner.alias("scanner"),
         severity.alias("severity"),

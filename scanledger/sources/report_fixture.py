@@ -12,11 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanledger.functions import week_start
 from scanledger.session import read_table
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+# event type each tool's reports come from (None: every other type, including null)
+_EVENT_OF = {"gitleaks": "error", "semgrep": "click", "trivy": "view", "checkov": "view",
+             "pip-audit": "purchase", "npm-audit": "purchase", "hadolint": None, "licenses": None}
+
+
+def _base(spark: SparkSession, sf_dir: str, tool: str | None = None) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    if tool is not None:
+        # a plain column predicate on the scan (pushed to Parquet) before any per-event work
+        et0 = _EVENT_OF[tool]
+        named = [v for v in _EVENT_OF.values() if v]
+        e = e.filter(F.col("event_type") == et0) if et0 else e.filter(
+            F.col("event_type").isNull() | ~F.col("event_type").isin(*named)
+        )
     k = F.get_json_object("props", "$.k").cast("int")
     v = F.col("value")
     bucket = F.when(v >= 110, 0).when(v >= 60, 1).when(v >= 30, 2).when(v >= 10, 3).otherwise(4)
@@ -36,7 +49,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("k"),
         bucket.alias("b"),
         F.concat(F.lit("org/repo-"), F.col("user_id")).alias("repo"),
-        F.to_date(F.date_trunc("week", "ts")).alias("run_date"),
+        week_start("ts").alias("run_date"),
         et.alias("event_type"),
         scanner.alias("scanner"),
     )
@@ -55,7 +68,6 @@ def _s(c) -> F.Column:
 
 
 def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _base(spark, sf_dir)
     e, k, b = F.col("e"), F.col("k"), F.col("b")
 
     gl_item = lambda line: F.struct(
@@ -178,7 +190,7 @@ def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # tool only builds and parses its own reports.
     branches = []
     for name, body in payloads.items():
-        mine = ev.filter(F.col("scanner") == name)
+        mine = _base(spark, sf_dir, name).filter(F.col("scanner") == name)
         payload = F.when(e % 97 == 0, F.lit("not json {")).otherwise(body)
         if name == "hadolint":
             source = F.when(k % 3 == 0, F.lit("Dockerfile")).otherwise(F.lit("docker/Dockerfile.dev"))
