@@ -96,10 +96,11 @@ class SnapshotStore:
         in between rewrites the same (never visible) version directory.
         """
         v = (self.latest_version() or 0) + 1
-        out = state
-        if self.partitions:
-            out = out.repartition(self.partitions, "repo", "fingerprint")
-        out.sortWithinPartitions("repo", "fingerprint").write.mode("overwrite").parquet(self.path(v))
+        # range partitioning: each file holds a narrow (repo, fingerprint) range (tight row-group
+        # statistics for repo filters) and a repo with a huge share of keys spans many tasks
+        keys = ["repo", "fingerprint"]
+        out = state.repartitionByRange(self.partitions, *keys) if self.partitions else state.repartitionByRange(*keys)
+        out.sortWithinPartitions(*keys).write.mode("overwrite").parquet(self.path(v))
         self.spark.createDataFrame([(v, epoch)], "version INT, epoch BIGINT").write.mode("append").parquet(self._commits)
         return v
 
@@ -146,7 +147,8 @@ class BucketedStore(SnapshotStore):
         """Write the given buckets' complete new state as version n+1 (all buckets when ``buckets`` is None)."""
         v = (self.latest_version() or 0) + 1
         out = state.withColumn("bucket", repo_bucket(self.n_buckets))
-        out = out.repartition("bucket", "repo").sortWithinPartitions("repo", "fingerprint")
+        keys = ["bucket", "repo", "fingerprint"]
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)  # hot repos span several tasks
         out.write.mode("overwrite").partitionBy("bucket").parquet(self.path(v))
         bl = list(range(self.n_buckets)) if buckets is None else buckets
         rows = [(v, epoch, b) for b in bl]
