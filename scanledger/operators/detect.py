@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 from scanledger.functions.fingerprint import fingerprint
 
-# Default secret rules (rule id, Java/RE2-compatible regex).
+# Default secret rules (rule id, Java/RE2-compatible regex, literal every match contains).
 SECRET_RULES = [
-    ("hex-token", r'token = "[0-9a-f]{40}"'),
-    ("aws-access-key", r"AKIA[0-9A-Z]{16}"),
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("github-pat", r"ghp_[A-Za-z0-9]{36}"),
-    ("slack-token", r"xox[baprs]-[0-9A-Za-z-]{10,}"),
+    ("hex-token", r'token = "[0-9a-f]{40}"', 'token = "'),
+    ("aws-access-key", r"AKIA[0-9A-Z]{16}", "AKIA"),
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN "),
+    ("github-pat", r"ghp_[A-Za-z0-9]{36}", "ghp_"),
+    ("slack-token", r"xox[baprs]-[0-9A-Za-z-]{10,}", "xox"),
 ]
 # The same rules as they appear inside HTML, where quotes are entity-encoded.
-HTML_SECRET_RULES = [(rid, rx.replace('"', "&quot;")) for rid, rx in SECRET_RULES]
+HTML_SECRET_RULES = [(rid, rx.replace('"', "&quot;"), lit.replace('"', "&quot;")) for rid, rx, lit in SECRET_RULES]
 
 # License line detector and line -> SPDX id rules (first match wins).
 LICENSE_LINE = r"(?i)licen[sc]e"
+LICENSE_LITERAL = "licen"  # every match of LICENSE_LINE contains it once lower-cased
 SPDX_RULES = [
     ("Apache-2.0", r"(?i)apache license,? version 2\.0|apache-2\.0"),
     ("MIT", r"(?i)\bmit license\b"),
@@ -41,19 +42,30 @@ LICENSE_RECOMMENDATION = "Replace with a permissively-licensed alternative or ob
 
 
 def _any_of(rules) -> str:
-    return "|".join(f"(?:{rx})" for _, rx in rules)
+    return "|".join(f"(?:{r[1]})" for r in rules)
 
 
-def text_lines(df: DataFrame, id_col: str, text_col: str, prefilter: str | None = None) -> DataFrame:
+def _has_any_literal(c: F.Column, rules) -> F.Column:
+    """Exact, cheap prefilter: every match of a rule contains its literal (plain substring search)."""
+    if any(len(r) < 3 or not r[2] for r in rules):
+        return F.lit(True)  # a rule without a literal: no prefilter possible
+    out = F.lit(False)
+    for r in rules:
+        out = out | F.contains(c, F.lit(r[2]))
+    return out
+
+
+def text_lines(df: DataFrame, id_col: str, text_col: str, prefilter=None) -> DataFrame:
     """(id, line_no, line) for every line of every text (1-based, split on newline).
 
-    With ``prefilter`` only texts matching it are split: one regex pass over the
-    whole text replaces an explode of all lines for texts that cannot match.
+    With ``prefilter`` (a regex, or a boolean Column over the text) only texts
+    passing it are split: one pass over the whole text replaces an explode of
+    all lines for texts that cannot match.
     Whole texts are always processed, never prefixes.
     """
     src = df.select(id_col, text_col)
-    if prefilter:
-        src = src.filter(F.col(text_col).rlike(prefilter))
+    if prefilter is not None:
+        src = src.filter(F.col(text_col).rlike(prefilter) if isinstance(prefilter, str) else prefilter)
     return src.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).select(
         id_col, (F.col("pos") + 1).alias("line_no"), "line"
     )
@@ -88,14 +100,16 @@ def scan_text(
     line = line number; fingerprint over (scanner, title, path, line, rule).
     """
     rules = SECRET_RULES if rules is None else rules
-    any_rule = _any_of(rules)
-    lines = text_lines(df, id_col, text_col, prefilter=any_rule).filter(F.col("line").rlike(any_rule))
+    # texts and lines without any rule literal cannot match: substring search before any regex
+    lines = text_lines(df, id_col, text_col, prefilter=_has_any_literal(F.col(text_col), rules)).filter(
+        _has_any_literal(F.col("line"), rules)
+    )
     hits = lines.select(
         id_col,
         "line_no",
-        F.explode(F.filter(F.array(*[F.when(F.col("line").rlike(rx), F.lit(rid)) for rid, rx in rules]), lambda x: x.isNotNull())).alias(
-            "rule_id"
-        ),
+        F.explode(
+            F.filter(F.array(*[F.when(F.col("line").rlike(r[1]), F.lit(r[0])) for r in rules]), lambda x: x.isNotNull())
+        ).alias("rule_id"),
     )
     out = hits.select(
         F.col(id_col),
@@ -126,7 +140,8 @@ def scan_licenses(
     """
     spdx_rules = SPDX_RULES if spdx_rules is None else spdx_rules
     denied = DENIED_LICENSES if denied is None else denied
-    lines = text_lines(df, id_col, text_col, prefilter=LICENSE_LINE).filter(F.col("line").rlike(LICENSE_LINE))
+    prefilter = F.contains(F.lower(F.col(text_col)), F.lit(LICENSE_LITERAL))  # substring test before the regex
+    lines = text_lines(df, id_col, text_col, prefilter=prefilter).filter(F.col("line").rlike(LICENSE_LINE))
     spdx = F.lit("UNKNOWN")
     for sid, rx in reversed(spdx_rules):
         spdx = F.when(F.col("line").rlike(rx), F.lit(sid)).otherwise(spdx)

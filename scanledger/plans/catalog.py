@@ -645,7 +645,7 @@ def _secret_sql(table: str, id_col: str, text_col: str, rules, prefix: str) -> s
     any_rule = _sql_str(detect._any_of(rules))
     per_rule = " UNION ALL ".join(
         f"SELECT {id_col}, line_no, '{rid}' AS rule_id FROM lines WHERE regexp_matches(line, '{_sql_str(rx)}')"
-        for rid, rx in rules
+        for rid, rx, *_ in rules
     )
     title = "concat('Secret detected: ', rule_id)"
     path = f"concat('{prefix}', {id_col})"
