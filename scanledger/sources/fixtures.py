@@ -87,8 +87,16 @@ def existing_pages_fixture(findings: DataFrame) -> DataFrame:
 
 
 def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, package, version, license) inventory from lineitem x part (FIXTURES C)."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    """(repo, package, version, license) inventory from lineitem x part (FIXTURES C).
+
+    (repo, package) is a function of (l_orderkey % 500, l_partkey), and version and
+    license are functions of the part: de-duplicate the two numeric keys first
+    (partial aggregation before a narrow shuffle), join part to the distinct pairs,
+    and only then build strings. The join never sees lineitem's full row count.
+    """
+    li = read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 500).alias("r"), F.col("l_partkey").alias("p_partkey")
+    ).filter(F.col("p_partkey").isNotNull()).distinct()
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     lic = F.col("p_partkey") % 8
     license_ = (
@@ -96,13 +104,13 @@ def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lic == 3, "GPL-3.0").when(lic == 4, "LGPL-3.0").when(lic == 5, "AGPL-3.0-only")
         .when(lic == 6, "MPL-2.0").otherwise("SSPL-1.0")
     )
-    joined = li.join(part, li.l_partkey == part.p_partkey)
+    joined = li.join(part, "p_partkey")
     return joined.select(
-        F.concat(F.lit("org/repo-"), F.col("l_orderkey") % 500).alias("repo"),
+        F.concat(F.lit("org/repo-"), F.col("r")).alias("repo"),
         F.concat(F.lit("pkg-"), F.col("p_partkey")).alias("package"),
         F.concat(1 + F.col("p_size") % 5, F.lit("."), F.col("p_size") % 10, F.lit(".0")).alias("version"),
         license_.alias("license"),
-    ).distinct()
+    )
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
