@@ -184,11 +184,12 @@ def match_advisories(inventory: DataFrame, advisories: DataFrame, scanner: str =
     """Dependency inventory x advisories on (package, version) -> dependency findings.
 
     An equi join; Spark/AQE pick broadcast or sort-merge from measured sizes.
-    The inventory is deduplicated per (repo, package, version) first.
+    Duplicates are removed after the join, over the (few) matching rows.
     """
-    inv = inventory.select("repo", "package", "version").distinct()
+    inv = inventory.select("repo", "package", "version")
     adv = advisories.select("vuln_id", "package", "version", "fixed_version")
-    j = inv.join(adv, ["package", "version"])
+    # join first (the advisory side is the small one), then de-duplicate only the matches
+    j = inv.join(adv, ["package", "version"]).distinct()
     fixed = F.coalesce(F.col("fixed_version"), F.lit(""))
     out = j.select(
         "repo",
