@@ -221,7 +221,9 @@ def merge_batch(
         state = batch.sparkSession.createDataFrame([], _state_schema(batch, run_col))
     state = state.select(*STATE_COLUMNS)
     cols = _scope_cols(scope)
-    runs = batch_scans.select(*cols, F.col(run_col).alias("batch_run")).distinct()
+    # one row per scope key, so the join below can never duplicate state rows (batches with several
+    # runs per repo belong to merge_runs; here the latest run of the batch is used)
+    runs = batch_scans.groupBy(*cols).agg(F.max(run_col).alias("batch_run"))
     if scope == "scanner":
         runs = runs.withColumnRenamed("scanner", "_sc")
 
