@@ -83,3 +83,23 @@ def test_sarif_level_and_page_severity(spark):
 def test_threshold_filter_high_keeps_two(spark):
     df = spark.createDataFrame([(s,) for s in ["CRITICAL", "HIGH", "MEDIUM", "LOW"]], "severity string")
     assert df.filter(at_or_above(F.col("severity"), "HIGH")).count() == 2
+
+
+def test_fingerprint_random_tuples_match_python(spark):
+    import random
+
+    rng = random.Random(1234)
+    alphabet = "abcXYZ09 |/._-éß中😀\t"
+
+    def s(nullable=True):
+        if nullable and rng.random() < 0.2:
+            return None
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
+
+    cases = []
+    for _ in range(500):
+        line = rng.choice([None, 0, 1, rng.randint(2, 10**6)])
+        cases.append((s(False), s(False), s(), line, s()))
+    df = spark.createDataFrame(cases, "scanner string, title string, file_path string, line int, rule string")
+    got = [r.fp for r in df.select(fingerprint("scanner", "title", "file_path", "line", "rule").alias("fp")).collect()]
+    assert got == [py_fingerprint(*c) for c in cases]
