@@ -183,3 +183,14 @@ def test_json_export_and_digest_links(spark, tmpdir_path):
     urls = spark.createDataFrame([("r", fp, "https://pages/1")], "repo string, fingerprint string, url string")
     d = {r["fingerprint"]: r["page_url"] for r in reports.digest_rows(f, urls).collect()}
     assert d[fp] == "https://pages/1" and sum(v is None for v in d.values()) == 3
+
+
+def test_truncation_counts_code_points(spark):
+    title = ("😀中é|" * 40)
+    f = make_findings(spark, [dict(CANONICAL[0], title=title, description="ß" * 3000, recommendation="x|" * 150)])
+    page = reports.page_work_list(f, spark.createDataFrame([], "repo string, fingerprint string"), "2024-02-05").collect()[0]
+    assert page["page_title"] == title[:100] and page["description"] == ("ß" * 3000)[:2000]
+    row = reports.pr_comment_rows(f).collect()[0]["row"]
+    assert row.endswith(" | " + ("x|" * 150).replace("|", "\\|")[:200] + " |")
+    issue = reports.issue_work_list(f, spark.createDataFrame([], "repo string, issue_title string")).collect()[0]
+    assert issue["issue_title"].startswith("[Security] CRITICAL: " + title[:80] + " [")
