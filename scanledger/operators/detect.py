@@ -67,7 +67,7 @@ def text_lines(df: DataFrame, id_col: str, text_col: str, prefilter=None) -> Dat
     if prefilter is not None:
         src = src.filter(F.col(text_col).rlike(prefilter) if isinstance(prefilter, str) else prefilter)
     return src.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).select(
-        id_col, (F.col("pos") + 1).alias("line_no"), "line"
+        id_col, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
     )
 
 

@@ -899,7 +899,7 @@ FROM l""",
 def q_legacy_records(spark, sf_dir):
     recs = ingest.legacy_records(rf.raw_reports_from_events(spark, sf_dir))
     return recs.select(
-        "repo", "report_seq", F.col("pos").cast("bigint").alias("pos"), "scanner", "severity",
+        "repo", "report_seq", F.col("pos").cast("int").alias("pos"), "scanner", "severity",
         page_severity("severity").alias("page_severity"), "package", "vuln_id", "description",
     )
 

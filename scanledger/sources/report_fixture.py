@@ -347,6 +347,6 @@ SELECT repo, cast(run_date AS varchar) AS run_id, run_date, scanner,
   CASE WHEN scanner = 'hadolint' THEN (CASE WHEN k % 3 = 0 THEN 'Dockerfile' ELSE 'docker/Dockerfile.dev' END)
        ELSE concat(scanner, '.json') END AS source_path,
   e AS report_seq, NOT corrupt AS ok,
-  CASE WHEN corrupt THEN 0 WHEN scanner = 'gitleaks' AND k % 5 = 0 THEN 2 ELSE 1 END AS n_items
+  cast(CASE WHEN corrupt THEN 0 WHEN scanner = 'gitleaks' AND k % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_items
 FROM ev"""
 )

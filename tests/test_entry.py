@@ -27,3 +27,16 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     ok, msg = compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, msg
+
+
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "date": "DATE",
+                 "double": "DOUBLE"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_column_types_match_oracle(spark, duck, name):
+    sdf = entry.queries()[name](spark, SF)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = duck.sql(f"SELECT * FROM ({entry.oracle_sql()[name]}) LIMIT 0")
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert spark_types == duck_types
