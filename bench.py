@@ -44,18 +44,24 @@ def main():
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
-    results = {}
+    results, errors = {}, {}
     for name in HEADLINE:
-        run_once(spark, name, sf_dir)  # warm-up
-        results[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
+        try:
+            run_once(spark, name, sf_dir)  # warm-up
+            results[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
+        except Exception as exc:  # keep one JSON line even if a query fails; report it
+            results[name] = None
+            errors[name] = str(exc).splitlines()[0][:200]
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_queries_median_total",
-        "value": round(sum(results.values()), 3),
+        "value": round(sum(v for v in results.values() if v is not None), 3),
         "unit": "sec",
         "queries": results,
         "sf": float(m.group(1)) if m else sf_dir,
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
