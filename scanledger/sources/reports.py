@@ -156,9 +156,8 @@ def _finish(df: DataFrame, scanner: str, severity, title, description, file_path
         rule_id.cast("string").alias("rule_id"),
         (F.col("raw") if raw is None else raw).alias("raw"),
     )
-    return out.withColumn("fingerprint", fingerprint("scanner", "title", "file_path", "line", "rule_id")).select(
-        *FINDINGS_COLUMNS
-    )
+    fp = fingerprint("scanner", "title", "file_path", "line", "rule_id").alias("fingerprint")
+    return out.select(*[fp if c == "fingerprint" else F.col(c) for c in FINDINGS_COLUMNS])
 
 
 def _of(raw: DataFrame, scanner: str) -> DataFrame:
