@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanledger.llm import substring_dedup
+from scanledger.llm import jaccard_join, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join.op1,
     "op9_substring_dedup": substring_dedup.op9,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
