@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanledger.llm import jaccard_join, substring_dedup
+from scanledger.llm import itq_dedup, jaccard_join, secret_ownership, source_mixing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
+    "op4_secret_ownership": secret_ownership.op4,
+    "op5_source_mixing": source_mixing.op5,
+    "op6_itq_dedup": itq_dedup.op6,
     "op9_substring_dedup": substring_dedup.op9,
 }
 
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": jaccard_join.ORACLE,
+    "op4_secret_ownership": secret_ownership.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
