@@ -29,8 +29,9 @@ from scanledger.llm import common as C
 
 _SENT = pa.schema([("pid", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("starts", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
 _SENT_DDL = "pid int, doc_id long, row_key long, starts binary, docs binary, lengths binary, hashes binary"
-_MARK = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("starts", pa.binary()), ("hashes", pa.binary())])
-_MARK_DDL = "doc_id long, row_key long, starts binary, hashes binary"
+_TOLD = pa.schema([(f.name, f.type) for f in _SENT])
+_MARK = pa.schema([("doc_id", pa.int64()), ("local", pa.list_(pa.struct([("row_key", pa.int64()), ("starts", pa.binary())]))), ("hashes", pa.binary())])
+_MARK_DDL = "doc_id long, local array<struct<row_key:long,starts:binary>>, hashes binary"
 
 
 def _smallest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,39 +58,59 @@ def _send(batches, window: int, parts: int, chunk_bytes: int):
                 out.append((row["doc_id"] % parts, row["doc_id"], row["row_key"], _intervals(starts, 1).tobytes(), None, None, None))
         first = order[at]
         hashes, docs = hashes[first], docs[first]
-        pid = C.deal(hashes, parts)
-        order = np.lexsort((docs, pid))
-        hashes, docs, pid = hashes[order], docs[order], pid[order]
-        for begin, length in zip(*C.runs(pid), strict=True):
-            own = slice(begin, begin + length)
-            run_at, run_length = C.runs(docs[own])
-            out.append((int(pid[begin]), None, None, None, docs[own][run_at].tobytes(), run_length.astype(np.uint32).tobytes(), hashes[own].tobytes()))
+        out += _blobs(hashes, docs, C.deal(hashes, parts))
         for i in range(0, len(out), 256):
             yield C.arrow(_SENT, out[i : i + 256])
 
 
-def _settle(batches):
-    """Compares all hashes dealt to this task; answers the documents that are not the first to have one."""
-    docs, hashes = [], []
+def _blobs(hashes: np.ndarray, docs: np.ndarray, pid: np.ndarray) -> list[tuple]:
+    """A row for each partition: its hashes by document, the documents as runs."""
+    order = np.lexsort((docs, pid))
+    hashes, docs, pid = hashes[order], docs[order], pid[order]
+    out = []
+    for begin, length in zip(*C.runs(pid), strict=True):
+        own = slice(begin, begin + length)
+        at, n = C.runs(docs[own])
+        out.append((int(pid[begin]), None, None, None, docs[own][at].tobytes(), n.astype(np.uint32).tobytes(), hashes[own].tobytes()))
+    return out
+
+
+def _gather(batches, local):
+    """Hashes and documents of all blobs; rows about one document go to ``local``."""
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        local = [r for r in batch.to_pylist() if r["hashes"] is None]
-        if local:
-            yield C.arrow(_MARK, [(r["doc_id"], r["row_key"], r["starts"], None) for r in local])
-        for r in batch.to_pylist():
-            if r["hashes"] is not None:
-                hashes.append(np.frombuffer(r["hashes"], np.uint64))
-                docs.append(np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["lengths"], np.uint32)))
-    if not hashes:
-        return
-    hashes, docs = np.concatenate(hashes), np.concatenate(docs)
+        ids, row_keys, starts = (batch.column(x).to_pylist() for x in ("doc_id", "row_key", "starts"))
+        for i, doc in enumerate(ids):
+            if doc is not None:
+                local(doc, row_keys[i], starts[i])
+            else:
+                hashes.append(C.view(batch.column("hashes"), i, np.uint64))
+                docs.append(np.repeat(C.view(batch.column("docs"), i, np.int64), C.view(batch.column("lengths"), i, np.uint32)))
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def _settle(batches, parts: int):
+    """Compares all hashes dealt to this task; answers the documents that are not the first to have one."""
+    local = []
+    hashes, docs = _gather(batches, lambda doc, row_key, starts: local.append((doc % parts, doc, row_key, starts, None, None, None)))
     order, _, least = _smallest(hashes, docs)
     later = order[docs[order] != least]
-    hashes, docs = hashes[later], docs[later]
+    out = local + _blobs(hashes[later], docs[later], docs[later] % parts)
+    for i in range(0, len(out), 256):
+        yield C.arrow(_TOLD, out[i : i + 256])
+
+
+def _by_document(batches):
+    """All marks of each document of this partition in one row."""
+    local: dict[int, list] = {}
+    hashes, docs = _gather(batches, lambda doc, row_key, starts: local.setdefault(doc, []).append({"row_key": row_key, "starts": starts}))
     order = np.argsort(docs, kind="stable")
     hashes, docs = hashes[order], docs[order]
     at, length = C.runs(docs)
-    for i in range(0, len(at), 4096):
-        yield C.arrow(_MARK, [(int(docs[a]), None, None, hashes[a : a + n].tobytes()) for a, n in zip(at[i : i + 4096].tolist(), length[i : i + 4096].tolist(), strict=True)])
+    out = [(int(docs[a]), local.pop(int(docs[a]), None), hashes[a : a + n].tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+    out += [(doc, marks, None) for doc, marks in local.items()]
+    for i in range(0, len(out), 1024):
+        yield C.arrow(_MARK, out[i : i + 1024])
 
 
 def _intervals(starts: np.ndarray, window: int) -> np.ndarray:
@@ -100,17 +121,16 @@ def _intervals(starts: np.ndarray, window: int) -> np.ndarray:
     return np.stack([starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]] + window], 1).astype(np.uint32)
 
 
-def cut(text: bytes, row_key: int, marks: list[dict], window: int) -> tuple[int, list[tuple[int, int]], list[bytes]]:
+def cut(text: bytes, row_key: int, local: list[dict] | None, hashes: bytes | None, window: int) -> tuple[int, list[tuple[int, int]], list[bytes]]:
     """Number of words, removed intervals of words, and the words kept of one document."""
     words = C.find_words(text)
-    if not marks:
+    if not local and not hashes:
         return len(words), [], words
     hit = np.zeros(max(0, len(words) - window + 1), bool)
-    far = [np.frombuffer(m["hashes"], np.uint64) for m in marks if m["hashes"] is not None]
-    if far:
-        hit |= np.isin(C.windows(C.word_hashes(words), window), np.concatenate(far))
-    for m in marks:
-        if m["starts"] is not None and m["row_key"] == row_key:
+    if hashes:
+        hit |= np.isin(C.windows(C.word_hashes(words), window), np.frombuffer(hashes, np.uint64))
+    for m in local or []:
+        if m["row_key"] == row_key:
             for begin, end in np.frombuffer(m["starts"], np.uint32).reshape(-1, 2).tolist():
                 hit[begin:end] = True
     gone = [tuple(x) for x in _intervals(np.flatnonzero(hit), window).tolist()]
@@ -129,7 +149,7 @@ def _cut(batches, window: int):
         for start in range(0, batch.num_rows, 512):
             out = []
             for r in batch.slice(start, 512).to_pylist():
-                n, gone, kept = cut(C.unpack_text(r["body"]), r["row_key"], r["marks"] or [], window)
+                n, gone, kept = cut(C.unpack_text(r["body"]), r["row_key"], r["local"], r["hashes"], window)
                 out.append((r["doc_id"], n, n - len(kept), [{"begin": a, "end": b} for a, b in gone], b" ".join(kept)))
             yield C.arrow(_CUT, out)
 
@@ -142,13 +162,13 @@ def _digest(batches, window: int):
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, part_bytes: int = 16 << 20) -> DataFrame:
-    """Rows (doc_id, row_key, body, marks): packed texts beside the marks of their repeated windows."""
+    """Rows (doc_id, row_key, body, local, hashes): packed texts beside the marks of their repeated windows."""
     d = docs.select(C.internal_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("row_key", F.xxhash64("doc_id", "text"))
     parts = C.parts_for(C.text_bytes(d), part_bytes)
-    sent = d.mapInArrow(partial(_send, window=window, parts=parts, chunk_bytes=16 << 20), _SENT_DDL)
-    marks = sent.repartitionById(parts, "pid").mapInArrow(_settle, _MARK_DDL)
-    per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "starts", "hashes")).alias("marks"))
+    sent = d.mapInArrow(partial(_send, window=window, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
+    told = sent.repartitionById(parts, "pid").mapInArrow(partial(_settle, parts=parts), _SENT_DDL)
+    per_doc = told.repartitionById(parts, "pid").mapInArrow(_by_document, _MARK_DDL)
     packed = d.mapInArrow(C.packed_texts, "doc_id long, row_key long, body binary")
     return packed.join(per_doc, "doc_id", "left")
 
