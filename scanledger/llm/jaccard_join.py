@@ -111,15 +111,16 @@ def _settle(batches, parts: int, heavy_from: int):
     """Which hashes occur in two classes: how many of each class, and the heavy ones with their number of classes."""
     keys, hashes, hot, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for batch in batches:
+        stats = zip(*(batch.column(x).to_pylist() for x in ("doc_id", "row_key", "key", "key2", "n", "k")), strict=True)
         own = []
-        for r in batch.to_pylist():
-            if r["hashes"] is None:
-                own.append((0, r["doc_id"], r["row_key"], r["key"], r["key2"], r["n"], r["k"], None, None, None, None))
+        for i, row in enumerate(stats):
+            if row[0] is not None:
+                own.append((0, *row, None, None, None, None))
             else:
-                keys.append(np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["lengths"], np.uint32)))
-                hashes.append(np.frombuffer(r["hashes"], np.uint64))
-                hot.append(np.frombuffer(r["hot"], np.uint64))
-                counts.append(np.frombuffer(r["counts"], np.uint32))
+                keys.append(np.repeat(C.view(batch.column("keys"), i, np.int64), C.view(batch.column("lengths"), i, np.uint32)))
+                hashes.append(C.view(batch.column("hashes"), i, np.uint64))
+                hot.append(C.view(batch.column("hot"), i, np.uint64))
+                counts.append(C.view(batch.column("counts"), i, np.uint32))
         if own:
             yield C.arrow(_TOLD, own)
     keys, hashes, hot, counts = (np.concatenate(x) for x in (keys, hashes, hot, counts))
@@ -270,7 +271,7 @@ def class_links(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent:
     return C.components(star.unionAll(more)).select(F.col("id").alias("rep"), "component")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, part_bytes: int = 32 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, part_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, row_key, n_shingles, class_id, component_id), a row for each document; null ids as common.NO_ID.
 
     ``row_key`` is xxhash64 of id and text. Documents with equal sets share ``class_id``, their smallest id.
@@ -280,7 +281,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_bytes = C.text_bytes(d)
     parts = C.parts_for(n_bytes, part_bytes)
     heavy_from = max(2 * HOT, n_bytes // 2 // HEAVY + 1)  # a shingle takes two bytes of text at least: at most HEAVY are heavy
-    sent = d.mapInArrow(partial(_send, size=size, parts=parts, chunk_bytes=16 << 20), _SENT_DDL)
+    sent = d.mapInArrow(partial(_send, size=size, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
     told = C.stash(sent.repartitionById(parts, "pid").mapInArrow(partial(_settle, parts=parts, heavy_from=heavy_from), _TOLD_DDL))
     rows = told.where("doc_id is not null").select("doc_id", "row_key", "key", "key2", "n", "k")
     classes = rows.where("n > 0").groupBy("key", "key2", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.max("k").alias("known"))
