@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, secret_ownership, source_mixing, substring_dedup
+from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
+    "op2_viterbi_counts": viterbi_counts.op2,
     "op3_impact_search": impact_search.op3,
     "op4_secret_ownership": secret_ownership.op4,
     "op5_source_mixing": source_mixing.op5,
     "op6_itq_dedup": itq_dedup.op6,
     "op7_hyper_langid": hyper_langid.op7,
+    "op8_suffix_pieces": suffix_pieces.op8,
     "op9_substring_dedup": substring_dedup.op9,
 }
 
