@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
+from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hyper_langid": hyper_langid.op7,
     "op8_suffix_pieces": suffix_pieces.op8,
     "op9_substring_dedup": substring_dedup.op9,
+    "op10_maxent_lm": maxent_lm.op10,
 }
 
 ORACLES: dict[str, str] = {
