@@ -22,6 +22,9 @@ find_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 #: Stands for a null id inside the operators: larger than every id. Results give null again.
 NO_ID = (1 << 63) - 1
 
+#: Rows of numbers that may be broadcast (16 MB or so).
+BROADCAST_ROWS = 1 << 20
+
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +47,17 @@ def internal_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``_row``, a number for each row of a table read from files: the same in every scan of it."""
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
+def by_row(few: DataFrame) -> DataFrame:
+    """A side of a join on ``_row`` with some numbers a row: broadcast if it has at most BROADCAST_ROWS, else shuffled."""
+    few = stash(few)
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
 def external_id(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
@@ -137,6 +151,19 @@ def arrow(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (smallest index of each component) after joining u with v."""
+    while True:
+        x, y = label[u], label[v]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); component is the smallest id reachable.
 

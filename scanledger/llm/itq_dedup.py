@@ -105,19 +105,6 @@ def _near(x: np.ndarray, y: np.ndarray, cut: tuple[int, int], radius: int) -> np
     return (d & (d - np.uint64(1)) if radius else d) * (d > 0) == 0
 
 
-def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Labels (smallest index of each component) after joining u with v."""
-    while True:
-        x, y = label[u], label[v]
-        if (x == y).all():
-            return label
-        low = np.minimum(x, y)
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 _FOUND = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
 
@@ -140,7 +127,7 @@ def _block(tab: int, home: pa.Table, looking: pa.Table, cuts: list[tuple[int, in
             keep &= ~_near(ca[i], cb[j], cut, radius)
         i, j = i[keep], j[keep]
         links += np.bincount(at_a[i], minlength=len(nodes))
-        label = _merge(label, at_a[i], at_b[j])
+        label = C.merge(label, at_a[i], at_b[j])
     out = np.flatnonzero((links > 0) | (label != np.arange(len(nodes))))
     return pa.table([pa.array(nodes[out]), pa.array(links[out]), pa.array(nodes[label[out]])], schema=_FOUND)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_pieces": suffix_pieces.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_maxent_lm": maxent_lm.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

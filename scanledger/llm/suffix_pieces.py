@@ -279,11 +279,17 @@ def _encoded(batches, vocabulary):
             begin = end
 
 
+def _same(ids: list[bytes], texts: list[str], table: list[bytes]) -> list[bool]:
+    """Whether the ids of each text decode to it."""
+    return [decode_ids(np.frombuffer(x, np.int32).tolist(), table) == t.replace(P.SPACE, " ").encode() for x, t in zip(ids, texts, strict=True)]
+
+
 def _encode(batches, vocabulary):
-    for rows, _, ids in _encoded(batches, vocabulary):
+    table = piece_bytes(P.Pieces(**vocabulary.value))
+    for rows, texts, ids in _encoded(batches, vocabulary):
         offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], names=["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(_same(ids, texts, table), pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
 
 def _decode(batches, vocabulary):
@@ -297,8 +303,7 @@ def _digest(batches, vocabulary):
     table = piece_bytes(P.Pieces(**vocabulary.value))
     names = ["doc_id", "n_tokens", "ids_sha256", "round_trip"]
     for rows, texts, ids in _encoded(batches, vocabulary):
-        same = [decode_ids(np.frombuffer(x, np.int32).tolist(), table) == t.replace(P.SPACE, " ").encode() for x, t in zip(ids, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())], names=names)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(_same(ids, texts, table), pa.bool_())], names=names)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -306,9 +311,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
-    """(doc_id, ids array<int>)."""
+    """(doc_id, ids array<int>, round_trip: whether decoding gives the text)."""
     told = docs.sparkSession.sparkContext.broadcast(vars(P.load(model)))
-    return _rows(docs, id_col, text_col).mapInArrow(partial(_encode, vocabulary=told), "doc_id long, ids array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(partial(_encode, vocabulary=told), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = P.MODEL) -> DataFrame:
