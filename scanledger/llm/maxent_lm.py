@@ -21,7 +21,6 @@ with nothing to learn from all counts are 0; an empty table gives an empty one;
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -44,34 +43,53 @@ SMOOTH = 0.1
 HELD = 400_000
 #: Parts in which weights are averaged.
 PARTS = 8
-#: Hash of the end token; also stands before the first word as 0.
-END = xxhash.xxh3_64_intdigest(b"")
+#: Hash of the end token; before the first word stands 0.
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+#: Slots in which frequent words are looked for first.
+SLOT_BITS = 21
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def ending(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word[-2:]) % (CLASSES - TOP)
+def ending(last: np.ndarray) -> np.ndarray:
+    """Class, less TOP, of words by their last two bytes."""
+    return (C.mix((last.astype(np.uint64) + np.uint64(1)) * _SEEDS[1]) >> np.uint64(32)).astype(np.int64) % (CLASSES - TOP)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, ending, text and place in its text of each token, the end token of each text included."""
+    h, last, text = C.hashed_words([t.lower() for t in texts])
+    sizes = np.bincount(text, minlength=len(texts)) + 1
+    n = len(h) + len(texts)
+    hashes, endings = np.full(n, END), np.zeros(n, np.int64)
+    at = np.arange(len(h)) + text
+    hashes[at], endings[at] = h, ending(last)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    return hashes, endings, of, np.arange(n) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
 
 
 def _count(batches):
     """(hash, ending, n): words of this task, sent in portions of bounded size."""
     schema = pa.schema([("hash", pa.int64()), ("ending", pa.int32()), ("n", pa.int64())])
-    held: Counter = Counter()
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def told():
-        words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
-        for i in range(0, len(words), 65536):
-            part = words[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(C.word_hashes(part).view(np.int64)), pa.array([ending(w) for w in part], pa.int32()), pa.array(n[i : i + 65536])], schema=schema)
-        held.clear()
+    def merged():
+        h, e, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        at, _ = C.runs(h[order])
+        return h[order][at], e[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            held.update(C.find_words((text or b"").lower()))
-            held[b""] += 1
-            if len(held) >= HELD:
-                yield from told()
-    yield from told()
+        for _, _, texts in _groups(batch):
+            h, e, _, _ = tokens(texts)
+            parts.append((h, e, np.ones(len(h), np.int64)))
+            if len(parts) == 4 or sum(len(x[0]) for x in parts) > 2 * HELD:
+                parts[:] = [merged()]
+                if len(parts[0][0]) > HELD:
+                    h, e, n = parts.pop()
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)], schema=schema)
+    if parts:
+        h, e, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)], schema=schema)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -102,14 +120,15 @@ class Model:
         self.counts = np.array([r["n"] for r in rows], np.float64)[order]
         self.classes = np.array([TOP + r["ending"] for r in rows], np.int64)[order]
         best = np.lexsort((self.hashes, -self.counts))[: TOP - 1]
-        end = np.flatnonzero(self.hashes == np.uint64(END))
+        end = np.flatnonzero(self.hashes == END)
         for c, i in enumerate(dict.fromkeys([*end.tolist(), *best.tolist()])):
             if c < TOP:
                 total[self.classes[i]] -= self.counts[i]
                 words[self.classes[i]] -= 1
                 self.classes[i] = c
                 total[c], words[c] = self.counts[i], 1
-        self.total, self.words = total, words
+        self.slots = np.full(1 << SLOT_BITS, len(self.hashes), np.int32)
+        self.slots[(self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(len(self.hashes))
         self.log_count = np.log10(self.counts + SMOOTH)
         self.log_class = np.log10(total + SMOOTH * (words + 1))
         prior = (total + SMOOTH) / (total + SMOOTH).sum()
@@ -119,23 +138,13 @@ class Model:
 
 def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of several texts joined: hash, place among the frequent words (-1 for others), class, features and text of each token."""
-    words, sizes = [], []
-    for t in texts:
-        w = C.find_words(t.lower())
-        words += w
-        words.append(b"")
-        sizes.append(len(w) + 1)
-    h = C.word_hashes(words)
-    place = np.minimum(np.searchsorted(m["hashes"], h), max(0, len(m["hashes"]) - 1))
-    if len(m["hashes"]):
-        place = np.where(m["hashes"][place] == h, place, -1)
-    else:
-        place = np.full(len(h), -1)
-    classes = m["classes"][place] if len(m["hashes"]) else np.zeros(len(h), np.int64)
-    rare = np.flatnonzero(place < 0)
-    classes[rare] = [TOP + ending(words[i]) for i in rare.tolist()]
-    text = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    h, endings, text, offset = tokens(texts)
+    frequent = np.r_[m["hashes"], np.uint64(0)]
+    place = m["slots"][(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
+    other = np.flatnonzero(frequent[place] != h)  # rare words, and the few frequent ones that share a slot
+    found = np.searchsorted(m["hashes"], h[other])
+    place[other] = np.where((found < len(m["hashes"])) & (frequent[found] == h[other]), found, -1)
+    classes = np.where(place >= 0, np.r_[m["classes"], 0][place], TOP + endings)
     before = []
     for k in (1, 2, 3):
         b = np.zeros(len(h), np.uint64)
@@ -144,17 +153,18 @@ def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.n
         before.append(b)
     one, two, three = before
     raw = (one * _SEEDS[0], one * _SEEDS[0] + C.mix(two * _SEEDS[1]) + _SEEDS[3], two * _SEEDS[2] + _SEEDS[1], three * _SEEDS[3] + _SEEDS[2])
-    features = np.stack([1 + (C.mix(x) >> np.uint64(40)) % np.uint64(FEATURES - 1) for x in raw], 1).astype(np.uint16)
+    features = np.stack([np.uint64(1) + ((C.mix(x) >> np.uint64(32)) * np.uint64(FEATURES - 1) >> np.uint64(32)) for x in raw], 1).astype(np.uint16)
     return h, place, classes, features, text
 
 
-def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]]
+def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights, less the largest of each row."""
+    out = weights.take(features[:, 0], 0)
     for k in range(1, features.shape[1]):
-        logits = logits + weights[features[:, k]]
-    logits = logits + weights[0]
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        out += weights.take(features[:, k], 0)
+    out += weights[0]
+    out -= out.max(1, keepdims=True)
+    return out
 
 
 def _groups(batch: pa.RecordBatch, n_bytes: int = 2 << 20):
@@ -176,12 +186,14 @@ def _train(batches, model):
             _, _, classes, features, _ = tokens_of(texts, m)
             for i in range(0, len(classes), BATCH):
                 f, c = features[i : i + BATCH], classes[i : i + BATCH]
-                grad = np.exp(log_softmax(weights, f))
+                grad = np.exp(logits(weights, f))
+                grad /= grad.sum(1, keepdims=True)
                 grad[np.arange(len(c)), c] -= 1
-                rows = np.r_[f.T.ravel()]
+                rows = f.T.ravel()
                 order = np.argsort(rows, kind="stable")
                 at, _ = C.runs(rows[order])
-                sums = np.add.reduceat(grad[order % len(c)], at)
+                by_class = np.ascontiguousarray(grad.T)  # sums run along memory
+                sums = np.add.reduceat(by_class.take(np.tile(np.arange(len(c)), f.shape[1])[order], 1), at, axis=1).T
                 for r, g in ((rows[order][at], sums), (np.zeros(1, np.int64), grad.sum(0, keepdims=True))):
                     squares[r] += g * g
                     weights[r] -= RATE * g / np.sqrt(squares[r])
@@ -227,8 +239,9 @@ def _score(batches, model):
             context = np.empty(len(h))
             for i in range(0, len(h), 1 << 16):
                 s = slice(i, i + (1 << 16))
-                p = log_softmax(m["weights"], features[s])
-                context[s] = p[np.arange(len(p)), classes[s]] / math.log(10)
+                p = logits(m["weights"], features[s])
+                own = p[np.arange(len(p)), classes[s]].astype(np.float64)
+                context[s] = (own - np.log(np.exp(p, out=p).sum(1))) / math.log(10)
             context -= m["log_class"][classes]
             n = len(texts)
             frequent = place >= 0
@@ -245,6 +258,7 @@ def _score(batches, model):
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that are not held out."""
+    C.prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     learn = d.where(~F.col("held_out")).select("text")
     counts = word_counts(learn, "text")
