@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of this session by bytes, so that long texts do not fill the tasks' memory."""
+    for key, value in (("maxRecordsPerBatch", "2048"), ("maxBytesPerBatch", "4m")):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return spark
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table under ``spark.checkpoint.dir`` and read it back: cuts the lineage, survives lost executors.
 
@@ -75,6 +82,43 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the radix and of its inverse modulo 2**64, ``n`` at least."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _RADIX), ("down", _INVERSE)):
+            x = np.full(max(n, 1 << 20) * 5 // 4, base)
+            x[0] = 1
+            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts: hash, last two bytes as a number, and text, worked out on the joined bytes.
+
+    A word's hash is a polynomial in its bytes (random values of which each stands for one), by prefix sums modulo
+    2**64; words over 64 bytes, for which that is weak, are hashed one by one.
+    """
+    joined = b"\n".join([*texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    inside = np.r_[False, ~_IS_SPACE[raw]]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    up, down = _powers(len(raw))
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)]
+    hashes = mix((sums[end] - sums[begin]) * down[begin])
+    for i in np.flatnonzero(end - begin > 64).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : end[i]])
+    last = raw[end - 1].astype(np.int64) * 256 + np.where(end - begin > 1, raw[end - 2], 0)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, last, np.searchsorted(starts, begin, "right") - 1
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hash of each run of ``size`` word hashes (mod 2**64, then mixed so that the high bits are even)."""
     n = len(hashes) - size + 1

@@ -107,6 +107,7 @@ def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of each row for which ``is_query`` holds."""
+    C.prepare(vectors.sparkSession)
     d = vectors.where(F.col(vector_col).isNotNull()).select(C.internal_id(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     whole = C.stash(d.select("vec_id", "vector").mapInArrow(partial(_integers, scale=scale), "vec_id long, vector binary").withColumn("dims", F.octet_length("vector").cast("int") / 4))
     whole = whole.withColumn("dims", F.col("dims").cast("int"))

@@ -134,7 +134,7 @@ def _block(tab: int, home: pa.Table, looking: pa.Table, cuts: list[tuple[int, in
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each vector."""
-    spark = vectors.sparkSession
+    spark = C.prepare(vectors.sparkSession)
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     d = vectors.select(C.internal_id(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
     units = C.stash(d.mapInArrow(partial(_valid, kind=kind), "vec_id long, raw binary"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanledger.llm import common as C
 from scanledger.llm import pieces as P
 
 #: Characters of texts worked on together, and of distinct chunks matched together.
@@ -312,23 +313,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, ids array<int>, round_trip: whether decoding gives the text)."""
-    told = docs.sparkSession.sparkContext.broadcast(vars(P.load(model)))
+    told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
     return _rows(docs, id_col, text_col).mapInArrow(partial(_encode, vocabulary=told), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = P.MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids)."""
-    told = encoded.sparkSession.sparkContext.broadcast(vars(P.load(model)))
+    told = C.prepare(encoded.sparkSession).sparkContext.broadcast(vars(P.load(model)))
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, vocabulary=told), "doc_id long, text string")
 
 
 def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of the ids as little-endian int32, round_trip: whether decoding gives the text)."""
-    told = docs.sparkSession.sparkContext.broadcast(vars(P.load(model)))
+    told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
     return _rows(docs, id_col, text_col).mapInArrow(partial(_digest, vocabulary=told), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from scanledger.llm import common as C
-
     return encoded_digest(C.table(spark, sf_dir, "documents"))

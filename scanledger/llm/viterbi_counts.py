@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanledger.llm import common as C
 from scanledger.llm import pieces as P
 
 UNKNOWN_PENALTY = 10.0
@@ -79,12 +80,10 @@ def _count(batches, vocabulary):
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: P.Pieces | None = None, model: str = P.MODEL) -> DataFrame:
     """(doc_id, n_tokens): pieces of each text under the unigram vocabulary (by default the pieces and scores of ``model``)."""
-    told = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or P.load(model)))
+    told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(vocabulary or P.load(model)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_count, vocabulary=told), "doc_id long, n_tokens long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    from scanledger.llm import common as C
-
     return token_counts(C.table(spark, sf_dir, "documents"))
