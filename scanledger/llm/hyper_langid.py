@@ -16,8 +16,6 @@ empty table gives an empty one; only the named columns are read, the language on
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -123,7 +121,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
     """Languages by code point, and their prototypes scaled to length 1; languages without a letter are left out."""
     C.prepare(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    sums = C.stash(rows.mapInArrow(_learn, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value")))
+    sums = C.stash(rows.mapInArrow(C.task(_learn), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value")))
     n = sums.select("lang").distinct().count()
     if n > MAX_LANGS:
         raise ValueError(f"{n} languages; at most {MAX_LANGS} prototypes are held")
@@ -157,7 +155,7 @@ def identify(docs: DataFrame, keys: list[Column], text_col: str, model: tuple[li
     rows = docs.select(*keys, F.col(text_col).alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS vectors
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_predict, model=told), f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(C.task(_predict, model=told), f"{ddl}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -18,8 +18,6 @@ one; labels and other columns are not read.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,9 +107,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """(query_id, rank, vec_id, score): the ``k`` best rows of each row for which ``is_query`` holds."""
     C.prepare(vectors.sparkSession)
     d = vectors.where(F.col(vector_col).isNotNull()).select(C.internal_id(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    whole = C.stash(d.select("vec_id", "vector").mapInArrow(partial(_integers, scale=scale), "vec_id long, vector binary").withColumn("dims", F.octet_length("vector").cast("int") / 4))
+    whole = C.stash(d.select("vec_id", "vector").mapInArrow(C.task(_integers, scale=scale), "vec_id long, vector binary").withColumn("dims", F.octet_length("vector").cast("int") / 4))
     whole = whole.withColumn("dims", F.col("dims").cast("int"))
-    asked = d.where("asks").select("vec_id", "vector").mapInArrow(partial(_integers, scale=scale), "query_id long, vector binary".replace("query_id", "vec_id"))
+    asked = d.where("asks").select("vec_id", "vector").mapInArrow(C.task(_integers, scale=scale), "query_id long, vector binary".replace("query_id", "vec_id"))
     asked = asked.select(F.col("vec_id").alias("query_id"), "vector", (F.octet_length("vector") / 4).cast("int").alias("dims"))
     blocks = C.parts_for(whole.count(), BLOCK, 1)
     groups = C.parts_for(asked.count(), QUERIES, 1)

@@ -20,8 +20,6 @@ read.
 from __future__ import annotations
 
 import math
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,14 +135,14 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     spark = C.prepare(vectors.sparkSession)
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     d = vectors.select(C.internal_id(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
-    units = C.stash(d.mapInArrow(partial(_valid, kind=kind), "vec_id long, raw binary"))
+    units = C.stash(d.mapInArrow(C.task(_valid, kind=kind), "vec_id long, raw binary"))
     valid = units.where("raw is not null")
     models = {}
     for row in valid.select(F.octet_length("raw").alias("size")).distinct().collect():  # a row for each number of dimensions
         taken = valid.where(F.octet_length("raw") == row["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("raw").collect()
         models[row["size"]] = fit(unit([bytes(r["raw"]) for r in taken], kind))
     cuts, radius = tables(valid.count())
-    looks = valid.mapInArrow(partial(_codes, model=spark.sparkContext.broadcast(models), cuts=cuts, radius=radius, kind=kind), "tab int, bucket long, home boolean, vec_id long, code long, raw binary")
+    looks = valid.mapInArrow(C.task(_codes, model=spark.sparkContext.broadcast(models), cuts=cuts, radius=radius, kind=kind), "tab int, bucket long, home boolean, vec_id long, code long, raw binary")
     held = C.stash(looks.where("home").groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     salt = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     placed = looks.join(held, ["tab", "bucket"])

@@ -24,8 +24,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -190,7 +188,7 @@ def _add(batches):
 
 def counters(sets: DataFrame) -> np.ndarray:
     """About how many sets hold a shingle, by hashed counter: one order of shingles that all tasks share."""
-    sums = sets.mapInArrow(_count, "part int, at binary, n binary").repartitionById(COUNTER_PARTS, "part").mapInArrow(_add, "part int, n binary")
+    sums = sets.mapInArrow(C.task(_count), "part int, at binary, n binary").repartitionById(COUNTER_PARTS, "part").mapInArrow(C.task(_add), "part int, n binary")
     out = np.zeros((COUNTER_PARTS, COUNTERS // COUNTER_PARTS), np.uint16)
     for r in sums.collect():
         out[r["part"]] = np.frombuffer(r["n"], np.uint16)
@@ -237,7 +235,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity."""
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(partial(_linked, percent=percent), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(C.task(_linked, percent=percent), "a long, b long")
 
 
 def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -300,7 +298,7 @@ def _small_boundary(postings: DataFrame, sets: DataFrame, percent: int) -> int:
 
 def _small_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """Members of size n of a subset's group link with its first member of size m, and the other way round."""
-    rows = sets.where(F.col("n") <= boundary).mapInArrow(partial(_subsets, boundary=boundary, percent=percent), "smaller int, larger int, subset long, rep long, n int")
+    rows = sets.where(F.col("n") <= boundary).mapInArrow(C.task(_subsets, boundary=boundary, percent=percent), "smaller int, larger int, subset long, rep long, n int")
     group = ["smaller", "larger", "subset"]
     firsts = rows.groupBy(*group).agg(F.min(F.when(F.col("n") == F.col("smaller"), F.col("rep"))).alias("short"), F.min(F.when(F.col("n") == F.col("larger"), F.col("rep"))).alias("long")).where("short is not null and long is not null")
     return rows.join(firsts, group).select(F.col("rep").alias("a"), F.when(F.col("n") == F.col("smaller"), F.col("long")).otherwise(F.col("short")).alias("b")).where("a <> b").distinct()
@@ -312,7 +310,7 @@ def class_links(sets: DataFrame, percent: int = 75) -> DataFrame:
     ``missing``: at least how many of the n shingles occur in no other set.
     """
     weights = sets.sparkSession.sparkContext.broadcast(counters(sets))
-    postings = C.stash(sets.mapInArrow(partial(_postings, percent=percent, weights=weights), "token long, rep long, n int, missing int"))
+    postings = C.stash(sets.mapInArrow(C.task(_postings, percent=percent, weights=weights), "token long, rep long, n int, missing int"))
     boundary = _small_boundary(postings, sets, percent)
     # a list's first member: the one with the fewest shingles of its own
     lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("missing", "rep", "n")).alias("first")).where("df > 1")
@@ -359,16 +357,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(C.internal_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("row_key", F.xxhash64("doc_id", "text"))
     parts = C.parts_for(C.text_bytes(d), part_bytes)
-    sent = d.mapInArrow(partial(_send, size=size, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
-    told = C.stash(sent.repartitionById(parts, "pid").mapInArrow(partial(_settle, parts=parts), _TOLD_DDL))
+    sent = d.mapInArrow(C.task(_send, size=size, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
+    told = C.stash(sent.repartitionById(parts, "pid").mapInArrow(C.task(_settle, parts=parts), _TOLD_DDL))
     rows = told.where("doc_id is not null").select("doc_id", "row_key", "key", "key2", "n", "k")
     classes = rows.where("n > 0").groupBy("key", "key2", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.max("k").alias("known"))
-    repeats = told.where("keys is not null").select("pid", "keys", "counts").repartitionById(parts, "pid").mapInArrow(_tally, "key long, told long")
+    repeats = told.where("keys is not null").select("pid", "keys", "counts").repartitionById(parts, "pid").mapInArrow(C.task(_tally), "key long, told long")
     classes = C.stash(classes.join(repeats, "key", "left").select("key", "key2", "n", F.col("first.doc_id").alias("rep"), F.col("first.row_key").alias("row_key"), F.least("n", F.col("known") + F.coalesce("told", F.lit(0))).alias("found")))
     can = classes.where(100 * F.col("found") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"), "row_key", "rep", (F.col("n") - F.col("found")).cast("int").alias("missing"))
     if can.count() <= BROADCAST_IDS:
         can = F.broadcast(can)
-    sets = C.stash(d.join(can, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]).select("rep", "missing", "text").mapInArrow(partial(_sets, size=size), "rep long, n int, missing int, tokens binary"))
+    sets = C.stash(d.join(can, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]).select("rep", "missing", "text").mapInArrow(C.task(_sets, size=size), "rep long, n int, missing int, tokens binary"))
     links = class_links(sets, percent)
     named = classes.join(links, "rep", "left").select("key", "key2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["key", "key2", "n"], "left")

@@ -21,8 +21,6 @@ with nothing to learn from all counts are 0; an empty table gives an empty one;
 from __future__ import annotations
 
 import math
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -93,7 +91,7 @@ def _count(batches):
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "hash long, ending int, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(C.task(_count), "hash long, ending int, n long")
     return C.stash(rows.groupBy("hash", "ending").agg(F.sum("n").alias("n")))
 
 
@@ -220,7 +218,7 @@ def train(docs: DataFrame, text_col: str, model: Model) -> Model:
     for k in range(ROUNDS):
         told = spark.sparkContext.broadcast(vars(model))
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
-        parts = own.mapInArrow(partial(_train, model=told), "part int, tokens long, weights binary").repartitionById(PARTS, "part").mapInArrow(_average, "part int, weights binary").collect()
+        parts = own.mapInArrow(C.task(_train, model=told), "part int, tokens long, weights binary").repartitionById(PARTS, "part").mapInArrow(C.task(_average), "part int, weights binary").collect()
         new = [np.frombuffer(r["weights"], np.float32) for r in sorted(parts, key=lambda r: r["part"])]
         if len(new) == PARTS:
             model.weights = np.concatenate(new).reshape(FEATURES, CLASSES)
@@ -264,7 +262,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counts = word_counts(learn, "text")
     model = train(learn, "text", Model(counts))
     told = d.sparkSession.sparkContext.broadcast(vars(model))
-    scored = C.stash(d.mapInArrow(partial(_score, model=told), _SCORED_DDL).withColumn("row", F.monotonically_increasing_id()))
+    scored = C.stash(d.mapInArrow(C.task(_score, model=told), _SCORED_DDL).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.hash", F.col("w.n").alias("times"))
     c = F.coalesce("n", F.lit(0))
     rare = rare.join(counts.select("hash", "n"), "hash", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + SMOOTH)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))

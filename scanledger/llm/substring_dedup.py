@@ -18,8 +18,6 @@ an empty table gives an empty one; only the two named columns are read, so other
 from __future__ import annotations
 
 import hashlib
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,21 +165,21 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     d = docs.select(C.internal_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("row_key", F.xxhash64("doc_id", "text"))
     parts = C.parts_for(C.text_bytes(d), part_bytes)
-    sent = d.mapInArrow(partial(_send, window=window, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
-    told = sent.repartitionById(parts, "pid").mapInArrow(partial(_settle, parts=parts), _SENT_DDL)
-    per_doc = told.repartitionById(parts, "pid").mapInArrow(_by_document, _MARK_DDL)
-    packed = d.mapInArrow(C.packed_texts, "doc_id long, row_key long, body binary")
+    sent = d.mapInArrow(C.task(_send, window=window, parts=parts, chunk_bytes=8 << 20), _SENT_DDL)
+    told = sent.repartitionById(parts, "pid").mapInArrow(C.task(_settle, parts=parts), _SENT_DDL)
+    per_doc = told.repartitionById(parts, "pid").mapInArrow(C.task(_by_document), _MARK_DDL)
+    packed = d.mapInArrow(C.task(C.packed_texts), "doc_id long, row_key long, body binary")
     return packed.join(per_doc, "doc_id", "left")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept): intervals of removed words, and the kept words joined by spaces."""
-    cut = marked(docs, id_col, text_col, window).mapInArrow(partial(_cut, window=window), "doc_id long, n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept binary")
+    cut = marked(docs, id_col, text_col, window).mapInArrow(C.task(_cut, window=window), "doc_id long, n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept binary")
     return cut.select(C.external_id("doc_id").alias("doc_id"), "n_words", "n_removed", "removed", F.col("kept").cast("string").alias("kept"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    cut = marked(C.table(spark, sf_dir, "documents")).mapInArrow(partial(_digest, window=13), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = marked(C.table(spark, sf_dir, "documents")).mapInArrow(C.task(_digest, window=13), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return cut.select(C.external_id("doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +28,7 @@ from scanledger.llm import pieces as P
 
 #: Characters of texts worked on together, and of distinct chunks matched together.
 GROUP = 8 << 20
-MATCHED = 1 << 19
+MATCHED = 1 << 18
 REMEMBERED = 400_000
 _SLOTS = 1 << 21
 
@@ -102,7 +100,7 @@ class Encoder:
 
     def beside(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the encoder leaves piece x followed by piece y as they are: no merge across them comes before theirs."""
-        key = x * self.n + y
+        key = x.astype(np.int64) * self.n + y
         slot = (key * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) & np.int64(_SLOTS - 1)
         out = self.slot_ok[slot]
         miss = np.flatnonzero(self.slot_key[slot] != key)
@@ -145,7 +143,7 @@ class Encoder:
             ahead[: max(0, n - step)] = rank[step:] + 1
             _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
             step *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         padded = np.r_[text, np.zeros(width, np.uint32)]
         present = np.unique(text)
         can = np.flatnonzero(self.reached & np.isin(self.codes, np.r_[0, present]).all(1))
@@ -165,7 +163,7 @@ class Encoder:
                 low = np.where(go, middle + 1, low)
             ends.append(low)
         number = ends[1] - ends[0]
-        piece = np.repeat(can, number)
+        piece = np.repeat(can.astype(np.int32), number)
         at = np.repeat(ends[0] - np.r_[0, np.cumsum(number)[:-1]], number) + np.arange(len(piece)) if len(can) else np.zeros(0, np.int64)
         return suffixes[at], piece
 
@@ -208,9 +206,11 @@ class Encoder:
         last = np.full(len(text) + 1, -1, np.int64)
         offset = np.arange(len(text)) - starts[chunk]
         end_offset = offset[start] + self.length[piece]
-        order = np.lexsort((start, end_offset))
-        start, piece, end_offset = start[order], piece[order], end_offset[order]
-        cuts = np.searchsorted(end_offset, np.arange(int(sizes.max(initial=0)) + 2))
+        longest = int(sizes.max(initial=0))
+        end_offset = end_offset.astype(np.uint16 if longest < 1 << 16 else np.int64)
+        order = np.argsort(end_offset, kind="stable")
+        start, piece = start[order], piece[order]
+        cuts = np.r_[0, np.cumsum(np.bincount(end_offset, minlength=longest + 1))]
         # characters that are no piece: unknown, whatever stands beside them
         single = np.zeros(len(text), bool)
         single[start[self.length[piece] == 1]] = True
@@ -314,19 +314,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, ids array<int>, round_trip: whether decoding gives the text)."""
     told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
-    return _rows(docs, id_col, text_col).mapInArrow(partial(_encode, vocabulary=told), "doc_id long, ids array<int>, round_trip boolean")
+    return _rows(docs, id_col, text_col).mapInArrow(C.task(_encode, vocabulary=told), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = P.MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids)."""
     told = C.prepare(encoded.sparkSession).sparkContext.broadcast(vars(P.load(model)))
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, vocabulary=told), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(C.task(_decode, vocabulary=told), "doc_id long, text string")
 
 
 def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of the ids as little-endian int32, round_trip: whether decoding gives the text)."""
     told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
-    return _rows(docs, id_col, text_col).mapInArrow(partial(_digest, vocabulary=told), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return _rows(docs, id_col, text_col).mapInArrow(C.task(_digest, vocabulary=told), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

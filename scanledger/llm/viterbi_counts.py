@@ -13,8 +13,6 @@ the two named columns are read.
 
 from __future__ import annotations
 
-from functools import partial
-
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +80,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_tokens): pieces of each text under the unigram vocabulary (by default the pieces and scores of ``model``)."""
     told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(vocabulary or P.load(model)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_count, vocabulary=told), "doc_id long, n_tokens long")
+    return rows.mapInArrow(C.task(_count, vocabulary=told), "doc_id long, n_tokens long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
