@@ -27,9 +27,9 @@ from scanledger.llm import common as C
 from scanledger.llm import pieces as P
 
 #: Characters of texts worked on together, and of distinct chunks matched together.
-GROUP = 8 << 20
+GROUP = 4 << 20
 MATCHED = 1 << 18
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _SLOTS = 1 << 21
 
 
