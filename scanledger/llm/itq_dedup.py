@@ -66,12 +66,12 @@ def fit(unit: np.ndarray, turns: int = TURNS, bits: int = 64) -> tuple[np.ndarra
 
 def tables(rows: int, bits: int = 64) -> tuple[list[tuple[int, int]], int]:
     """(first bit, bits) of each table, and by how many bits candidates may differ in one."""
-    count = max(4, bits // max(1, round(math.log2(max(rows, 2))) - 8))
+    count = min(bits, max(4, bits // max(1, round(math.log2(max(rows, 2))) - 8)))
     edges = [round(i * bits / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a], int(count < 8)
 
 
-def _codes(batches, model, cuts: list[tuple[int, int]], radius: int, kind: str):
+def _codes(batches, model, plans: dict, kind: str):
     """A row for each table: at home in the bucket of the code's part, and one for each bit that may differ."""
     models = model.value
     names = ["tab", "bucket", "home", "vec_id", "code", "raw"]
@@ -82,6 +82,7 @@ def _codes(batches, model, cuts: list[tuple[int, int]], radius: int, kind: str):
             for size in sorted({len(r) for r in raw}):
                 rows = np.array([i for i, r in enumerate(raw) if len(r) == size])
                 mean, projection = models[size]
+                cuts, radius = plans[size]
                 signs = ((unit([raw[i] for i in rows], kind) - mean) @ projection >= 0).astype(np.uint64)
                 code = (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
                 tabs, buckets, homes, who = [], [], [], []
@@ -108,8 +109,6 @@ _FOUND = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("other", pa.int6
 
 def _block(tab: int, home: pa.Table, looking: pa.Table, cuts: list[tuple[int, int]], radius: int, kind: str, cosine: float) -> pa.Table:
     """(vec_id, n, other): links of each row at home, and a vector of each row's component within the block."""
-    if not home.num_rows or not looking.num_rows:
-        return _FOUND.empty_table()
     load = lambda t: (t.column("vec_id").to_numpy(), t.column("code").to_numpy().view(np.uint64))
     (a, ca), (b, cb) = load(home), load(looking)
     xa = unit(home.column("raw").to_pylist(), kind)
@@ -141,8 +140,9 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for row in valid.select(F.octet_length("raw").alias("size")).distinct().collect():  # a row for each number of dimensions
         taken = valid.where(F.octet_length("raw") == row["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("raw").collect()
         models[row["size"]] = fit(unit([bytes(r["raw"]) for r in taken], kind))
-    cuts, radius = tables(valid.count())
-    looks = valid.mapInArrow(C.task(_codes, model=spark.sparkContext.broadcast(models), cuts=cuts, radius=radius, kind=kind), "tab int, bucket long, home boolean, vec_id long, code long, raw binary")
+    rows = valid.count()
+    plans = {size: tables(rows, min(64, projection.shape[1])) for size, (_, projection) in models.items()}
+    looks = valid.mapInArrow(C.task(_codes, model=spark.sparkContext.broadcast(models), plans=plans, kind=kind), "tab int, bucket long, home boolean, vec_id long, code long, raw binary")
     held = C.stash(looks.where("home").groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     salt = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     placed = looks.join(held, ["tab", "bucket"])
@@ -151,6 +151,9 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     looking = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*(F.col(c).alias(c) for c in group + rest))
 
     def block(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return _FOUND.empty_table()
+        cuts, radius = plans[len(x.column("raw")[0].as_py())]
         return _block(key[0].as_py(), x, y, cuts, radius, kind, cosine)
 
     found = C.stash(home.groupBy(*group).cogroup(looking.groupBy(*group)).applyInArrow(block, "vec_id long, n long, other long"))
