@@ -283,7 +283,7 @@ def merge_batch(
     )
     rows = batch.join(flags, KEY, "inner").filter(~F.col("_is_sup"))
     if notify_new_only:
-        rows = rows.filter(F.col("_is_new") & (F.col("ingest_seq") == F.col("first_seq")))
+        rows = rows.filter(F.col("_is_new") & (F.col("ingest_seq") == F.col("first_seq"))).dropDuplicates(KEY)
     emitted = rows.drop("_is_new", "_is_sup", "first_seq")
     return new_state, emitted
 

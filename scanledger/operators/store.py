@@ -9,6 +9,7 @@ leaves the previous version intact (an uncommitted directory is just ignored).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,11 @@ def query_findings(
     return df.orderBy(severity_rank("severity"), "repo", "fingerprint")
 
 
-def scan_history(scans: DataFrame, repo: str | None = None, limit: int = 50, ts_col: str = "run_date") -> DataFrame:
-    """Newest scans first, ``limit`` rows (a top-k, planned as TakeOrderedAndProject)."""
+def scan_history(scans: DataFrame, repo: str | None = None, limit: int | None = None, ts_col: str = "run_date") -> DataFrame:
+    """Newest scans first; with ``limit`` only so many rows (a top-k, planned as TakeOrderedAndProject)."""
     df = scans if repo is None else scans.filter(F.col("repo") == repo)
-    return df.orderBy(F.col(ts_col).desc(), F.col("repo")).limit(limit)
+    out = df.orderBy(F.col(ts_col).desc(), F.col("repo"))
+    return out if limit is None else out.limit(limit)
 
 
 def expire(state: DataFrame, before) -> DataFrame:
@@ -69,17 +71,22 @@ class SnapshotStore:
     def _commit_table(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self._commits)
-        except Exception:  # no commit yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no commit yet; any other failure must not look like one
+                return None
+            raise
 
     def latest_version(self) -> int | None:
         c = self._commit_table()
         return None if c is None else c.agg(F.max("version")).first()[0]
 
-    def committed_epoch(self, epoch: int) -> bool:
-        """True when a streaming micro-batch ``epoch`` already committed (replays are skipped)."""
+    def committed_epoch(self, epoch: int, query: str = "") -> bool:
+        """True when micro-batch ``epoch`` of streaming query ``query`` already committed (replays are skipped).
+
+        A stream that starts from a fresh checkpoint is another query: its epochs count from 0 again.
+        """
         c = self._commit_table()
-        return c is not None and c.filter(F.col("epoch") == epoch).limit(1).count() > 0
+        return c is not None and not c.filter((F.col("epoch") == epoch) & (F.col("query") == query)).isEmpty()
 
     def path(self, version: int) -> str:
         return f"{self.root}/state/v={version}"
@@ -88,7 +95,7 @@ class SnapshotStore:
         v = self.latest_version()
         return None if v is None else self.spark.read.parquet(self.path(v))
 
-    def commit(self, state: DataFrame, epoch: int | None = None) -> int:
+    def commit(self, state: DataFrame, epoch: int | None = None, query: str = "") -> int:
         """Write a new snapshot, clustered by (repo, fingerprint) so repo filters prune row groups.
 
         The snapshot directory is written first; the version becomes visible
@@ -101,7 +108,7 @@ class SnapshotStore:
         keys = ["repo", "fingerprint"]
         out = state.repartitionByRange(self.partitions, *keys) if self.partitions else state.repartitionByRange(*keys)
         out.sortWithinPartitions(*keys).write.mode("overwrite").parquet(self.path(v))
-        self.spark.createDataFrame([(v, epoch)], "version INT, epoch BIGINT").write.mode("append").parquet(self._commits)
+        self.spark.createDataFrame([(v, epoch, query)], "version INT, epoch BIGINT, query STRING").write.mode("append").parquet(self._commits)
         return v
 
 
@@ -130,8 +137,9 @@ class BucketedStore(SnapshotStore):
             return []
         if buckets is not None:
             c = c.filter(F.col("bucket").isin(*buckets))
-        rows = c.groupBy("bucket").agg(F.max("version").alias("v")).collect()  # <= n_buckets rows
-        return sorted((r["bucket"], r["v"]) for r in rows)
+        last = F.max(F.struct("version", "empty")).alias("last")
+        rows = c.groupBy("bucket").agg(last).collect()  # <= n_buckets rows
+        return sorted((r["bucket"], r["last"]["version"]) for r in rows if not r["last"]["empty"])
 
     def read(self, buckets: list[int] | None = None) -> DataFrame | None:
         bv = self._bucket_versions(buckets)
@@ -143,16 +151,23 @@ class BucketedStore(SnapshotStore):
     def touched_buckets(self, repos: DataFrame) -> list[int]:
         return sorted(r[0] for r in repos.select(repo_bucket(self.n_buckets)).distinct().collect())
 
-    def commit(self, state: DataFrame, epoch: int | None = None, buckets: list[int] | None = None) -> int:
-        """Write the given buckets' complete new state as version n+1 (all buckets when ``buckets`` is None)."""
+    def commit(
+        self, state: DataFrame, epoch: int | None = None, buckets: list[int] | None = None, query: str = ""
+    ) -> int:
+        """Write the given buckets' complete new state as version n+1 (all buckets when ``buckets`` is None).
+
+        A bucket without rows has no folder; its commit row says that it is empty.
+        """
         v = (self.latest_version() or 0) + 1
         out = state.withColumn("bucket", repo_bucket(self.n_buckets))
         keys = ["bucket", "repo", "fingerprint"]
         out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)  # hot repos span several tasks
         out.write.mode("overwrite").partitionBy("bucket").parquet(self.path(v))
         bl = list(range(self.n_buckets)) if buckets is None else buckets
-        rows = [(v, epoch, b) for b in bl]
-        self.spark.createDataFrame(rows, "version INT, epoch BIGINT, bucket INT").write.mode("append").parquet(
+        held = set(self.touched_buckets(state))
+        rows = [(v, epoch, query, b, b not in held) for b in bl]
+        ddl = "version INT, epoch BIGINT, query STRING, bucket INT, empty BOOLEAN"
+        self.spark.createDataFrame(rows, ddl).write.mode("append").parquet(
             self._commits
         )
         return v

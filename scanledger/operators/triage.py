@@ -90,8 +90,9 @@ def strip_fences(c: F.Column) -> F.Column:
 def parse_triage(responses: DataFrame, fallback: DataFrame) -> DataFrame:
     """Turn model responses (repo, response) into findings; fall back to passthrough per repo.
 
-    A response that is not a JSON object (after removing code fences) makes
-    its repo fall back to the passthrough grouping of ``fallback`` findings.
+    A repo without a response that is a JSON object (after removing code
+    fences) falls back to the passthrough grouping of its ``fallback`` findings;
+    so does a repo without any response. One good response is enough.
     Triaged findings carry only scanner/title/detail/recommendation, so their
     fingerprint is computed from (scanner, title) with no path, line or rule.
     Output: repo, severity, scanner, title, description, recommendation, fingerprint, summary, triaged.
@@ -125,8 +126,7 @@ def parse_triage(responses: DataFrame, fallback: DataFrame) -> DataFrame:
     ).withColumn("fingerprint", fingerprint("scanner", "title", F.lit(None), F.lit(None), F.lit(None)))
     triaged = triaged.withColumn("triaged", F.lit(True))
 
-    failed = parsed.filter(F.col("r").isNull()).select("repo").distinct()
-    fb = fallback.join(failed, "repo", "left_semi")
+    fb = fallback.join(ok.select("repo").distinct(), "repo", "left_anti")
     fb_summary = passthrough_triage(fb).select("repo", "summary").distinct()
     fb_rows = fb.join(fb_summary, "repo").select(
         "repo", "severity", "scanner", "title", "description", "recommendation", "summary", "fingerprint",

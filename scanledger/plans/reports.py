@@ -110,6 +110,17 @@ def _in_report_order(rows: DataFrame, df: DataFrame) -> DataFrame:
     return keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_rank", "ingest_seq")
 
 
+# quotes doubled, blanks kept: any CSV reader gets the fields back as they were
+CSV_OPTIONS = {
+    "header": True,
+    "nullValue": "",
+    "emptyValue": "",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """One CSV per repo directory, header row, null path written as an empty field, report order."""
     rows = _reported(df).select(*csv_rows(df).columns, "ingest_seq").withColumn(
@@ -119,9 +130,7 @@ def export_csv(df: DataFrame, path: str) -> None:
         _in_report_order(rows, df)
         .write.mode("overwrite")
         .partitionBy("repo")
-        .option("header", True)
-        .option("nullValue", "")
-        .option("emptyValue", "")
+        .options(**CSV_OPTIONS)
         .csv(path)
     )
 
@@ -132,7 +141,7 @@ def export_store(rows: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "json":
         w.json(path)
     elif fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTIONS).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 

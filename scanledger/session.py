@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,7 +39,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master.startswith("local"):
         # local mode: the driver JVM is the whole cluster; the 1 GB default heap thrashes the GC
-        builder = builder.config("spark.driver.memory", os.environ.get("SCANLEDGER_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("SCANLEDGER_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -59,11 +58,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh directory under the shared checkpoint root (never machine-local on a cluster)."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "scanledger", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

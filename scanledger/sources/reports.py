@@ -175,9 +175,14 @@ def _status(reports: DataFrame, ok: F.Column, n: F.Column, error: F.Column | Non
 # --------------------------------------------------------------------------- tools
 
 
+def _array(col: str, item) -> F.Column:
+    """A JSON array; null for anything else (``from_json`` would take a lone object as an array of one)."""
+    return F.when(F.col(col).rlike(r"^\s*\["), F.from_json(col, T.ArrayType(item)))
+
+
 def gitleaks(raw: DataFrame):
     """Top-level array (JSON null = no findings). Always CRITICAL; title carries the rule id."""
-    r = _of(raw, "gitleaks").withColumn("_items", F.from_json("payload", T.ArrayType(GITLEAKS_ITEM)))
+    r = _of(raw, "gitleaks").withColumn("_items", _array("payload", GITLEAKS_ITEM))
     is_null_doc = F.col("_items").isNull() & (F.trim(F.col("payload")) == "null")
     ok = F.col("_items").isNotNull() | is_null_doc
     status = _status(r, ok, F.coalesce(F.size("_items"), F.lit(0)))
@@ -359,7 +364,7 @@ def checkov(raw: DataFrame):
 
 def hadolint(raw: DataFrame):
     """One array per Dockerfile; the file path is the report's source_path (not in the JSON)."""
-    r = _of(raw, "hadolint").withColumn("_items", F.from_json("payload", T.ArrayType(HADOLINT_ITEM)))
+    r = _of(raw, "hadolint").withColumn("_items", _array("payload", HADOLINT_ITEM))
     ok = F.col("_items").isNotNull()
     status = _status(r, ok, F.size("_items"))
     it = _explode_items(r, F.col("_items"))

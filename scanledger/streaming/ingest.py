@@ -4,7 +4,7 @@ Structured Streaming file source (JSON Lines, one raw report per line, explicit
 schema) with ``foreachBatch``: each micro-batch is normalised, its runs are
 replayed onto the latest state snapshot with the closed form
 (:func:`merge_runs` -- a batch may hold several runs of one repo), and a new
-snapshot of the touched repo buckets is committed. Commits carry the batch epoch, so a replayed epoch after
+snapshot of the touched repo buckets is committed. Commits carry the query id and the batch epoch, so a replayed epoch after
 a failure is skipped (exactly-once state), and the per-batch scan-status / scan
 tables are written to ``epoch=<id>`` directories with overwrite (idempotent).
 State lives on shared storage, so each batch starts from Parquet: no lineage
@@ -13,14 +13,11 @@ grows across batches.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.operators.lifecycle import merge_runs
 from scanledger.operators.store import BucketedStore
-from scanledger.session import ensure_checkpoint_dir
 from scanledger.sources.reports import normalize
 
 RAW_DDL = (
@@ -29,14 +26,14 @@ RAW_DDL = (
 
 
 def process_batch(
-    spark: SparkSession, batch: DataFrame, epoch: int, store_root: str, n_buckets: int = 256
+    spark: SparkSession, batch: DataFrame, epoch: int, store_root: str, n_buckets: int = 256, query: str = ""
 ) -> int | None:
     """Normalise one batch of raw reports and fold it into the store. Returns the committed version.
 
     Only the state buckets of the repos in the batch are read and rewritten.
     """
     store = BucketedStore(spark, store_root, n_buckets)
-    if store.committed_epoch(epoch):
+    if store.committed_epoch(epoch, query):
         return None
     # two actions below (status write, state merge): parse the micro-batch once; a lost
     # executor only means recomputing from the source files
@@ -52,7 +49,7 @@ def process_batch(
         if not touched:
             return None
         new_state = merge_runs(store.read(touched), findings, scans)
-        return store.commit(new_state, epoch=epoch, buckets=touched)
+        return store.commit(new_state, epoch=epoch, buckets=touched, query=query)
     finally:
         batch.unpersist()
 
@@ -61,19 +58,24 @@ def ingest_stream(
     spark: SparkSession,
     source_dir: str,
     store_root: str,
-    checkpoint_location: str | None = None,
+    checkpoint_location: str,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
     n_buckets: int = 256,
 ):
-    """Start the ingest query; with ``available_now`` it drains the backlog and stops."""
-    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "scanledger-ingest")
+    """Start the ingest query; with ``available_now`` it drains the backlog and stops.
+
+    ``checkpoint_location`` (shared storage) names the stream: commits carry its query id and epoch.
+    """
     reader = spark.readStream.schema(RAW_DDL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(source_dir)
-    writer = raw.writeStream.foreachBatch(lambda df, epoch: process_batch(spark, df, epoch, store_root, n_buckets)).option(
-        "checkpointLocation", ckpt
-    )
+
+    def fold(df: DataFrame, epoch: int) -> None:
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        process_batch(spark, df, epoch, store_root, n_buckets, query)
+
+    writer = raw.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
