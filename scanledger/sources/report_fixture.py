@@ -16,20 +16,8 @@ from scanledger.functions import week_start
 from scanledger.session import read_table
 
 
-# event type each tool's reports come from (None: every other type, including null)
-_EVENT_OF = {"gitleaks": "error", "semgrep": "click", "trivy": "view", "checkov": "view",
-             "pip-audit": "purchase", "npm-audit": "purchase", "hadolint": None, "licenses": None}
-
-
-def _base(spark: SparkSession, sf_dir: str, tool: str | None = None) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    if tool is not None:
-        # a plain column predicate on the scan (pushed to Parquet) before any per-event work
-        et0 = _EVENT_OF[tool]
-        named = [v for v in _EVENT_OF.values() if v]
-        e = e.filter(F.col("event_type") == et0) if et0 else e.filter(
-            F.col("event_type").isNull() | ~F.col("event_type").isin(*named)
-        )
     k = F.get_json_object("props", "$.k").cast("int")
     v = F.col("value")
     bucket = F.when(v >= 110, 0).when(v >= 60, 1).when(v >= 30, 2).when(v >= 10, 3).otherwise(4)
@@ -185,32 +173,20 @@ def raw_reports_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gitleaks": gitleaks, "semgrep": semgrep, "trivy": trivy, "checkov": checkov, "pip-audit": pip,
         "npm-audit": npm, "hadolint": hadolint, "licenses": licenses,
     }
-    # One union branch per tool with a literal scanner name: a normaliser's
-    # ``scanner = x`` filter prunes every other branch at planning time, so each
-    # tool only builds and parses its own reports.
-    branches = []
-    for name, body in payloads.items():
-        mine = _base(spark, sf_dir, name).filter(F.col("scanner") == name)
-        payload = F.when(e % 97 == 0, F.lit("not json {")).otherwise(body)
-        if name == "hadolint":
-            source = F.when(k % 3 == 0, F.lit("Dockerfile")).otherwise(F.lit("docker/Dockerfile.dev"))
-        else:
-            source = F.lit(f"{name}.json")
-        branches.append(
-            mine.select(
-                "repo",
-                F.col("run_date").cast("string").alias("run_id"),
-                "run_date",
-                F.lit(name).alias("scanner"),
-                source.alias("source_path"),
-                F.col("e").alias("report_seq"),
-                payload.alias("payload"),
-            )
-        )
-    out = branches[0]
-    for b_ in branches[1:]:
-        out = out.unionByName(b_)
-    return out
+    scanner = F.col("scanner")
+    body = None
+    for name, text in payloads.items():
+        body = F.when(scanner == name, text) if body is None else body.when(scanner == name, text)
+    dockerfile = F.when(k % 3 == 0, F.lit("Dockerfile")).otherwise(F.lit("docker/Dockerfile.dev"))
+    return _base(spark, sf_dir).select(
+        "repo",
+        F.col("run_date").cast("string").alias("run_id"),
+        "run_date",
+        "scanner",
+        F.when(scanner == "hadolint", dockerfile).otherwise(F.concat("scanner", F.lit(".json"))).alias("source_path"),
+        F.col("e").alias("report_seq"),
+        F.when(e % 97 == 0, F.lit("not json {")).otherwise(body).alias("payload"),
+    )
 
 
 # ----------------------------------------------------------------------------- oracle

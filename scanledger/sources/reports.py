@@ -2,10 +2,13 @@
 
 Input ``raw_reports``: one row per report file
 (repo, run_id, run_date, scanner, source_path, report_seq, payload).
-Each tool has a declared schema (never inferred); a payload is parsed once,
-its items exploded, and mapped column-wise to the findings schema. Tools are
-combined with ``unionByName``. A report that cannot be parsed yields no
-findings and ``ok = false`` in the scan-status table; it never fails the job.
+One pass serves all tools: a payload is parsed once by its scanner's rule into
+items that keep their JSON whole (VARIANT), one explode makes a row of each item,
+and the scanner's mapping fills the findings columns; ``raw`` is the item as JSON
+(keys in code-point order). A number written as text or as 12.0 is a line number too.
+A report that cannot be parsed, or has something else where the tool writes an array
+or an object, yields no findings and ``ok = false`` in the scan-status table; it
+never fails the job. So does an object that repeats a key inside an item.
 
 ``ingest_seq`` = report_seq * 2^24 + item position: arrival order inside a run
 (one report's item count is bounded well below 2^24 by Spark's 2 GB row limit).
@@ -48,42 +51,13 @@ SEMGREP_ITEM = T.StructType(
     ]
     + RULE_KEY_FIELDS
 )
-PIP_DEP = T.StructType(
-    [
-        T.StructField("name", S),
-        T.StructField("version", S),
-        T.StructField(
-            "vulns",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("id", S), T.StructField("description", S), T.StructField("fix_versions", T.ArrayType(S))]
-                )
-            ),
-        ),
-    ]
-)
 V = T.VariantType()  # keeps the JSON type of fields whose meaning depends on it
 NPM_INFO = T.StructType(
     [T.StructField("severity", S), T.StructField("title", S), T.StructField("via", T.ArrayType(S)),
      T.StructField("fixAvailable", V)]
 )
-TRIVY_VULN = T.StructType(
-    [T.StructField(k, S) for k in ("VulnerabilityID", "PkgName", "Severity", "Title", "InstalledVersion", "FixedVersion")]
-    + [T.StructField("DataSource", T.StructType([T.StructField("Name", S)]))]
-)
-TRIVY_RESULT = T.StructType([T.StructField("Target", S), T.StructField("Vulnerabilities", T.ArrayType(TRIVY_VULN))])
-CHECKOV_CHECK = T.StructType(
-    [T.StructField(k, S) for k in ("check_name", "file_path", "guideline")]
-    + [T.StructField("severity", V)]
-    + [T.StructField("file_line_range", T.ArrayType(I))]
-    + RULE_KEY_FIELDS
-)
-HADOLINT_ITEM = T.StructType(
-    [T.StructField("code", S), T.StructField("message", S), T.StructField("level", S), T.StructField("line", I)]
-    + RULE_KEY_FIELDS
-)
-PIP_LICENSE_ITEM = T.StructType([T.StructField(k, S) for k in ("Name", "Version", "License", "URL")] + RULE_KEY_FIELDS)
-NODE_LICENSE_INFO = T.StructType([T.StructField("licenses", S)] + RULE_KEY_FIELDS)
+#: The items of a report: key and at (map key; package and version; target) and the JSON value.
+ITEM = "array<struct<key:string,at:string,a:variant>>"
 
 # Fixed values (must equal the reference): default texts of each tool mapping.
 GITLEAKS_RECOMMENDATION = "Rotate this credential and remove from git history"
@@ -124,353 +98,338 @@ def _by_key(entries: F.Column) -> F.Column:
     return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 
 
-def _rule(item: str = "it") -> F.Column:
-    return F.coalesce(*[F.col(f"{item}.{k}") for k in ("RuleID", "check_id", "vuln_id", "id")])
+# --------------------------------------------------------------------------- tools
+#
+# Each tool has two parts. ``*_items`` turns a payload into an array of ITEM (key, at, a), null when the report is
+# malformed; ``a`` is a JSON value kept whole as VARIANT. ``*_fields`` maps one item (``it``) to the finding columns
+# that the tool has. ``normalize`` picks both by the scanner column, so all tools share one scan and one explode.
 
 
-def _explode_items(reports: DataFrame, items: F.Column) -> DataFrame:
-    """One row per parsed item (``it``) with its position; a null array yields no rows.
+def _let(value: F.Column, f) -> F.Column:
+    """``f(value)`` with the value evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-    Items are exploded already typed (one parse per payload); ``raw`` is the
-    item's declared fields as JSON.
-    """
-    exploded = reports.select(
-        *[c for c in reports.columns if not c.startswith("_") and c != "payload"],
-        F.posexplode(items).alias("pos", "it"),
-    )
-    return exploded.withColumn("raw", F.to_json("it"))
 
+def _text(it: F.Column, path: str) -> F.Column:
+    return F.try_variant_get(it["a"], path, "string")
 
-def _finish(df: DataFrame, scanner: str, severity, title, description, file_path, line, recommendation, rule_id,
-            raw=None) -> DataFrame:
-    out = df.select(
-        "repo", "run_id", "run_date",
-        (F.col("report_seq") * F.lit(1 << POS_BITS) + F.col("pos")).alias("ingest_seq"),
-        F.lit(scanner).alias("scanner"),
-        severity.alias("severity"),
-        title.alias("title"),
-        F.coalesce(description, F.lit("")).alias("description"),
-        file_path.cast("string").alias("file_path"),
-        line.cast("int").alias("line"),
-        recommendation.alias("recommendation"),
-        rule_id.cast("string").alias("rule_id"),
-        (F.col("raw") if raw is None else raw).alias("raw"),
-    )
-    fp = fingerprint("scanner", "title", "file_path", "line", "rule_id").alias("fingerprint")
-    return out.select(*[fp if c == "fingerprint" else F.col(c) for c in FINDINGS_COLUMNS])
 
+def _int(it: F.Column, path: str) -> F.Column:
+    return F.try_variant_get(it["a"], path, "int")
 
-def _of(raw: DataFrame, scanner: str) -> DataFrame:
-    return raw.filter(F.col("scanner") == scanner)
 
+def _texts(it: F.Column, path: str) -> F.Column:
+    return F.try_variant_get(it["a"], path, "array<string>")
 
-def _status(reports: DataFrame, ok: F.Column, n: F.Column, error: F.Column | None = None) -> DataFrame:
-    err = F.when(~ok, error if error is not None else F.lit("unparsable or malformed report"))
-    return reports.select(
-        "repo", "run_id", "run_date", "scanner", "source_path", "report_seq",
-        ok.alias("ok"), err.alias("error"), F.when(ok, n).otherwise(F.lit(0)).cast("bigint").alias("n_items"),
-    )
 
+def _any(it: F.Column, path: str) -> F.Column:
+    return F.try_variant_get(it["a"], path, "variant")
+
+
+def _rule(it: F.Column) -> F.Column:
+    return F.coalesce(*[_text(it, f"$.{k}") for k in ("RuleID", "check_id", "vuln_id", "id")])
+
+
+def _is_object(v: F.Column) -> F.Column:
+    return F.coalesce(F.to_json(v).startswith("{"), F.lit(False))
 
-# --------------------------------------------------------------------------- tools
 
+def _item(a: F.Column, key=None, at=None) -> F.Column:
+    none = F.lit(None).cast(S)
+    return F.struct((none if key is None else key).alias("key"), (none if at is None else at).alias("at"), a.alias("a"))
 
-def _array(col: str, item) -> F.Column:
+
+def _items(values: F.Column) -> F.Column:
+    """Items of an array of JSON values; null unless every value is an object."""
+    return _let(values, lambda vs: F.when(F.forall(vs, _is_object), F.transform(vs, lambda v: _item(v))))
+
+
+def _array(col: str) -> F.Column:
     """A JSON array; null for anything else (``from_json`` would take a lone object as an array of one)."""
-    return F.when(F.col(col).rlike(r"^\s*\["), F.from_json(col, T.ArrayType(item)))
-
-
-def gitleaks(raw: DataFrame):
-    """Top-level array (JSON null = no findings). Always CRITICAL; title carries the rule id."""
-    r = _of(raw, "gitleaks").withColumn("_items", _array("payload", GITLEAKS_ITEM))
-    is_null_doc = F.col("_items").isNull() & (F.trim(F.col("payload")) == "null")
-    ok = F.col("_items").isNotNull() | is_null_doc
-    status = _status(r, ok, F.coalesce(F.size("_items"), F.lit(0)))
-    it = _explode_items(r, F.col("_items"))
-    rule = F.col("it.RuleID")
-    f = _finish(
-        it, "gitleaks", F.lit("CRITICAL"),
-        F.concat(F.lit("Secret detected: "), F.coalesce(rule, F.lit("unknown"))),
-        F.col("it.Description"), F.col("it.File"), F.col("it.StartLine"),
-        F.lit(GITLEAKS_RECOMMENDATION), _rule(),
-    )
-    return f, status
-
-
-def semgrep(raw: DataFrame):
-    """``results[]``; severity from extra.severity (default WARNING), parsed (ERROR/WARNING -> LOW)."""
-    schema = T.StructType([T.StructField("results", T.ArrayType(SEMGREP_ITEM)), T.StructField("_corrupt", S)])
-    r = _of(raw, "semgrep").withColumn("_doc", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
-    items = F.coalesce(F.col("_doc.results"), F.array().cast(T.ArrayType(SEMGREP_ITEM)))
-    status = _status(r, ok, F.size(items))
-    it = _explode_items(r, F.when(ok, items))
-    f = _finish(
-        it, "semgrep",
-        severity_parse(F.coalesce(F.col("it.extra.severity"), F.lit("WARNING"))),
-        F.coalesce(F.col("it.check_id"), F.lit("unknown")),
-        F.col("it.extra.message"), F.col("it.path"), F.col("it.start.line"),
-        F.coalesce(F.col("it.extra.fix"), F.lit(SEMGREP_DEFAULT_FIX)),
-        _rule(),
-    )
-    return f, status
+    return F.when(F.col(col).rlike(r"^\s*\["), F.from_json(col, T.ArrayType(V)))
 
 
-def pip_audit(raw: DataFrame):
-    """``dependencies[] x vulns[]`` (two explodes). HIGH; a dependency without name/version or a
-    vulnerability without id makes the whole report fail, as a missing key does in the tool."""
-    schema = T.StructType([T.StructField("dependencies", T.ArrayType(PIP_DEP)), T.StructField("_corrupt", S)])
-    r = _of(raw, "pip-audit").withColumn(
-        "_doc", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    )
-    deps = F.coalesce(F.col("_doc.dependencies"), F.array().cast(T.ArrayType(PIP_DEP)))
-    no_vulns = F.array().cast(PIP_DEP["vulns"].dataType)
-    malformed = F.exists(
-        deps,
-        lambda d: (F.size(F.coalesce(d["vulns"], no_vulns)) > 0)
-        & (d["name"].isNull() | d["version"].isNull() | F.exists(F.coalesce(d["vulns"], no_vulns), lambda v: v["id"].isNull())),
+def _doc_field(name: str, t: T.DataType) -> F.Column:
+    """The field of a JSON object, or an empty one when it is absent; null when the payload does not parse."""
+    schema = T.StructType([T.StructField(name, t), T.StructField("_corrupt", S)])
+    doc = F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    empty = F.array().cast(t) if isinstance(t, T.ArrayType) else F.create_map().cast(t)
+    return _let(doc, lambda d: F.when(d.isNotNull() & d["_corrupt"].isNull(), F.coalesce(d[name], empty)))
+
+
+def _list_in(v: F.Column, path: str) -> F.Column:
+    """The array at ``path``; empty when absent or JSON null, null when it is something else."""
+    there = F.try_variant_get(v, path, "variant")
+    empty = F.array().cast(T.ArrayType(V))
+    return _let(there, lambda x: F.when(x.isNull() | F.is_variant_null(x), empty).otherwise(
+        F.try_variant_get(x, "$", T.ArrayType(V).simpleString())
+    ))
+
+
+def _pairs(values: F.Column, path: str, item) -> F.Column:
+    """``item(outer, inner)`` for every value of the array at ``path`` of every value, in report order.
+
+    Null when a value is no object or its ``path`` is no array (a malformed report).
+    """
+    inner = F.transform(values, lambda d: F.when(_is_object(d), F.transform(_list_in(d, path), lambda v: item(d, v))))
+    return F.flatten(inner)
+
+
+def _last_by_key(m: F.Column) -> F.Column:
+    """Items of a JSON map in key order; of a key that occurs more than once the last value counts."""
+    at = F.transform(F.map_entries(m), lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("a")))
+    before = lambda x, y: (x["key"] < y["key"]) | ((x["key"] == y["key"]) & (x["i"] < y["i"]))
+    ordered = F.array_sort(at, lambda x, y: F.when(before(x, y), -1).when(before(y, x), 1).otherwise(0))
+    last = _let(ordered, lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True))))
+    return _let(last, lambda entries: F.when(
+        F.forall(entries, lambda e: _is_object(e["a"])), F.transform(entries, lambda e: _item(e["a"], e["key"]))
+    ))
+
+
+def gitleaks_items() -> F.Column:
+    """Top-level array (JSON null = no findings)."""
+    return F.when(F.trim(F.col("payload")) == "null", F.array().cast(ITEM)).otherwise(_items(_array("payload")))
+
+
+def gitleaks_fields(it: F.Column) -> dict:
+    """Always CRITICAL; title carries the rule id."""
+    return dict(
+        severity=F.lit("CRITICAL"),
+        title=F.concat(F.lit("Secret detected: "), F.coalesce(_text(it, "$.RuleID"), F.lit("unknown"))),
+        description=_text(it, "$.Description"), file_path=_text(it, "$.File"), line=_int(it, "$.StartLine"),
+        recommendation=F.lit(GITLEAKS_RECOMMENDATION), rule_id=_rule(it),
     )
-    ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull() & ~malformed
-    # (dependency, vulnerability) pairs flattened in report order: one explode, exact positions
-    pairs = F.flatten(
-        F.transform(deps, lambda d: F.transform(F.coalesce(d["vulns"], no_vulns), lambda v: F.struct(d.alias("dep"), v.alias("vuln"))))
+
+
+def semgrep_items() -> F.Column:
+    """``results[]``."""
+    return _items(_doc_field("results", T.ArrayType(V)))
+
+
+def semgrep_fields(it: F.Column) -> dict:
+    """Severity from extra.severity (default WARNING), parsed (ERROR/WARNING -> LOW)."""
+    return dict(
+        severity=_let(F.coalesce(_text(it, "$.extra.severity"), F.lit("WARNING")), severity_parse),
+        title=F.coalesce(_text(it, "$.check_id"), F.lit("unknown")),
+        description=_text(it, "$.extra.message"), file_path=_text(it, "$.path"), line=_int(it, "$.start.line"),
+        recommendation=F.coalesce(_text(it, "$.extra.fix"), F.lit(SEMGREP_DEFAULT_FIX)), rule_id=_rule(it),
     )
-    status = _status(r, ok, F.size(pairs))
-    v = r.select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, pairs)).alias("pos", "pv")
-    ).select("*", F.col("pv.dep").alias("dep"), F.col("pv.vuln").alias("vuln"))
-    fixes = F.coalesce(F.col("vuln.fix_versions"), F.array().cast(T.ArrayType(S)))
-    raw_obj = F.to_json(
-        F.struct(
-            F.col("dep.name").alias("package"), F.col("dep.version").alias("installed_version"),
-            F.col("vuln.id").alias("vuln_id"), fixes.alias("fix_versions"),
-        )
+
+
+def pip_audit_items() -> F.Column:
+    """``dependencies[] x vulns[]``; a vulnerable dependency without name or version, or a vulnerability
+    without id, makes the whole report fail, as a missing key does in the tool."""
+    get = lambda d, path: F.try_variant_get(d, path, "string")
+    pairs = _pairs(
+        _doc_field("dependencies", T.ArrayType(V)), "$.vulns", lambda d, v: _item(v, get(d, "$.name"), get(d, "$.version"))
     )
-    f = _finish(
-        v, "pip-audit", F.lit("HIGH"),
-        F.format_string("%s %s: %s", F.col("dep.name"), F.col("dep.version"), F.col("vuln.id")),
-        F.col("vuln.description"), F.lit(None), F.lit(None),
-        F.when(F.size(fixes) > 0, F.concat(F.lit("Upgrade to "), F.array_join(fixes, ", "))).otherwise(F.lit(NO_FIX)),
-        F.col("vuln.id"), raw_obj,
+    named = lambda p: p["key"].isNotNull() & p["at"].isNotNull() & get(p["a"], "$.id").isNotNull()
+    return _let(pairs, lambda ps: F.when(F.forall(ps, named), ps))
+
+
+def pip_audit_fields(it: F.Column) -> dict:
+    fixes = F.coalesce(_texts(it, "$.fix_versions"), F.array().cast(T.ArrayType(S)))
+    name, version, vuln = it["key"], it["at"], _text(it, "$.id")
+    return dict(
+        severity=F.lit("HIGH"), title=F.format_string("%s %s: %s", name, version, vuln),
+        description=_text(it, "$.description"),
+        recommendation=F.when(F.size(fixes) > 0, F.concat(F.lit("Upgrade to "), F.array_join(fixes, ", "))).otherwise(
+            F.lit(NO_FIX)
+        ),
+        rule_id=vuln,
+        raw=F.to_json(F.struct(
+            name.alias("package"), version.alias("installed_version"), vuln.alias("vuln_id"), fixes.alias("fix_versions"),
+        )),
     )
-    return f, status
 
 
-def npm_audit(raw: DataFrame):
+def npm_audit_items() -> F.Column:
     """``vulnerabilities`` map name -> info. Map order is not kept, so items are numbered by name."""
-    schema = T.StructType(
-        [T.StructField("vulnerabilities", T.MapType(S, NPM_INFO)), T.StructField("_corrupt", S)]
-    )
-    r = _of(raw, "npm-audit").withColumn(
-        "_doc", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    )
-    ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
-    m = F.coalesce(F.col("_doc.vulnerabilities"), F.create_map().cast(T.MapType(S, NPM_INFO)))
-    status = _status(r, ok, F.size(m))
-    entries = _by_key(F.map_entries(m))
-    e = r.select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, entries)).alias("pos", "kv")
-    )
-    info = F.col("kv.value")
-    fix_truthy = json_truthy(info["fixAvailable"])
-    raw_obj = F.to_json(
-        F.struct(
-            F.col("kv.key").alias("package"),
-            F.coalesce(info["via"], F.array().cast(T.ArrayType(S))).alias("via"),
-            fix_truthy.alias("fix_available"),
-        )
-    )
-    f = _finish(
-        e, "npm-audit",
-        severity_parse(F.upper(F.coalesce(info["severity"], F.lit("unknown")))),
-        F.concat(F.col("kv.key"), F.lit(": "), F.coalesce(info["title"], F.lit("vulnerability"))),
-        info["title"], F.lit(None), F.lit(None),
-        F.when(fix_truthy, F.lit(NPM_FIX)).otherwise(F.lit(NPM_MANUAL)),
-        F.lit(None), raw_obj,
+    return _last_by_key(_doc_field("vulnerabilities", T.MapType(S, V)))
+
+
+def npm_audit_fields(it: F.Column) -> dict:
+    name, title, fix = it["key"], _text(it, "$.title"), _let(_any(it, "$.fixAvailable"), json_truthy)
+    via = F.coalesce(_texts(it, "$.via"), F.array().cast(T.ArrayType(S)))
+    return dict(
+        severity=_let(F.upper(F.coalesce(_text(it, "$.severity"), F.lit("unknown"))), severity_parse),
+        title=F.concat(name, F.lit(": "), F.coalesce(title, F.lit("vulnerability"))),
+        description=title, recommendation=F.when(fix, F.lit(NPM_FIX)).otherwise(F.lit(NPM_MANUAL)),
+        raw=F.to_json(F.struct(name.alias("package"), via.alias("via"), fix.alias("fix_available"))),
     )
-    return f, status
 
 
-def trivy(raw: DataFrame):
+def trivy_items() -> F.Column:
     """``Results[] x Vulnerabilities[]``; a null Vulnerabilities list yields no rows."""
-    schema = T.StructType([T.StructField("Results", T.ArrayType(TRIVY_RESULT)), T.StructField("_corrupt", S)])
-    r = _of(raw, "trivy").withColumn("_doc", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    ok = F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
-    results = F.coalesce(F.col("_doc.Results"), F.array().cast(T.ArrayType(TRIVY_RESULT)))
-    # (result, vulnerability) pairs flattened in report order; a null list contributes nothing
-    pairs = F.flatten(
-        F.transform(
-            results,
-            lambda x: F.transform(
-                F.coalesce(x["Vulnerabilities"], F.array().cast(T.ArrayType(TRIVY_VULN))),
-                lambda v: F.struct(x["Target"].alias("target"), v.alias("v")),
-            ),
-        )
+    target = lambda r: F.coalesce(F.try_variant_get(r, "$.Target", "string"), F.lit(""))
+    return _pairs(_doc_field("Results", T.ArrayType(V)), "$.Vulnerabilities", lambda r, v: _item(v, target(r)))
+
+
+def trivy_fields(it: F.Column) -> dict:
+    vuln, package = _text(it, "$.VulnerabilityID"), _text(it, "$.PkgName")
+    fixed = F.coalesce(_text(it, "$.FixedVersion"), F.lit(""))
+    return dict(
+        severity=_let(F.upper(F.coalesce(_text(it, "$.Severity"), F.lit("UNKNOWN"))), severity_parse),
+        title=F.concat(F.coalesce(package, F.lit("unknown")), F.lit(": "), F.coalesce(vuln, F.lit(""))),
+        description=_text(it, "$.Title"), file_path=it["key"],
+        recommendation=F.when(fixed != "", F.concat(F.lit("Upgrade to "), fixed)).otherwise(F.lit(NO_FIX)),
+        rule_id=vuln,
+        raw=F.to_json(F.struct(
+            vuln.alias("vuln_id"), package.alias("package"), _text(it, "$.InstalledVersion").alias("installed_version"),
+            fixed.alias("fixed_version"), F.coalesce(_text(it, "$.DataSource.Name"), F.lit("")).alias("data_source"),
+        )),
     )
-    status = _status(r, ok, F.size(pairs))
-    vv = r.select(
-        *[c for c in r.columns if c not in ("payload", "_doc")], F.posexplode(F.when(ok, pairs)).alias("pos", "tv")
-    ).select("*", F.col("tv.target").alias("target"), F.col("tv.v").alias("v"))
-    fixed = F.coalesce(F.col("v.FixedVersion"), F.lit(""))
-    raw_obj = F.to_json(
-        F.struct(
-            F.col("v.VulnerabilityID").alias("vuln_id"), F.col("v.PkgName").alias("package"),
-            F.col("v.InstalledVersion").alias("installed_version"), fixed.alias("fixed_version"),
-            F.coalesce(F.col("v.DataSource.Name"), F.lit("")).alias("data_source"),
-        )
-    )
-    f = _finish(
-        vv, "trivy",
-        severity_parse(F.upper(F.coalesce(F.col("v.Severity"), F.lit("UNKNOWN")))),
-        F.concat(F.coalesce(F.col("v.PkgName"), F.lit("unknown")), F.lit(": "),
-                 F.coalesce(F.col("v.VulnerabilityID"), F.lit(""))),
-        F.col("v.Title"), F.coalesce(F.col("target"), F.lit("")), F.lit(None),
-        F.when(fixed != "", F.concat(F.lit("Upgrade to "), fixed)).otherwise(F.lit(NO_FIX)),
-        F.col("v.VulnerabilityID"), raw_obj,
+
+
+def checkov_items() -> F.Column:
+    """An object or an array of objects; ``results.failed_checks[]`` of each."""
+    checks = T.StructType([T.StructField("failed_checks", T.ArrayType(V))])
+    docs = F.from_json("payload", T.ArrayType(T.StructType([T.StructField("results", checks)])))
+    return _items(F.flatten(F.transform(
+        docs, lambda d: F.coalesce(d["results"]["failed_checks"], F.array().cast(T.ArrayType(V)))
+    )))
+
+
+def checkov_fields(it: F.Column) -> dict:
+    """Only a JSON string severity is upper-cased and parsed (unknown -> LOW); absent, null or other -> MEDIUM.
+    Line = first of file_line_range."""
+    sev, name = _let(_any(it, "$.severity"), json_string), _text(it, "$.check_name")
+    return dict(
+        severity=_let(F.upper(sev), lambda x: F.when(x.isNull(), F.lit("MEDIUM")).otherwise(severity_parse(x))),
+        title=F.concat(F.coalesce(_text(it, "$.check_id"), F.lit("")), F.lit(": "), F.coalesce(name, F.lit("unknown"))),
+        description=name, file_path=_text(it, "$.file_path"), line=_int(it, "$.file_line_range[0]"),
+        recommendation=F.coalesce(_text(it, "$.guideline"), F.lit(CHECKOV_DEFAULT_GUIDELINE)), rule_id=_rule(it),
     )
-    return f, status
 
 
-def checkov(raw: DataFrame):
-    """Payload is an object or an array of objects; ``results.failed_checks[]`` of each.
+def hadolint_items() -> F.Column:
+    """One array per Dockerfile."""
+    return _items(_array("payload"))
 
-    Severity: upper-cased string, unknown -> LOW; null -> MEDIUM. Line = first
-    of file_line_range.
-    """
-    doc_t = T.StructType(
-        [T.StructField("results", T.StructType([T.StructField("failed_checks", T.ArrayType(CHECKOV_CHECK))]))]
-    )
-    r = _of(raw, "checkov").withColumn("_docs", F.from_json("payload", T.ArrayType(doc_t)))
-    ok = F.col("_docs").isNotNull()
-    checks = F.flatten(
-        F.transform(
-            F.col("_docs"), lambda d: F.coalesce(d["results"]["failed_checks"], F.array().cast(T.ArrayType(CHECKOV_CHECK)))
-        )
+
+def hadolint_fields(it: F.Column) -> dict:
+    """The file path is the report's source_path (not in the JSON)."""
+
+    def parsed(level: F.Column) -> F.Column:
+        sev = F.lit("MEDIUM")
+        for k, v in reversed(list(HADOLINT_LEVELS.items())):
+            sev = F.when(level == k, F.lit(v)).otherwise(sev)
+        return sev
+
+    code, message = _text(it, "$.code"), _text(it, "$.message")
+    return dict(
+        severity=_let(F.coalesce(_text(it, "$.level"), F.lit("warning")), parsed),
+        title=F.concat(F.coalesce(code, F.lit("unknown")), F.lit(": "), F.coalesce(message, F.lit(""))),
+        description=message, file_path=F.col("source_path"), line=_int(it, "$.line"),
+        recommendation=F.concat(F.lit(HADOLINT_WIKI), F.coalesce(code, F.lit(""))), rule_id=_rule(it),
     )
-    status = _status(r, ok, F.size(checks))
-    it = _explode_items(r, checks)
-    # only a JSON string is upper-cased and parsed; absent, null or non-string -> MEDIUM
-    sev_text = json_string(F.col("it.severity"))
-    sev = F.when(sev_text.isNull(), F.lit("MEDIUM")).otherwise(severity_parse(F.upper(sev_text)))
-    f = _finish(
-        it, "checkov", sev,
-        F.concat(F.coalesce(F.col("it.check_id"), F.lit("")), F.lit(": "), F.coalesce(F.col("it.check_name"), F.lit("unknown"))),
-        F.col("it.check_name"), F.col("it.file_path"), F.get(F.col("it.file_line_range"), 0),
-        F.coalesce(F.col("it.guideline"), F.lit(CHECKOV_DEFAULT_GUIDELINE)),
-        _rule(),
+
+
+def license_items() -> F.Column:
+    """A Python package list (array) or a Node map "pkg@ver" -> {licenses}."""
+    node = F.when(F.col("payload").rlike(r"^\s*\{"), _last_by_key(F.from_json("payload", T.MapType(S, V))))
+    return F.when(F.col("payload").rlike(r"^\s*\["), _items(_array("payload"))).otherwise(node)
+
+
+def license_text(it: F.Column) -> F.Column:
+    """A Node license list is joined with ", "."""
+    node = F.coalesce(
+        F.array_join(_texts(it, "$.licenses"), ", "), _text(it, "$.licenses")
     )
-    return f, status
-
-
-def hadolint(raw: DataFrame):
-    """One array per Dockerfile; the file path is the report's source_path (not in the JSON)."""
-    r = _of(raw, "hadolint").withColumn("_items", _array("payload", HADOLINT_ITEM))
-    ok = F.col("_items").isNotNull()
-    status = _status(r, ok, F.size("_items"))
-    it = _explode_items(r, F.col("_items"))
-    level = F.coalesce(F.col("it.level"), F.lit("warning"))
-    sev = F.lit("MEDIUM")
-    for k, v in reversed(list(HADOLINT_LEVELS.items())):
-        sev = F.when(level == k, F.lit(v)).otherwise(sev)
-    code = F.coalesce(F.col("it.code"), F.lit("unknown"))
-    f = _finish(
-        it, "hadolint", sev,
-        F.concat(code, F.lit(": "), F.coalesce(F.col("it.message"), F.lit(""))),
-        F.col("it.message"), F.col("source_path"), F.col("it.line"),
-        F.concat(F.lit(HADOLINT_WIKI), F.coalesce(F.col("it.code"), F.lit(""))),
-        _rule(),
+    text = F.when(it["key"].isNull(), _text(it, "$.License")).otherwise(node)
+    return F.coalesce(text, F.lit("UNKNOWN"))
+
+
+def license_fields(it: F.Column) -> dict:
+    """Flagged packages are HIGH, one finding per package."""
+    key, lic, missing = it["key"], license_text(it), F.lit("None")
+    name, version = _text(it, "$.Name"), _text(it, "$.Version")
+    return dict(
+        severity=F.lit("HIGH"),
+        title=F.format_string("Restricted license: %s (%s)", F.coalesce(key, name, F.lit("unknown")), lic),
+        description=F.when(
+            key.isNull(),
+            F.format_string("Package %s v%s uses %s", F.coalesce(name, missing), F.coalesce(version, missing), lic),
+        ).otherwise(F.format_string("Package %s uses %s", key, lic)),
+        recommendation=F.lit(LICENSE_RECOMMENDATION), rule_id=_rule(it),
     )
-    return f, status
 
 
-def _denied_items(items: F.Column, license_text, denied: list[str]) -> F.Column:
-    """Array of struct(pos, it, lic, deny) for the denied items only, positions from the input array.
+NORMALIZERS: dict[str, tuple[Callable[[], F.Column], Callable[[F.Column], dict]]] = {
+    "gitleaks": (gitleaks_items, gitleaks_fields),
+    "semgrep": (semgrep_items, semgrep_fields),
+    "pip-audit": (pip_audit_items, pip_audit_fields),
+    "npm-audit": (npm_audit_items, npm_audit_fields),
+    "trivy": (trivy_items, trivy_fields),
+    "checkov": (checkov_items, checkov_fields),
+    "hadolint": (hadolint_items, hadolint_fields),
+    "licenses": (license_items, license_fields),
+}
 
-    License text and deny match are computed inside the array (two nested
-    transforms) before the explode: a generator's input is evaluated once per
-    row, whereas a filter on a derived column would be re-inlined into the
-    pushed-down predicate for every reference.
-    """
-    with_lic = F.transform(items, lambda x, i: F.struct(i.alias("pos"), x.alias("it"), license_text(x).alias("lic")))
-    checked = F.transform(with_lic, lambda y: F.struct(y["pos"].alias("pos"), y["it"].alias("it"), y["lic"].alias("lic"),
-                                                      first_denied(y["lic"], denied).alias("deny")))
-    return F.filter(checked, lambda z: z["deny"].isNotNull())
 
+def _by_scanner(values: dict[str, F.Column]) -> F.Column:
+    """The value of the row's scanner."""
+    out = F.lit(None)
+    for name, value in values.items():
+        out = F.when(F.col("scanner") == name, value).otherwise(out)
+    return out
 
-def licenses(raw: DataFrame, denied: list[str] | None = None):
-    """License reports: a Python package list (array) or a Node map "pkg@ver" -> {licenses}.
 
-    A package is flagged (HIGH) when any denied id is a case-insensitive
-    substring of its license text; one finding per package. A Node license
-    list is joined with ", " first.
-    """
-    denied = DENIED_LICENSES if denied is None else denied
-    r = _of(raw, "licenses")
-    is_list = F.ltrim(F.col("payload")).startswith("[")
-    keep = [c for c in RAW_COLUMNS if c != "payload"]
-
-    py = r.filter(is_list).withColumn("_items", F.from_json("payload", T.ArrayType(PIP_LICENSE_ITEM)))
-    py_status = _status(py, F.col("_items").isNotNull(), F.size("_items"))
-    hits = _denied_items(F.col("_items"), lambda x: F.coalesce(x["License"], F.lit("UNKNOWN")), denied)
-    pit = py.select(*keep, F.explode(hits).alias("h")).select(
-        *keep, F.col("h.pos").alias("pos"), F.col("h.it").alias("it"), F.col("h.lic").alias("_lic")
-    ).withColumn("raw", F.to_json("it"))
-    py_f = _finish(
-        pit, "licenses", F.lit("HIGH"),
-        F.format_string("Restricted license: %s (%s)", F.coalesce(F.col("it.Name"), F.lit("unknown")), F.col("_lic")),
-        F.format_string(
-            "Package %s v%s uses %s",
-            F.coalesce(F.col("it.Name"), F.lit("None")), F.coalesce(F.col("it.Version"), F.lit("None")), F.col("_lic"),
-        ),
-        F.lit(None), F.lit(None), F.lit(LICENSE_RECOMMENDATION), _rule(),
-    )
+def _of(raw: DataFrame, scanner: str) -> DataFrame:
+    return raw.filter(F.col("scanner") == scanner)
 
-    nd = r.filter(~is_list).withColumn("_m", F.from_json("payload", T.MapType(S, NODE_LICENSE_INFO)))
-    nd_status = _status(nd, F.col("_m").isNotNull(), F.size("_m"))
-    entries = F.array_sort(F.map_entries(F.col("_m")))
-
-    def node_text(kv):
-        txt = F.coalesce(kv["value"]["licenses"], F.lit("UNKNOWN"))
-        joined = F.when(F.ltrim(txt).startswith("["), F.array_join(F.from_json(txt, T.ArrayType(S)), ", "))
-        return F.coalesce(joined, txt)
-
-    hits = _denied_items(entries, node_text, denied)
-    ne = nd.select(*keep, F.explode(hits).alias("h")).select(
-        *keep, F.col("h.pos").alias("pos"), F.col("h.it.key").alias("pkg"), F.col("h.it.value").alias("it"),
-        F.col("h.lic").alias("_lic"),
-    ).withColumn("raw", F.to_json("it"))
-    nd_f = _finish(
-        ne, "licenses", F.lit("HIGH"),
-        F.format_string("Restricted license: %s (%s)", F.col("pkg"), F.col("_lic")),
-        F.format_string("Package %s uses %s", F.col("pkg"), F.col("_lic")),
-        F.lit(None), F.lit(None), F.lit(LICENSE_RECOMMENDATION), _rule(),
-    )
-    return py_f.unionByName(nd_f), py_status.unionByName(nd_status)
-
-
-NORMALIZERS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
-    "gitleaks": gitleaks,
-    "semgrep": semgrep,
-    "pip-audit": pip_audit,
-    "npm-audit": npm_audit,
-    "trivy": trivy,
-    "checkov": checkov,
-    "hadolint": hadolint,
-    "licenses": licenses,
-}
 
+def normalize(
+    raw_reports: DataFrame, scanners: list[str] | None = None, denied: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All reports -> (findings, scan_status), each from one scan of the reports.
 
-def normalize(raw_reports: DataFrame, scanners: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All reports -> (findings, scan_status). ``scanners`` limits the tools (unknown names raise)."""
+    ``scanners`` limits the tools (unknown names raise). A license finding needs a denied id
+    (``denied``) that is a case-insensitive substring of the package's license text.
+    """
     names = list(NORMALIZERS) if not scanners else scanners
     unknown = [n for n in names if n not in NORMALIZERS]
     if unknown:
         raise ValueError(f"unknown scanner(s): {', '.join(unknown)}")
-    raw = raw_reports.select(*RAW_COLUMNS)
-    outs = [NORMALIZERS[n](raw) for n in names]
-    findings = reduce(DataFrame.unionByName, [o[0] for o in outs])
-    status = reduce(DataFrame.unionByName, [o[1] for o in outs])
-    return findings, status
+    raw = raw_reports.select(*RAW_COLUMNS).filter(F.col("scanner").isin(*names))
+    about = [c for c in RAW_COLUMNS if c != "payload"]
+    items = {n: NORMALIZERS[n][0]() for n in names}
+
+    parsed = raw.select(*about, F.size(_by_scanner(items)).alias("_n"))
+    ok = F.coalesce(F.col("_n") >= 0, F.lit(False))  # the size of null is null or -1
+    status = parsed.select(
+        *about, ok.alias("ok"), F.when(~ok, F.lit("unparsable or malformed report")).alias("error"),
+        F.when(ok, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_items"),
+    )
+
+    def finding(name: str, it: F.Column) -> F.Column:
+        f = NORMALIZERS[name][1](it)
+        deny = DENIED_LICENSES if denied is None else denied
+        denied_by = _let(license_text(it), lambda text: first_denied(text, deny))
+        return F.struct(
+            (denied_by.isNotNull() if name == "licenses" else F.lit(True)).alias("found"),
+            f["severity"].alias("severity"),
+            f["title"].alias("title"),
+            F.coalesce(f["description"], F.lit("")).alias("description"),
+            f.get("file_path", F.lit(None)).cast("string").alias("file_path"),
+            f.get("line", F.lit(None)).cast("int").alias("line"),
+            f["recommendation"].alias("recommendation"),
+            f.get("rule_id", F.lit(None)).cast("string").alias("rule_id"),
+            f.get("raw", F.to_json(it["a"])).alias("raw"),
+        )
+
+    def _made(values: F.Column, name: str) -> F.Column:
+        return F.transform(values, lambda it: finding(name, it))
+
+    # findings are made inside the array: only the branch of the row's scanner is evaluated, once for each item
+    made = _by_scanner({n: _made(items[n], n) for n in names})
+    rows = raw.select(*about, F.posexplode(made).alias("pos", "f")).filter("f.found").select(
+        "repo", "run_id", "run_date",
+        (F.col("report_seq") * F.lit(1 << POS_BITS) + F.col("pos")).alias("ingest_seq"),
+        "scanner", "f.*",
+    )
+    fp = fingerprint("scanner", "title", "file_path", "line", "rule_id").alias("fingerprint")
+    return rows.select(*[fp if c == "fingerprint" else F.col(c) for c in FINDINGS_COLUMNS]), status
 
 
 def run_status(scan_status: DataFrame) -> DataFrame:
@@ -533,7 +492,7 @@ def legacy_records(raw_reports: DataFrame) -> DataFrame:
         F.col("it.extra.message").alias("description"), F.to_json("it").alias("record"),
     )
 
-    pip_f, _ = pip_audit(raw)  # same parse and failure rule; reshaped to the agent's record
+    pip_f, _ = normalize(raw, ["pip-audit"])  # same parse and failure rule; reshaped to the agent's record
     p = pip_f.select(
         "repo", "run_id", "run_date",
         F.shiftright("ingest_seq", POS_BITS).alias("report_seq"),
