@@ -392,7 +392,7 @@ def q_text_rows(spark, sf_dir):
     "sarif_results",
     with_events()
     + """
-SELECT repo, scanner, CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE substr(title, 1, 40) END AS rule_id,
+SELECT repo, scanner, CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE title END AS rule_id,
   CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning'
     WHEN 'LOW' THEN 'note' WHEN 'INFO' THEN 'note' ELSE 'warning' END AS level,
   concat(coalesce(description, ''), chr(10), chr(10), 'Recommendation: ', coalesce(recommendation, '')) AS message,
@@ -409,7 +409,7 @@ def q_sarif_results(spark, sf_dir):
     "sarif_rules",
     with_events()
     + """
-, r AS (SELECT repo, scanner, CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE substr(title, 1, 40) END
+, r AS (SELECT repo, scanner, CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE title END
           AS rule_id, title, severity, ingest_seq FROM findings),
 g AS (SELECT repo, scanner, rule_id, arg_min({'title': title, 'severity': severity}, ingest_seq) AS fst
       FROM r GROUP BY repo, scanner, rule_id)
@@ -517,7 +517,7 @@ def q_digest_policy(spark, sf_dir):
   SELECT repo, concat('[', substr(fingerprint, 1, 8), ']') AS tag,
     arg_min({'severity': severity, 'title': title, 'scanner': scanner, 'fingerprint': fingerprint,
              'description': description, 'recommendation': recommendation}, ingest_seq) AS f
-  FROM findings WHERE severity = 'CRITICAL' AND coalesce(fingerprint, '') <> '' GROUP BY repo, tag),
+  FROM findings WHERE severity = 'CRITICAL' AND coalesce(fingerprint, '') <> '' GROUP BY repo, fingerprint, tag),
 existing AS (
   SELECT DISTINCT repo, unnest(regexp_extract_all(issue_title, '(\\[[0-9a-f]{8}\\])', 1)) AS tag FROM open_issues)
 SELECT repo, f.fingerprint AS fingerprint,
@@ -916,7 +916,7 @@ _LEVEL_SQL = ("CASE {c} WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WH
     + f"""
 , res AS (
   SELECT repo, scanner, ingest_seq,
-    CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE substr(title, 1, 40) END AS rule_id,
+    CASE WHEN coalesce(fingerprint, '') <> '' THEN fingerprint ELSE title END AS rule_id,
     {_LEVEL_SQL.format(c='severity')} AS level,
     concat(coalesce(description, ''), chr(10), chr(10), 'Recommendation: ', coalesce(recommendation, '')) AS message,
     CASE WHEN coalesce(file_path, '') <> '' THEN file_path END AS uri,

@@ -157,7 +157,7 @@ def export_json(df: DataFrame, path: str, scans: DataFrame | None = None) -> Non
 
 
 def _sarif_rule_id() -> F.Column:
-    return F.when(_truthy_str(F.col("fingerprint")), F.col("fingerprint")).otherwise(F.substring("title", 1, 40))
+    return F.when(_truthy_str(F.col("fingerprint")), F.col("fingerprint")).otherwise(F.col("title"))
 
 
 def sarif_results(df: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def issue_work_list(
     labels: list[str] | None = None,
     assignees: list[str] | None = None,
 ) -> DataFrame:
-    """Issues to open: at/above the threshold, not already open, one per fingerprint tag.
+    """Issues to open: at/above the threshold, not already open, one per fingerprint (whole, not its tag).
 
     An open issue matches when its title contains the finding's tag
     ``[<first 8 hex of fingerprint>]``. Tags are pulled out of the titles with
@@ -355,11 +355,11 @@ def issue_work_list(
     lab = ISSUE_LABELS if labels is None else labels
     cand = df.filter(at_or_above("severity", threshold, order)).filter(_truthy_str(F.col("fingerprint")))
     cand = cand.withColumn("tag", F.concat(F.lit("["), F.substring("fingerprint", 1, 8), F.lit("]")))
-    first = cand.groupBy("repo", "tag").agg(
+    first = cand.groupBy("repo", "fingerprint", "tag").agg(
         F.min_by(
             F.struct("severity", "title", "scanner", "fingerprint", "description", "recommendation"), "ingest_seq"
         ).alias("f")
-    )
+    ).drop("fingerprint")
     existing = open_issues.select(
         "repo", F.explode(F.regexp_extract_all("issue_title", F.lit(r"(\[[0-9a-f]{8}\])"), 1)).alias("tag")
     ).distinct()

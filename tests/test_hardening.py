@@ -11,7 +11,7 @@ from scanledger.operators import triage
 from scanledger.operators.store import BucketedStore
 from scanledger.plans import reports
 from scanledger.streaming.ingest import ingest_stream
-from tests.conftest import make_findings
+from tests.conftest import CANONICAL, make_findings
 from tests.test_normalizers import run
 from tests.test_streaming import report, write_lines
 
@@ -79,3 +79,13 @@ def test_csv_round_trips_through_another_reader(spark, tmpdir_path):
         with open(path, newline="") as fh:
             got += [r["title"] for r in csv.DictReader(fh)]
     assert sorted(got) == sorted(titles)
+
+
+def test_fingerprints_sharing_a_tag_and_titles_sharing_a_prefix_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    f = make_findings(spark, [dict(CANONICAL[0], ingest_seq=i, title="x" * 40 + str(i)) for i in range(2)])
+    tagged = f.withColumn("fingerprint", F.concat(F.lit("01234567"), F.col("ingest_seq").cast("string")))
+    todo = reports.issue_work_list(tagged, spark.createDataFrame([], "repo string, issue_title string"))
+    assert sorted(r["fingerprint"] for r in todo.collect()) == ["012345670", "012345671"]
+    assert reports.sarif_rules(f.withColumn("fingerprint", F.lit(""))).count() == 2
