@@ -1,8 +1,8 @@
 """A corpus pipeline: language ID, near-duplicate removal, secrets, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result and reads it again. All
-but the last return the columns of ``documents``. ``docs`` must be read from files, so that every scan numbers its
-rows alike. Null or empty texts, null ids and repeated rows pass through as the stages' notes say.
+but the last return the columns of ``documents``. Stages that join by row write their rows with a number first and
+scan that table only. Null or empty texts, null ids and repeated rows pass through as the stages' notes say.
 """
 
 from __future__ import annotations

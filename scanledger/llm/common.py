@@ -56,8 +56,11 @@ def internal_id(name: str) -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``_row``, a number for each row of a table read from files: the same in every scan of it."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    """Adds ``_row``, a number for each row, written with the other columns: every later scan reads the same numbers.
+
+    A number that is worked out anew follows the file splits, and these follow the cores registered when a job is planned.
+    """
+    return stash(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def by_row(few: DataFrame) -> DataFrame:

@@ -270,3 +270,23 @@ def test_pipeline_keeps_one_of_each_group_and_masks(spark, tmp_path):
     assert masked == {1: text, 6: letters + " <secret> end"} or masked[6] == letters + ' <secret>" end'
     assert all(r["round_trip"] for r in seen["sentencepiece"])
     assert hashlib.sha256(masked[1].encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_row_numbers_stay_when_files_are_split_anew(spark, tmp_path):
+    from scanledger.llm import common as C
+
+    path = str(tmp_path / "documents.parquet")
+    docs(spark, [(i, f"text {i}") for i in range(200)]).repartition(8).write.parquet(path)
+    rows, seen = C.numbered(spark.read.parquet(path)), []
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1k", "1g"):
+            for k in kept:
+                spark.conf.set(k, size if k.endswith("maxPartitionBytes") else "1")
+            spark.conf.set("spark.sql.files.minPartitionNum", "64" if size == "1k" else "1")
+            seen.append({r["doc_id"]: r["_row"] for r in rows.select("doc_id", "_row").collect()})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(set(seen[0].values())) == 200 and seen[0] == seen[1]
