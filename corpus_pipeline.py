@@ -16,6 +16,8 @@ from scanledger.llm import hyper_langid, jaccard_join, secret_ownership, source_
 #: Texts of at least so many characters that are further than this from every language are no language.
 LONG, LEAST_COSINE = 200, 0.1
 MASK = "<secret>"
+#: A secret stays in the texts, as a widely copied example, if so many sources and so many documents hold it.
+EXAMPLE_SOURCES, EXAMPLE_DOCUMENTS = 3, 10
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +53,10 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets that only one source holds; widely copied examples and everything else stay."""
+    """Masks every secret not proven widely copied, and long keys that only one source holds; everything else stays."""
     rows = C.numbered(docs)
-    found = secret_ownership.secret_scan(rows, "_row", "text", "source", "doc_id").withColumnRenamed("doc_id", "_row")
+    found = secret_ownership.secret_scan(rows, "_row", "text", "source", "doc_id", example_owners=EXAMPLE_SOURCES, example_repositories=EXAMPLE_DOCUMENTS)
+    found = found.withColumnRenamed("doc_id", "_row")
     live = F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     live = C.by_row(found.select("_row", live.alias("_spans")).where(F.size("_spans") > 0))
     text = F.when(F.col("_spans").isNotNull(), _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))

@@ -2,8 +2,10 @@
 
 Patterns give each document's base spans, and wide candidates: runs of 20 or more key characters with letters and
 digits that no base span covers. The SHA-256 of every candidate's value is counted over the whole corpus by distinct
-repositories and distinct owners. A value that several owners hold is a widely copied example; one of a single owner
-is live-looking. A wide candidate becomes a span of kind ``owned`` only if it is live-looking; base spans always stay.
+repositories and distinct owners. A base span is a widely copied example if at least ``example_owners`` owners and
+``example_repositories`` repositories hold its value, else live-looking; base spans always stay. A wide candidate
+becomes a span of kind ``owned`` only if at most ``max_owners`` owners hold it. The query (and its SQL) takes two owners
+as many; the pipeline asks for more of both.
 
 Base spans are leftmost and do not overlap within a kind:
   assign  a key word, ``:`` or ``=``, and a value of 6 characters or more (the value is hashed)
@@ -76,16 +78,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, example_owners: int | None = None, example_repositories: int = 1) -> DataFrame:
     """(doc_id, base, found) for each document: base spans, and all spans with how many repositories and owners hold each value.
 
-    Spans are (start, kind, end, hash); those of ``found`` also carry n_repositories, n_owners and live. A span is live
-    if at most ``max_owners`` owners hold its value; kinds index KINDS.
+    Spans are (start, kind, end, hash); those of ``found`` also carry n_repositories, n_owners and live. A base span
+    is live unless its value has ``example_owners`` owners (default: more than ``max_owners``) and
+    ``example_repositories`` repositories; an ``owned`` span has at most ``max_owners`` owners. Kinds index KINDS.
     """
     found = C.stash(candidates(docs, id_col, text_col, owner_col, repo_col))
     counts = C.stash(ownership(found))
     spans = found.select("row", F.explode(F.concat("base", "wide")).alias("span")).select("row", "span", F.col("span.hash").alias("hash"))
-    judged = spans.join(counts, "hash").withColumn("live", F.col("n_owners") <= max_owners).where("span.kind < 3 or live")
+    copied = (F.col("n_owners") >= (example_owners or max_owners + 1)) & (F.col("n_repositories") >= example_repositories)
+    live = F.when(F.col("span.kind") < 3, ~copied).otherwise(F.col("n_owners") <= max_owners)
+    judged = spans.join(counts, "hash").withColumn("live", live).where("span.kind < 3 or live")
     told = F.struct("span.start", "span.kind", "span.end", "span.hash", "n_repositories", "n_owners", "live")
     per_doc = judged.groupBy("row").agg(F.sort_array(F.collect_list(told)).alias("found"))
     none = F.array().cast(per_doc.schema["found"].dataType)

@@ -290,3 +290,17 @@ def test_row_numbers_stay_when_files_are_split_anew(spark, tmp_path):
             spark.conf.set(k, v)
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert len(set(seen[0].values())) == 200 and seen[0] == seen[1]
+
+
+def test_pipeline_masks_secrets_that_are_not_widely_copied(spark, tmp_path):
+    import corpus_pipeline
+
+    two, hot, example = "Zx81pqRt55uvWq", "hotsource99key", "exampleKey2024"
+    rows = [(i, f"one token={two} end", f"s{i}") for i in (1, 2)]  # two documents of two sources
+    rows += [(100 + i, f"doc {i} token={hot} end", "s1") for i in range(12)]  # many documents of one source
+    rows += [(200 + i, f"doc {i} token={example} end", f"s{i % 4}") for i in range(12)]  # many of several
+    path = str(tmp_path / "documents.parquet")
+    docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(path)
+    out = [r["text"] for r in corpus_pipeline.secrets(spark, spark.read.parquet(path), str(tmp_path)).collect()]
+    assert len(out) == 26 and sum("<secret>" in t for t in out) == 14 and sum(example in t for t in out) == 12
+    assert not any(two in t or hot in t for t in out)
