@@ -42,6 +42,30 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, block):
     assert itq_dedup.near_dedup(vectors(spark, [])).collect() == []
 
 
+def test_copies_are_collapsed_and_cells_are_bounded(spark, monkeypatch):
+    rng, whole = np.random.default_rng(4), itq_dedup._block
+
+    def bounded(tab, home, looking, *rest):
+        assert home.num_rows <= 4 * 7 and looking.num_rows <= 32 * 7, (home.num_rows, looking.num_rows)
+        return whole(tab, home, looking, *rest)
+
+    monkeypatch.setattr(itq_dedup, "BLOCK", 7)
+    monkeypatch.setattr(itq_dedup, "_block", bounded)
+    x = rng.normal(size=(900, 16))
+    x[100:500] = x[100]  # equal
+    x[500:900] = x[500] + 1e-6 * rng.normal(size=(400, 16))  # all but equal
+    ids = np.arange(900)
+    ids[101], ids[102] = 100, 0  # one id twice with one vector; one id with two vectors
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & (ids[:, None] != ids[None, :])
+    links = {i: int(linked[ids == i].sum()) for i in ids.tolist()}
+    label = C.merge(np.arange(900), ids[np.nonzero(linked)[0]], ids[np.nonzero(linked)[1]])
+    d = spark.createDataFrame([(int(i), [float(y) for y in v], 0, 1, "b") for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = itq_dedup.near_dedup(d).collect()
+    assert sorted(r["vec_id"] for r in got) == sorted(ids.tolist())
+    assert all((r["n_links"], r["component_id"]) == (links[r["vec_id"]], label[r["vec_id"]]) for r in got)
+
+
 @pytest.mark.parametrize("rows", [10, 10**4, 10**6, 10**9])
 def test_tables_cover_the_code_once_and_find_pairs_within_seven_bits(rows):
     cuts, radius = itq_dedup.tables(rows)
