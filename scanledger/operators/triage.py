@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from scanledger.functions.fingerprint import fingerprint
 from scanledger.functions.severity import REPORTED_SEVERITIES, severity_rank
 from scanledger.operators.aggregates import passthrough_triage
+from scanledger.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference): default input cap, payload cap and
 # the marker appended to a cut payload; summary of an empty run.
@@ -55,6 +56,47 @@ def triage_payload(df: DataFrame, max_findings: int = MAX_FINDINGS, max_chars: i
     )
 
 
+def triage_batches(df: DataFrame, max_findings: int = MAX_FINDINGS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """All findings of each repo as numbered payloads (repo, batch, first_position, n_findings, payload).
+
+    Each payload is a whole JSON array of at most ``max_findings`` findings and ``max_chars`` characters; only a finding
+    that is longer by itself stands alone in a longer one. Batches in order flatten to all findings in arrival order.
+
+    A finding's batch follows from its position and its offset in characters among the repo's findings. Both are running
+    sums over range-partitioned slices, written once, so no task holds all findings of a repo; what is ordered by repo
+    alone are numbers, one row a slice and one a batch.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    js = F.to_json(finding_struct(), {"ignoreNullFields": "false"})
+    rows = df.select("repo", "ingest_seq", js.alias("js")).repartitionByRange("repo", "ingest_seq")
+    rows = rows.withColumn("slice", F.spark_partition_id()).checkpoint()
+    chars = F.length("js").cast("bigint") + 1  # with the comma
+    before = Window.partitionBy("repo").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("repo", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).select(
+        F.col("repo").alias("_repo"), F.col("slice").alias("_slice"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "chars")],
+    )
+    within = Window.partitionBy("repo", "slice").orderBy("ingest_seq")
+    start = F.col("chars_before") + F.sum(chars).over(within.rowsBetween(Window.unboundedPreceding, 0)) - chars
+    half = max_chars // 2  # findings that start within half a payload fit one, if none is longer than the other half
+    placed = rows.join(slices, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("slice") == F.col("_slice")))
+    placed = placed.withColumn("position", F.col("n_before") + F.row_number().over(within)).withColumn("start", start)
+    group = F.struct(
+        F.floor((F.col("position") - 1) / max_findings).alias("block"), F.floor(F.col("start") / half).alias("part"),
+        (F.length("js") > max_chars - half - 1).alias("alone"),
+    )
+    batches = placed.groupBy("repo", group.alias("group")).agg(
+        F.min("position").alias("first_position"),
+        F.array_sort(F.collect_list(F.struct("position", "js"))).alias("items"),
+    )
+    order = F.row_number().over(Window.partitionBy("_repo").orderBy("_group"))
+    keys = placed.select(F.col("repo").alias("_repo"), group.alias("_group")).distinct().withColumn("batch", order.cast("bigint"))
+    return batches.join(keys, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("group") == F.col("_group"))).select(
+        "repo", "batch", "first_position", F.size("items").cast("bigint").alias("n_findings"),
+        F.concat(F.lit("["), F.concat_ws(",", F.transform("items", lambda x: x["js"])), F.lit("]")).alias("payload"),
+    )
+
+
 RESPONSE_ITEM = T.StructType(
     [
         T.StructField("title", T.StringType()),

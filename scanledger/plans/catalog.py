@@ -865,6 +865,29 @@ def q_triage_payload(spark, sf_dir):
     return triage.triage_payload(_ev(spark, sf_dir), TRIAGE_MAX, TRIAGE_CHARS)
 
 
+@register(
+    "triage_batches",
+    with_events()
+    + f"""
+, j AS (
+  SELECT repo, row_number() OVER w AS position, to_json({{'scanner': scanner, 'severity': severity, 'title': title,
+      'description': description, 'file_path': file_path, 'line': line, 'recommendation': recommendation,
+      'fingerprint': fingerprint}})::varchar AS js
+  FROM findings WINDOW w AS (PARTITION BY repo ORDER BY ingest_seq)),
+o AS (
+  SELECT *, sum(length(js) + 1) OVER (PARTITION BY repo ORDER BY position) - length(js) - 1 AS start FROM j),
+b AS (
+  SELECT repo, (position - 1) // {TRIAGE_MAX} AS block, start // {TRIAGE_CHARS // 2} AS part,
+    length(js) > {TRIAGE_CHARS - TRIAGE_CHARS // 2 - 1} AS alone, min(position) AS first_position,
+    count(*) AS n_findings, concat('[', string_agg(js, ',' ORDER BY position), ']') AS payload
+  FROM o GROUP BY ALL)
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY first_position) AS batch, first_position, n_findings, payload
+FROM b""",
+)
+def q_triage_batches(spark, sf_dir):
+    return triage.triage_batches(_ev(spark, sf_dir), TRIAGE_MAX, TRIAGE_CHARS)
+
+
 # --------------------------------------------------------------------------- legacy records (S10, P9)
 
 from scanledger.functions.severity import page_severity  # noqa: E402

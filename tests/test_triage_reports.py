@@ -194,3 +194,16 @@ def test_truncation_counts_code_points(spark):
     assert row.endswith(" | " + ("x|" * 150).replace("|", "\\|")[:200] + " |")
     issue = reports.issue_work_list(f, spark.createDataFrame([], "repo string, issue_title string")).collect()[0]
     assert issue["issue_title"].startswith("[Security] CRITICAL: " + title[:80] + " [")
+
+
+def test_triage_batches_hold_every_finding_in_valid_json(spark):
+    rows = [dict(repo="hot", run_date="2024-01-01", ingest_seq=i, scanner="semgrep", severity="LOW", title=f"t{i}",
+                 description="d" * (i * 37 % 900 if i != 700 else 20000)) for i in range(1300)]
+    rows += [dict(repo="one", run_date="2024-01-01", ingest_seq=0, scanner="semgrep", severity="LOW", title="t0")]
+    out = triage.triage_batches(make_findings(spark, rows), 20, 12000).orderBy("repo", "batch").collect()
+    hot = [r for r in out if r["repo"] == "hot"]
+    assert [r["batch"] for r in hot] == list(range(1, len(hot) + 1)) and len(out) == len(hot) + 1
+    items = [json.loads(r["payload"]) for r in hot]
+    assert [x["title"] for b in items for x in b] == [f"t{i}" for i in range(1300)]
+    assert all(r["n_findings"] == len(b) <= 20 for r, b in zip(hot, items))
+    assert [len(b) for r, b in zip(hot, items) if len(r["payload"]) > 12000] == [1]
