@@ -74,6 +74,27 @@ def sightings(findings: DataFrame, run_col: str = "run_date", scope: str = "repo
     )
 
 
+def fold_sightings(held: DataFrame | None, findings: DataFrame, scans: DataFrame, run_col: str = "run_date") -> DataFrame:
+    """The sightings of ``findings`` added to those held: one row per (repo, fingerprint, run), and one per run.
+
+    A run's own row has a null fingerprint, so runs without findings are kept. Fields come from the smallest and the
+    largest ingest_seq of all batches; folding the same rows again, or in another order, gives the same table.
+    """
+    keys = [*KEY, run_col]
+    fields = {"first": F.struct(*_FIRST), "last": F.struct(*_LAST), "first_seq": F.col("ingest_seq"), "last_seq": F.col("ingest_seq")}
+    new = findings.select(*keys, *[c.alias(n) for n, c in fields.items()])
+    runs = scans.select("repo", F.lit(None).cast("string").alias("fingerprint"), run_col).distinct()
+    both = new.unionByName(runs, allowMissingColumns=True)
+    if held is not None:
+        both = held.unionByName(both)
+    return both.groupBy(*keys).agg(
+        F.min_by("first", "first_seq").alias("first"),
+        F.max_by("last", "last_seq").alias("last"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+    )
+
+
 def replay(
     findings: DataFrame,
     scans: DataFrame,
@@ -101,9 +122,21 @@ def replay(
     open / reopened when seen in the last run, else resolved, and
     ``resolved_on`` is the latest resolving run).
     """
+    return replay_sightings(sightings(findings, run_col, scope), scans, suppressions, run_col, scope, resolve_reopened)
+
+
+def replay_sightings(
+    seen: DataFrame,
+    scans: DataFrame,
+    suppressions: DataFrame | None = None,
+    run_col: str = "run_date",
+    scope: str = "repo",
+    resolve_reopened: bool = False,
+) -> DataFrame:
+    """:func:`replay` from one row per (repo, fingerprint, run), as :func:`sightings` makes them."""
     cols = _scope_cols(scope)
     runs = run_numbers(scans, run_col, scope)
-    s = sightings(findings, run_col, scope).join(runs, [*cols, run_col])
+    s = seen.join(runs, [*cols, run_col])
     w = Window.partitionBy(*KEY).orderBy("seq")
     s = s.withColumn("rn", F.row_number().over(w)).withColumn(
         "f0", F.min("seq").over(Window.partitionBy(*KEY))

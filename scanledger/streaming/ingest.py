@@ -1,10 +1,12 @@
 """Continuous ingest: a stream of raw reports -> normalised findings -> lifecycle state.
 
 Structured Streaming file source (JSON Lines, one raw report per line, explicit
-schema) with ``foreachBatch``: each micro-batch is normalised, its runs are
-replayed onto the latest state snapshot with the closed form
-(:func:`merge_runs` -- a batch may hold several runs of one repo), and a new
-snapshot of the touched repo buckets is committed. Commits carry the query id and the batch epoch, so a replayed epoch after
+schema) with ``foreachBatch``: each micro-batch is normalised, its sightings
+(one row per repo, fingerprint and run) are folded into those held, the touched
+repo buckets are replayed from all their sightings, and a new snapshot of them
+is committed. So a run may arrive in any number of batches, and runs in any
+order, with the same state. Folding is idempotent, so sightings need no commit
+in common with the state. Commits carry the query id and the batch epoch, so a replayed epoch after
 a failure is skipped (exactly-once state), and the per-batch scan-status / scan
 tables are written to ``epoch=<id>`` directories with overwrite (idempotent).
 State lives on shared storage, so each batch starts from Parquet: no lineage
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanledger.operators.lifecycle import merge_runs
+from scanledger.operators.lifecycle import KEY, STATE_COLUMNS, fold_sightings, replay_sightings
 from scanledger.operators.store import BucketedStore
 from scanledger.sources.reports import normalize
 
@@ -30,7 +32,8 @@ def process_batch(
 ) -> int | None:
     """Normalise one batch of raw reports and fold it into the store. Returns the committed version.
 
-    Only the state buckets of the repos in the batch are read and rewritten.
+    Only the buckets of the repos in the batch are read and rewritten, in the state and in ``sightings``. Suppressed
+    keys of the stored state stay as they are. A state without sightings (of a former layout) is refused.
     """
     store = BucketedStore(spark, store_root, n_buckets)
     if store.committed_epoch(epoch, query):
@@ -48,7 +51,18 @@ def process_batch(
         touched = store.touched_buckets(scans.select("repo"))
         if not touched:
             return None
-        new_state = merge_runs(store.read(touched), findings, scans)
+        seen, old = BucketedStore(spark, f"{store_root}/sightings", n_buckets), store.read(touched)
+        held = seen.read(touched)
+        if old is not None:
+            known = held.select("repo").distinct() if held is not None else old.select("repo").limit(0)
+            if not old.join(known, "repo", "left_anti").isEmpty():
+                raise ValueError(f"{store_root} holds state without sightings; ingest its reports anew")
+        seen.commit(fold_sightings(held, findings, scans), epoch=epoch, buckets=touched, query=query)
+        held = seen.read(touched)
+        new_state = replay_sightings(held.where("fingerprint is not null"), held.select("repo", "run_date")).select(*STATE_COLUMNS)
+        if old is not None:
+            suppressed = old.where("status = 'suppressed'").select(*STATE_COLUMNS)
+            new_state = new_state.join(suppressed, KEY, "left_anti").unionByName(suppressed)
         return store.commit(new_state, epoch=epoch, buckets=touched, query=query)
     finally:
         batch.unpersist()
