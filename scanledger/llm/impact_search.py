@@ -10,8 +10,8 @@ segments are processed, which is exact as well. The k best of each block and que
 
 Queries meet rows block by block: (query group, vector block) cells of bounded size.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part; components are held
-within +-2**31; a query meets only vectors of its own length; a query has fewer results if there are fewer rows; rows
+Defined cases: vectors that are null, empty or hold null or non-finite components take no part; a component
+is 64 bits (its integer is held within +-2**63) and a score that leaves this range wraps; a query meets only vectors of its own length; a query has fewer results if there are fewer rows; rows
 with the query's id are not its candidates; null ids are candidates, last among ties; an empty table gives an empty
 one; labels and other columns are not read.
 """
@@ -30,6 +30,8 @@ BLOCK = 4096
 QUERIES = 1024
 #: A block stops when at most this share of its (query, vector) pairs is still possible.
 FEW = 0.01
+#: The largest double below 2**63.
+LARGEST = 2.0**63 - 1024
 
 
 def _integers(batches, scale: float):
@@ -38,7 +40,7 @@ def _integers(batches, scale: float):
         for v in batch.column("vector").to_pylist():
             x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
             ok = len(x) and np.isfinite(x).all()
-            out.append(np.clip(np.floor(x * scale), -(2.0**31), 2.0**31 - 1).astype(np.int32).tobytes() if ok else None)
+            out.append(np.clip(np.floor(x * scale), -LARGEST, LARGEST).astype(np.int64).tobytes() if ok else None)
         ids = batch.column("vec_id")
         yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["vec_id", "vector"]).filter(pa.array([x is not None for x in out], pa.bool_()))
 
@@ -52,9 +54,9 @@ def _index(key, table):
     block, dims = (k.as_py() for k in key)
     ids = table.column("vec_id").to_numpy()
     order = np.argsort(ids, kind="stable")
-    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.int32).reshape(len(ids), dims)[order]
+    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.int64).reshape(len(ids), dims)[order]
     out = [(block, dims, -1, ids[order].tobytes(), x.tobytes(), None, None, None, None)]
-    size = np.abs(x.astype(np.int64))
+    size = np.abs(x)
     level = np.where(size > 0, np.frexp(size.astype(np.float64))[1], 0)
     left = (size.astype(np.float64) ** 2).sum(1)
     for segment in np.unique(level[level > 0])[::-1].tolist():
@@ -74,9 +76,9 @@ def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     rows = sorted(index.to_pylist(), key=lambda r: (r["segment"] >= 0, -r["segment"]))
     ids = np.frombuffer(rows[0]["ids"], np.int64)
     dims = rows[0]["dims"]
-    x = np.frombuffer(rows[0]["vectors"], np.int32).reshape(len(ids), dims)
+    x = np.frombuffer(rows[0]["vectors"], np.int64).reshape(len(ids), dims)
     query_ids = queries.column("query_id").to_numpy()
-    q = np.frombuffer(b"".join(queries.column("vector").to_pylist()), np.int32).reshape(len(query_ids), dims)
+    q = np.frombuffer(b"".join(queries.column("vector").to_pylist()), np.int64).reshape(len(query_ids), dims)
     own = query_ids[:, None] == ids[None, :]
     # sums of products are exact in doubles below 2**53; else every pair is scored in integers
     exact = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * dims < 2.0**52
@@ -86,7 +88,7 @@ def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         score = np.zeros(own.shape)
         for r in rows[1:]:
             tile = np.zeros(x.shape)
-            tile[np.frombuffer(r["rows"], np.int32), np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int32)
+            tile[np.frombuffer(r["rows"], np.int32), np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int64)
             score += qd @ tile.T
             bound = length[:, None] * np.frombuffer(r["rest"], np.float64)[None, :] * (1 + 1e-9) + 1e-6
             least = np.where(own, -np.inf, score - bound)
@@ -95,7 +97,7 @@ def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             if possible.mean() <= FEW:
                 break
     at, who = np.nonzero(possible)
-    scores = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[at[i : i + 65536]].astype(np.int64), x[who[i : i + 65536]].astype(np.int64)) for i in range(0, len(at), 65536))])
+    scores = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[at[i : i + 65536]], x[who[i : i + 65536]]) for i in range(0, len(at), 65536))])
     order = np.lexsort((ids[who], -scores, at))
     at, who, scores = at[order], who[order], scores[order]
     begin, n = C.runs(at)
@@ -107,10 +109,10 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """(query_id, rank, vec_id, score): the ``k`` best rows of each row for which ``is_query`` holds."""
     C.prepare(vectors.sparkSession)
     d = vectors.where(F.col(vector_col).isNotNull()).select(C.internal_id(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    whole = C.stash(d.select("vec_id", "vector").mapInArrow(C.task(_integers, scale=scale), "vec_id long, vector binary").withColumn("dims", F.octet_length("vector").cast("int") / 4))
+    whole = C.stash(d.select("vec_id", "vector").mapInArrow(C.task(_integers, scale=scale), "vec_id long, vector binary").withColumn("dims", F.octet_length("vector").cast("int") / 8))
     whole = whole.withColumn("dims", F.col("dims").cast("int"))
     asked = d.where("asks").select("vec_id", "vector").mapInArrow(C.task(_integers, scale=scale), "query_id long, vector binary".replace("query_id", "vec_id"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), "vector", (F.octet_length("vector") / 4).cast("int").alias("dims"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), "vector", (F.octet_length("vector") / 8).cast("int").alias("dims"))
     blocks = C.parts_for(whole.count(), BLOCK, 1)
     groups = C.parts_for(asked.count(), QUERIES, 1)
     index = C.stash(whole.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").applyInArrow(_index, _INDEX_DDL))

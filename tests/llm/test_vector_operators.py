@@ -90,3 +90,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, group):
     few = impact_search.top_k(d.where("vec_id >= 1000"), F.col("vec_id") == 2000).collect()
     assert few == [] or {r["vec_id"] for r in few} <= {1002}
     assert impact_search.top_k(vectors(spark, []), F.col("vec_id") == 0).collect() == []
+
+
+def test_top_k_scores_of_large_components(spark):
+    x = [[1.0, -2.0], [3e6, 5.0], [4e6, 2.5e6], [-7e9, 1e9], [2e12, 1.0]] + [[float(i), 0.5] for i in range(12)]
+    q = [[int(1024 * v) for v in r] for r in x]
+    got = {r["vec_id"]: r["score"] for r in impact_search.top_k(vectors(spark, x), F.col("vec_id") == 0, k=20).collect()}
+    assert got == {i: sum(a * b for a, b in zip(q[0], v, strict=True)) for i, v in enumerate(q) if i}
