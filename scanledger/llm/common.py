@@ -90,6 +90,7 @@ _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+_PIECE = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +124,29 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, last, np.searchsorted(starts, begin, "right") - 1
 
 
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts; of each word its begin and end there, its hash (as in ``hashed_words``) and its text's number."""
+    joined = b"\n".join([*texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    inside = np.r_[False, ~_IS_SPACE[raw]]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    up, down = _powers(_PIECE)
+    hashes, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):  # pieces of the bytes, so that the sums of a long text stay small
+        low = begin[i]
+        j = max(i + 1, int(np.searchsorted(end, low + _PIECE, "right")))
+        if end[j - 1] - low <= _PIECE:
+            piece = raw[low : end[j - 1]]
+            sums = np.r_[np.uint64(0), np.cumsum(_BYTE[piece] * up[: len(piece)], dtype=np.uint64)]
+            hashes[i:j] = mix((sums[end[i:j] - low] - sums[begin[i:j] - low]) * down[begin[i:j] - low])
+        i = j
+    for i in np.flatnonzero(end - begin > 64).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : end[i]])
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return joined, begin, end, hashes, np.searchsorted(starts, begin, "right") - 1
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hash of each run of ``size`` word hashes (mod 2**64, then mixed so that the high bits are even)."""
     n = len(hashes) - size + 1

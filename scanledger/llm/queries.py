@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scanledger.llm import hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
+from scanledger.llm import decontamination, hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_pieces": suffix_pieces.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_maxent_lm": maxent_lm.op10,
+    "op11_prefix_decontamination": decontamination.op11,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op3_impact_search": impact_search.ORACLE,
     "op4_secret_ownership": secret_ownership.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op11_prefix_decontamination": decontamination.ORACLE,
 }
