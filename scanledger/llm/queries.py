@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scanledger.llm import decontamination, hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
+from scanledger.llm import decontamination, hyper_langid, impact_search, itq_dedup, jaccard_join, maxent_lm, merkle_manifest, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_dedup.op9,
     "op10_maxent_lm": maxent_lm.op10,
     "op11_prefix_decontamination": decontamination.op11,
+    "op12_embedding_whitening": whitening.op12,
+    "op13_merkle_manifest": merkle_manifest.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -30,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op4_secret_ownership": secret_ownership.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op11_prefix_decontamination": decontamination.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
