@@ -155,8 +155,8 @@ def _joined(places: DataFrame, prefixes: DataFrame) -> DataFrame:
     n, n_bytes = prefixes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
     if n <= BROADCAST_PREFIXES and n_bytes <= BROADCAST_BYTES:
         return places.join(F.broadcast(prefixes), "token")
-    salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-    return places.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS))).join(salted, ["token", "salt"])
+    salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
