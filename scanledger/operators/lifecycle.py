@@ -348,11 +348,6 @@ def suppress(suppressions: DataFrame, keys: DataFrame) -> DataFrame:
     return suppressions.select(*KEY).unionByName(keys.select(*KEY)).distinct()
 
 
-def record_scans(scans: DataFrame, batch_scans: DataFrame) -> DataFrame:
-    """Append-only scan history: the batch's runs added to the previous history."""
-    return scans.unionByName(batch_scans.select(*scans.columns))
-
-
 def merge_runs(
     state: DataFrame | None,
     findings: DataFrame,

@@ -1139,3 +1139,6 @@ SELECT * FROM ok UNION ALL SELECT * FROM fb""",
 def q_triage_response_parse(spark, sf_dir):
     f = _ev(spark, sf_dir)
     return triage.parse_triage(triage_responses_fixture(f), f)
+
+
+from scanledger.plans import catalog_ledger  # noqa: E402,F401

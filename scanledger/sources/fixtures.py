@@ -61,6 +61,20 @@ def events_scans(findings: DataFrame) -> DataFrame:
     return findings.select("repo", "run_date").distinct()
 
 
+def weekly_scans(findings: DataFrame) -> DataFrame:
+    """Every repo scanned each week from its first run to the fixture's last: runs without findings are among them."""
+    first = findings.groupBy("repo").agg(F.min("run_date").alias("first"))
+    last = findings.select(F.max("run_date")).scalar()
+    return first.select("repo", F.explode(F.sequence("first", last, F.expr("interval 7 days"))).alias("run_date"))
+
+
+def event_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, run_date, scanner, started, finished): each event is a part of a scan, at its time."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    parts = events_findings(spark, sf_dir).join(e, F.col("ingest_seq") == F.col("event_id"))
+    return parts.select("repo", "run_date", "scanner", F.col("ts").alias("started"), F.col("ts").alias("finished"))
+
+
 def suppressions_fixture(findings: DataFrame) -> DataFrame:
     """Suppressed keys of the fixture: fingerprints starting with hex digit 0."""
     return findings.filter(F.col("fingerprint").startswith("0")).select("repo", "fingerprint").distinct()
@@ -155,6 +169,13 @@ findings AS (
 ),
 scans AS (SELECT DISTINCT repo, run_date FROM findings)"""
 
+WEEKLY_SCANS_SQL = """
+weekly AS (
+  SELECT repo, cast(unnest(generate_series(min(run_date), (SELECT max(run_date) FROM findings), INTERVAL 7 DAY)) AS date)
+    AS run_date
+  FROM findings GROUP BY repo
+)"""
+
 SUPPRESSIONS_SQL = "suppressions AS (SELECT DISTINCT repo, fingerprint FROM findings WHERE fingerprint LIKE '0%')"
 OPEN_ISSUES_SQL = (
     "open_issues AS (SELECT DISTINCT repo, concat('[Security] CRITICAL: ', title, ' [', substr(fingerprint, 1, 8), ']')"
