@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from scanledger.functions.fingerprint import fingerprint
 from scanledger.functions.severity import REPORTED_SEVERITIES, severity_rank
 from scanledger.operators.aggregates import passthrough_triage
-from scanledger.session import ensure_checkpoint_dir
+from scanledger.operators.packing import greedy_batches, prefix_sums
 
 # Fixed values (must equal the reference): default input cap, payload cap and
 # the marker appended to a cut payload; summary of an empty run.
@@ -38,62 +38,48 @@ def finding_struct() -> F.Column:
 
 
 def triage_payload(df: DataFrame, max_findings: int = MAX_FINDINGS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Per repo, the JSON array sent to a model: capped rows, cut at ``max_chars`` plus a marker.
+    """Per repo, the JSON array sent to a model: as many of the capped findings as fit ``max_chars`` whole, in order.
 
-    The collected group is bounded by ``max_findings`` rows per repo.
+    ``n_sent`` counts the findings in the payload and ``n_left`` those of the repo that are not; a payload that leaves
+    some out ends in the marker, behind the array. A first finding that does not fit stands alone. The collected
+    group is bounded by ``max_findings`` rows per repo. ``triage_batches`` sends all findings.
     """
-    capped = triage_cap(df, max_findings)
-    agg = capped.groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("position"), finding_struct().alias("f")))).alias("items")
-    )
-    js = F.to_json(F.transform("items", lambda x: x["f"]), {"ignoreNullFields": "false"})
-    return agg.select(
+    capped = triage_cap(df, max_findings).withColumn("js", F.to_json(finding_struct(), {"ignoreNullFields": "false"}))
+    so_far = Window.partitionBy("repo").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    capped = capped.withColumn("end", F.sum(F.length("js") + 1).over(so_far) + 1)
+    sent = capped.where((F.col("end") <= max_chars) | (F.col("position") == 1))
+    agg = sent.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("position", "js"))).alias("items"))
+    total = df.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.concat(F.lit("["), F.concat_ws(",", F.transform("items", lambda x: x["js"])), F.lit("]"))
+    left = F.col("n") - F.size("items")
+    return agg.join(total.withColumnRenamed("repo", "_repo"), F.col("repo").eqNullSafe(F.col("_repo"))).select(
         "repo",
-        F.when(F.length(js) > max_chars, F.concat(F.substring(js, 1, max_chars), F.lit(TRUNCATION_MARKER)))
-        .otherwise(js)
-        .alias("payload"),
+        F.when(left > 0, F.concat(whole, F.lit(TRUNCATION_MARKER))).otherwise(whole).alias("payload"),
         F.size("items").cast("bigint").alias("n_sent"),
+        left.cast("bigint").alias("n_left"),
     )
 
 
 def triage_batches(df: DataFrame, max_findings: int = MAX_FINDINGS, max_chars: int = MAX_CHARS) -> DataFrame:
     """All findings of each repo as numbered payloads (repo, batch, first_position, n_findings, payload).
 
-    Each payload is a whole JSON array of at most ``max_findings`` findings and ``max_chars`` characters; only a finding
-    that is longer by itself stands alone in a longer one. Batches in order flatten to all findings in arrival order.
-
-    A finding's batch follows from its position and its offset in characters among the repo's findings. Both are running
-    sums over range-partitioned slices, written once, so no task holds all findings of a repo; what is ordered by repo
-    alone are numbers, one row a slice and one a batch.
+    Each payload is a whole JSON array with as many findings, in arrival order, as fit ``max_findings`` and
+    ``max_chars``; only a finding that is longer by itself stands alone in a longer one. Batches in order flatten to
+    all findings. Cuts come from ``packing.greedy_batches``, so a repo with most of the rows is many tasks' work; what
+    is collected is one payload, whose bound is checked.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     js = F.to_json(finding_struct(), {"ignoreNullFields": "false"})
-    rows = df.select("repo", "ingest_seq", js.alias("js")).repartitionByRange("repo", "ingest_seq")
-    rows = rows.withColumn("slice", F.spark_partition_id()).checkpoint()
-    chars = F.length("js").cast("bigint") + 1  # with the comma
-    before = Window.partitionBy("repo").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy("repo", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).select(
-        F.col("repo").alias("_repo"), F.col("slice").alias("_slice"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "chars")],
-    )
-    within = Window.partitionBy("repo", "slice").orderBy("ingest_seq")
-    start = F.col("chars_before") + F.sum(chars).over(within.rowsBetween(Window.unboundedPreceding, 0)) - chars
-    half = max_chars // 2  # findings that start within half a payload fit one, if none is longer than the other half
-    placed = rows.join(slices, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("slice") == F.col("_slice")))
-    placed = placed.withColumn("position", F.col("n_before") + F.row_number().over(within)).withColumn("start", start)
-    group = F.struct(
-        F.floor((F.col("position") - 1) / max_findings).alias("block"), F.floor(F.col("start") / half).alias("part"),
-        (F.length("js") > max_chars - half - 1).alias("alone"),
-    )
-    batches = placed.groupBy("repo", group.alias("group")).agg(
-        F.min("position").alias("first_position"),
-        F.array_sort(F.collect_list(F.struct("position", "js"))).alias("items"),
-    )
-    order = F.row_number().over(Window.partitionBy("_repo").orderBy("_group"))
-    keys = placed.select(F.col("repo").alias("_repo"), group.alias("_group")).distinct().withColumn("batch", order.cast("bigint"))
-    return batches.join(keys, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("group") == F.col("_group"))).select(
+    placed = prefix_sums(df.select("repo", "ingest_seq", js.alias("js")), "repo", "ingest_seq", F.length("js") + 1)
+    sizes = placed.select(F.col("repo").alias("grp"), "position", (F.length("js") + 1).cast("bigint").alias("size"))
+    cuts = greedy_batches(sizes, max_findings, max_chars - 1)  # with the brackets and commas an array has one character more
+    taken = cuts.select("grp", "batch", "first_position", F.explode(F.sequence("first_position", F.col("first_position") + F.col("n_items") - 1)).alias("_at"))
+    items = placed.join(taken, F.col("repo").eqNullSafe(F.col("grp")) & (F.col("position") == F.col("_at")))
+    batches = items.groupBy("repo", "batch", "first_position").agg(F.array_sort(F.collect_list(F.struct("position", "js"))).alias("items"))
+    payload = F.concat(F.lit("["), F.concat_ws(",", F.transform("items", lambda x: x["js"])), F.lit("]"))
+    bounded = (F.size("items") == 1) | ((F.size("items") <= max_findings) & (F.length(payload) <= max_chars))
+    return batches.select(
         "repo", "batch", "first_position", F.size("items").cast("bigint").alias("n_findings"),
-        F.concat(F.lit("["), F.concat_ws(",", F.transform("items", lambda x: x["js"])), F.lit("]")).alias("payload"),
+        F.when(bounded, payload).otherwise(F.raise_error(F.lit("a payload is longer than its bound"))).alias("payload"),
     )
 
 

@@ -32,7 +32,7 @@ ORACLES: dict[str, str] = {}
 # Parameters of the registered queries (fixed per query, never tuned to pass).
 DIGEST_DATE = "2024-02-05"
 SINCE = "2024-01-15"
-CAP = 5
+CAP = triage.MAX_FINDINGS
 
 
 def register(name: str, sql: str | None = None):
@@ -852,13 +852,16 @@ TRIAGE_CHARS = triage.MAX_CHARS
     + f"""
 , capped AS (
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ingest_seq) AS position FROM findings),
+js AS (
+  SELECT repo, position, to_json({{'scanner': scanner, 'severity': severity, 'title': title, 'description': description,
+      'file_path': file_path, 'line': line, 'recommendation': recommendation, 'fingerprint': fingerprint}})::varchar AS js
+  FROM capped WHERE position <= {TRIAGE_MAX}),
+fit AS (SELECT *, sum(length(js) + 1) OVER (PARTITION BY repo ORDER BY position) + 1 AS upto FROM js),
 p AS (
-  SELECT repo, to_json(list({{'scanner': scanner, 'severity': severity, 'title': title, 'description': description,
-      'file_path': file_path, 'line': line, 'recommendation': recommendation, 'fingerprint': fingerprint}}
-      ORDER BY position))::varchar AS js, count(*) AS n_sent
-  FROM capped WHERE position <= {TRIAGE_MAX} GROUP BY repo)
-SELECT repo, CASE WHEN length(js) > {TRIAGE_CHARS} THEN concat(substr(js, 1, {TRIAGE_CHARS}), chr(10), '... (truncated)')
-  ELSE js END AS payload, n_sent
+  SELECT repo, concat('[', string_agg(js, ',' ORDER BY position), ']') AS js, count(*) AS n_sent,
+    (SELECT count(*) FROM findings f WHERE f.repo = fit.repo) - count(*) AS n_left
+  FROM fit WHERE upto <= {TRIAGE_CHARS} OR position = 1 GROUP BY repo)
+SELECT repo, CASE WHEN n_left > 0 THEN concat(js, chr(10), '... (truncated)') ELSE js END AS payload, n_sent, n_left
 FROM p""",
 )
 def q_triage_payload(spark, sf_dir):
@@ -867,22 +870,24 @@ def q_triage_payload(spark, sf_dir):
 
 @register(
     "triage_batches",
-    with_events()
+    with_events().replace("WITH ", "WITH RECURSIVE ", 1)
     + f"""
 , j AS (
   SELECT repo, row_number() OVER w AS position, to_json({{'scanner': scanner, 'severity': severity, 'title': title,
       'description': description, 'file_path': file_path, 'line': line, 'recommendation': recommendation,
       'fingerprint': fingerprint}})::varchar AS js
   FROM findings WINDOW w AS (PARTITION BY repo ORDER BY ingest_seq)),
-o AS (
-  SELECT *, sum(length(js) + 1) OVER (PARTITION BY repo ORDER BY position) - length(js) - 1 AS start FROM j),
-b AS (
-  SELECT repo, (position - 1) // {TRIAGE_MAX} AS block, start // {TRIAGE_CHARS // 2} AS part,
-    length(js) > {TRIAGE_CHARS - TRIAGE_CHARS // 2 - 1} AS alone, min(position) AS first_position,
-    count(*) AS n_findings, concat('[', string_agg(js, ',' ORDER BY position), ']') AS payload
-  FROM o GROUP BY ALL)
-SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY first_position) AS batch, first_position, n_findings, payload
-FROM b""",
+r AS (
+  SELECT repo, position, js, 1 AS batch, 1 AS n, length(js) + 2 AS chars FROM j WHERE position = 1
+  UNION ALL
+  SELECT j.repo, j.position, j.js,
+    CASE WHEN r.n < {TRIAGE_MAX} AND r.chars + length(j.js) + 1 <= {TRIAGE_CHARS} THEN r.batch ELSE r.batch + 1 END,
+    CASE WHEN r.n < {TRIAGE_MAX} AND r.chars + length(j.js) + 1 <= {TRIAGE_CHARS} THEN r.n + 1 ELSE 1 END,
+    CASE WHEN r.n < {TRIAGE_MAX} AND r.chars + length(j.js) + 1 <= {TRIAGE_CHARS} THEN r.chars + length(j.js) + 1 ELSE length(j.js) + 2 END
+  FROM r JOIN j ON j.repo = r.repo AND j.position = r.position + 1)
+SELECT repo, batch::bigint AS batch, min(position) AS first_position, count(*) AS n_findings,
+  concat('[', string_agg(js, ',' ORDER BY position), ']') AS payload
+FROM r GROUP BY repo, batch""",
 )
 def q_triage_batches(spark, sf_dir):
     return triage.triage_batches(_ev(spark, sf_dir), TRIAGE_MAX, TRIAGE_CHARS)

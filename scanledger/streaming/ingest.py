@@ -83,11 +83,12 @@ def process_batch(
     store = BucketedStore(spark, store_root, n_buckets)
     if store.committed_epoch(epoch, query):
         return None
-    # several actions below: parse the micro-batch once; a lost
+    # several actions below: read and parse the micro-batch once; a lost
     # executor only means recomputing from the source files
     batch = batch.persist()
+    findings, status = normalize(batch)
+    findings = findings.drop("raw").persist()
     try:
-        findings, status = normalize(batch)
         status.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(
             f"{store_root}/scan_status/epoch={epoch}"
         )
@@ -111,6 +112,7 @@ def process_batch(
             new_state = new_state.join(suppressed, KEY, "left_anti").unionByName(suppressed)
         return store.commit(new_state, epoch=epoch, buckets=touched, query=query)
     finally:
+        findings.unpersist()
         batch.unpersist()
 
 

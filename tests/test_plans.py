@@ -2,19 +2,20 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from scanledger.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-BOUNDED_COLLECT = {"triage_payload"}  # collect_list over <= 500 rows per repo (the tool's own cap)
+# collect_list over <= 500 rows per repo (the tool's own cap); over one payload, whose bound the query checks
+BOUNDED_COLLECT = {"triage_payload", "triage_batches"}
 
 
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_unscalable_operators(spark, name):
-    p = plan_text(entry.queries()[name](spark, SF))
+    p = plan_text(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
     if name not in BOUNDED_COLLECT:
         assert "collect_list" not in p and "collect_set" not in p, name
@@ -22,13 +23,13 @@ def test_no_unscalable_operators(spark, name):
 
 
 def test_cap_is_a_partial_window_group_limit(spark):
-    p = plan_text(entry.queries()["triage_cap"](spark, SF))
+    p = plan_text(catalog.QUERIES["triage_cap"](spark, SF))
     assert p.count("WindowGroupLimit") >= 2  # partial before the shuffle + final
 
 
 def test_text_scans_do_not_shuffle(spark):
     for q in ("secret_scan_documents", "secret_scan_pages", "license_scan_documents"):
-        p = plan_text(entry.queries()[q](spark, SF))
+        p = plan_text(catalog.QUERIES[q](spark, SF))
         assert "Exchange" not in p, q
 
 

@@ -46,7 +46,14 @@ def test_triage_cap_and_payload_truncation(spark):
     f = make_findings(spark, rows)
     assert triage.triage_cap(f, 10).count() == 10
     p = triage.triage_payload(f, 500, 12000).collect()[0]
-    assert p["n_sent"] == 100 and p["payload"].endswith("\n... (truncated)") and len(p["payload"]) == 12000 + 16
+    marker = "\n... (truncated)"
+    assert p["payload"].endswith(marker) and 11000 < len(p["payload"]) <= 12000 + len(marker)
+    sent = json.loads(p["payload"].removesuffix(marker))  # ends on a whole finding
+    assert [x["title"] for x in sent] == [f"t{i}" for i in range(p["n_sent"])] and p["n_sent"] + p["n_left"] == 100
+    (whole,) = triage.triage_payload(f.where("ingest_seq < 9"), 500, 12000).collect()
+    assert len(json.loads(whole["payload"])) == whole["n_sent"] == 9 and whole["n_left"] == 0
+    (long,) = triage.triage_payload(f.where("ingest_seq < 2"), 500, 100).collect()
+    assert len(json.loads(long["payload"].removesuffix(marker))) == long["n_sent"] == long["n_left"] == 1
 
 
 def test_rule_triage_merges_and_drops_tests(spark):
