@@ -69,6 +69,24 @@ def by_row(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, dealt_by: str, rows: int = 1 << 18, salts: int = 16) -> DataFrame:
+    """``many`` with the row of ``few`` (one a key) that has its key; a key may hold any share of ``many``.
+
+    ``few`` is broadcast if it has at most ``rows`` rows (of some numbers or a digest each); else both sides are dealt
+    by key and a salt, which in ``many`` follows the column ``dealt_by``.
+    """
+    few = stash(few)
+    if few.count() <= rows:
+        return many.join(F.broadcast(few), key)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(dealt_by), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """Each row as one struct ``doc``, so that no name of its columns can clash with a column that is put beside it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"))
+
+
 def external_id(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 

@@ -16,8 +16,8 @@ A document is the set of its distinct word 5-grams (lower-cased A-Z); two docume
    sets. So no link between components is lost, and no list of near copies is expanded into all pairs.
 
 Hashes have 64 bits (see substring_dedup). Defined cases: a null or blank text has an empty set and links with
-nothing; fewer than 5 words are one shingle; a null id counts as the largest and comes back as null; rows with equal
-texts or ids each give a row; an empty table gives an empty one; only the two named columns are read.
+nothing; fewer than 5 words are one shingle; a null id counts as the largest and comes back as null; rows are linked
+by their sets alone, so rows that share an id, or have none, link no two texts; rows with equal texts or ids each give a row; an empty table gives an empty one; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -362,13 +362,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = told.where("doc_id is not null").select("doc_id", "row_key", "key", "key2", "n", "k")
     classes = rows.where("n > 0").groupBy("key", "key2", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.max("k").alias("known"))
     repeats = told.where("keys is not null").select("pid", "keys", "counts").repartitionById(parts, "pid").mapInArrow(C.task(_tally), "key long, told long")
-    classes = C.stash(classes.join(repeats, "key", "left").select("key", "key2", "n", F.col("first.doc_id").alias("rep"), F.col("first.row_key").alias("row_key"), F.least("n", F.col("known") + F.coalesce("told", F.lit(0))).alias("found")))
-    can = classes.where(100 * F.col("found") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"), "row_key", "rep", (F.col("n") - F.col("found")).cast("int").alias("missing"))
+    classes = C.stash(classes.join(repeats, "key", "left").select("key", "key2", "n", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("row_key"), F.least("n", F.col("known") + F.coalesce("told", F.lit(0))).alias("found"), F.monotonically_increasing_id().alias("rep")))
+    can = classes.where(100 * F.col("found") >= percent * F.col("n")).select(F.col("class_id").alias("doc_id"), "row_key", "rep", (F.col("n") - F.col("found")).cast("int").alias("missing"))
     if can.count() <= BROADCAST_IDS:
         can = F.broadcast(can)
     sets = C.stash(d.join(can, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]).select("rep", "missing", "text").mapInArrow(C.task(_sets, size=size), "rep long, n int, missing int, tokens binary"))
-    links = class_links(sets, percent)
-    named = classes.join(links, "rep", "left").select("key", "key2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    linked = class_links(sets, percent).join(classes.select("rep", "class_id"), "rep")
+    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))  # classes are nodes by number; ids come in here only
+    links = C.spread_join(linked.select("rep", "component"), least, "component", "rep").select("rep", "component_id")
+    named = classes.join(links, "rep", "left").select("key", "key2", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = rows.join(named, ["key", "key2", "n"], "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
