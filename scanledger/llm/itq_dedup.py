@@ -3,12 +3,13 @@
 A rotation is learnt on a bounded sample (the ``sample`` valid vectors with the smallest hashes of their ids): centre,
 principal directions, then turns between sign codes and the rotation that fits them best. Every vector gets a binary
 code of as many bits as it has dimensions (64 at most). Tables cut the code into parts of about log2(rows) - 8 bits,
-so that a bucket of evenly spread codes holds some hundreds of classes at any size; with eight tables or more, candidates agree in one part;
-with fewer, they may differ by one bit in it. Either way all pairs within 7 of 64 bits are candidates (cosine 0.95 is
+so that a bucket of evenly spread codes holds some hundreds of classes, up to the 16 bits of four tables: from some 10
+million classes on a bucket grows with the table (1,500 classes at 10**8; sooner with vectors of less than 64 dimensions,
+whose codes are shorter). With eight tables or more, candidates agree in one part; with fewer, they may differ by one bit in it. Either way all pairs within 7 of 64 bits are candidates (cosine 0.95 is
 6.5 bits apart on average). Every candidate is checked with the original vectors in double precision.
 
 Equal vectors form a class with a number of rows, and only classes are compared; the rows of a class link with each
-other by definition. Ids with several vectors get classes of their own, so that rows of one id never link.
+other by definition. Classes are nodes by number; ids come in at the end only, as the smallest of a component.
 
 A bucket is dealt in cells of bounded size: blocks of rows at home meet blocks of the rows that look into the bucket. A
 pair counts once: in the first table where it is a candidate. Cells send one row a class with its number of links and
@@ -16,8 +17,8 @@ its component within the cell, never all pairs; components then come from tables
 copies are still compared in pairs, cell by cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and give a
-row of their own; vectors of different length never link; rows that share an id do not link with each other; a null
-id counts as the largest and comes back as null; an empty table gives an empty one; labels and other columns are not
+row of their own; vectors of different length never link; rows that share an id, or have none, are vectors like others:
+they link if they are near, and join no components otherwise; a null id counts as the largest and comes back as null; an empty table gives an empty one; labels and other columns are not
 read.
 """
 
@@ -80,7 +81,7 @@ def tables(rows: int, bits: int = 64) -> tuple[list[tuple[int, int]], int]:
 def _codes(batches, model, plans: dict, kind: str):
     """A row for each table: at home in the bucket of the code's part, and one for each bit that may differ."""
     models = model.value
-    names = ["tab", "bucket", "home", "cls", "owner", "n", "code", "raw"]
+    names = ["tab", "bucket", "home", "cls", "n", "code", "raw"]
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
@@ -101,7 +102,7 @@ def _codes(batches, model, plans: dict, kind: str):
                         who.append(np.arange(len(rows)))
                 who = np.concatenate(who)
                 back = pa.array(rows[who])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tabs)), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(homes)), *(part.column(c).take(back) for c in ("cls", "owner", "n")), pa.array(code.view(np.int64)[who]), part.column("raw").take(back)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tabs)), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(homes)), *(part.column(c).take(back) for c in ("cls", "n")), pa.array(code.view(np.int64)[who]), part.column("raw").take(back)], names=names)
 
 
 def _near(x: np.ndarray, y: np.ndarray, cut: tuple[int, int], radius: int) -> np.ndarray:
@@ -115,8 +116,8 @@ _FOUND = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("other", pa.int64()
 
 def _block(tab: int, home: pa.Table, looking: pa.Table, cuts: list[tuple[int, int]], radius: int, kind: str, cosine: float) -> pa.Table:
     """(cls, n, other): rows that each class at home links with, and a class of each one's component within the cell."""
-    load = lambda t: (t.column("cls").to_numpy(), t.column("owner").to_numpy(), t.column("code").to_numpy().view(np.uint64))
-    (a, oa, ca), (b, ob, cb) = load(home), load(looking)
+    load = lambda t: (t.column("cls").to_numpy(), t.column("code").to_numpy().view(np.uint64))
+    (a, ca), (b, cb) = load(home), load(looking)
     nb = looking.column("n").to_numpy()
     xa = unit(home.column("raw").to_pylist(), kind)
     nodes, place = np.unique(np.r_[a, b], return_inverse=True)
@@ -126,7 +127,7 @@ def _block(tab: int, home: pa.Table, looking: pa.Table, cuts: list[tuple[int, in
         part = slice(at, at + 1024)
         i, j = np.nonzero(xa @ unit(looking.column("raw")[part].to_pylist(), kind).T >= cosine)
         j += at
-        keep = (a[i] != b[j]) & ((oa[i] < 0) | (oa[i] != ob[j])) & _near(ca[i], cb[j], cuts[tab], radius)
+        keep = (a[i] != b[j]) & _near(ca[i], cb[j], cuts[tab], radius)
         for cut in cuts[:tab]:
             keep &= ~_near(ca[i], cb[j], cut, radius)
         i, j = i[keep], j[keep]
@@ -147,18 +148,15 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for row in valid.select(F.octet_length("raw").alias("size")).distinct().collect():  # a row for each number of dimensions
         taken = valid.where(F.octet_length("raw") == row["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("raw").collect()
         models[row["size"]] = fit(unit([bytes(r["raw"]) for r in taken], kind))
-    pairs = C.stash(valid.groupBy("raw", "vec_id").agg(F.count("*").alias("k")))
-    several = C.stash(pairs.groupBy("vec_id").count().where("count > 1").select("vec_id", F.monotonically_increasing_id().alias("owner")))
-    pairs = pairs.join(several, "vec_id", "left").withColumn("owner", F.coalesce("owner", F.lit(-1)))
-    classes = pairs.groupBy("raw", "owner").agg(F.sum("k").alias("n"), F.min("vec_id").alias("first"))
+    classes = valid.groupBy("raw").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     classes = C.stash(classes.withColumn("cls", F.monotonically_increasing_id()))
     count = classes.count()
     plans = {size: tables(count, min(64, projection.shape[1])) for size, (_, projection) in models.items()}
-    looks = classes.mapInArrow(C.task(_codes, model=spark.sparkContext.broadcast(models), plans=plans, kind=kind), "tab int, bucket long, home boolean, cls long, owner long, n long, code long, raw binary")
+    looks = classes.mapInArrow(C.task(_codes, model=spark.sparkContext.broadcast(models), plans=plans, kind=kind), "tab int, bucket long, home boolean, cls long, n long, code long, raw binary")
     blocks = lambda rows, size: F.ceil(rows / size).cast("int")
     held = looks.groupBy("tab", "bucket").agg(blocks(F.count_if("home"), BLOCK).alias("xs"), blocks(F.count("*"), LOOKING * BLOCK).alias("ys"))
     placed = looks.join(C.stash(held.where("xs > 0")), ["tab", "bucket"])
-    cell, rest = ["tab", "bucket", "x", "y"], ["cls", "owner", "n", "code", "raw"]
+    cell, rest = ["tab", "bucket", "x", "y"], ["cls", "n", "code", "raw"]
     deal = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = placed.where("home").withColumn("x", deal("xs", 1)).withColumn("y", each("ys")).select(*cell, *rest)
@@ -172,15 +170,12 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     found = C.stash(home.groupBy(*cell).cogroup(looking.groupBy(*cell)).applyInArrow(block, "cls long, n long, other long"))
     links = found.groupBy("cls").agg(F.sum("n").alias("links"))
-    one_id = classes.where("owner >= 0").groupBy("owner").agg(F.min("cls").alias("other"))  # rows of one id share a component
-    edges = found.select(F.col("cls").alias("a"), F.col("other").alias("b")).unionAll(classes.join(one_id, "owner").select("cls", "other"))
-    comps = C.components(edges).withColumnRenamed("id", "cls")
-    told = classes.join(links, "cls", "left").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    told = C.stash(told.select("raw", "owner", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), "component"))
-    label = told.groupBy("component").agg(F.min("first").alias("label"))
-    told = told.join(label, "component").select("raw", "owner", "n", "links", "label")
-    by_id = pairs.join(told, ["raw", "owner"]).groupBy("vec_id").agg(F.sum(F.col("k") * (F.col("links") + F.col("n") - F.col("k"))).alias("n_links"), F.min("label").alias("component"))
-    out = units.select("vec_id").join(by_id, "vec_id", "left")
+    comps = C.stash(C.components(found.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls"))
+    least = comps.join(classes.select("cls", "first"), "cls").groupBy("component").agg(F.min("first").alias("label"))
+    label = C.spread_join(comps, least, "component", "cls").select("cls", "label")
+    told = classes.join(links, "cls", "left").join(label, "cls", "left")
+    told = told.select("raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "first").alias("component"))
+    out = units.join(told, "raw", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(C.external_id("vec_id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component != C.NO_ID, component).alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 

@@ -57,13 +57,20 @@ def test_copies_are_collapsed_and_cells_are_bounded(spark, monkeypatch):
     ids = np.arange(900)
     ids[101], ids[102] = 100, 0  # one id twice with one vector; one id with two vectors
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = (u @ u.T >= 0.95) & (ids[:, None] != ids[None, :])
-    links = {i: int(linked[ids == i].sum()) for i in ids.tolist()}
-    label = C.merge(np.arange(900), ids[np.nonzero(linked)[0]], ids[np.nonzero(linked)[1]])
+    linked = (u @ u.T >= 0.95) & ~np.eye(900, dtype=bool)
+    label = C.merge(np.arange(900), *np.nonzero(linked))
+    want = sorted((int(ids[i]), int(linked[i].sum()), int(ids[label == label[i]].min())) for i in range(900))
     d = spark.createDataFrame([(int(i), [float(y) for y in v], 0, 1, "b") for i, v in zip(ids, x, strict=True)], SCHEMA)
     got = itq_dedup.near_dedup(d).collect()
-    assert sorted(r["vec_id"] for r in got) == sorted(ids.tolist())
-    assert all((r["n_links"], r["component_id"]) == (links[r["vec_id"]], label[r["vec_id"]]) for r in got)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
+def test_components_by_vector_not_by_id(spark):
+    """Null and repeated ids join no vectors at right angles; equal vectors of one id link."""
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.01, 1.0]), (2, [0.0, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.0]), (7, [0.0, -1.0])]
+    d = spark.createDataFrame([(i, v, 0, 1, "b") for i, v in rows], SCHEMA)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in itq_dedup.near_dedup(d).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (None, 1, 1), (None, 1, 2), (2, 1, 2), (7, 1, 7), (7, 1, 7), (7, 0, 7)], key=repr)
 
 
 @pytest.mark.parametrize("rows", [10, 10**4, 10**6, 10**9])
