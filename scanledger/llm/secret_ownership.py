@@ -2,10 +2,15 @@
 
 Patterns give each document's base spans, and wide candidates: runs of 20 or more key characters with letters and
 digits that no base span covers. The SHA-256 of every candidate's value is counted over the whole corpus by distinct
-repositories and distinct owners. A base span is a widely copied example if at least ``example_owners`` owners and
-``example_repositories`` repositories hold its value, else live-looking; base spans always stay. A wide candidate
-becomes a span of kind ``owned`` only if at most ``max_owners`` owners hold it. The query (and its SQL) takes two owners
-as many; the pipeline asks for more of both.
+repositories and distinct owners. A value is a widely copied example if at least ``example_owners`` owners and
+``example_repositories`` repositories hold it, or at least ``widely`` repositories whoever owns them (the copies of one
+large source); every other value is a live-looking credential. Base spans always stay, with that judgement. A wide
+candidate becomes a span of kind ``owned`` only if it is live-looking and at most ``max_owners`` owners hold it.
+
+Matches are exploded with the text before them counted, so that their places are running sums; a wide candidate is
+covered if the furthest end among the base spans that begin before its end lies behind its start. Both are windows over
+one document's matches, linear in them. Values are joined with their counts in broadcast while these are few, else by
+salted hash, as one value may be most documents'.
 
 Base spans are leftmost and do not overlap within a kind:
   assign  a key word, ``:`` or ``=``, and a value of 6 characters or more (the value is hashed)
@@ -13,13 +18,14 @@ Base spans are leftmost and do not overlap within a kind:
   hex     lower-case hexadecimal digits, 24 or more
 Positions count code points, the end is exclusive.
 
-Defined cases: a null text is empty; null owners count as one owner, null repositories as one repository; equal rows
+Defined cases: a null text is empty; a long text is read whole, its matches are rows; null owners count as one owner, null repositories as one repository; equal rows
 each give a row and count once as a repository; an empty table gives an empty one; only the named columns are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanledger.llm import common as C
@@ -37,64 +43,74 @@ WIDE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 
 
-def _spans(kind: int, pattern: str, group: int, least: int, may: Column) -> Column:
-    """Array of (start, kind, end, hash) of the matches whose ``group`` has ``least`` characters; ``may``: a cheap test."""
+def _matches(kind: int, pattern: str, group: int, may: Column, fit) -> Column:
+    """Array of (kind, pos, before, size, hash, fit) of all matches: characters since the match before, and its own.
+
+    ``fit`` tells from (whole, value) whether a match counts; those that do not still take their place.
+    """
     text = F.col("text")
     parts = F.split(text, pattern, -1)
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), parts.alias("before"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["value"], 256).alias("hash"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string>>")
-    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(may, walked).otherwise(none)
+    told = F.transform(
+        F.filter(found, lambda x: x["whole"].isNotNull()),
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), F.length(x["before"]).alias("before"), F.length(x["whole"]).alias("size"),
+            F.sha2(x["value"], 256).alias("hash"), fit(x["whole"], x["value"]).alias("fit"),
+        ),
+    )
+    none = F.array().cast("array<struct<kind:int,pos:int,before:int,size:int,hash:string,fit:boolean>>")
+    return F.when(may, told).otherwise(none)
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """(row, doc_id, owner, repo, base, wide): spans of each document with the hash of each value."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id) of each document, and (row, owner, repo, kind, start, end, hash) of each base span and free wide candidate."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
-    base = F.concat(
-        _spans(0, ASSIGN, 2, 6, text.rlike(ASSIGN)),
-        _spans(1, ACCESS, 0, 20, text.contains("AKIA")),
-        _spans(2, HEX, 0, 24, text.rlike("[0-9a-f]{24}")),
+    text, long = F.col("text"), lambda n: lambda whole, value: F.length(value) >= n
+    found = F.concat(
+        _matches(0, ASSIGN, 2, text.rlike(ASSIGN), long(6)),
+        _matches(1, ACCESS, 0, text.contains("AKIA"), long(20)),
+        _matches(2, HEX, 0, text.rlike("[0-9a-f]{24}"), long(24)),
+        _matches(3, WIDE, 0, text.rlike(WIDE), lambda whole, value: whole.rlike("[0-9]") & whole.rlike("[A-Za-z]")),
     )
-    d = d.select("doc_id", "owner", "repo", base.alias("base"), _spans(3, WIDE, 0, 20, text.rlike(WIDE)).alias("wide"), F.regexp_extract_all("text", F.lit(WIDE), F.lit(0)).alias("runs"))
-    pairs = F.arrays_zip(F.col("wide").alias("span"), F.col("runs").alias("run"))
-    mixed = F.filter(pairs, lambda p: p["run"].rlike("[0-9]") & p["run"].rlike("[A-Za-z]"))
-    free = F.filter(F.transform(mixed, lambda p: p["span"]), lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", "base", free.alias("wide"))
-
-
-def ownership(found: DataFrame) -> DataFrame:
+    rows = C.stash(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", found.alias("matches")))
+    m = rows.select("row", "owner", "repo", F.explode("matches").alias("m")).select("row", "owner", "repo", "m.*")
+    so_far = W.partitionBy("row", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    spans = m.withColumn("end", F.sum(F.col("before") + F.col("size")).over(so_far).cast("int")).where("fit")
+    spans = spans.withColumn("start", F.col("end") - F.col("size"))
+    wide = F.col("kind") == 3
+    ahead = W.partitionBy("row").orderBy(F.when(wide, F.col("end") - 1).otherwise(F.col("start")), wide).rowsBetween(W.unboundedPreceding, 0)
+    spans = spans.withColumn("covered", F.coalesce(F.max(F.when(~wide, F.col("end"))).over(ahead), F.lit(0)))
+    return rows.select("row", "doc_id"), spans.where(~wide | (F.col("covered") <= F.col("start"))).select("row", "owner", "repo", "kind", "start", "end", "hash")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """(hash, n_repositories, n_owners) of every candidate value; each step aggregates within tasks first."""
-    values = found.select("owner", "repo", F.explode(F.concat("base", "wide")).alias("span")).select("owner", "repo", F.col("span.hash").alias("hash"))
-    by_repo = values.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    by_repo = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, example_owners: int | None = None, example_repositories: int = 1) -> DataFrame:
+#: A value is a widely copied example from so many owners and repositories, or from so many repositories alone.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, WIDELY = 3, 10, 100
+
+
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, widely: int | None = WIDELY) -> DataFrame:
     """(doc_id, base, found) for each document: base spans, and all spans with how many repositories and owners hold each value.
 
-    Spans are (start, kind, end, hash); those of ``found`` also carry n_repositories, n_owners and live. A base span
-    is live unless its value has ``example_owners`` owners (default: more than ``max_owners``) and
-    ``example_repositories`` repositories; an ``owned`` span has at most ``max_owners`` owners. Kinds index KINDS.
+    Spans are (start, kind, end, hash); those of ``found`` also carry n_repositories, n_owners and live. ``widely``:
+    None never takes many repositories of few owners for an example. Kinds index KINDS.
     """
-    found = C.stash(candidates(docs, id_col, text_col, owner_col, repo_col))
-    counts = C.stash(ownership(found))
-    spans = found.select("row", F.explode(F.concat("base", "wide")).alias("span")).select("row", "span", F.col("span.hash").alias("hash"))
-    copied = (F.col("n_owners") >= (example_owners or max_owners + 1)) & (F.col("n_repositories") >= example_repositories)
-    live = F.when(F.col("span.kind") < 3, ~copied).otherwise(F.col("n_owners") <= max_owners)
-    judged = spans.join(counts, "hash").withColumn("live", live).where("span.kind < 3 or live")
-    told = F.struct("span.start", "span.kind", "span.end", "span.hash", "n_repositories", "n_owners", "live")
-    per_doc = judged.groupBy("row").agg(F.sort_array(F.collect_list(told)).alias("found"))
+    rows, spans = candidates(docs, id_col, text_col, owner_col, repo_col)
+    spans = C.stash(spans)
+    copied = (F.col("n_owners") >= example_owners) & (F.col("n_repositories") >= example_repositories)
+    copied = copied if widely is None else copied | (F.col("n_repositories") >= widely)
+    judged = C.spread_join(spans, ownership(spans), "hash", "row").withColumn("live", ~copied).where((F.col("kind") < 3) | (F.col("live") & (F.col("n_owners") <= max_owners)))
+    told = F.struct("start", "kind", "end", "hash", "n_repositories", "n_owners", "live")
+    per_doc = judged.groupBy("row").agg(F.sort_array(F.collect_list(told)).alias("found"))  # one document's spans
     none = F.array().cast(per_doc.schema["found"].dataType)
-    return found.join(per_doc, "row", "left").select("doc_id", F.array_sort("base").alias("base"), F.coalesce("found", none).alias("found"))
+    out = rows.join(per_doc, "row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    base = F.transform(F.filter("found", lambda s: s["kind"] < 3), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "hash"))))
+    return out.select("doc_id", base.alias("base"), "found")
 
 
 def joined_spans(spans: Column) -> Column:
@@ -138,10 +154,13 @@ WITH d AS (
 ), c AS (
   SELECT * FROM base UNION ALL SELECT * FROM wide
 ), o AS (
-  SELECT h, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c JOIN d USING (r) GROUP BY h
+  SELECT h, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT (coalesce('=' || source, ''), coalesce(doc_id::VARCHAR, ''))) AS repositories
+  FROM c JOIN d USING (r) GROUP BY h
+), j AS (
+  SELECT *, NOT (owners >= {EXAMPLE_OWNERS} AND repositories >= {EXAMPLE_REPOSITORIES} OR repositories >= {WIDELY}) AS live FROM o
 ), f AS (
-  SELECT r, kind, start, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s, owners <= 1 AS live
-  FROM c JOIN o USING (h) WHERE kind < 3 OR owners <= 1
+  SELECT r, kind, start, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s, live
+  FROM c JOIN j USING (h) WHERE kind < 3 OR (live AND owners <= 1)
 ), a AS (
   SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans,
