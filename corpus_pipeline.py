@@ -1,8 +1,13 @@
 """A corpus pipeline: language ID, near-duplicate removal, secrets, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result and reads it again. All
-but the last return the columns of ``documents``. Stages that join by row write their rows with a number first and
-scan that table only. Null or empty texts, null ids and repeated rows pass through as the stages' notes say.
+but the last return the columns of ``documents``, others that it may hold among them. Stages that put columns of their
+own beside them keep the row whole in one struct, so no name can clash. Stages that join by row write their rows with a
+number first and scan that table only.
+
+Defined cases: null and blank texts go with the language stage, as they have no language (given to a later stage, they
+stay); null ids count as the largest; repeated rows are near duplicates of each other; long texts are read whole; an
+empty table gives an empty one from every stage; extra columns of any name are carried along unread.
 """
 
 from __future__ import annotations
@@ -22,22 +27,20 @@ EXAMPLE_SOURCES, EXAMPLE_DOCUMENTS = 3, 10
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, have no letter, or are long and unlike every language; fills in missing languages."""
-    names = docs.columns
     model = hyper_langid.learn(docs.where(~hyper_langid.held_out()), "text", "lang")
-    found = hyper_langid.identify(docs, [F.col(c) for c in names if c != "text"] + [F.col("text").alias("_text")], "text", model)
-    known = (F.col("lang_pred") != hyper_langid.UNKNOWN) & ((F.length("_text") < LONG) | (F.col("score") >= LEAST_COSINE))
-    found = found.where(known).withColumn("lang", F.coalesce("lang", "lang_pred")).withColumnRenamed("_text", "text")
-    return found.select(*names)
+    found = hyper_langid.identify(C.boxed(docs), [F.col("doc")], "doc.text", model)
+    known = (F.col("lang_pred") != hyper_langid.UNKNOWN) & ((F.length("doc.text") < LONG) | (F.col("score") >= LEAST_COSINE))
+    return found.where(known).select(F.col("doc").withField("lang", F.coalesce("doc.lang", "lang_pred")).alias("doc")).select("doc.*")
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id stays (null last); texts without words all stay."""
-    rows = C.numbered(docs)
-    groups = jaccard_join.jaccard_components(rows, "_row", "text").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = groups.join(rows.select("_row", "doc_id"), "_row")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"), F.count("*").alias("n"))
-    gone = ids.join(first.where("n > 1"), "component_id").where("_row <> first._row").select("_row")
-    return rows.join(C.by_row(gone), "_row", "left_anti").select(*docs.columns)
+    rows = C.numbered(C.boxed(docs))
+    groups = jaccard_join.jaccard_components(rows, "_row", "doc.text").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = groups.join(rows.select("_row", F.col("doc.doc_id").alias("doc_id")), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = C.spread_join(ids.select("_row", "component_id"), first.select("component_id", F.col("first._row").alias("stays")), "component_id", "_row")
+    return rows.join(C.by_row(several.where("_row <> stays").select("_row")), "_row", "left_anti").select("doc.*")
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -54,23 +57,21 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret not proven widely copied, and long keys that only one source holds; everything else stays."""
-    rows = C.numbered(docs)
-    found = secret_ownership.secret_scan(rows, "_row", "text", "source", "doc_id", example_owners=EXAMPLE_SOURCES, example_repositories=EXAMPLE_DOCUMENTS)
-    found = found.withColumnRenamed("doc_id", "_row")
+    rows = C.numbered(C.boxed(docs))
+    found = secret_ownership.secret_scan(rows, "_row", "doc.text", "doc.source", "doc.doc_id", example_owners=EXAMPLE_SOURCES, example_repositories=EXAMPLE_DOCUMENTS, widely=None)
     live = F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    live = C.by_row(found.select("_row", live.alias("_spans")).where(F.size("_spans") > 0))
-    text = F.when(F.col("_spans").isNotNull(), _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = rows.join(live, "_row", "left").withColumn("text", text)
-    size = F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).select(*docs.columns)
+    live = C.by_row(found.select(F.col("doc_id").alias("_row"), live.alias("_spans")).where(F.size("_spans") > 0))
+    masked = _masked(F.col("doc.text"), F.col("_spans"))
+    doc = F.col("doc").withField("text", masked).withField("n_chars", F.length(masked).cast("long"))
+    return rows.join(live, "_row", "left").select(F.when(F.col("_spans").isNotNull(), doc).otherwise(F.col("doc")).alias("doc")).select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target weight asks: not at all, or up to 3 times."""
-    rows = C.numbered(docs)
-    copies = source_mixing.mix_sources(rows, "_row", "text", "source").where("copies <> 1").select(F.col("doc_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    rows = C.numbered(C.boxed(docs))
+    copies = source_mixing.mix_sources(rows, "_row", "doc.text", "doc.source").where("copies <> 1").select(F.col("doc_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
     out = rows.join(C.by_row(copies), "_row", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
