@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanledger.llm import hyper_langid, jaccard_join, maxent_lm, pieces, queries, secret_ownership, source_mixing, substring_dedup, suffix_pieces, viterbi_counts
 from scanledger.plans.verify import compare, duck_connection
@@ -301,6 +302,36 @@ def test_pipeline_keeps_one_of_each_group_and_masks(spark, tmp_path):
     assert hashlib.sha256(masked[1].encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
 
 
+CLASHING = ["score", "lang_pred", "_text", "_spans", "_copies", "_row", "_copy", "doc", "row", "col", "component_id", "_salt", "stays"]
+
+
+def test_pipeline_carries_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    letters = "the and of that with this from are was which " * 30
+    rows = [(i, f"{letters} token=abc{i}defgh {'x ' * (200_000 if i == 3 else 1)} page{i}", f"s{i % 2}") for i in range(6)] + [(None, letters, None), (7, letters, "s1"), (8, "", "s1"), (9, None, "s1")]
+    d = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").withColumn("lang", F.when(F.col("doc_id") != 1, F.col("lang")))
+    for i, name in enumerate(CLASHING):
+        d = d.withColumn(name, F.concat_ws("-", F.lit(name), F.coalesce("doc_id", F.lit(-1)), F.lit(i)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = d.columns
+        d = corpus_pipeline.C.stash(stage(spark, d, str(tmp_path)))
+        assert d.columns == columns, name
+        for r in d.collect():
+            assert [r[c] for c in CLASHING] == [f"{c}-{-1 if r['doc_id'] is None else r['doc_id']}-{i}" for i, c in enumerate(CLASHING)], name
+            assert r["lang"] == "en" and (name not in ("secret_scan", "source_mixing") or "token" not in (r["text"] or ""))
+    assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).where("not round_trip").isEmpty()
+
+
+def test_pipeline_stages_take_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    d = docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.C.stash(stage(spark, d, str(tmp_path)))
+        assert out.collect() == [] and (name == "sentencepiece" or out.columns == d.columns), name
+
+
 def test_row_numbers_stay_when_files_are_split_anew(spark, tmp_path):
     from scanledger.llm import common as C
 
