@@ -54,6 +54,22 @@ def source_filter(
     return df
 
 
+def checkov_frameworks(raw: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
+    """Raw reports of which checkov's hold only the results of the listed frameworks (its ``check_type``).
+
+    A payload is one object or an array of them; an object without a check_type cannot be of another framework and
+    stays, and so does a payload that is not JSON. No list: all stay. Reports of other scanners are untouched.
+    """
+    if not frameworks:
+        return raw
+    doc = F.try_parse_json("payload")
+    is_list = F.schema_of_variant(doc).startswith("ARRAY")
+    blocks = F.when(is_list, F.try_variant_get(doc, "$", "array<variant>")).otherwise(F.array(doc))
+    kind = lambda b: F.try_variant_get(b, "$.check_type", "string")
+    kept = F.to_json(F.filter(blocks, lambda b: kind(b).isNull() | kind(b).isin(*frameworks)))
+    return raw.withColumn("payload", F.when((F.col("scanner") == "checkov") & doc.isNotNull(), kept).otherwise(F.col("payload")))
+
+
 def select_scanners(df: DataFrame, names: list[str] | None = None, column: str = "scanner") -> DataFrame:
     """Scanner selection: explicit names, else all. Unknown names are an error (raised on the driver)."""
     if not names:

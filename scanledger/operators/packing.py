@@ -26,21 +26,22 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELL = 4096
 
 
-def prefix_sums(df: DataFrame, group: str, order: str, size: F.Column) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: str | list[str], size: F.Column) -> DataFrame:
     """Adds ``position`` (from 1) and ``offset`` (sizes before it) of each row within its group, in ``order``.
 
     Rows are dealt into ranges of (group, order) and written once. Sums run within a range's slice of a group; what is
     ordered by group alone is one row a slice. Ties of ``order`` are broken by a row number written with the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    keys = [order] if isinstance(order, str) else order
     rows = df.withColumn("_size", size.cast("bigint")).withColumn("_tie", F.monotonically_increasing_id()).checkpoint(eager=False)
-    rows = rows.repartitionByRange(group, order, "_tie").withColumn("_slice", F.spark_partition_id()).checkpoint(eager=False)
+    rows = rows.repartitionByRange(group, *keys, "_tie").withColumn("_slice", F.spark_partition_id()).checkpoint(eager=False)
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size")).select(
         F.col(group).alias("_group"), F.col("_slice").alias("_of"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in ("n", "size")],
     )
-    within = Window.partitionBy(group, "_slice").orderBy(order, "_tie")
+    within = Window.partitionBy(group, "_slice").orderBy(*keys, "_tie")
     placed = rows.join(slices, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_of")))
     position = F.col("_n_before") + F.row_number().over(within)
     offset = F.col("_size_before") + F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanledger import TOOL_NAME
+from scanledger.operators.containment import contained_terms
 from scanledger.functions.severity import REPORTED_SEVERITIES, at_or_above, page_severity, sarif_level, severity_rank
 from scanledger.operators.aggregates import severity_counts
 
@@ -349,27 +350,32 @@ def issue_work_list(
     An open issue matches when its title contains the finding's tag
     ``[<first 8 hex of fingerprint>]``. Tags are pulled out of the titles with
     one regex and matched by an equi anti join on (repo, tag) -- no pairwise
-    containment test. Findings always carry a fingerprint here (empty ones
-    are rejected at ingest), so the title-prefix fallback never applies.
+    containment test. A finding without a fingerprint has no tag: it is looked
+    for by the first 50 characters of its title, which any open title of the
+    repo may contain (an n-gram index, ``containment.contained_terms``), and
+    findings that share them are one issue.
     """
     lab = ISSUE_LABELS if labels is None else labels
-    cand = df.filter(at_or_above("severity", threshold, order)).filter(_truthy_str(F.col("fingerprint")))
+    every = df.filter(at_or_above("severity", threshold, order))
+    fields = F.struct("severity", "title", "scanner", "fingerprint", "description", "recommendation")
+    cand = every.filter(_truthy_str(F.col("fingerprint")))
     cand = cand.withColumn("tag", F.concat(F.lit("["), F.substring("fingerprint", 1, 8), F.lit("]")))
-    first = cand.groupBy("repo", "fingerprint", "tag").agg(
-        F.min_by(
-            F.struct("severity", "title", "scanner", "fingerprint", "description", "recommendation"), "ingest_seq"
-        ).alias("f")
-    ).drop("fingerprint")
+    first = cand.groupBy("repo", "fingerprint", "tag").agg(F.min_by(fields, "ingest_seq").alias("f")).drop("fingerprint")
     existing = open_issues.select(
         "repo", F.explode(F.regexp_extract_all("issue_title", F.lit(r"(\[[0-9a-f]{8}\])"), 1)).alias("tag")
     ).distinct()
     todo = first.join(existing, ["repo", "tag"], "left_anti")
+    untagged = every.filter(~_truthy_str(F.col("fingerprint"))).withColumn("term", F.substring(F.coalesce("title", F.lit("")), 1, 50))
+    untagged = untagged.groupBy("repo", "term").agg(F.min_by(fields, "ingest_seq").alias("f"))
+    known = contained_terms(untagged, open_issues, "repo", "term", "issue_title").withColumnsRenamed({"repo": "_repo", "term": "_term"})
+    untagged = untagged.join(known, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("term") == F.col("_term")), "left_anti")
+    todo = todo.unionByName(untagged.select("repo", F.lit("").alias("tag"), "f"))
     f = lambda c: F.col(f"f.{c}")
-    title = F.concat(F.lit("[Security] "), f("severity"), F.lit(": "), F.substring(f("title"), 1, 80), F.lit(" "), F.col("tag"))
+    title = F.concat(F.lit("[Security] "), f("severity"), F.lit(": "), F.substring(F.coalesce(f("title"), F.lit("")), 1, 80), F.lit(" "), F.col("tag"))
     body = F.concat(
         F.lit("## Security Finding\n\n**Severity:** "), f("severity"),
         F.lit("\n**Scanner:** "), f("scanner"),
-        F.lit("\n**Fingerprint:** `"), f("fingerprint"),
+        F.lit("\n**Fingerprint:** `"), F.coalesce(f("fingerprint"), F.lit("")),
         F.lit("`\n\n### Description\n"), F.coalesce(f("description"), F.lit("")),
         F.lit("\n\n### Recommendation\n"), F.coalesce(f("recommendation"), F.lit("")),
         F.lit(f"\n\n---\n<sub>Auto-created by {TOOL_NAME}</sub>"),
@@ -385,11 +391,14 @@ def issue_work_list(
 
 
 def page_work_list(df: DataFrame, existing_pages: DataFrame, run_date: str) -> DataFrame:
-    """Pages to create: one per fingerprint not already filed, with the page fields cut to size."""
-    first = df.filter(_truthy_str(F.col("fingerprint"))).groupBy("repo", "fingerprint").agg(
-        F.min_by(F.struct("severity", "title", "scanner", "description", "recommendation"), "ingest_seq").alias("f")
-    )
+    """Pages to create: one per fingerprint not already filed, with the page fields cut to size.
+
+    A finding without a fingerprint cannot be looked for, so each gets its page.
+    """
+    fields = F.struct("severity", "title", "scanner", "description", "recommendation").alias("f")
+    first = df.filter(_truthy_str(F.col("fingerprint"))).groupBy("repo", "fingerprint").agg(F.min_by(fields, "ingest_seq").alias("f"))
     todo = first.join(existing_pages.select("repo", "fingerprint"), ["repo", "fingerprint"], "left_anti")
+    todo = todo.unionByName(df.filter(~_truthy_str(F.col("fingerprint"))).select("repo", "fingerprint", fields))
     return todo.select(
         "repo",
         "fingerprint",

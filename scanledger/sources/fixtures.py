@@ -6,7 +6,7 @@ equivalent DuckDB SQL text (used only as the correctness oracle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanledger.functions.fingerprint import fingerprint
@@ -127,6 +127,38 @@ def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dependency_edges(inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(roots, edges): production roots of each repo, and (repo, package, dependency) within it, with cycles.
+
+    A package needs the one after it in the repo's numeric order unless its number divides by 4, and the one before it
+    if it divides by 5; every tenth number is a production root, the others are there for development.
+    """
+    number = F.substring("package", 5, 20).cast("bigint")
+    w = Window.partitionBy("repo").orderBy(number)
+    beside = inventory.select("repo", "package", number.alias("p"), F.lead("package").over(w).alias("after"), F.lag("package").over(w).alias("before"))
+    needs = F.array(F.when(F.col("p") % 4 != 0, F.col("after")), F.when(F.col("p") % 5 == 0, F.col("before")))
+    edges = beside.select("repo", "package", F.explode(needs).alias("dependency")).where("dependency is not null")
+    return beside.where("p % 10 = 0").select("repo", "package"), edges
+
+
+def untagged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding without fingerprint for each document: its source is the repo, its text's beginning the title."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("source").alias("repo"), F.col("doc_id").alias("ingest_seq"), F.lit("semgrep").alias("scanner"),
+        F.when(F.col("doc_id") % 5 == 0, "HIGH").otherwise("CRITICAL").alias("severity"),
+        F.substring("text", 1, 90).alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("recommendation"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("")).alias("fingerprint"),
+    )
+
+
+def open_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of open issues: beginnings of every third document's text, half of them without its first three characters."""
+    d = read_table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    begin = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("HIGH: "), F.substring("text", 1, 60))).otherwise(F.substring("text", 4, 80))
+    return d.select(F.col("source").alias("repo"), F.concat(F.lit("[Security] "), begin).alias("issue_title"))
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advisory table (vuln_id, package, version, fixed_version) from part (FIXTURES C)."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size").filter(F.col("p_partkey") % 11 == 0)
@@ -198,6 +230,16 @@ advisories AS (
   FROM part WHERE p_partkey % 11 = 0
 )"""
 
+DEPENDENCIES_SQL = """
+beside AS (
+  SELECT repo, package, cast(substr(package, 5) AS bigint) AS p, lead(package) OVER w AS after, lag(package) OVER w AS before
+  FROM inventory WINDOW w AS (PARTITION BY repo ORDER BY cast(substr(package, 5) AS bigint))
+),
+edges AS (
+  SELECT repo, package, after AS dependency FROM beside WHERE p % 4 <> 0 AND after IS NOT NULL
+  UNION ALL SELECT repo, package, before FROM beside WHERE p % 5 = 0 AND before IS NOT NULL
+)"""
+
 
 def with_events(*ctes: str) -> str:
     """WITH prefix holding the events findings fixture plus extra CTE bodies."""
