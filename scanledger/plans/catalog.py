@@ -46,7 +46,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.events_findings(spark, sf_dir)
+    return fx.FINDINGS.get()(spark, sf_dir)
 
 
 def _last_run(f: DataFrame):
@@ -1146,4 +1146,4 @@ def q_triage_response_parse(spark, sf_dir):
     return triage.parse_triage(triage_responses_fixture(f), f)
 
 
-from scanledger.plans import catalog_ledger, catalog_reports  # noqa: E402,F401
+from scanledger.plans import catalog_ledger, catalog_reports, catalog_varied  # noqa: E402,F401

@@ -6,6 +6,8 @@ equivalent DuckDB SQL text (used only as the correctness oracle).
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,39 @@ def events_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fingerprint", fingerprint("scanner", "title", "file_path", "line", "rule_id"))
 
 
+def varied_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' findings with what tools also send: long titles and texts, pipes, paths of code and of tests, lines
+    (0 among them), absent recommendations, rules and fingerprints, repos with nothing above INFO or LOW."""
+    f = events_findings(spark, sf_dir)
+    e, low = F.col("ingest_seq"), F.substring("repo", -1, 1)
+    quiet = F.when(low == "3", "INFO").when((low == "4") & (F.col("severity") != "INFO"), "LOW").otherwise(F.col("severity"))
+    paths = F.array(F.lit(None), F.lit(""), F.lit("src/app.py"), F.lit("tests/unit/app.py"), F.lit("lib/x_test.go"), F.lit("fixtures/a.json"))
+    changed = {
+        "severity": quiet,
+        "title": F.when(e % 7 == 0, F.concat(F.lit("Issue | "), F.repeat(F.lit("long "), (14 + e % 40).cast("int")), F.col("rule_id"))).otherwise(F.col("title")),
+        "description": F.when(e % 11 == 0, F.lit("")).when(e % 5 == 0, F.repeat("description", 150)).otherwise(F.col("description")),
+        "file_path": F.get(paths, (e % 6).cast("int")),
+        "line": F.when(e % 4 == 1, 0).when(e % 4 > 1, (e % 500 + 1).cast("int")),
+        "recommendation": F.when(e % 13 == 0, F.lit(None)).when(e % 3 == 0, F.concat(F.repeat(F.lit("Review | "), 30), F.col("rule_id"))).otherwise(F.col("recommendation")),
+        "rule_id": F.when(e % 19 != 0, F.col("rule_id")),
+    }
+    f = f.withColumns(changed).withColumn("fingerprint", fingerprint("scanner", "title", "file_path", "line", "rule_id"))
+    return f.withColumn("fingerprint", F.when(e % 17 == 0, F.lit("")).otherwise(F.col("fingerprint")))
+
+
+#: The findings that registered queries are built on: ``events_findings``, or ``varied_findings`` in their second form.
+FINDINGS = ContextVar("findings", default=events_findings)
+
+
 def events_scans(findings: DataFrame) -> DataFrame:
-    """Scan runs = distinct (repo, run_date) of the fixture (partial aggregation before the shuffle)."""
-    return findings.select("repo", "run_date").distinct()
+    """Scan runs = distinct (repo, run_date) of the fixture (partial aggregation before the shuffle).
+
+    The varied form has a repo that is scanned in every run and has no findings.
+    """
+    runs = findings.select("repo", "run_date").distinct()
+    if FINDINGS.get() is varied_findings:
+        runs = runs.unionByName(findings.select(F.lit("org/quiet").alias("repo"), "run_date").distinct())
+    return runs
 
 
 def weekly_scans(findings: DataFrame) -> DataFrame:
@@ -208,6 +240,30 @@ weekly AS (
   FROM findings GROUP BY repo
 )"""
 
+VARIED_FINDINGS_SQL = (
+    EVENTS_FINDINGS_SQL.strip()
+    .replace("\nfindings AS (", "\nplain AS (")
+    .replace("scans AS (SELECT DISTINCT repo, run_date FROM findings)", """varied AS (
+  SELECT repo, run_date, ingest_seq, scanner,
+    CASE WHEN right(repo, 1) = '3' THEN 'INFO' WHEN right(repo, 1) = '4' AND severity <> 'INFO' THEN 'LOW' ELSE severity END AS severity,
+    CASE WHEN ingest_seq % 7 = 0 THEN concat('Issue | ', repeat('long ', cast(14 + ingest_seq % 40 AS integer)), rule_id) ELSE title END AS title,
+    CASE WHEN ingest_seq % 11 = 0 THEN '' WHEN ingest_seq % 5 = 0 THEN repeat(description, 150) ELSE description END AS description,
+    [NULL, '', 'src/app.py', 'tests/unit/app.py', 'lib/x_test.go', 'fixtures/a.json'][ingest_seq % 6 + 1] AS file_path,
+    CASE WHEN ingest_seq % 4 = 1 THEN 0 WHEN ingest_seq % 4 > 1 THEN cast(ingest_seq % 500 + 1 AS integer) END AS line,
+    CASE WHEN ingest_seq % 13 = 0 THEN NULL WHEN ingest_seq % 3 = 0 THEN concat(repeat('Review | ', 30), rule_id) ELSE recommendation END
+      AS recommendation,
+    CASE WHEN ingest_seq % 19 <> 0 THEN rule_id END AS rule_id
+  FROM plain
+),
+findings AS (
+  SELECT *, CASE WHEN ingest_seq % 17 = 0 THEN '' ELSE substr(sha256(concat(scanner, '|', title, '|', coalesce(file_path, ''), '|',
+    CASE WHEN coalesce(line, 0) <> 0 THEN line::varchar ELSE '' END, CASE WHEN coalesce(rule_id, '') <> '' THEN concat('|', rule_id) ELSE '' END)), 1, 16) END
+    AS fingerprint
+  FROM varied
+),
+scans AS (SELECT DISTINCT repo, run_date FROM findings UNION SELECT DISTINCT 'org/quiet', run_date FROM findings)""")
+)
+
 SUPPRESSIONS_SQL = "suppressions AS (SELECT DISTINCT repo, fingerprint FROM findings WHERE fingerprint LIKE '0%')"
 OPEN_ISSUES_SQL = (
     "open_issues AS (SELECT DISTINCT repo, concat('[Security] CRITICAL: ', title, ' [', substr(fingerprint, 1, 8), ']')"

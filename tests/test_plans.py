@@ -13,7 +13,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in catalog.QUERIES if not q.endswith("_varied")))  # second forms share the plan
 def test_no_unscalable_operators(spark, name):
     p = plan_text(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
