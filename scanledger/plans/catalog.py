@@ -1146,4 +1146,4 @@ def q_triage_response_parse(spark, sf_dir):
     return triage.parse_triage(triage_responses_fixture(f), f)
 
 
-from scanledger.plans import catalog_ledger, catalog_reports, catalog_varied  # noqa: E402,F401
+from scanledger.plans import catalog_inputs, catalog_ledger, catalog_reports, catalog_varied  # noqa: E402,F401
