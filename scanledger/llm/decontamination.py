@@ -93,9 +93,9 @@ def _bits(batches, power: int):
 
 
 def bitmap(tokens: DataFrame) -> np.ndarray:
-    """A bit for each value of the high bits of the tokens; 64 bits a token, and never more than 128 MB."""
+    """A bit for each value of the high bits of the tokens; 512 bits a token, and never more than 128 MB."""
     n = tokens.count()
-    power = min(MOST_BITS, max(16, (64 * n).bit_length()))
+    power = min(MOST_BITS, max(16, (512 * n).bit_length()))
     width = (1 << power) // SLICES
     part = F.shiftrightunsigned("token", 64 - SLICES.bit_length() + 1).cast("int")
     dealt = tokens.select("token", part.alias("part")).repartitionById(SLICES, "part")
@@ -173,7 +173,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     if sizes:
         bits = spark.sparkContext.broadcast(bitmap(tokens))
         seen = d.select("text").mapInArrow(C.task(_count, bits=bits, sizes=sizes, chunk_bytes=4 << 20), "token long, n long")
-        counts = C.stash(seen.groupBy("token").agg(F.sum("n").alias("n")))
+        counts = seen.groupBy("token").agg(F.sum("n").alias("n"))
         weighed = sets.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     else:
         weighed = sets.withColumn("n", F.lit(0).cast("long"))
