@@ -28,6 +28,8 @@ MAX_LANGS = 4096
 UNKNOWN = "und"
 #: Code points worked on together.
 CHUNK = 1 << 20
+#: Distinct trigrams whose vectors are held together.
+SLICE = 2048
 
 
 _FOLDED: dict[int, int] = {}
@@ -46,8 +48,8 @@ def folded(code: int) -> int:
     return _FOLDED[code]
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts by text and trigram, trigrams as rows of three code points, number of trigrams of each text)."""
+def trigrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each occurrence of a trigram: its text's number, and its row in the distinct trigrams (three code points each)."""
     raw = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     edge = np.zeros(1, np.uint32)
     doc = np.repeat(np.arange(len(raw)), [len(r) + 2 for r in raw])
@@ -62,29 +64,35 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     alphabet, small = np.unique(codes, return_inverse=True)
     size = len(alphabet)
     ids = (small[middle - 1] * size + small[middle]) * size + small[middle + 1]
-    if size**3 <= 1 << 24:
-        seen = np.flatnonzero(np.bincount(ids, minlength=1))
-        place = np.zeros(size**3, np.int32)
-        place[seen] = np.arange(len(seen), dtype=np.int32)
-        column = place[ids]
-    else:
-        seen, column = np.unique(ids, return_inverse=True)
-    if not len(middle):
-        seen = seen[:0]
-    counts = np.bincount(doc[middle] * max(1, len(seen)) + column, minlength=len(texts) * len(seen))[: len(texts) * len(seen)].reshape(len(texts), len(seen)).astype(np.float32)
-    return counts, np.stack([alphabet[seen // size // size], alphabet[seen // size % size], alphabet[seen % size]], 1) if len(seen) else np.zeros((0, 3), np.uint32), np.bincount(doc[middle], minlength=len(texts))
-
-
-def bound(trigrams: np.ndarray) -> np.ndarray:
-    """The vector of each trigram."""
-    out = np.empty((len(trigrams), DIM), np.float32)
+    seen, column = np.unique(ids, return_inverse=True) if size**3 > 1 << 24 else _ranked(ids, size**3)
+    trigrams = np.stack([alphabet[seen // size // size], alphabet[seen // size % size], alphabet[seen % size]], 1) if len(seen) else np.zeros((0, 3), np.uint32)
+    return doc[middle], column, trigrams
+
+
+def _ranked(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with its inverse, of numbers below ``most``, by counting."""
+    seen = np.flatnonzero(np.bincount(ids, minlength=1))
+    place = np.zeros(most, np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
+    return seen, place[ids]
+
+
+def bundles(owner: np.ndarray, column: np.ndarray, trigrams: np.ndarray, rows: int) -> np.ndarray:
+    """The sum of the vectors of each owner's trigrams, worked out SLICE distinct trigrams at a time."""
+    out = np.zeros((rows, DIM), np.float32)
     letters = np.unique(trigrams)
     vectors = np.stack([letter(int(c)) for c in letters]) if len(letters) else np.zeros((0, DIM), np.int8)
-    a, b, c = (np.searchsorted(letters, trigrams[:, i]) for i in range(3))
     rolled2, rolled1 = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
-    for i in range(0, len(trigrams), 2048):
-        s = slice(i, i + 2048)
-        out[s] = rolled2[a[s]] * rolled1[b[s]] * vectors[c[s]]
+    if len(trigrams) > SLICE:
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+    for begin in range(0, len(trigrams), SLICE):
+        part = trigrams[begin : begin + SLICE]
+        own = slice(*np.searchsorted(column, [begin, begin + SLICE])) if len(trigrams) > SLICE else slice(None)
+        a, b, c = (np.searchsorted(letters, part[:, i]) for i in range(3))
+        bound = rolled2[a] * rolled1[b] * vectors[c]
+        counts = np.bincount(owner[own] * len(part) + (column[own] - begin), minlength=rows * len(part)).reshape(rows, len(part))
+        out += counts.astype(np.float32) @ bound.astype(np.float32)
     return out
 
 
@@ -105,12 +113,10 @@ def _learn(batches):
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for start, end, texts in _groups(batch):
-            counts, trigrams, _ = trigram_counts(texts)
+            doc, column, trigrams = trigrams_of(texts)
             names = sorted(set(langs[start:end]))
             of = np.array([names.index(x) for x in langs[start:end]])
-            sums = np.zeros((len(names), counts.shape[1]), np.float32)
-            np.add.at(sums, of, counts)
-            for name, v in zip(names, sums @ bound(trigrams), strict=True):
+            for name, v in zip(names, bundles(of[doc], column, trigrams, len(names)), strict=True):
                 total[name] = total.get(name, 0) + v.astype(np.float64)
     schema = pa.schema([("lang", pa.string()), ("at", pa.int32()), ("value", pa.float64())])
     for name, v in total.items():
@@ -136,8 +142,9 @@ def _predict(batches, model):
     for batch in batches:
         preds, scores = [], []
         for _, _, texts in _groups(batch):
-            counts, trigrams, n = trigram_counts(texts)
-            vectors = counts @ bound(trigrams)
+            doc, column, trigrams = trigrams_of(texts)
+            n = np.bincount(doc, minlength=len(texts))
+            vectors = bundles(doc, column, trigrams, len(texts))
             length = np.linalg.norm(vectors, axis=1)
             cosine = vectors @ prototypes.T.astype(np.float32) / np.maximum(length, 1e-30)[:, None]
             best = cosine.argmax(1) if names else np.zeros(len(texts), int)

@@ -302,6 +302,56 @@ def test_pipeline_keeps_one_of_each_group_and_masks(spark, tmp_path):
     assert hashlib.sha256(masked[1].encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_language_id_equals_brute_force(spark, monkeypatch):
+    """Vectors from the definition, a trigram at a time; sliced bundles give the same."""
+    rng = random.Random(9)
+    stock = {"aa": "the and of that with", "bb": "der und das nicht mit ß", "cc": "不是我们的世界 大学生活"}
+    text = lambda lang: " ".join(rng.choice(stock[lang].split()) + rng.choice(["", "s", "!", "7"]) for _ in range(rng.randint(1, 30)))
+    rows = [(i, text(rng.choice("abc") * 2), "s", rng.choice(["aa", "bb", "cc", None])) for i in range(60)] + [(100, "12 !"), (101, None), (102, ""), (103, "É")]
+
+    def vector(t):
+        codes = [0]
+        for ch in t or "":
+            c = hyper_langid.folded(ord(ch))
+            if c or codes[-1]:
+                codes.append(c)
+        codes += [0] if codes[-1] else []
+        out = np.zeros(hyper_langid.DIM)
+        for i in range(1, len(codes) - 1):
+            if codes[i]:
+                out += np.roll(hyper_langid.letter(codes[i - 1]), 2) * np.roll(hyper_langid.letter(codes[i]), 1) * hyper_langid.letter(codes[i + 1])
+        return out
+
+    prototypes = {}
+    for r in rows:
+        if len(r) > 3 and r[3] and zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            prototypes[r[3]] = prototypes.get(r[3], 0) + vector(r[1])
+    want = {}
+    for r in rows:
+        v = vector(r[1])
+        cosine = {n: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for n, p in prototypes.items()} if v.any() else {}
+        want[r[0]] = max(sorted(cosine.items()), key=lambda x: round(x[1], 6)) if cosine else ("und", 0.0)
+    d = docs(spark, rows[:60]).unionByName(docs(spark, rows[60:]).withColumn("lang", F.lit(None).cast("string")))
+    for size in (2048, 7):
+        monkeypatch.setattr(hyper_langid, "SLICE", size)
+        model = hyper_langid.learn(d.where(~hyper_langid.held_out()), "text", "lang")
+        got = hyper_langid.identify(d, [d["doc_id"]], "text", model).collect()
+        for r in got:
+            assert (r["lang_pred"], r["score"]) == (want[r["doc_id"]][0], pytest.approx(max(0.0, want[r["doc_id"]][1]), abs=1e-5)), r
+
+
+def test_language_vectors_of_a_text_with_very_many_trigrams():
+    import tracemalloc
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 1 << 18)))
+    tracemalloc.start()
+    doc, column, trigrams = hyper_langid.trigrams_of([text, "the", ""])
+    v = hyper_langid.bundles(doc, column, trigrams, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trigrams) > 200_000 and peak < 500 << 20 and v[0].any() and not v[2].any()
+
+
 CLASHING = ["score", "lang_pred", "_text", "_spans", "_copies", "_row", "_copy", "doc", "row", "col", "component_id", "_salt", "stays"]
 
 
