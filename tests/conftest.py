@@ -28,6 +28,18 @@ def spark():
     yield spark
 
 
+_BUILT: dict = {}
+
+
+def built(spark, name, sf_dir="/root/testdata/sf0.001"):
+    """The DataFrame of a registered query, built once for all tests (some run jobs while they are built)."""
+    from scanledger.plans import catalog
+
+    if name not in _BUILT:
+        _BUILT[name] = catalog.QUERIES[name](spark, sf_dir)
+    return _BUILT[name]
+
+
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="scanledger-test-")

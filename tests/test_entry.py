@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tests.conftest import built
 from scanledger.plans import catalog
 from scanledger.plans.verify import compare, duck_connection
 
@@ -29,7 +30,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    ok, msg = compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF)
+    ok, msg = compare(spark, duck, lambda s, d: built(s, name, d), entry.oracle_sql()[name], SF)
     assert ok, msg
 
 
@@ -39,7 +40,7 @@ SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boo
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_column_types_match_oracle(spark, duck, name):
-    sdf = entry.queries()[name](spark, SF)
+    sdf = built(spark, name, SF)
     spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     rel = duck.sql(f"SELECT * FROM ({entry.oracle_sql()[name]}) LIMIT 0")
     duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))

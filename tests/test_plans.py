@@ -3,10 +3,12 @@
 import pytest
 
 from scanledger.plans import catalog
+from tests.conftest import built
 
 SF = "/root/testdata/sf0.001"
-# collect_list over <= 500 rows per repo (the tool's own cap); over one payload, whose bound the query checks
-BOUNDED_COLLECT = {"triage_payload", "triage_batches"}
+# collect_list over <= 500 rows per repo (the tool's own cap); over one payload, whose bound the query checks; over one
+# part of a document
+BOUNDED_COLLECT = {"triage_payload", "triage_batches", "pr_comment_bodies", "json_export_documents", "sarif_upload_bodies"}
 
 
 def plan_text(df):
@@ -15,7 +17,7 @@ def plan_text(df):
 
 @pytest.mark.parametrize("name", sorted(q for q in catalog.QUERIES if not q.endswith("_varied")))  # second forms share the plan
 def test_no_unscalable_operators(spark, name):
-    p = plan_text(catalog.QUERIES[name](spark, SF))
+    p = plan_text(built(spark, name))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
     if name not in BOUNDED_COLLECT:
         assert "collect_list" not in p and "collect_set" not in p, name
@@ -23,13 +25,13 @@ def test_no_unscalable_operators(spark, name):
 
 
 def test_cap_is_a_partial_window_group_limit(spark):
-    p = plan_text(catalog.QUERIES["triage_cap"](spark, SF))
+    p = plan_text(built(spark, "triage_cap"))
     assert p.count("WindowGroupLimit") >= 2  # partial before the shuffle + final
 
 
 def test_text_scans_do_not_shuffle(spark):
     for q in ("secret_scan_documents", "secret_scan_pages", "license_scan_documents"):
-        p = plan_text(catalog.QUERIES[q](spark, SF))
+        p = plan_text(built(spark, q))
         assert "Exchange" not in p, q
 
 
