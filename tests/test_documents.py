@@ -9,7 +9,7 @@ import pytest
 
 from scanledger.operators import detect, filters, reachability, rule_index
 from scanledger.operators.containment import contained_terms
-from scanledger.plans import documents, reports
+from scanledger.plans import documents, reports, sinks
 from scanledger.sources.reports import normalize
 from scanledger.streaming.ingest import RAW_DDL
 from tests.conftest import CANONICAL, make_findings
@@ -164,3 +164,28 @@ def test_checkov_frameworks(spark):
     assert rules(filters.checkov_frameworks(raw, ["terraform"])) == ["CKV_1", "CKV_9"]
     assert rules(filters.checkov_frameworks(raw)) == ["CKV_1", "CKV_2", "CKV_3", "CKV_9"]
     assert [r["payload"] for r in filters.checkov_frameworks(raw, ["terraform"]).orderBy("report_seq").collect()][3:] == ["not json", "[]"]
+
+
+def test_sinks_by_name_over_one_stored_input(spark, tmpdir_path):
+    f = make_findings(spark, findings(60))
+    quiet = spark.createDataFrame([("quiet",)], "repo string").unionByName(f.select("repo").distinct())
+    run = sinks.Run(f, quiet, run_date="2024-02-05", options={"send_on": "findings_only", "issue_severity": "HIGH"})
+    paths = sinks.write_sinks(run, list(sinks.SINKS), f"{tmpdir_path}/out")
+    got = {n: spark.read.parquet(p) for n, p in paths.items()}
+    assert set(got) == set(sinks.SINKS) and all(not df.isEmpty() for df in got.values())
+    assert got["email"].where("repo = 'quiet'").isEmpty() and not got["console"].where("repo = 'quiet'").isEmpty()
+    assert got["csv"].count() == f.where("severity <> 'INFO'").count()
+    doc = json.loads(whole(got["sarif"])["hot"])
+    assert gzip.decompress(base64.b64decode(whole(got["sarif-upload"], "body")["hot"])).decode() == whole(got["sarif"])["hot"] and doc["runs"]
+    with pytest.raises(ValueError, match="unknown sink"):
+        sinks.run_sinks(run, ["csv", "fax"])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from scanledger.session import ensure_checkpoint_dir
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(spark)
