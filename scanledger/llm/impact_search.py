@@ -3,10 +3,14 @@
 Components become integers floor(scale * x). Vectors are dealt in blocks; the index of a block holds its postings
 (vector, dimension, impact) in segments of falling quantised impact: each segment has the components whose size has
 one more leading zero bit than the segment before. A block answers a group of queries together: segment by segment it
-adds query component times impact. What is left of a vector can add at most the length of its unprocessed components
-times the length of the query's; once those bounds prove for all but few vectors that they cannot be among the k
-best, the block stops, and the possible members are scored exactly from their whole vectors. If no proof comes, all
-segments are processed, which is exact as well. The k best of each block and query meet in one ranking.
+adds query component times impact, for the vectors that have postings in it. What is left of a vector can add at most
+the length of its unprocessed components times the length of the query's. A query is done with a block once those bounds
+prove for all but FEW * k vectors that they cannot be among its k best; they are scored exactly from their whole vectors,
+and the later segments are processed for the other queries only. If no proof comes, all segments are processed, which
+is exact as well. The k best of each block and query meet in one ranking.
+
+Blocks run in two waves. The k-th best score that the first wave (a block of every WAVE) finds is a floor for the
+query in all others, where most vectors then fall out after the first segments.
 
 Queries meet rows block by block: (query group, vector block) cells of bounded size.
 
@@ -28,8 +32,10 @@ from scanledger.llm import common as C
 
 BLOCK = 4096
 QUERIES = 1024
-#: A block stops when at most this share of its (query, vector) pairs is still possible.
-FEW = 0.01
+#: A query is done with a block when at most so many times k vectors are still possible.
+FEW = 4
+#: One block of so many is in the first wave.
+WAVE = 16
 #: The largest double below 2**63.
 LARGEST = 2.0**63 - 1024
 
@@ -83,18 +89,23 @@ def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     # sums of products are exact in doubles below 2**53; else every pair is scored in integers
     exact = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * dims < 2.0**52
     possible = ~own
-    if exact and len(ids) > k:
+    if exact:
         qd, length = q.astype(np.float64), np.sqrt((q.astype(np.float64) ** 2).sum(1))
-        score = np.zeros(own.shape)
+        floor = queries.column("floor").to_numpy().astype(np.float64)
+        score, active = np.zeros(own.shape), np.arange(len(query_ids))
         for r in rows[1:]:
-            tile = np.zeros(x.shape)
-            tile[np.frombuffer(r["rows"], np.int32), np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int64)
-            score += qd @ tile.T
-            bound = length[:, None] * np.frombuffer(r["rest"], np.float64)[None, :] * (1 + 1e-9) + 1e-6
-            least = np.where(own, -np.inf, score - bound)
-            kth = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k]
-            possible = (score + bound >= kth[:, None]) & ~own
-            if possible.mean() <= FEW:
+            having, place = np.unique(np.frombuffer(r["rows"], np.int32), return_inverse=True)
+            tile = np.zeros((len(having), dims))
+            tile[place, np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int64)
+            score[np.ix_(active, having)] += qd[active] @ tile.T
+            bound = length[active, None] * np.frombuffer(r["rest"], np.float64)[None, :] * (1 + 1e-9) + 1e-6
+            kth = floor[active]
+            if len(ids) >= k:
+                least = np.where(own[active], -np.inf, score[active] - bound)
+                kth = np.maximum(kth, np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k])
+            possible[active] = (score[active] + bound >= kth[:, None]) & ~own[active]
+            active = active[possible[active].sum(1) > FEW * k]
+            if not len(active):
                 break
     at, who = np.nonzero(possible)
     scores = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[at[i : i + 65536]], x[who[i : i + 65536]]) for i in range(0, len(at), 65536))])
@@ -116,12 +127,25 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     blocks = C.parts_for(whole.count(), BLOCK, 1)
     groups = C.parts_for(asked.count(), QUERIES, 1)
     index = C.stash(whole.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").applyInArrow(_index, _INDEX_DDL))
-    cells = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = C.stash(asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int")))
     key = ["block", "dims", "group"]
-    best = cells.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(lambda x, y: _search(x, y, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", C.external_id("vec_id").alias("vec_id"), "score")
+
+    def wave(first: bool, queries: DataFrame) -> DataFrame:
+        """The k best of the blocks of one wave and each query, by rank."""
+        mine = (F.col("block") % WAVE == 0) == F.lit(first)
+        cells = index.where(mine).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(mine)
+        best = cells.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(lambda x, y: _search(x, y, k), "query_id long, vec_id long, score long")
+        return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    best = wave(True, asked.withColumn("floor", F.lit(float("-inf"))))
+    if blocks > 1:
+        best = C.stash(best)
+        floors = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        rest = wave(False, asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+        best = best.unionByName(rest).drop("rank").withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", C.external_id("vec_id").alias("vec_id"), "score")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
