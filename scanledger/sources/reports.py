@@ -17,7 +17,6 @@ never fails the job. So does an object that repeats a key inside an item.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,26 +35,7 @@ STATUS_COLUMNS = ["repo", "run_id", "run_date", "scanner", "source_path", "repor
 POS_BITS = 24
 
 S = T.StringType()
-I = T.IntegerType()
-RULE_KEY_FIELDS = [T.StructField(k, S) for k in ("RuleID", "check_id", "vuln_id", "id")]
-
-# Declared item schemas of each tool report (leaves that vary in type are STRING).
-GITLEAKS_ITEM = T.StructType(
-    [T.StructField("Description", S), T.StructField("File", S), T.StructField("StartLine", I)] + RULE_KEY_FIELDS
-)
-SEMGREP_ITEM = T.StructType(
-    [
-        T.StructField("path", S),
-        T.StructField("start", T.StructType([T.StructField("line", I)])),
-        T.StructField("extra", T.StructType([T.StructField(k, S) for k in ("severity", "message", "fix")])),
-    ]
-    + RULE_KEY_FIELDS
-)
 V = T.VariantType()  # keeps the JSON type of fields whose meaning depends on it
-NPM_INFO = T.StructType(
-    [T.StructField("severity", S), T.StructField("title", S), T.StructField("via", T.ArrayType(S)),
-     T.StructField("fixAvailable", V)]
-)
 #: The items of a report: key and at (map key; package and version; target) and the JSON value.
 ITEM = "array<struct<key:string,at:string,a:variant>>"
 
@@ -93,11 +73,6 @@ def json_string(v: F.Column) -> F.Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
 
 
-def _by_key(entries: F.Column) -> F.Column:
-    """Map entries ordered by key (keys are unique; values may hold unorderable VARIANTs)."""
-    return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-
-
 # --------------------------------------------------------------------------- tools
 #
 # Each tool has two parts. ``*_items`` turns a payload into an array of ITEM (key, at, a), null when the report is
@@ -458,65 +433,48 @@ LEGACY_COLUMNS = [
 ]
 
 
+LEGACY_TOOLS = ["gitleaks", "semgrep", "pip-audit", "npm-audit"]
+
+
 def legacy_records(raw_reports: DataFrame) -> DataFrame:
-    """The single-file agent's record dicts for its four tools (an alternate output shape).
+    """The single-file agent's record dicts for its four tools (an alternate output shape), from one scan of the reports.
 
     Severities are kept as the tools wrote them (semgrep ERROR/WARNING, npm
     upper-cased with UNKNOWN default) -- only the page select maps them later.
     Any parse or key error empties that report, as the agent's catch-all does.
+    ``record`` is the tool's item as it is (pip-audit: the agent's own four fields).
     """
-    raw = raw_reports.select(*RAW_COLUMNS)
     base = [c for c in RAW_COLUMNS if c not in ("payload", "scanner", "source_path")]
-
-    g_item = T.StructType(GITLEAKS_ITEM.fields + [T.StructField("severity", S), T.StructField("scanner", S)])
-    g = _of(raw, "gitleaks").select(*base, F.posexplode(F.from_json("payload", T.ArrayType(g_item))).alias("pos", "it"))
-    g = g.select(
+    items = _by_scanner({n: NORMALIZERS[n][0]() for n in LEGACY_TOOLS})
+    rows = raw_reports.filter(F.col("scanner").isin(*LEGACY_TOOLS)).select(*base, F.col("scanner").alias("tool"), F.posexplode(items).alias("pos", "it"))
+    it, tool = F.col("it"), F.col("tool")
+
+    def of(values: dict[str, F.Column]) -> F.Column:
+        out = F.lit(None).cast("string")
+        for name, value in values.items():
+            out = F.when(tool == name, value).otherwise(out)
+        return out
+
+    severity = _text(it, "$.severity")
+    return rows.select(
         *base, "pos",
-        F.coalesce(F.col("it.scanner"), F.lit("gitleaks")).alias("scanner"),
-        F.coalesce(F.col("it.severity"), F.lit("CRITICAL")).alias("severity"),
-        F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
-        F.col("it.Description").alias("description"), F.to_json("it").alias("record"),
-    )
-
-    s_item = T.StructType(SEMGREP_ITEM.fields + [T.StructField("severity", S), T.StructField("scanner", S)])
-    sd = F.from_json("payload", T.StructType([T.StructField("results", T.ArrayType(s_item)), T.StructField("_corrupt", S)]),
-                     {"columnNameOfCorruptRecord": "_corrupt"})
-    s = _of(raw, "semgrep").withColumn("_d", sd).select(
-        *base, F.posexplode(F.when(F.col("_d._corrupt").isNull(), F.col("_d.results"))).alias("pos", "it")
-    )
-    s = s.select(
-        *base, "pos",
-        F.coalesce(F.col("it.scanner"), F.lit("semgrep")).alias("scanner"),
-        F.coalesce(F.col("it.severity"), F.col("it.extra.severity"), F.lit("WARNING")).alias("severity"),
-        F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
-        F.col("it.extra.message").alias("description"), F.to_json("it").alias("record"),
-    )
-
-    pip_f, _ = normalize(raw, ["pip-audit"])  # same parse and failure rule; reshaped to the agent's record
-    p = pip_f.select(
-        "repo", "run_id", "run_date",
-        F.shiftright("ingest_seq", POS_BITS).alias("report_seq"),
-        (F.col("ingest_seq").bitwiseAND(F.lit((1 << POS_BITS) - 1))).alias("pos"),
-        F.lit("pip-audit").alias("scanner"), F.lit("HIGH").alias("severity"),
-        F.get_json_object("raw", "$.package").alias("package"),
-        F.get_json_object("raw", "$.vuln_id").alias("vuln_id"),
-        "description", "raw",
-    ).withColumnRenamed("raw", "record")
-
-    nd = F.from_json("payload", T.StructType([T.StructField("vulnerabilities", T.MapType(S, NPM_INFO)),
-                                              T.StructField("_corrupt", S)]), {"columnNameOfCorruptRecord": "_corrupt"})
-    n = _of(raw, "npm-audit").withColumn("_d", nd)
-    entries = _by_key(F.map_entries(F.col("_d.vulnerabilities")))
-    n = n.select(*base, F.posexplode(F.when(F.col("_d._corrupt").isNull(), entries)).alias("pos", "kv"))
-    info = F.col("kv.value")
-    n = n.select(
-        *base, "pos", F.lit("npm-audit").alias("scanner"),
-        F.upper(F.coalesce(info["severity"], F.lit("UNKNOWN"))).alias("severity"),
-        F.col("kv.key").alias("package"), F.lit(None).cast("string").alias("vuln_id"),
-        F.coalesce(info["title"], F.lit("")).alias("description"), F.to_json(info).alias("record"),
-    )
-    parts = [x.select(*[c for c in LEGACY_COLUMNS if c != "source_path"]) for x in (g, s, p, n)]
-    return reduce(DataFrame.unionByName, parts)
+        F.when(tool.isin("gitleaks", "semgrep"), F.coalesce(_text(it, "$.scanner"), tool)).otherwise(tool).alias("scanner"),
+        of({
+            "gitleaks": F.coalesce(severity, F.lit("CRITICAL")),
+            "semgrep": F.coalesce(severity, _text(it, "$.extra.severity"), F.lit("WARNING")),
+            "pip-audit": F.lit("HIGH"),
+            "npm-audit": F.upper(F.coalesce(severity, F.lit("UNKNOWN"))),
+        }).alias("severity"),
+        of({"pip-audit": it["key"], "npm-audit": it["key"]}).alias("package"),
+        of({"pip-audit": _text(it, "$.id")}).alias("vuln_id"),
+        of({
+            "gitleaks": _text(it, "$.Description"),
+            "semgrep": _text(it, "$.extra.message"),
+            "pip-audit": F.coalesce(_text(it, "$.description"), F.lit("")),
+            "npm-audit": F.coalesce(_text(it, "$.title"), F.lit("")),
+        }).alias("description"),
+        F.when(tool == "pip-audit", pip_audit_fields(it)["raw"]).otherwise(F.to_json(it["a"])).alias("record"),
+    ).select(*LEGACY_COLUMNS)
 
 
 def stage_reports(raw_reports: DataFrame, path: str) -> None:
