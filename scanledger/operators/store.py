@@ -164,7 +164,9 @@ class BucketedStore(SnapshotStore):
         out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)  # hot repos span several tasks
         out.write.mode("overwrite").partitionBy("bucket").parquet(self.path(v))
         bl = list(range(self.n_buckets)) if buckets is None else buckets
-        held = set(self.touched_buckets(state))
+        # the folders just written tell which buckets have rows, without working the state out again
+        written = self.spark.read.schema(out.schema).parquet(self.path(v))
+        held = {r["bucket"] for r in written.select("bucket").distinct().collect()}
         rows = [(v, epoch, query, b, b not in held) for b in bl]
         ddl = "version INT, epoch BIGINT, query STRING, bucket INT, empty BOOLEAN"
         self.spark.createDataFrame(rows, ddl).write.mode("append").parquet(

@@ -99,11 +99,8 @@ def process_batch(
         if not touched:
             return None
         old = store.read(touched)
-        if old is not None:
-            whole = ledger_summary(spark, store_root, n_buckets, touched)
-            known = whole.select("repo").distinct() if whole is not None else old.select("repo").limit(0)
-            if not old.join(known, "repo", "left_anti").isEmpty():
-                raise ValueError(f"{store_root} holds state without sightings; ingest its reports anew")
+        if old is not None and BucketedStore(spark, f"{store_root}/sightings", n_buckets).latest_version() is None:
+            raise ValueError(f"{store_root} holds state without sightings; ingest its reports anew")
         if not BucketedStore(spark, f"{store_root}/summaries", n_buckets).committed_epoch(epoch, query):
             fold_batch(spark, findings, scans, touched, epoch, store_root, n_buckets, query, open_runs)
         new_state = summary_state(ledger_summary(spark, store_root, n_buckets, touched)).select(*STATE_COLUMNS)
