@@ -1,21 +1,31 @@
 """LM scoring with a hashed maximum-entropy model and class-factored softmax.
 
-log P(word | context) = log P(class of the word | context) + log P(word | class). Classes: the ``TOP`` most frequent
-tokens one each, the others by the hash of their last two bytes. P(class | context) is a softmax over weights that
-hashed features of the context add up: the word before, the two words before, and, skipping, the second and the third
-word before, and a constant. P(word | class) are the smoothed counts of the class (0.1 a word, one unseen word).
+P(word | context) = P(class | context) * P(member | class, context) * P(word | member). There are ``CLASSES`` classes of
+``MEMBERS`` members each. ``OWN`` members of a class are single words: the end token and the most frequent words, dealt
+over the classes by rank. Every other word is told by its spelling: its last two bytes give its class, its first two
+one of the class's other members. The first two factors are softmaxes. Each starts from the logarithm of
+the training share of its classes or members and adds the weights of hashed features of the context: the word before,
+the two words before (n-gram), and, skipping, the second and the third word before; for members each feature is joined
+with the class. P(word | member) are the smoothed counts within the member (0.1 a word, one unseen word): 1 but for the
+unseen word if the member is a word of its own. Over all words and one unseen word a member these probabilities sum to 1.
 
 1. Tasks count the words of all training documents; Spark adds the counts up by word hash (64 bits).
-2. Training goes through all training documents once, in ``ROUNDS`` parts. In each, tasks start from the same weights,
-   take AdaGrad steps over batches of their tokens, and their weights are averaged by tokens.
-3. Scoring: tokens of the ``FREQUENT`` most frequent words at most are looked up in a broadcast table; the other words
-   of each document are joined with the counts.
+2. Training goes through all training documents once, in ``ROUNDS`` parts. In each, tasks start from the same weights
+   and take AdaGrad steps over batches of their tokens. Of the rows they touched, they send weights and number of
+   tokens, dealt by level and slot to the tasks that average them; a slot's mean is over those that touched it.
+   The number of slots follows the training tokens (one for ``TOKENS_A_SLOT`` in each of the two tables, a power of two)
+   up to ``MOST_SLOTS``, as the model is broadcast (16 MB a table at most); a training task takes text in proportion to
+   the slots, so that what is sent stays in proportion to the input.
+3. Scoring, in numpy batches: of each token only the rows of its own features are looked up. Tokens of the ``FREQUENT``
+   most frequent words at most are looked up in a broadcast table; the other words of each document are joined with
+   the counts.
 
 Tokens: words of the text with A-Z lower-cased, then one end. The base score is the unigram score
 sum log10((c + 0.1) / (N + 0.1 * (V + 1))).
 
 Defined cases: a null or blank text is the end token alone; a null id is not held out; equal rows each give a row;
 with nothing to learn from all counts are 0; an empty table gives an empty one; only the two named columns are read.
+Weights depend on how the input is split, so scores of another cluster can differ slightly; counts and base scores do not.
 """
 
 from __future__ import annotations
@@ -29,18 +39,22 @@ from pyspark.sql import functions as F
 
 from scanledger.llm import common as C
 
-FEATURES = 1 << 14
-CLASSES = 32
-TOP = 16
+CLASSES, MEMBERS = 32, 32
+OWN = 16
+LEAVES = CLASSES * MEMBERS
+TOKENS_A_SLOT = 256
+LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
 FREQUENT = 1 << 18
 ROUNDS = 2
-BATCH = 8192
-RATE = 0.3
+BATCH = 16384
+RATE = 0.7
 SMOOTH = 0.1
 #: Distinct words that a counting task holds before it sends them.
 HELD = 400_000
-#: Parts in which weights are averaged.
-PARTS = 8
+#: Slots that one task averages.
+PART = 1 << 12
+#: Bytes of text of a training task for each slot.
+BYTES_A_SLOT = 256
 #: Hash of the end token; before the first word stands 0.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 #: Slots in which frequent words are looked for first.
@@ -48,26 +62,31 @@ SLOT_BITS = 21
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def ending(last: np.ndarray) -> np.ndarray:
-    """Class, less TOP, of words by their last two bytes."""
-    return (C.mix((last.astype(np.uint64) + np.uint64(1)) * _SEEDS[1]) >> np.uint64(32)).astype(np.int64) % (CLASSES - TOP)
+def spelled(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Leaf (class * MEMBERS + member) of words by their first and last two bytes."""
+    a, b = (C.mix((x.astype(np.uint64) + np.uint64(1)) * _SEEDS[1]) >> np.uint64(32) for x in (last, first))
+    return a.astype(np.int64) % CLASSES * MEMBERS + OWN + b.astype(np.int64) % (MEMBERS - OWN)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, ending, text and place in its text of each token, the end token of each text included."""
-    h, last, text = C.hashed_words([t.lower() for t in texts])
+    """Hash, leaf by spelling, text and place in its text of each token, the end token (leaf 0) of each text included."""
+    joined, begin, end, h, text = C.word_spans([t.lower() for t in texts])
+    raw = np.frombuffer(joined, np.uint8).astype(np.int32)
+    long = end - begin > 1
+    first = raw[begin] * 256 + np.where(long, raw[np.minimum(begin + 1, len(raw) - 1)], 0)
+    last = raw[end - 1] * 256 + np.where(long, raw[end - 2], 0)
     sizes = np.bincount(text, minlength=len(texts)) + 1
     n = len(h) + len(texts)
-    hashes, endings = np.full(n, END), np.zeros(n, np.int64)
+    hashes, leaves = np.full(n, END), np.zeros(n, np.int64)
     at = np.arange(len(h)) + text
-    hashes[at], endings[at] = h, ending(last)
+    hashes[at], leaves[at] = h, spelled(first, last)
     of = np.repeat(np.arange(len(texts)), sizes)
-    return hashes, endings, of, np.arange(n) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    return hashes, leaves, of, np.arange(n) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
 
 
 def _count(batches):
-    """(hash, ending, n): words of this task, sent in portions of bounded size."""
-    schema = pa.schema([("hash", pa.int64()), ("ending", pa.int32()), ("n", pa.int64())])
+    """(hash, leaf, n): words of this task, sent in portions of bounded size."""
+    schema = pa.schema([("hash", pa.int64()), ("leaf", pa.int32()), ("n", pa.int64())])
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged():
@@ -91,18 +110,18 @@ def _count(batches):
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(C.task(_count), "hash long, ending int, n long")
-    return C.stash(rows.groupBy("hash", "ending").agg(F.sum("n").alias("n")))
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(C.task(_count), "hash long, leaf int, n long")
+    return C.stash(rows.groupBy("hash", "leaf").agg(F.sum("n").alias("n")))
 
 
 class Model:
-    """What tasks need: frequent words with count and class, the classes' totals, and the weights."""
+    """What tasks need: frequent words with count and leaf, the leaves' totals, base measures and the weights."""
 
     def __init__(self, counts: DataFrame):
-        by = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row for each ending
-        total, words = np.zeros(CLASSES), np.zeros(CLASSES)
+        by = counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # LEAVES rows at most
+        total, words = np.zeros(LEAVES), np.zeros(LEAVES)
         for r in by:
-            total[TOP + r["ending"]], words[TOP + r["ending"]] = r["n"], r["v"]
+            total[r["leaf"]], words[r["leaf"]] = r["n"], r["v"]
         self.tokens, self.vocabulary = int(total.sum()), int(words.sum())
         # the lowest count, on a scale of eighths of powers of two, that at most FREQUENT words reach
         scale = F.floor(F.log2("n") * 8).cast("int")
@@ -116,33 +135,32 @@ class Model:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.counts = np.array([r["n"] for r in rows], np.float64)[order]
-        self.classes = np.array([TOP + r["ending"] for r in rows], np.int64)[order]
-        best = np.lexsort((self.hashes, -self.counts))[: TOP - 1]
-        end = np.flatnonzero(self.hashes == END)
-        for c, i in enumerate(dict.fromkeys([*end.tolist(), *best.tolist()])):
-            if c < TOP:
-                total[self.classes[i]] -= self.counts[i]
-                words[self.classes[i]] -= 1
-                self.classes[i] = c
-                total[c], words[c] = self.counts[i], 1
+        self.leaves = np.array([r["leaf"] for r in rows], np.int64)[order]
+        best = np.lexsort((self.hashes, -self.counts))
+        for rank, i in enumerate(best[self.hashes[best] != END][: CLASSES * OWN - 1].tolist(), 1):  # rank 0 is the end
+            total[self.leaves[i]] -= self.counts[i]
+            words[self.leaves[i]] -= 1
+            self.leaves[i] = leaf = rank % CLASSES * MEMBERS + rank // CLASSES
+            total[leaf], words[leaf] = self.counts[i], 1
         self.slots = np.full(1 << SLOT_BITS, len(self.hashes), np.int32)
         self.slots[(self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(len(self.hashes))
         self.log_count = np.log10(self.counts + SMOOTH)
-        self.log_class = np.log10(total + SMOOTH * (words + 1))
-        prior = (total + SMOOTH) / (total + SMOOTH).sum()
-        self.weights = np.zeros((FEATURES, CLASSES), np.float32)
-        self.weights[0] = np.log(prior)
+        self.log_leaf = np.log10(total + SMOOTH * (words + 1))
+        share = (total + SMOOTH).reshape(CLASSES, MEMBERS)
+        self.base = [np.log(share.sum(1, keepdims=True).T / share.sum()).astype(np.float32), np.log(share / share.sum(1, keepdims=True)).astype(np.float32)]
+        n = 1 << max(0, math.ceil(math.log2(max(1, self.tokens / TOKENS_A_SLOT))))
+        self.weights = [np.zeros((min(MOST_SLOTS, max(LEAST_SLOTS, n)), k), np.float16) for k in (CLASSES, MEMBERS)]
 
 
 def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts joined: hash, place among the frequent words (-1 for others), class, features and text of each token."""
-    h, endings, text, offset = tokens(texts)
+    """Of several texts joined: hash, place among the frequent words (-1 for others), leaf, features and text of each token."""
+    h, spelt, text, offset = tokens(texts)
     frequent = np.r_[m["hashes"], np.uint64(0)]
     place = m["slots"][(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
     other = np.flatnonzero(frequent[place] != h)  # rare words, and the few frequent ones that share a slot
     found = np.searchsorted(m["hashes"], h[other])
     place[other] = np.where((found < len(m["hashes"])) & (frequent[found] == h[other]), found, -1)
-    classes = np.where(place >= 0, np.r_[m["classes"], 0][place], TOP + endings)
+    leaves = np.where(place >= 0, np.r_[m["leaves"], 0][place], spelt)
     before = []
     for k in (1, 2, 3):
         b = np.zeros(len(h), np.uint64)
@@ -151,18 +169,62 @@ def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.n
         before.append(b)
     one, two, three = before
     raw = (one * _SEEDS[0], one * _SEEDS[0] + C.mix(two * _SEEDS[1]) + _SEEDS[3], two * _SEEDS[2] + _SEEDS[1], three * _SEEDS[3] + _SEEDS[2])
-    features = np.stack([np.uint64(1) + ((C.mix(x) >> np.uint64(32)) * np.uint64(FEATURES - 1) >> np.uint64(32)) for x in raw], 1).astype(np.uint16)
-    return h, place, classes, features, text
-
-
-def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Sums of the features' weights, less the largest of each row."""
-    out = weights.take(features[:, 0], 0)
-    for k in range(1, features.shape[1]):
-        out += weights.take(features[:, k], 0)
-    out += weights[0]
-    out -= out.max(1, keepdims=True)
-    return out
+    return h, place, leaves, np.stack([C.mix(x) for x in raw], 1), text
+
+
+def levels(features: np.ndarray, leaves: np.ndarray, n: int):
+    """For class and member: the row of the base measure, the ``n`` slots' numbers of each feature, and the outcome."""
+    cls = leaves // MEMBERS
+    slot = lambda x: ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    yield np.zeros(len(cls), np.int64), slot(features), cls
+    yield cls, slot(C.mix(features + (cls.astype(np.uint64) * _SEEDS[2])[:, None])), leaves % MEMBERS
+
+
+def exponentials(weights: np.ndarray, base: np.ndarray, slots: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of the base measure's logarithms plus the features' weights, their sums, and the outcomes' logarithms.
+
+    ``base`` is overwritten.
+    Rows of weights add up to 0, so no row can be small as a whole; great ones are lessened by their largest entry.
+    """
+    out = base
+    for k in range(slots.shape[1]):
+        out += weights.take(slots[:, k], 0)
+    if out.max(initial=0) > 60:
+        out -= out.max(1, keepdims=True)
+    own = out[np.arange(len(out)), outcome]
+    np.exp(out, out=out)
+    return out, out @ np.ones(out.shape[1], np.float32), own
+
+
+def sums_by_slot(slots: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct slots, their number of tokens, and the sum of the gradients of their tokens.
+
+    Tokens of a slot lie side by side after sorting; neighbours are added, pair by pair, until each slot has one row left.
+    """
+    flat = slots.T.ravel()
+    order = np.argsort(flat)
+    keys = flat[order]
+    begin, length = C.runs(keys)
+    slot, n, rows, source = keys[begin], length, order % len(slots), grad
+    out = []
+    while len(slot):
+        one = length == 1
+        out.append((slot[one], n[one], source.take(rows[begin[one]], 0)))
+        more = ~one
+        slot, n, begin, length = slot[more], n[more], begin[more], length[more]
+        pairs, odd = length // 2, length % 2 == 1
+        first = np.repeat(begin - 2 * (np.cumsum(pairs) - pairs), pairs) + 2 * np.arange(pairs.sum())
+        added = source.take(rows[first], 0)
+        added += source.take(rows[first + 1], 0)
+        left = source.take(rows[begin[odd] + length[odd] - 1], 0)
+        length = pairs + odd
+        begin = np.cumsum(length) - length
+        last = np.zeros(length.sum(), bool)
+        last[(begin + pairs)[odd]] = True
+        rows = np.empty(len(last), np.int64)
+        rows[~last], rows[last] = np.arange(len(added)), len(added) + np.arange(len(left))
+        source = np.concatenate([added, left])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _groups(batch: pa.RecordBatch, n_bytes: int = 2 << 20):
@@ -175,72 +237,105 @@ def _groups(batch: pa.RecordBatch, n_bytes: int = 2 << 20):
             begin, held = i + 1, 0
 
 
+_ROWS = pa.schema([("part", pa.int32()), ("slots", pa.binary()), ("tokens", pa.binary()), ("weights", pa.binary())])
+_ROWS_DDL = "part int, slots binary, tokens binary, weights binary"
+
+
+class Learner:
+    """One task's copy of a table of weights."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.astype(np.float32)
+        self.squares = np.full(len(weights), 1e-2, np.float32)
+        self.seen = np.zeros(len(weights), np.int64)
+
+    def step(self, base: np.ndarray, slots: np.ndarray, outcome: np.ndarray) -> None:
+        """An AdaGrad step, with one rate a slot, on one batch of tokens."""
+        grad, total, _ = exponentials(self.weights, base, slots, outcome)
+        grad *= (1 / total)[:, None]
+        grad[np.arange(len(outcome)), outcome] -= 1
+        at, n, g = sums_by_slot(slots, grad)
+        self.squares[at] += np.einsum("ij,ij->i", g, g)
+        g *= (-RATE / np.sqrt(self.squares[at]))[:, None]
+        g += self.weights.take(at, 0)
+        self.weights[at] = g
+        self.seen[at] += n
+
+
 def _train(batches, model):
-    """This task's weights after AdaGrad steps over its tokens, in parts, with its number of tokens."""
+    """The rows of this task's weights that its tokens touched, after AdaGrad steps, with their number of tokens."""
     m = model.value
-    weights, squares, seen = m["weights"].copy(), np.full((FEATURES, CLASSES), 1e-2, np.float32), 0
+    learners = [Learner(w) for w in m["weights"]]
+    n = len(m["weights"][0])
     for batch in batches:
         for _, _, texts in _groups(batch):
-            _, _, classes, features, _ = tokens_of(texts, m)
-            for i in range(0, len(classes), BATCH):
-                f, c = features[i : i + BATCH], classes[i : i + BATCH]
-                grad = np.exp(logits(weights, f))
-                grad /= grad.sum(1, keepdims=True)
-                grad[np.arange(len(c)), c] -= 1
-                rows = f.T.ravel()
-                order = np.argsort(rows, kind="stable")
-                at, _ = C.runs(rows[order])
-                by_class = np.ascontiguousarray(grad.T)  # sums run along memory
-                sums = np.add.reduceat(by_class.take(np.tile(np.arange(len(c)), f.shape[1])[order], 1), at, axis=1).T
-                for r, g in ((rows[order][at], sums), (np.zeros(1, np.int64), grad.sum(0, keepdims=True))):
-                    squares[r] += g * g
-                    weights[r] -= RATE * g / np.sqrt(squares[r])
-                seen += len(c)
-    schema = pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
-    if seen:
-        for p, w in enumerate(np.split(weights, PARTS)):
-            yield C.arrow(schema, [(p, seen, w.tobytes())])
+            _, _, leaves, features, _ = tokens_of(texts, m)
+            for i in range(0, len(leaves), BATCH):
+                s = slice(i, i + BATCH)
+                for learner, base, (row, slots, outcome) in zip(learners, m["base"], levels(features[s], leaves[s], n), strict=True):
+                    learner.step(base.take(row, 0), slots, outcome)
+    for level, learner in enumerate(learners):
+        for begin in range(0, n, PART):
+            at = begin + np.flatnonzero(learner.seen[begin : begin + PART])
+            if len(at):
+                part = (level * n + begin) // PART
+                yield C.arrow(_ROWS, [(part, at.astype(np.int32).tobytes(), learner.seen[at].tobytes(), learner.weights[at].astype(np.float16).tobytes())])
 
 
 def _average(batches):
-    total: dict[int, tuple[np.ndarray, int]] = {}
+    """Means by tokens of the rows of each part, one part after the other as they come."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for i, (p, n) in enumerate(zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
-            sums, tokens = total.get(p, (0.0, 0))
-            total[p] = sums + n * C.view(batch.column("weights"), i, np.float32).astype(np.float64), tokens + n
-    yield C.arrow(pa.schema([("part", pa.int32()), ("weights", pa.binary())]), [(p, (s / n).astype(np.float32).tobytes()) for p, (s, n) in total.items()])
+        for i, part in enumerate(batch.column("part").to_pylist()):
+            at, n = C.view(batch.column("slots"), i, np.int32) % PART, C.view(batch.column("tokens"), i, np.int64)
+            rows = C.view(batch.column("weights"), i, np.float16).reshape(len(at), -1)
+            total, seen = sums.setdefault(part, (np.zeros((PART, rows.shape[1])), np.zeros(PART)))
+            total[at] += n[:, None] * rows.astype(np.float64)
+            seen[at] += n
+    for part, (total, seen) in sums.items():
+        at = np.flatnonzero(seen)
+        yield C.arrow(_ROWS, [(part, at.astype(np.int32).tobytes(), b"", (total[at] / seen[at][:, None]).astype(np.float16).tobytes())])
 
 
 def train(docs: DataFrame, text_col: str, model: Model) -> Model:
     """One pass over ``docs`` in rounds."""
     rows = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    n = len(model.weights[0])
+    tasks = C.parts_for(C.text_bytes(rows), BYTES_A_SLOT * n)
     for k in range(ROUNDS):
         told = spark.sparkContext.broadcast(vars(model))
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
-        parts = own.mapInArrow(C.task(_train, model=told), "part int, tokens long, weights binary").repartitionById(PARTS, "part").mapInArrow(C.task(_average), "part int, weights binary").collect()
-        new = [np.frombuffer(r["weights"], np.float32) for r in sorted(parts, key=lambda r: r["part"])]
-        if len(new) == PARTS:
-            model.weights = np.concatenate(new).reshape(FEATURES, CLASSES)
+        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).coalesce(tasks)
+        sent = own.mapInArrow(C.task(_train, model=told), _ROWS_DDL).repartitionById(2 * n // PART, "part")
+        model.weights = [w.copy() for w in model.weights]
+        for r in sent.mapInArrow(C.task(_average), _ROWS_DDL).toLocalIterator():  # 32 MB in all at most
+            level, begin = divmod(r["part"] * PART, n)
+            at = begin + np.frombuffer(r["slots"], np.int32)
+            model.weights[level][at] = np.frombuffer(r["weights"], np.float16).reshape(len(at), -1)
     return model
 
 
+def log_context(m: dict, features: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """log10 P(class | context) + log10 P(member | class, context) of each token; ``weights`` in single precision."""
+    out = np.zeros(len(leaves))
+    for i in range(0, len(leaves), BATCH):
+        s = slice(i, i + BATCH)
+        for weights, base, (row, slots, outcome) in zip(m["weights"], m["base"], levels(features[s], leaves[s], len(m["weights"][0])), strict=True):
+            _, total, own = exponentials(weights, base.take(row, 0), slots, outcome)
+            out[s] += (own.astype(np.float64) - np.log(total)) / math.log(10)
+    return out
+
+
 _SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, known long, log_counts double, context double, rare array<struct<hash:long,n:long>>"
 
 
 def _score(batches, model):
-    m = model.value
+    m = model.value | {"weights": [w.astype(np.float32) for w in model.value["weights"]]}
     rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
     for batch in batches:
         for begin, end, texts in _groups(batch):
-            h, place, classes, features, text = tokens_of(texts, m)
-            context = np.empty(len(h))
-            for i in range(0, len(h), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                p = logits(m["weights"], features[s])
-                own = p[np.arange(len(p)), classes[s]].astype(np.float64)
-                context[s] = (own - np.log(np.exp(p, out=p).sum(1))) / math.log(10)
-            context -= m["log_class"][classes]
+            h, place, leaves, features, text = tokens_of(texts, m)
+            context = log_context(m, features, leaves) - m["log_leaf"][leaves]
             n = len(texts)
             frequent = place >= 0
             sums = np.bincount(text[frequent], m["log_count"][place[frequent]], n)
