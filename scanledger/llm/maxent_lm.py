@@ -42,7 +42,7 @@ from scanledger.llm import common as C
 CLASSES, MEMBERS = 32, 32
 OWN = 16
 LEAVES = CLASSES * MEMBERS
-TOKENS_A_SLOT = 256
+TOKENS_A_SLOT = 512
 LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
 FREQUENT = 1 << 18
 ROUNDS = 2
@@ -54,7 +54,7 @@ HELD = 400_000
 #: Slots that one task averages.
 PART = 1 << 12
 #: Bytes of text of a training task for each slot.
-BYTES_A_SLOT = 256
+BYTES_A_SLOT = 512
 #: Hash of the end token; before the first word stands 0.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 #: Slots in which frequent words are looked for first.
@@ -302,13 +302,15 @@ def train(docs: DataFrame, text_col: str, model: Model) -> Model:
     rows = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
     n = len(model.weights[0])
-    tasks = C.parts_for(C.text_bytes(rows), BYTES_A_SLOT * n)
+    tasks = C.parts_for(C.text_bytes(rows), BYTES_A_SLOT * n, least=6)
     for k in range(ROUNDS):
         told = spark.sparkContext.broadcast(vars(model))
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).coalesce(tasks)
         sent = own.mapInArrow(C.task(_train, model=told), _ROWS_DDL).repartitionById(2 * n // PART, "part")
         model.weights = [w.copy() for w in model.weights]
-        for r in sent.mapInArrow(C.task(_average), _ROWS_DDL).toLocalIterator():  # 32 MB in all at most
+        means = sent.mapInArrow(C.task(_average), _ROWS_DDL).collect()  # 32 MB in all at most
+        told.destroy()
+        for r in means:
             level, begin = divmod(r["part"] * PART, n)
             at = begin + np.frombuffer(r["slots"], np.int32)
             model.weights[level][at] = np.frombuffer(r["weights"], np.float16).reshape(len(at), -1)

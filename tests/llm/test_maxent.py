@@ -147,5 +147,5 @@ def test_sums_by_slot():
 
 def test_the_model_grows_with_the_training_tokens(spark):
     counts = lambda n: spark.createDataFrame([(5, 40, n)], "hash long, leaf int, n long")
-    sizes = [len(M.Model(counts(n)).weights[0]) for n in (1, 1 << 24, 1 << 25, 1 << 40)]
+    sizes = [len(M.Model(counts(n)).weights[0]) for n in (1, 1 << 25, 1 << 26, 1 << 40)]
     assert sizes == [1 << 14, 1 << 16, 1 << 17, 1 << 18]
