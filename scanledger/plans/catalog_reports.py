@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanledger.operators import detect, reachability, rule_index
 from scanledger.plans import documents, reports
 from scanledger.plans.catalog import _DENIED_CASE, _ev, _secret_sql, _sql_str, register
-from scanledger.session import read_table
+from scanledger.session import read_table, stash
 from scanledger.sources import fixtures as fx
 from scanledger.sources.fixtures import DEPENDENCIES_SQL, INVENTORY_SQL, with_events
 
@@ -171,6 +171,6 @@ FROM d WHERE denied_by IS NOT NULL""",
 )
 def q_license_production(spark, sf_dir):
     """Denied licenses among the packages that production roots need, directly or not."""
-    inventory = fx.dependency_inventory(spark, sf_dir)
+    inventory = stash(fx.dependency_inventory(spark, sf_dir))
     roots, edges = fx.dependency_edges(inventory)
     return detect.license_findings(reachability.production_only(inventory, roots, edges))

@@ -155,6 +155,28 @@ def test_packages_that_production_needs(spark):
     assert sorted(r["package"] for r in kept.collect()) == ["a", "c"]
 
 
+@pytest.mark.parametrize("bucket", [reachability.BUCKET, 40])
+def test_reachable_equals_brute_force_in_few_rounds(spark, monkeypatch, bucket):
+    monkeypatch.setattr(reachability, "BUCKET", bucket)
+    written, plain = [], reachability.stash
+    monkeypatch.setattr(reachability, "stash", lambda df: written.append(1) or plain(df))
+    rng = random.Random(5)
+    # names that would be equal if repo and package were put together; a chain of 60; copies of edges and roots
+    edges = [(r, f"{rng.randint(0, 25)}", f"{rng.randint(0, 25)}") for r in ("a", "a1", "b") for _ in range(22)] * 2
+    edges += [("chain", f"p{i}", f"p{i + 1}") for i in range(60 if bucket > 40 else 12)]
+    edges += [("big", f"{rng.randint(0, 60)}", f"{rng.randint(0, 60)}") for _ in range(70)]
+    roots = [("a", "1"), ("a", "1"), ("a1", "2"), ("chain", "p0"), ("big", "7"), ("big", "9"), ("lone", "x")]
+    want, todo = set(), list(roots)
+    while todo:
+        node = todo.pop()
+        if node not in want:
+            want.add(node)
+            todo += [(r, d) for r, p, d in edges if (r, p) == node]
+    got = reachability.reachable(spark.createDataFrame(roots, "repo string, package string"), spark.createDataFrame(edges, "repo string, package string, dependency string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert bucket == 40 or len(written) == 2  # edges and what is reached, however long the chain
+
+
 def test_checkov_frameworks(spark):
     check = lambda kind, i: {"check_type": kind, "results": {"failed_checks": [{"check_id": f"CKV_{i}", "check_name": f"n{i}", "severity": "HIGH"}]}}
     old = {"results": {"failed_checks": [{"check_id": "CKV_9", "check_name": "n9"}]}}
