@@ -30,6 +30,19 @@ def test_greedy_batches_equal_a_sequential_pass(spark, monkeypatch, cell):
         assert own == [(n, *x) for n, x in enumerate(brute(sizes, 7, 100), 1)], g
 
 
+def test_cells_of_many_groups_share_a_call(spark, monkeypatch):
+    calls, plain = [], packing._batches
+    monkeypatch.setattr(packing, "_batches", lambda rows, *limits: calls.append(rows["grp"].nunique()) or plain(rows, *limits))
+    rng = random.Random(9)
+    items = {g: [rng.choice([1, 40, 99, 300]) for _ in range(rng.randint(1, 7))] for g in [f"g{i}" for i in range(60)] + ["", None]}
+    frame = packing.pd.DataFrame([(g, 0, i + 1, s, False, 0, 0) for g, sizes in items.items() for i, s in enumerate(sizes)], columns=["grp", "cell", "position", "size", "ahead", "entry", "before"])
+    got = packing._batches(frame.sample(frac=1, random_state=1), 3, 100)
+    assert calls == [61]  # a call for each group before
+    for g, sizes in items.items():
+        own = got[got["grp"].isna() if g is None else got["grp"] == g].sort_values("batch")
+        assert [tuple(x) for x in own[["batch", "first_position", "n_items"]].to_numpy().tolist()] == [(n, *x) for n, x in enumerate(brute(sizes, 3, 100), 1)]
+
+
 def test_prefix_sums_break_ties_and_keep_every_row(spark):
     rows = [("a", i // 4, i % 3 + 1) for i in range(40)] + [(None, 5, 2), ("b", None, 1)]
     placed = packing.prefix_sums(spark.createDataFrame(rows, "g string, o int, s int"), "g", "o", packing.F.col("s")).collect()
