@@ -1,8 +1,10 @@
 """Substring joins through an inverted index of character n-grams: which terms occur in which texts of their group.
 
 Every term has n-grams of one size, the largest of GRAM_SIZES that fits it. The texts of a group are indexed by those
-n-grams that some term of the group has; a term with an n-gram that no text has is contained in none; any other meets
-only the texts that hold its rarest n-gram, and ``contains`` decides. No pair is built but through a shared n-gram.
+n-grams of the sizes that the group's terms have; a term with an n-gram that no text has is contained in none; any other
+meets only the texts that hold its rarest n-gram, and ``contains`` decides. No pair is built but through a shared n-gram.
+What is moved for each n-gram is its hash (64 bits, of group, size and n-gram) and a number, never a text; two n-grams of
+one hash only make a pair more that ``contains`` refuses.
 """
 
 from __future__ import annotations
@@ -10,20 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanledger.session import stash
+
 #: Sizes of n-grams, the largest first; a term shorter than the last is empty.
 GRAM_SIZES = (12, 6, 3, 1)
 
 
-def _grams(c: F.Column, size: F.Column | int) -> F.Column:
+def _grams(c: F.Column, size: F.Column) -> F.Column:
     """Distinct n-grams of a text that is at least ``size`` characters long."""
     n = F.length(c) - size + 1
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(size) if isinstance(size, int) else size)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, size)))
 
 
-def _sized_grams(c: F.Column, size: int) -> F.Column:
-    """(size, gram) of each distinct n-gram; none of a text that is too short."""
-    tagged = F.transform(_grams(c, size), lambda g: F.struct(F.lit(size).alias("size"), g.alias("gram")))
-    return F.when(F.length(c) >= size, tagged).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
+def _hashes(c: F.Column, size: F.Column) -> F.Column:
+    """A hash of group, size and n-gram for each distinct n-gram; none of a text that is too short."""
+    hashed = F.transform(_grams(c, size), lambda gram: F.xxhash64("g", size, gram))
+    return F.when(F.length(c) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained_terms(terms: DataFrame, texts: DataFrame, group: str, term: str, text: str) -> DataFrame:
@@ -35,15 +39,16 @@ def contained_terms(terms: DataFrame, texts: DataFrame, group: str, term: str, t
     t = terms.where(F.col(term).isNotNull()).select(F.col(group).alias("_group"), key.alias("g"), F.col(term).alias("t")).distinct()
     x = texts.where(F.col(text).isNotNull()).select(key.alias("g"), F.col(text).alias("x")).distinct()
     size = F.coalesce(*[F.when(F.length("t") >= n, F.lit(n)) for n in GRAM_SIZES])
-    asked = t.where("t <> ''").withColumn("size", size)
-    asked = asked.select("g", "t", "size", F.explode(_grams(F.col("t"), F.col("size"))).alias("gram"))
-    held = F.flatten(F.array(*[_sized_grams(F.col("x"), n) for n in GRAM_SIZES]))
-    needed = asked.select("g", "size", "gram").distinct()
-    index = x.select("g", "x", F.explode(held).alias("h")).select("g", "x", "h.size", "h.gram").join(needed, ["g", "size", "gram"], "left_semi")
-    counts = index.groupBy("g", "size", "gram").agg(F.count(F.lit(1)).alias("n"))
-    judged = asked.join(counts, ["g", "size", "gram"], "left")
-    rarest = judged.groupBy("g", "t", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    pairs = rarest.where("r.n > 0").select("g", "t", "size", F.col("r.gram").alias("gram")).join(index, ["g", "size", "gram"])
-    found = pairs.where(F.contains("x", "t")).select("g", "t")
+    t = stash(t.withColumn("size", size).withColumn("_t", F.monotonically_increasing_id()))
+    x = stash(x.withColumn("_x", F.monotonically_increasing_id()))
+    sizes = t.where("t <> ''").groupBy("g").agg(F.collect_set("size").alias("sizes"))
+    asked = t.where("t <> ''").select("_t", F.explode(_hashes(F.col("t"), F.col("size"))).alias("hash"))
+    held = F.flatten(F.transform("sizes", lambda n: _hashes(F.col("x"), n)))
+    index = x.join(sizes, "g").select("_x", F.explode(held).alias("hash"))
+    counts = index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = asked.join(counts, "hash", "left")
+    rarest = judged.groupBy("_t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("r")).where("r.n > 0")
+    pairs = rarest.select("_t", F.col("r.hash").alias("hash")).join(index, "hash").select("_t", "_x")
+    found = pairs.join(x, "_x").withColumnRenamed("g", "_g").join(t, "_t").where((F.col("_g") == F.col("g")) & F.contains("x", "t")).select("g", "t")
     found = found.unionByName(t.where("t = ''").join(x.select("g").distinct(), "g", "left_semi").select("g", "t")).distinct()
     return t.join(found, ["g", "t"], "left_semi").select(F.col("_group").alias(group), F.col("t").alias(term))

@@ -4,6 +4,7 @@ import base64
 import gzip
 import json
 import random
+import re
 
 import pytest
 
@@ -112,6 +113,20 @@ def test_contained_terms_equal_brute_force(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) < len(set(terms))
 
 
+def test_ngrams_are_moved_as_hashes_that_may_collide(spark, monkeypatch):
+    titles = [("r", "the first open issue's title"), ("r", "another one, of a second issue"), ("s", "short")]
+    terms = [("r", "first open issue"), ("r", "a second issue"), ("r", "issues"), ("s", "first open issue"), ("s", "hor"), ("s", "x")]
+    frames = [spark.createDataFrame(terms, "grp string, term string"), spark.createDataFrame(titles, "grp string, title string")]
+    found = contained_terms(*frames, "grp", "term", "title")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    exploded = re.findall(r"Generate explode.*\[(\w+#\d+L?)\]", plan)
+    assert exploded and all(x.endswith("L") for x in exploded), exploded  # numbers; texts went along with structs before
+    want = {("r", "first open issue"), ("r", "a second issue"), ("s", "hor")}
+    assert {tuple(r) for r in found.collect()} == want
+    monkeypatch.setattr("pyspark.sql.functions.xxhash64", lambda *c: contained_terms.__globals__["F"].lit(7).cast("bigint"))
+    assert {tuple(r) for r in contained_terms(*frames, "grp", "term", "title").collect()} == want
+
+
 def test_issues_and_pages_of_findings_without_a_fingerprint(spark):
     f = make_findings(spark, CANONICAL[:1] * 2).drop("fingerprint")
     rows = f.selectExpr("*", "'' AS fingerprint").unionByName(f.selectExpr("* EXCEPT (title)", "concat('Other ', title) AS title", "CAST(null AS string) AS fingerprint"))
