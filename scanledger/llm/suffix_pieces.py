@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A task joins the distinct chunks of a batch of texts (see pieces) into one string, sorts its suffixes by as many
-characters as the longest piece has (by doubling), and finds the range of every piece by binary search. The ranges
+characters as the longest piece has (by doubling), and finds the range of every piece by binary search
+(by the first characters, packed into a number, then by the rest). The ranges
 give all edges (position, piece); sorted by where they end, they are relaxed: an edge extends the encoding of the text
 before it if the model would leave the last piece of that encoding and the edge's piece side by side. For merges by
 rank that depends on the two pieces alone, and exactly one edge ends each prefix's encoding. Pieces whose parts rank
@@ -63,7 +64,13 @@ class Encoder:
                     self.left[i], self.right[i] = steps[1]
                     if max(steps[1]) >= i:
                         self.odd.add(x)
-        self.slot_key, self.slot_ok = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+
+    @classmethod
+    def of(cls, tables: dict) -> Encoder:
+        """An encoder from another one's ``vars``."""
+        out = cls.__new__(cls)
+        vars(out).update(tables, slot_key=np.full(_SLOTS, -1, np.int64), slot_ok=np.zeros(_SLOTS, bool))
+        return out
 
     def merge(self, text: str, trace: bool = False):
         """Pieces (unknown characters as -1 - code point) by merging the pair of lowest rank, leftmost first, until none is left."""
@@ -136,21 +143,36 @@ class Encoder:
     def matches(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, piece) of every occurrence in a text of code points; 0 ends each chunk."""
         n, width = len(text), self.width
-        _, rank = np.unique(text, return_inverse=True)
-        rank, step = rank.astype(np.int64), 1
+        characters, rank = np.unique(text, return_inverse=True)
+        rank, bits, step = rank.astype(np.uint64) + np.uint64(1), len(characters).bit_length(), 1
+        while step < width and 2 * step * bits <= 64:  # as many characters as fit a number, without sorting
+            ahead = np.zeros(n, np.uint64)
+            ahead[: max(0, n - step)] = rank[step:]
+            rank, step = rank << np.uint64(step * bits) | ahead, 2 * step
+        front, taken = rank, step
         while step < width:
+            _, rank = np.unique(rank, return_inverse=True)
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - step)] = rank[step:] + 1
-            _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
-            step *= 2
+            rank, step = rank.astype(np.int64) * (n + 1) + ahead, 2 * step
         suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         padded = np.r_[text, np.zeros(width, np.uint32)]
         present = np.unique(text)
         can = np.flatnonzero(self.reached & np.isin(self.codes, np.r_[0, present]).all(1))
-        codes, mask = self.codes[can], np.arange(width)[None, :] < self.length[can][:, None]
-        ends = []
+        codes, length = self.codes[can], self.length[can]
+        # the range of each piece by as many characters as a number holds; longer pieces are then sought within it
+        least, head = np.zeros(len(can), np.uint64), np.minimum(length, taken)
+        for i in range(min(taken, width)):
+            own = (np.searchsorted(characters, codes[:, i]) + 1).astype(np.uint64) << np.uint64(bits * (taken - 1 - i))
+            least |= np.where(i < head, own, np.uint64(0))
+        most = least | (np.uint64(1) << (bits * (taken - head)).astype(np.uint64)) - np.uint64(1)
+        lead = front[suffixes]
+        ends = [np.searchsorted(lead, least, "left"), np.searchsorted(lead, most, "right")]
+        far = np.flatnonzero((length > taken) & (ends[0] < ends[1]))
+        codes, mask = codes[far], np.arange(width)[None, :] < length[far][:, None]
+        sought = []
         for upper in (False, True):
-            low, high = np.zeros(len(can), np.int64), np.full(len(can), n)
+            low, high = ends[0][far], ends[1][far]
             while (low < high).any():
                 middle = (low + high) // 2
                 window = padded[suffixes[np.minimum(middle, n - 1)][:, None] + np.arange(width)[None, :]]
@@ -161,7 +183,8 @@ class Encoder:
                 go = (less | (same & upper)) & (low < high)
                 high = np.where(go | (low >= high), high, middle)
                 low = np.where(go, middle + 1, low)
-            ends.append(low)
+            sought.append(low)
+        ends[0][far], ends[1][far] = sought
         number = ends[1] - ends[0]
         piece = np.repeat(can.astype(np.int32), number)
         at = np.repeat(ends[0] - np.r_[0, np.cumsum(number)[:-1]], number) + np.arange(len(piece)) if len(can) else np.zeros(0, np.int64)
@@ -259,9 +282,26 @@ def decode_ids(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))[1:]
 
 
+def _vocabulary(docs: DataFrame, model: str):
+    """What tasks need, worked out once: the encoder's tables, what each id decodes to, and the characters that stand alone."""
+    v = P.load(model)
+    return C.prepare(docs.sparkSession).sparkContext.broadcast({"encoder": vars(Encoder(v)), "table": piece_bytes(v), "breaks": v.breaks})
+
+
+def _decoded(ids: list[bytes], table: list[bytes]) -> list[bytes]:
+    """What each chunk's ids decode to, the space in front included."""
+    cuts = np.cumsum([0] + [len(x) // 4 for x in ids]).tolist()
+    names = [table[i] for i in np.frombuffer(b"".join(ids), np.int32).tolist()]
+    return [b"".join(names[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def _encoded(batches, vocabulary):
-    """Of each batch and group of its texts: the rows, the texts, and their ids as int32 bytes."""
-    encoder, known, chunks = Encoder(P.Pieces(**vocabulary.value)), {}, P.chunker(vocabulary.value["breaks"])
+    """Of each batch and group of its texts: the rows, their ids as int32 bytes, and whether the ids decode to the text.
+
+    Equal chunks are encoded and decoded once; a text's ids and what they decode to are those of its chunks, joined.
+    """
+    told = vocabulary.value
+    encoder, known, chunks = Encoder.of(told["encoder"]), {}, P.chunker(told["breaks"])
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         begin = 0
@@ -275,36 +315,35 @@ def _encoded(batches, vocabulary):
             if len(known) + len(fresh) > REMEMBERED:
                 known.clear()
                 fresh = sorted(set().union(*cut))
-            known.update(zip(fresh, encoder.encode([c.replace(" ", P.SPACE) for c in fresh]), strict=True))
-            yield batch.slice(begin, end - begin), texts[begin:end], [b"".join(map(known.__getitem__, c)) for c in cut]
+            made = encoder.encode([c.replace(" ", P.SPACE) for c in fresh])
+            known.update(zip(fresh, zip(made, _decoded(made, told["table"]), strict=True), strict=True))
+            ids, same = [], []
+            for t, c in zip(texts[begin:end], cut, strict=True):
+                of = [known[x] for x in c]
+                ids.append(b"".join([x for x, _ in of]))
+                same.append(b"".join([x for _, x in of])[1:] == t.replace(P.SPACE, " ").encode())
+            yield batch.slice(begin, end - begin), ids, same
             begin = end
 
 
-def _same(ids: list[bytes], texts: list[str], table: list[bytes]) -> list[bool]:
-    """Whether the ids of each text decode to it."""
-    return [decode_ids(np.frombuffer(x, np.int32).tolist(), table) == t.replace(P.SPACE, " ").encode() for x, t in zip(ids, texts, strict=True)]
-
-
 def _encode(batches, vocabulary):
-    table = piece_bytes(P.Pieces(**vocabulary.value))
-    for rows, texts, ids in _encoded(batches, vocabulary):
+    for rows, ids, same in _encoded(batches, vocabulary):
         offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(_same(ids, texts, table), pa.bool_())], names=["doc_id", "ids", "round_trip"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
 
 def _decode(batches, vocabulary):
-    table = piece_bytes(P.Pieces(**vocabulary.value))
+    table = vocabulary.value["table"]
     for batch in batches:
         texts = [decode_ids(ids or [], table).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
 def _digest(batches, vocabulary):
-    table = piece_bytes(P.Pieces(**vocabulary.value))
     names = ["doc_id", "n_tokens", "ids_sha256", "round_trip"]
-    for rows, texts, ids in _encoded(batches, vocabulary):
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(_same(ids, texts, table), pa.bool_())], names=names)
+    for rows, ids, same in _encoded(batches, vocabulary):
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())], names=names)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -313,19 +352,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, ids array<int>, round_trip: whether decoding gives the text)."""
-    told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
+    told = _vocabulary(docs, model)
     return _rows(docs, id_col, text_col).mapInArrow(C.task(_encode, vocabulary=told), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = P.MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids)."""
-    told = C.prepare(encoded.sparkSession).sparkContext.broadcast(vars(P.load(model)))
+    told = _vocabulary(encoded, model)
     return encoded.select("doc_id", "ids").mapInArrow(C.task(_decode, vocabulary=told), "doc_id long, text string")
 
 
 def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = P.MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of the ids as little-endian int32, round_trip: whether decoding gives the text)."""
-    told = C.prepare(docs.sparkSession).sparkContext.broadcast(vars(P.load(model)))
+    told = _vocabulary(docs, model)
     return _rows(docs, id_col, text_col).mapInArrow(C.task(_digest, vocabulary=told), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 

@@ -414,3 +414,16 @@ def test_pipeline_masks_secrets_that_are_not_widely_copied(spark, tmp_path):
     out = [r["text"] for r in corpus_pipeline.secrets(spark, spark.read.parquet(path), str(tmp_path)).collect()]
     assert len(out) == 26 and sum("<secret>" in t for t in out) == 14 and sum(example in t for t in out) == 12
     assert not any(two in t or hot in t for t in out)
+
+
+def test_matches_of_a_told_encoder_equal_a_plain_search():
+    first = suffix_pieces.Encoder(pieces.load())
+    assert not any("slot" in name for name in vars(first))  # only the tables go to the tasks, which set up their own slots
+    told, rng = suffix_pieces.Encoder.of(vars(first)), random.Random(1)
+    for size in (3, 40, 700):  # 16, 8 and 4 characters fit a number, pieces are up to 16 long
+        alphabet = [chr(c) for c in range(97, 99 + min(size, 20))] + ["▁"] + [chr(0x4E00 + i) for i in range(size - 3)]
+        text = "\0".join("".join(rng.choice(alphabet) if rng.random() < 0.5 else rng.choice(told.names) if size > 3 else "ab" for _ in range(9)) for _ in range(30)) + "\0"
+        at, piece = told.matches(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        found = {(i, text[i : i + w]) for i in range(len(text)) for w in range(1, told.width + 1) if i + w <= len(text)}
+        want = {(i, told.rank[x]) for i, x in found if x in told.rank and told.reached[told.rank[x]]}
+        assert len(at) == len(want) and set(zip(at.tolist(), piece.tolist(), strict=True)) == want and want
