@@ -41,7 +41,8 @@ def contained_terms(terms: DataFrame, texts: DataFrame, group: str, term: str, t
     size = F.coalesce(*[F.when(F.length("t") >= n, F.lit(n)) for n in GRAM_SIZES])
     t = stash(t.withColumn("size", size).withColumn("_t", F.monotonically_increasing_id()))
     x = stash(x.withColumn("_x", F.monotonically_increasing_id()))
-    sizes = t.where("t <> ''").groupBy("g").agg(F.collect_set("size").alias("sizes"))
+    sizes = t.where("t <> ''").groupBy("g").agg(*[F.max(F.when(F.col("size") == n, F.col("size"))).alias(f"_{n}") for n in GRAM_SIZES])
+    sizes = sizes.select("g", F.array_compact(F.array(*[f"_{n}" for n in GRAM_SIZES])).alias("sizes"))
     asked = t.where("t <> ''").select("_t", F.explode(_hashes(F.col("t"), F.col("size"))).alias("hash"))
     held = F.flatten(F.transform("sizes", lambda n: _hashes(F.col("x"), n)))
     index = x.join(sizes, "g").select("_x", F.explode(held).alias("hash"))
