@@ -79,9 +79,7 @@ def q_csv_read_back(spark, sf_dir):
     """The CSV export of all repos, written in report order and read again."""
     path = _folder(spark, "csv-export")
     reports.export_csv(_ev(spark, sf_dir), path)
-    columns = "severity string, title string, description string, scanner string, recommendation string, file_path string, fingerprint string"
-    rows = spark.read.schema(columns + ", repo string").option("header", True).option("escape", '"').option("basePath", path).csv(path)
-    return rows.withColumn("file_path", F.coalesce("file_path", F.lit("")))
+    return reports.read_csv_export(spark, path)
 
 
 @register("store_export_read_back", with_events(REPLAY_SQL) + f"SELECT {STATE_COLS} FROM state WHERE severity = 'HIGH' AND status = 'open'")

@@ -9,7 +9,9 @@ all tasks; writers stream those rows into per-repo files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger import TOOL_NAME
@@ -24,6 +26,9 @@ ISSUE_LABELS = ["security", "automated"]
 PAGE_STATUS = "Open"
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
+# Repos' files that a task of an export writes; tasks a core that list an export's folders.
+FILES_A_TASK = 256
+LISTINGS_A_CORE = 4
 COMMENT_MARKER = f"<!-- {TOOL_NAME}-scan-results -->"
 
 
@@ -104,11 +109,19 @@ def _in_report_order(rows: DataFrame, df: DataFrame) -> DataFrame:
     """Within each repo's files: CRITICAL, HIGH, MEDIUM, LOW in turn, arrival order inside a level.
 
     Range partitioning on (repo, rank, ingest_seq) keeps a large repo spread
-    over many ordered part files instead of one task.
+    over many ordered part files instead of one task. Creating files costs more
+    than their rows: with many repos the tasks follow the number of repos, as a
+    number of tasks that follows bytes alone leaves one or two more than cores.
     """
     keyed = rows.withColumn("_rank", severity_rank("severity"))
     keys = ["repo", "_rank", "ingest_seq"]
-    return keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_rank", "ingest_seq")
+    spark = df.sparkSession
+    tasks = math.ceil(rows.agg(F.approx_count_distinct("repo")).first()[0] / FILES_A_TASK)
+    if tasks > spark.sparkContext.defaultParallelism:
+        ranged = keyed.repartitionByRange(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    else:
+        ranged = keyed.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys).drop("_rank", "ingest_seq")
 
 
 # quotes doubled, blanks kept: any CSV reader gets the fields back as they were
@@ -136,6 +149,21 @@ def export_csv(df: DataFrame, path: str) -> None:
     )
 
 
+CSV_COLUMNS = "severity string, title string, description string, scanner string, recommendation string, file_path string, fingerprint string"
+
+
+def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``export_csv`` again. A listing task lists many repos' folders (by default one or two each)."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(LISTINGS_A_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        rows = spark.read.schema(f"{CSV_COLUMNS}, repo string").option("header", True).option("escape", '"').option("basePath", path).csv(path)
+    finally:
+        spark.conf.set(key, before)
+    return rows.withColumn("file_path", F.coalesce("file_path", F.lit("")))
+
+
 def export_store(rows: DataFrame, path: str, fmt: str = "json") -> None:
     """Store report (all state columns) as JSON Lines or CSV with header; an empty result writes no rows."""
     w = rows.write.mode("overwrite")

@@ -1,3 +1,5 @@
+import csv
+import glob
 import json
 import os
 
@@ -214,3 +216,28 @@ def test_triage_batches_hold_every_finding_in_valid_json(spark):
     assert [x["title"] for b in items for x in b] == [f"t{i}" for i in range(1300)]
     assert all(r["n_findings"] == len(b) <= 20 for r, b in zip(hot, items))
     assert [len(b) for r, b in zip(hot, items) if len(r["payload"]) > 12000] == [1]
+
+
+def test_export_tasks_follow_the_number_of_repos(spark, tmpdir_path, monkeypatch):
+    """With many repos, tasks are dealt by repos; rows stay whole and in report order; few repos go by bytes as before."""
+    rows = [dict(CANONICAL[i % 4], repo=f"r{i % 60:02d}", ingest_seq=i) for i in range(360)]
+    f = make_findings(spark, rows)
+    keyed = reports.csv_rows(f).withColumn("ingest_seq", F.lit(0))
+    few = reports._in_report_order(keyed, f).rdd.getNumPartitions()
+    monkeypatch.setattr(reports, "FILES_A_TASK", 1)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert few <= tasks < reports._in_report_order(keyed, f).rdd.getNumPartitions()
+    out = os.path.join(tmpdir_path, "csv")
+    reports.export_csv(f, out)
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    got = reports.read_csv_export(spark, out)
+    assert spark.conf.get(key) == before and got.columns[-1] == "repo"
+    assert sorted(got.collect()) == sorted(reports.csv_rows(f).select(got.columns).collect())
+    for repo in ("r00", "r01", "r59"):
+        lines = []
+        for part in sorted(glob.glob(f"{out}/repo={repo}/*.csv")):
+            with open(part, newline="") as fh:
+                lines += [r["severity"] for r in csv.DictReader(fh)]
+        want = [r["severity"] for r in sorted((r for r in rows if r["repo"] == repo), key=lambda r: (["CRITICAL", "HIGH", "MEDIUM", "LOW"].index(r["severity"]), r["ingest_seq"]))]
+        assert lines == want
