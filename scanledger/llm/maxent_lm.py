@@ -47,6 +47,10 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
 FREQUENT = 1 << 18
 ROUNDS = 2
 BATCH = 16384
+#: Tokens (and slots) of a batch that are worked on at a time: their rows of weights stay in a core's cache.
+BLOCK = 2048
+#: Rows of a slot that are added one after the other.
+PIECE = 16
 RATE = 0.7
 SMOOTH = 0.1
 #: Distinct words that a counting task holds before it sends them.
@@ -60,21 +64,23 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 #: Slots in which frequent words are looked for first.
 SLOT_BITS = 21
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Of two bytes as a number: the leaf of words that end in them, and the member of those that begin with them.
+_TWO = (C.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _SEEDS[1]) >> np.uint64(32)).astype(np.int64)
+_BY_LAST, _BY_FIRST = (x.astype(np.int16) for x in (_TWO % CLASSES * MEMBERS + OWN, _TWO % (MEMBERS - OWN)))
 
 
 def spelled(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Leaf (class * MEMBERS + member) of words by their first and last two bytes."""
-    a, b = (C.mix((x.astype(np.uint64) + np.uint64(1)) * _SEEDS[1]) >> np.uint64(32) for x in (last, first))
-    return a.astype(np.int64) % CLASSES * MEMBERS + OWN + b.astype(np.int64) % (MEMBERS - OWN)
+    return _BY_LAST[last] + _BY_FIRST[first]
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, leaf by spelling, text and place in its text of each token, the end token (leaf 0) of each text included."""
     joined, begin, end, h, text = C.word_spans([t.lower() for t in texts])
-    raw = np.frombuffer(joined, np.uint8).astype(np.int32)
+    raw = np.frombuffer(joined, np.uint8)
     long = end - begin > 1
-    first = raw[begin] * 256 + np.where(long, raw[np.minimum(begin + 1, len(raw) - 1)], 0)
-    last = raw[end - 1] * 256 + np.where(long, raw[end - 2], 0)
+    first = raw[begin] * np.int64(256) + np.where(long, raw[np.minimum(begin + 1, len(raw) - 1)], 0)
+    last = raw[end - 1] * np.int64(256) + np.where(long, raw[end - 2], 0)
     sizes = np.bincount(text, minlength=len(texts)) + 1
     n = len(h) + len(texts)
     hashes, leaves = np.full(n, END), np.zeros(n, np.int64)
@@ -91,7 +97,7 @@ def _count(batches):
 
     def merged():
         h, e, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         at, _ = C.runs(h[order])
         return h[order][at], e[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
@@ -153,7 +159,7 @@ class Model:
 
 
 def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts joined: hash, place among the frequent words (-1 for others), leaf, features and text of each token."""
+    """Of several texts joined: hash, place among the frequent words (-1 for others), leaf, text and the three words before of each token."""
     h, spelt, text, offset = tokens(texts)
     frequent = np.r_[m["hashes"], np.uint64(0)]
     place = m["slots"][(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
@@ -167,64 +173,103 @@ def tokens_of(texts: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray, np.n
         b[k:] = h[:-k]
         b[offset < k] = 0
         before.append(b)
-    one, two, three = before
-    raw = (one * _SEEDS[0], one * _SEEDS[0] + C.mix(two * _SEEDS[1]) + _SEEDS[3], two * _SEEDS[2] + _SEEDS[1], three * _SEEDS[3] + _SEEDS[2])
-    return h, place, leaves, np.stack([C.mix(x) for x in raw], 1), text
+    return h, place, leaves, np.stack(before), text
 
 
-def levels(features: np.ndarray, leaves: np.ndarray, n: int):
-    """For class and member: the row of the base measure, the ``n`` slots' numbers of each feature, and the outcome."""
+def levels(before: np.ndarray, leaves: np.ndarray, n: int):
+    """For class and member: the row of the base measure, the ``n`` slots' numbers of each feature (a line each), and the outcome."""
+    one, two, three = before
+    first = one * _SEEDS[0]
+    features = _mix(np.stack([first, first + C.mix(two * _SEEDS[1]) + _SEEDS[3], two * _SEEDS[2] + _SEEDS[1], three * _SEEDS[3] + _SEEDS[2]]))
     cls = leaves // MEMBERS
-    slot = lambda x: ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
-    yield np.zeros(len(cls), np.int64), slot(features), cls
-    yield cls, slot(C.mix(features + (cls.astype(np.uint64) * _SEEDS[2])[:, None])), leaves % MEMBERS
+    joined = features + cls.astype(np.uint64) * _SEEDS[2]
+    yield np.zeros(len(cls), np.int64), _slot(features, n), cls
+    yield cls, _slot(_mix(joined), n), leaves % MEMBERS
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """``C.mix`` in place."""
+    high = x >> np.uint64(31)
+    x ^= high
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(29), out=high)
+    return x
+
 
+def _slot(x: np.ndarray, n: int) -> np.ndarray:
+    """Slot of ``n`` of each hash, from its high bits; ``x`` is overwritten."""
+    x >>= np.uint64(32)
+    x *= np.uint64(n)
+    x >>= np.uint64(32)
+    return x.view(np.int64)
 
-def exponentials(weights: np.ndarray, base: np.ndarray, slots: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def exponentials(weights: np.ndarray, base: np.ndarray, row: np.ndarray, slots: np.ndarray, outcome: np.ndarray, out: np.ndarray):
     """The exponentials of the base measure's logarithms plus the features' weights, their sums, and the outcomes' logarithms.
 
-    ``base`` is overwritten.
+    They are worked out ``BLOCK`` tokens at a time, which stay in the cache, in ``out``; if that has one block's lines
+    only, each block overwrites the one before it.
     Rows of weights add up to 0, so no row can be small as a whole; great ones are lessened by their largest entry.
     """
-    out = base
-    for k in range(slots.shape[1]):
-        out += weights.take(slots[:, k], 0)
-    if out.max(initial=0) > 60:
-        out -= out.max(1, keepdims=True)
-    own = out[np.arange(len(out)), outcome]
-    np.exp(out, out=out)
-    return out, out @ np.ones(out.shape[1], np.float32), own
+    n = len(outcome)
+    total, own = np.empty(n, np.float32), np.empty(n, np.float32)
+    ones, held, lines = np.ones(out.shape[1], np.float32), np.empty((min(n, BLOCK), out.shape[1]), np.float32), np.arange(min(n, BLOCK))
+    for i in range(0, n, BLOCK):
+        s = slice(i, min(n, i + BLOCK))
+        k = s.stop - i
+        x, more = out[s] if len(out) >= n else out[:k], held[:k]
+        base.take(row[s], 0, out=x, mode="clip")
+        for slot in slots:
+            x += weights.take(slot[s], 0, out=more, mode="clip")
+        if x.max() > 60:
+            x -= x.max(1, keepdims=True)
+        own[s] = x[lines[:k], outcome[s]]
+        np.exp(x, out=x)
+        np.dot(x, ones, out=total[s])
+    return total, own
 
 
 def sums_by_slot(slots: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct slots, their number of tokens, and the sum of the gradients of their tokens.
 
-    Tokens of a slot lie side by side after sorting; neighbours are added, pair by pair, until each slot has one row left.
+    Slot and token are sorted as one number, so that tokens of a slot lie side by side.
     """
-    flat = slots.T.ravel()
-    order = np.argsort(flat)
-    keys = flat[order]
+    bits = len(slots).bit_length()
+    small = bits + int(slots.max(initial=0)).bit_length() <= 32  # sorted in half the time
+    packed = (slots.T.astype(np.int64) << bits | np.arange(len(slots))).ravel()
+    packed = np.sort(packed.astype(np.uint32) if small else packed)
+    keys, rows = packed >> bits, (packed & ((1 << bits) - 1)).astype(np.int64)
     begin, length = C.runs(keys)
-    slot, n, rows, source = keys[begin], length, order % len(slots), grad
-    out = []
-    while len(slot):
-        one = length == 1
-        out.append((slot[one], n[one], source.take(rows[begin[one]], 0)))
-        more = ~one
-        slot, n, begin, length = slot[more], n[more], begin[more], length[more]
-        pairs, odd = length // 2, length % 2 == 1
-        first = np.repeat(begin - 2 * (np.cumsum(pairs) - pairs), pairs) + 2 * np.arange(pairs.sum())
-        added = source.take(rows[first], 0)
-        added += source.take(rows[first + 1], 0)
-        left = source.take(rows[begin[odd] + length[odd] - 1], 0)
-        length = pairs + odd
-        begin = np.cumsum(length) - length
-        last = np.zeros(length.sum(), bool)
-        last[(begin + pairs)[odd]] = True
-        rows = np.empty(len(last), np.int64)
-        rows[~last], rows[last] = np.arange(len(added)), len(added) + np.arange(len(left))
-        source = np.concatenate([added, left])
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    order, sums = run_sums(grad, rows, begin, length)
+    return keys[begin[order]].astype(np.int64), length[order], sums
+
+
+def run_sums(source: np.ndarray, rows: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, in an order of falling length, and the sum of each: ``length`` rows of ``source`` from ``rows[begin]`` on.
+
+    In that order all runs of a block add their next rows at once. Runs of over ``PIECE`` rows are summed in pieces, and
+    these like rows.
+    """
+    order = np.argsort(np.minimum(length, PIECE + 1).astype(np.uint8), kind="stable")[::-1]
+    begin, length = begin[order], length[order]
+    sums, held = np.empty((len(order), source.shape[1]), source.dtype), np.empty((BLOCK, source.shape[1]), source.dtype)
+    n = np.count_nonzero(length > PIECE)
+    if n:
+        pieces = -(-length[:n] // PIECE)
+        first = np.cumsum(pieces) - pieces
+        skipped = PIECE * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+        of, parts = run_sums(source, rows, np.repeat(begin[:n], pieces) + skipped, np.minimum(PIECE, np.repeat(length[:n], pieces) - skipped))
+        place = np.empty_like(of)
+        place[of] = np.arange(len(of))
+        of, parts = run_sums(parts, place, first, pieces)
+        sums[of] = parts
+    for i in range(n, len(order), BLOCK):
+        at, left, out = begin[i : i + BLOCK], length[i : i + BLOCK], sums[i : i + BLOCK]
+        source.take(rows[at], 0, out=out, mode="clip")
+        for k in range(1, left[0]):
+            m = np.count_nonzero(left > k)
+            out[:m] += source.take(rows[at[:m] + k], 0, out=held[:m], mode="clip")
+    return order, sums
 
 
 def _groups(batch: pa.RecordBatch, n_bytes: int = 2 << 20):
@@ -248,18 +293,27 @@ class Learner:
         self.weights = weights.astype(np.float32)
         self.squares = np.full(len(weights), 1e-2, np.float32)
         self.seen = np.zeros(len(weights), np.int64)
+        self.grad = np.empty((0, weights.shape[1]), np.float32)
 
-    def step(self, base: np.ndarray, slots: np.ndarray, outcome: np.ndarray) -> None:
+    def step(self, base: np.ndarray, row: np.ndarray, slots: np.ndarray, outcome: np.ndarray) -> None:
         """An AdaGrad step, with one rate a slot, on one batch of tokens."""
-        grad, total, _ = exponentials(self.weights, base, slots, outcome)
+        if len(self.grad) < len(outcome):
+            self.grad = np.empty((len(outcome), self.weights.shape[1]), np.float32)
+        grad = self.grad[: len(outcome)]
+        total, _ = exponentials(self.weights, base, row, slots, outcome, grad)
         grad *= (1 / total)[:, None]
         grad[np.arange(len(outcome)), outcome] -= 1
-        at, n, g = sums_by_slot(slots, grad)
-        self.squares[at] += np.einsum("ij,ij->i", g, g)
-        g *= (-RATE / np.sqrt(self.squares[at]))[:, None]
-        g += self.weights.take(at, 0)
-        self.weights[at] = g
-        self.seen[at] += n
+        slots, n, sums = sums_by_slot(slots.T, grad)
+        self.seen[slots] += n
+        ones, held = np.ones(grad.shape[1], np.float32), np.empty((BLOCK, grad.shape[1]), np.float32)
+        for i in range(0, len(slots), BLOCK):
+            at, g = slots[i : i + BLOCK], sums[i : i + BLOCK]
+            other = held[: len(at)]
+            squares = self.squares[at] + np.multiply(g, g, out=other) @ ones
+            self.squares[at] = squares
+            g *= (-RATE / np.sqrt(squares))[:, None]
+            g += self.weights.take(at, 0, out=other, mode="clip")
+            self.weights[at] = g
 
 
 def _train(batches, model):
@@ -269,11 +323,11 @@ def _train(batches, model):
     n = len(m["weights"][0])
     for batch in batches:
         for _, _, texts in _groups(batch):
-            _, _, leaves, features, _ = tokens_of(texts, m)
+            _, _, leaves, before, _ = tokens_of(texts, m)
             for i in range(0, len(leaves), BATCH):
                 s = slice(i, i + BATCH)
-                for learner, base, (row, slots, outcome) in zip(learners, m["base"], levels(features[s], leaves[s], n), strict=True):
-                    learner.step(base.take(row, 0), slots, outcome)
+                for learner, base, (row, slots, outcome) in zip(learners, m["base"], levels(before[:, s], leaves[s], n), strict=True):
+                    learner.step(base, row, slots, outcome)
     for level, learner in enumerate(learners):
         for begin in range(0, n, PART):
             at = begin + np.flatnonzero(learner.seen[begin : begin + PART])
@@ -317,13 +371,14 @@ def train(docs: DataFrame, text_col: str, model: Model) -> Model:
     return model
 
 
-def log_context(m: dict, features: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+def log_context(m: dict, before: np.ndarray, leaves: np.ndarray) -> np.ndarray:
     """log10 P(class | context) + log10 P(member | class, context) of each token; ``weights`` in single precision."""
     out = np.zeros(len(leaves))
-    for i in range(0, len(leaves), BATCH):
-        s = slice(i, i + BATCH)
-        for weights, base, (row, slots, outcome) in zip(m["weights"], m["base"], levels(features[s], leaves[s], len(m["weights"][0])), strict=True):
-            _, total, own = exponentials(weights, base.take(row, 0), slots, outcome)
+    rooms = [np.empty((min(len(leaves), BLOCK), w.shape[1]), np.float32) for w in m["weights"]]
+    for i in range(0, len(leaves), BLOCK):
+        s = slice(i, i + BLOCK)
+        for weights, base, room, (row, slots, outcome) in zip(m["weights"], m["base"], rooms, levels(before[:, s], leaves[s], len(m["weights"][0])), strict=True):
+            total, own = exponentials(weights, base, row, slots, outcome, room)
             out[s] += (own.astype(np.float64) - np.log(total)) / math.log(10)
     return out
 
@@ -336,8 +391,8 @@ def _score(batches, model):
     rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
     for batch in batches:
         for begin, end, texts in _groups(batch):
-            h, place, leaves, features, text = tokens_of(texts, m)
-            context = log_context(m, features, leaves) - m["log_leaf"][leaves]
+            h, place, leaves, before, text = tokens_of(texts, m)
+            context = log_context(m, before, leaves) - m["log_leaf"][leaves]
             n = len(texts)
             frequent = place >= 0
             sums = np.bincount(text[frequent], m["log_count"][place[frequent]], n)

@@ -149,3 +149,28 @@ def test_the_model_grows_with_the_training_tokens(spark):
     counts = lambda n: spark.createDataFrame([(5, 40, n)], "hash long, leaf int, n long")
     sizes = [len(M.Model(counts(n)).weights[0]) for n in (1, 1 << 25, 1 << 26, 1 << 40)]
     assert sizes == [1 << 14, 1 << 16, 1 << 17, 1 << 18]
+
+
+def test_sums_of_runs_longer_than_pieces_of_pieces():
+    rng = np.random.default_rng(3)
+    lengths = [1, 2, M.PIECE, M.PIECE + 1, M.PIECE**2, M.PIECE**2 + 1, 2 * M.PIECE**3 + 5, *([1] * M.BLOCK), *([3] * M.BLOCK)]
+    rows = rng.integers(0, 400, sum(lengths))
+    source = rng.standard_normal((400, 6)).astype(np.float32)
+    begin = np.cumsum([0, *lengths[:-1]])
+    order, sums = M.run_sums(source, rows, begin, np.array(lengths))
+    assert sorted(order) == list(range(len(lengths))) and sums.dtype == np.float32
+    for i, got in zip(order, sums, strict=True):
+        assert np.allclose(got, source[rows[begin[i] : begin[i] + lengths[i]]].astype(np.float64).sum(0), atol=2e-3)
+
+
+def test_exponentials_need_room_for_one_block_only(monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    n = 300
+    weights, base = rng.standard_normal((50, 8)).astype(np.float32) * 30, rng.standard_normal((5, 8)).astype(np.float32)
+    row, slots, outcome = rng.integers(0, 5, n), rng.integers(0, 50, (4, n)), rng.integers(0, 8, n)
+    logs = base[row].astype(np.float64) + sum(weights[s].astype(np.float64) for s in slots)
+    want = logs[np.arange(n), outcome] - np.log(np.exp(logs - logs.max(1, keepdims=True)).sum(1)) - logs.max(1)
+    for lines in (n, 64):
+        total, own = M.exponentials(weights, base, row, slots, outcome, np.empty((lines, 8), np.float32))
+        assert np.allclose(own - np.log(total), want, atol=1e-3)
