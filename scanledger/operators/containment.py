@@ -5,6 +5,9 @@ n-grams of the sizes that the group's terms have; a term with an n-gram that no
 meets only the texts that hold its rarest n-gram, and ``contains`` decides. No pair is built but through a shared n-gram.
 What is moved for each n-gram is its hash (64 bits, of group, size and n-gram) and a number, never a text; two n-grams of
 one hash only make a pair more that ``contains`` refuses.
+
+A table of n-grams has many more rows than Spark guesses from the small files of its texts, so these joins are hinted to
+sort and merge: none but the sizes of the groups is ever sent through the driver, and those only if they measure few.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from scanledger.session import stash
 #: Sizes of n-grams, the largest first; a term shorter than the last is empty.
 GRAM_SIZES = (12, 6, 3, 1)
 
+#: The groups and their sizes are broadcast up to so many bytes, SIZES_BYTES a group and its name; above, they are shuffled.
+BROADCAST_BYTES, SIZES_BYTES = 8 << 20, 64
+
 
 def _grams(c: F.Column, size: F.Column) -> F.Column:
     """Distinct n-grams of a text that is at least ``size`` characters long."""
@@ -43,13 +49,15 @@ def contained_terms(terms: DataFrame, texts: DataFrame, group: str, term: str, t
     x = stash(x.withColumn("_x", F.monotonically_increasing_id()))
     sizes = t.where("t <> ''").groupBy("g").agg(*[F.max(F.when(F.col("size") == n, F.col("size"))).alias(f"_{n}") for n in GRAM_SIZES])
     sizes = sizes.select("g", F.array_compact(F.array(*[f"_{n}" for n in GRAM_SIZES])).alias("sizes"))
+    few = (sizes.agg(F.sum(F.octet_length("g") + SIZES_BYTES)).first()[0] or 0) <= BROADCAST_BYTES
     asked = t.where("t <> ''").select("_t", F.explode(_hashes(F.col("t"), F.col("size"))).alias("hash"))
     held = F.flatten(F.transform("sizes", lambda n: _hashes(F.col("x"), n)))
-    index = x.join(sizes, "g").select("_x", F.explode(held).alias("hash"))
+    index = x.join(sizes.hint("broadcast" if few else "merge"), "g").select("_x", F.explode(held).alias("hash"))
     counts = index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    judged = asked.join(counts, "hash", "left")
+    judged = asked.join(counts.hint("merge"), "hash", "left")
     rarest = judged.groupBy("_t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("r")).where("r.n > 0")
-    pairs = rarest.select("_t", F.col("r.hash").alias("hash")).join(index, "hash").select("_t", "_x")
-    found = pairs.join(x, "_x").withColumnRenamed("g", "_g").join(t, "_t").where((F.col("_g") == F.col("g")) & F.contains("x", "t")).select("g", "t")
-    found = found.unionByName(t.where("t = ''").join(x.select("g").distinct(), "g", "left_semi").select("g", "t")).distinct()
-    return t.join(found, ["g", "t"], "left_semi").select(F.col("_group").alias(group), F.col("t").alias(term))
+    pairs = rarest.select("_t", F.col("r.hash").alias("hash")).join(index.hint("merge"), "hash").select("_t", "_x")
+    found = pairs.join(x.hint("merge"), "_x").withColumnRenamed("g", "_g").join(t.hint("merge"), "_t")
+    found = found.where((F.col("_g") == F.col("g")) & F.contains("x", "t")).select("g", "t")
+    found = found.unionByName(t.where("t = ''").join(x.select("g").distinct().hint("merge"), "g", "left_semi").select("g", "t")).distinct()
+    return t.join(found.hint("merge"), ["g", "t"], "left_semi").select(F.col("_group").alias(group), F.col("t").alias(term))

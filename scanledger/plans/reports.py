@@ -396,6 +396,7 @@ def issue_work_list(
     untagged = every.filter(~_truthy_str(F.col("fingerprint"))).withColumn("term", F.substring(F.coalesce("title", F.lit("")), 1, 50))
     untagged = untagged.groupBy("repo", "term").agg(F.min_by(fields, "ingest_seq").alias("f"))
     known = contained_terms(untagged, open_issues, "repo", "term", "issue_title").withColumnsRenamed({"repo": "_repo", "term": "_term"})
+    known = known.hint("merge")  # guessed small from files of compressed terms, and as many as these
     untagged = untagged.join(known, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("term") == F.col("_term")), "left_anti")
     todo = todo.unionByName(untagged.select("repo", F.lit("").alias("tag"), "f"))
     f = lambda c: F.col(f"f.{c}")

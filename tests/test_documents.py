@@ -127,6 +127,28 @@ def test_ngrams_are_moved_as_hashes_that_may_collide(spark, monkeypatch):
     assert {tuple(r) for r in contained_terms(*frames, "grp", "term", "title").collect()} == want
 
 
+def test_joins_of_ngrams_are_not_broadcast_on_a_guess(spark, monkeypatch):
+    titles = [("r", "the first open issue's title"), ("r", "another one, of a second issue"), ("s", "short"), (None, "no repo")]
+    terms = [("r", "first open issue"), ("r", "issues"), ("s", "first open issue"), ("s", "hor"), ("s", ""), ("t", ""), (None, "repo")]
+    want = {("r", "first open issue"), ("s", "hor"), ("s", ""), (None, "repo")}
+    frames = [spark.createDataFrame(terms, "grp string, term string"), spark.createDataFrame(titles, "grp string, title string")]
+    sent = lambda df: set(re.findall(r"BroadcastHashJoin \[(\w+)#.*", df._jdf.queryExecution().executedPlan().toString()))
+    found = contained_terms(*frames, "grp", "term", "title")
+    assert sent(found) == {"g"}  # hash, _x and _t before: as many rows as n-grams, texts and terms, guessed from the files' bytes
+    assert {tuple(r) for r in found.collect()} == want and sent(found) == {"g"}
+    monkeypatch.setattr("scanledger.operators.containment.BROADCAST_BYTES", 0)
+    found = contained_terms(*frames, "grp", "term", "title")
+    assert {tuple(r) for r in found.collect()} == want and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_titles_are_not_broadcast_on_a_guess(spark):
+    f = make_findings(spark, CANONICAL[:1]).drop("fingerprint").selectExpr("*", "'' AS fingerprint")
+    todo = reports.issue_work_list(f, spark.createDataFrame([("r", "Secret detected")], "repo string, issue_title string"))
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[coalesce\(repo#\d+, \).*LeftAnti", plan), plan
+    assert len(todo.collect()) == 1
+
+
 def test_issues_and_pages_of_findings_without_a_fingerprint(spark):
     f = make_findings(spark, CANONICAL[:1] * 2).drop("fingerprint")
     rows = f.selectExpr("*", "'' AS fingerprint").unionByName(f.selectExpr("* EXCEPT (title)", "concat('Other ', title) AS title", "CAST(null AS string) AS fingerprint"))
